@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import exact_dedup
+from tradeloom.llm import byte_bpe, exact_dedup, packing, sharding
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op5_packing": packing.op5_packing,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op7_sharding": sharding.op7_sharding,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL can't express the others: tokenizers (5, 6) and random draws (7)."""
     return {"op8_exact_dedup": exact_dedup.OP8_SQL}

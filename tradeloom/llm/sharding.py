@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom.llm.common import checkpointed, documents, text_or_empty
 
@@ -74,7 +75,7 @@ def assign_shards(rows: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
                 out[mine], labels[p] = labels[p][: len(mine)], labels[p][len(mine) :]
             yield b.append_column("shard", pa.array(out, pa.int32()))
 
-    labelled = stable.mapInArrow(label, stable.schema.add("shard", "int"))
+    labelled = stable.mapInArrow(label, T.StructType([*stable.schema.fields, T.StructField("shard", T.IntegerType())]))
     chunks = max(1, -(-sum(counts.values()) // (shards * CHUNK_ROWS)))
     key = F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns])
     keyed = labelled.withColumn("__key", key).withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)))

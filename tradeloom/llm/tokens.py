@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import arrow_batches, text_or_empty
 
 #: Words remembered by one Python worker, and the longest of them in bytes.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 MEMO_BYTES = 48
 #: Tokenizer files are read by the driver and broadcast; a larger file is refused.
 MAX_FILE = 64 << 20
@@ -28,9 +29,21 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+#: A word of Latin letters and then ASCII punctuation, if any: the tokenizer cuts it into these two pieces.
+PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers. The tokenizer drops white space and never merges across it, so words
-    between ASCII white space are encoded on their own and remembered."""
+    between ASCII white space are encoded on their own and remembered. Plain words go to the tokenizer's model in lower
+    case, without its regular expressions; all others through the whole tokenizer."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,26 +51,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.alphabet = byte_alphabet()
         self.memo: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= MEMO_WORDS:
+                self.pieces.clear()
+            found = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))], dtype="<u4").tobytes()
+            self.pieces[piece] = found
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = PLAIN_WORD.fullmatch(text) if len(word) <= MEMO_BYTES else None
+        if plain is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        memo = self.memo
-        missing = list({w for w in words if w not in memo})
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(words))
-            if max(map(len, missing)) > MEMO_BYTES:
-                own = dict(zip(missing, self._encode(missing), strict=True))
-                memo.update({w: i for w, i in own.items() if len(w) <= MEMO_BYTES})
-                return b"".join([own[w] if w in own else memo[w] for w in words])
-            memo.update(zip(missing, self._encode(missing), strict=True))
-        return b"".join([memo[w] for w in words])
+        words, memo = text.encode().split(), self.memo
+        try:
+            return b"".join([memo[w] for w in words])
+        except KeyError:
+            pass
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        out = []
+        for w in words:
+            found = memo.get(w)
+            if found is None:
+                found = self._word(w)
+                if len(w) <= MEMO_BYTES:
+                    memo[w] = found
+            out.append(found)
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
