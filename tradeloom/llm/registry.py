@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import byte_bpe, exact_dedup, packing, sharding
+from tradeloom.llm import byte_bpe, exact_dedup, language_id, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op3_quality": quality.op3_quality,
         "op5_packing": packing.op5_packing,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_sharding": sharding.op7_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can't express the others: tokenizers (5, 6) and random draws (7)."""
+    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3) and random draws (7)."""
     return {"op8_exact_dedup": exact_dedup.OP8_SQL}
