@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import byte_bpe, exact_dedup, language_id, packing, quality, secrets, sharding
+from tradeloom.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_sharding": sharding.op7_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_media": media.op9_media,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3) and random draws (7)."""
+    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), random draws (7) and media formats (9)."""
     return {"op8_exact_dedup": exact_dedup.OP8_SQL}
