@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import arrow_batches, text_or_empty
 
 #: Words remembered by one Python worker, and the longest of them in bytes.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 MEMO_BYTES = 48
 #: Tokenizer files are read by the driver and broadcast; a larger file is refused.
 MAX_FILE = 64 << 20
