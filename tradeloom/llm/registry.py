@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, secrets, sharding
+from tradeloom.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_simhash": simhash.op2_simhash,
         "op3_quality": quality.op3_quality,
         "op5_packing": packing.op5_packing,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
