@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeloom.llm.common import arrow_batches, documents, held_out, text_or_empty
 
@@ -157,8 +158,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageModel(x, [r["lang"] for r in found])
 
 
-def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` columns with lang_pred and score (0 to 1). Null texts and texts without a letter are ``und`` with score 0; a text
+def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns, called ``names``: the language and its score (0 to 1). Null texts and texts without a letter are ``und`` with score 0; a text
     of any length is read whole; repeated rows get equal values."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -166,12 +167,10 @@ def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
         model = sent.value
         for b in batches:
             found = [model.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            b = b.append_column("lang_pred", pa.array([f[0] for f in found], pa.string()))
-            yield b.append_column("score", pa.array([f[1] for f in found], pa.float64()))
+            b = b.append_column(names[0], pa.array([f[0] for f in found], pa.string()))
+            yield b.append_column(names[1], pa.array([f[1] for f in found], pa.float64()))
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

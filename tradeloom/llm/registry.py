@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tradeloom.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, secrets, sharding, simhash
+import corpus_pipeline
+from tradeloom.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, secrets, sharding, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -10,15 +11,17 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_simhash": simhash.op2_simhash,
         "op3_quality": quality.op3_quality,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_packing": packing.op5_packing,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_sharding": sharding.op7_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_media": media.op9_media,
+        "pipeline": corpus_pipeline.run,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), random draws (7) and media formats (9)."""
+    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), bit counts of hashes (2), word windows of whole texts in memory (4), random draws (7) and media formats (9)."""
     return {"op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -169,14 +169,14 @@ def _shard_links(radius: int, most: int):
 
 def _sharded(rows: DataFrame, radius: int) -> DataFrame:
     """``rows`` (node, lane, value, checks) by shard: a key for each band; large shards are split by bands of their other bits."""
-    ready, level = None, rows.select("node", "value", "checks", F.col("lane").cast("string").alias("path"), F.array(F.lit(-1)).alias("used"))
+    ready, level = None, rows.select("node", "value", "checks", F.col("lane").cast("long").alias("path"), F.array(F.lit(-1)).alias("used"))
     every = list(range(64))
     choice = {(): bands(every, radius + 1)}  # by the bands chosen so far
     for depth in range(SPLITS):
         arms = []
         for used, parts in choice.items():
             for i, part in enumerate(parts):
-                key = F.concat_ws("|", "path", F.lit(i), (F.col("value").bitwiseAND(F.lit(_as_long(sum(1 << b for b in part))))).cast("string"))
+                key = F.xxhash64("path", F.lit(i), F.col("value").bitwiseAND(F.lit(_as_long(sum(1 << b for b in part)))))  # shards that clash are searched as one
                 arms.append(F.struct(F.lit(list(used)).cast("array<int>").alias("of"), F.array(*[F.lit(v) for v in (*used, i)]).alias("used"), key.alias("path")))
         target = F.array() if depth == 0 else F.col("used")
         fits = F.filter(F.array(*arms), lambda a: a["of"] == target.cast("array<int>"))
