@@ -10,7 +10,9 @@ all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +120,8 @@ class BkTree:
                     left.append(child)
 
 
-def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], radius: int, most: int) -> list[tuple[int, int]]:
-    """Links that join the members of one shard as all links within the radius would. checks: further bits of each member, of
+def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], reach: int, most: int) -> list[tuple[int, int]]:
+    """Links that join the members of one shard as all links within ``reach`` bits would. checks: further bits of each member, of
     which two linked members may differ in ``most``."""
     tree, root, out = BkTree(), list(range(len(nodes))), []
 
@@ -131,7 +133,7 @@ def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], r
 
     for i, value in enumerate(values):
         mine = i
-        for j in tree.within(value, radius):
+        for j in tree.within(value, reach):
             other = top(j)
             if other != mine and sum((a ^ b).bit_count() for a, b in zip(checks[i], checks[j], strict=True)) <= most:
                 root[max(mine, other)] = mine = min(mine, other)
@@ -144,7 +146,7 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _UNSIGNED = (1 << 64) - 1
 
 
-def _shard_links(radius: int, most: int):
+def _shard_links(reach: int, most: int):
     """Links in a stream of shards whose rows are next to one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,7 @@ def _shard_links(radius: int, most: int):
             if len(nodes) > 1:
                 yield nodes, values, checks
 
-        yield from arrow_batches((link for s in shards() for link in forest(*s, radius, most)), _EDGES)
+        yield from arrow_batches((link for s in shards() for link in forest(*s, reach, most)), _EDGES)
 
     return run
 
@@ -205,12 +207,39 @@ def _left(bits: list[int], used: tuple[int, ...], radius: int) -> list[int]:
     return bits
 
 
-def links(prints: DataFrame, radius: int, most: int = 64 * 32, checks: int = 0) -> DataFrame:
-    """u and v: links that join ``prints`` (node, lanes: one row a node) as all links would. Two nodes are linked if one of
-    their lanes differs in ``radius`` bits at most and their first ``checks`` lanes differ in ``most`` bits at most in all."""
-    rows = prints.select("node", F.posexplode("lanes").alias("lane", "value"), F.slice("lanes", 1, checks).alias("checks"))
-    shards = _sharded(rows, radius).repartition("path").sortWithinPartitions("path", "node")
-    return shards.mapInArrow(_shard_links(radius, most), "u long, v long")
+@dataclass(frozen=True)
+class Near:
+    """What counts as a near copy.
+
+    size: words in a shingle. radius: bits in which one of the first ``banded`` of ``lanes`` fingerprints may differ so that
+    the bands are sure to bring two texts together; with ``reach`` beyond it, trees are searched further, and texts that
+    meet in a band are found likely, not surely. most: bits in which all lanes may differ in sum.
+    """
+
+    size: int = 4
+    radius: int = 4
+    lanes: int = 1
+    banded: int = 1
+    reach: int | None = None
+    most: int | None = None
+
+
+def similar(least: float = 0.8, size: int = 5, lanes: int = 8, banded: int = 6) -> Near:
+    """Texts whose shingles have a Jaccard similarity of ``least`` or more, as far as ``lanes`` fingerprints tell.
+
+    Of the bits of such a pair's fingerprints a share of acos(2s / (1 + s)) / pi differs; half a deviation is allowed on top.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return Near(size=size, lanes=lanes, banded=banded, reach=math.ceil(64 * share + 2.5 * math.sqrt(64 * share)), most=round(64 * lanes * share + math.sqrt(16 * lanes * share)))
+
+
+def links(prints: DataFrame, near: Near) -> DataFrame:
+    """u and v: links that join ``prints`` (node, lanes: one row a node) as all links would."""
+    banded = F.slice("lanes", 1, near.banded)
+    checks = F.col("lanes") if near.most is not None else F.array().cast("array<long>")
+    rows = prints.select("node", F.posexplode(banded).alias("lane", "value"), checks.alias("checks"))
+    shards = _sharded(rows, near.radius).repartition("path").sortWithinPartitions("path", "node")
+    return shards.mapInArrow(_shard_links(near.reach or near.radius, near.most or 0), "u long, v long")
 
 
 def _spare() -> Column:
@@ -218,17 +247,17 @@ def _spare() -> Column:
     return F.xxhash64("lanes").bitwiseAND(F.lit(SPARE // 2 - 1)) + SPARE
 
 
-def classes(docs: DataFrame, size: int, radius: int, lanes: int = 1, most: int = 64 * 32, checks: int = 0) -> DataFrame:
+def classes(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, lanes and component_id (the smallest doc_id reachable through links, itself included) of every row.
 
     Rows of equal fingerprints are one node, named by the smallest doc_id; so copies don't meet in pairs. Texts without a
     word have fingerprint 0 and are linked like others. Null ids sort last: a class of null ids only has a null
     component_id. Repeated rows get equal values; an empty table gives an empty result.
     """
-    found = checkpointed(with_fingerprints(docs, size, lanes))
+    found = checkpointed(with_fingerprints(docs, near.size, near.lanes))
     prints = checkpointed(found.groupBy("lanes").agg(F.min("doc_id").alias("first"), _spare().alias("spare"), F.count("*").alias("n")))
     nodes = prints.withColumn("node", F.coalesce("first", "spare"))
-    joined = components(links(nodes.select("node", "lanes"), radius, most, checks))
+    joined = components(links(nodes.select("node", "lanes"), near))
     named = nodes.join(joined, "node", "left").select("lanes", "n", F.when(F.coalesce("component", "node") < SPARE, F.coalesce("component", "node")).alias("component_id"))
     heavy_at = max(1000, -(-found.count() // 1000))
     heavy = F.broadcast(named.filter(F.col("n") >= heavy_at).drop("n"))  # a thousand rows at most
@@ -237,5 +266,5 @@ def classes(docs: DataFrame, size: int, radius: int, lanes: int = 1, most: int =
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(documents(spark, sf_dir), size=4, radius=4)
+    found = classes(documents(spark, sf_dir), Near(size=4, radius=4))
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("lanes")[0])), 16, "0").alias("fingerprint"), "component_id")
