@@ -1,0 +1 @@
+"""Column functions: text, codes, money, documents."""
