@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that have QUERIES and SQL.
-MODULES: tuple[str, ...] = ("scalars", "classify")
+MODULES: tuple[str, ...] = ("totals", "scalars", "classify")
 FLAGSHIP = "group_totals"
 
 
