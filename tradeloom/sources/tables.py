@@ -74,7 +74,7 @@ items AS (
          CAST(l_quantity AS DECIMAL(18,4)) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS total_cost,
          l_returnflag <> 'R' AS billable, p_name || ' ' || lower(p_type) || ' size ' || p_size AS description,
          CASE WHEN p_partkey % 10 = 0 THEN 'ST-' ELSE '' END || 'SKU-' || p_partkey AS sku,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / CAST(l_quantity AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS unit_cost
+         CAST(((2000000 * CAST(100 * CAST(l_extendedprice AS DECIMAL(18,2)) AS HUGEINT) + CAST(10000 * l_quantity AS HUGEINT)) // (2 * CAST(10000 * l_quantity AS HUGEINT))) / 10000 AS DECIMAL(18,4)) AS unit_cost
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
 SEQ_SQL = """
