@@ -35,12 +35,16 @@ RUN = 63
 _LEAST_ID = -(1 << 63)
 
 
-def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of every window of words."""
-    part = min(ANCHOR, window)
+def parts_of(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The hash of every anchor-sized run of words of a text that has a window."""
     if len(hashes) < window:
         return np.zeros(0, dtype=np.uint64)
-    return running_least(mixed(windows(hashes, part, ANCHOR_BASE)), window - part + 1)
+    return mixed(windows(hashes, min(ANCHOR, window), ANCHOR_BASE))
+
+
+def anchors(parts: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of every window of words: its least part."""
+    return running_least(parts, window - min(ANCHOR, window) + 1) if len(parts) else parts
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -72,10 +76,12 @@ def _anchor_rows(window: int):
         found, rows, held = [], [], 0
         for b in batches:
             for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own, times = np.unique(anchors(word_hashes(text.encode()), window), return_counts=True)
-                if len(own):
-                    # an anchor of windows far apart in one text would repeat, too; twice in a text is repeated
-                    found.append(np.repeat(own, np.minimum(times, 2)))
+                parts = parts_of(word_hashes(text.encode()), window)
+                if len(parts):
+                    every, times = np.unique(parts, return_counts=True)
+                    own = np.unique(anchors(parts, window))
+                    # a part that one text has twice is a repeated anchor by itself
+                    found.append(np.repeat(own, np.minimum(times[np.searchsorted(every, own)], 2)))
                     rows.append(row)
                     held += len(found[-1])
                     if held >= HELD:
@@ -128,7 +134,7 @@ def _window_rows(window: int):
             for b in batches:
                 for d, row, text, known in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "anchors")), strict=True):
                     hashes = word_hashes(text.encode())
-                    anchor = anchors(hashes, window)
+                    anchor = anchors(parts_of(hashes, window), window)
                     at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64).view(np.uint64)))
                     if not len(at):
                         continue
