@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 from tradeloom.functions import codes, money, text
 from tradeloom.sources.tables import table
 
-#: The start of a text stands for a line of a document here: descriptions are short.
-_DOC = F.col("text")
-
-
 def normalised(spark, d):
-    keys = table(spark, d, "documents").select("doc_id", text.history_key(_DOC).alias("h"), text.assessed_key(_DOC).alias("a"), text.extract_key(_DOC).alias("e"))
+    keys = table(spark, d, "documents").select("doc_id", text.history_key(F.col("text")).alias("h"), text.assessed_key(F.col("text")).alias("a"), text.extract_key(F.col("text")).alias("e"))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return keys.select("doc_id", digest("h").alias("history_key"), digest("a").alias("assessed_key"), digest("e").alias("extract_key"), text.specific_enough(F.col("a")).alias("specific"))
 
 
 def terms(spark, d):
     return table(spark, d, "documents").select(
-        "doc_id", text.search_terms(_DOC).alias("terms"), text.simplified(_DOC).alias("simplified"), F.sha2(text.rule_text(_DOC).cast("binary"), 256).alias("rule_text")
+        "doc_id", text.search_terms(F.col("text")).alias("terms"), text.simplified(F.col("text")).alias("simplified"), F.sha2(text.rule_text(F.col("text")).cast("binary"), 256).alias("rule_text")
     )
 
 
@@ -29,12 +25,13 @@ def product_types(spark, d):
     return p.select("p_partkey", text.product_type(described).alias("product_type"), text.cleaned_label(F.concat(F.lit(" - "), "p_name", F.lit("  range - "), "p_type")).alias("label"))
 
 
-_AMOUNT = F.concat(F.element_at(F.array(*map(F.lit, ("$", "€", "(", "-", "", "£ "))), (F.col("c_custkey") % 6 + 1).cast("int")), F.format_number("c_acctbal", 2), F.when(F.col("c_custkey") % 6 == 2, ")").otherwise(""))
+def _amount():
+    return F.concat(F.element_at(F.array(*map(F.lit, ("$", "€", "(", "-", "", "£ "))), (F.col("c_custkey") % 6 + 1).cast("int")), F.format_number("c_acctbal", 2), F.when(F.col("c_custkey") % 6 == 2, ")").otherwise(""))
 
 
 def currencies(spark, d):
     """Balances written in six ways; negative ones in brackets or with two signs are included."""
-    return table(spark, d, "customer").select("c_custkey", money.currency(_AMOUNT).alias("amount"))
+    return table(spark, d, "customer").select("c_custkey", money.currency(_amount()).alias("amount"))
 
 
 def recognised_numbers(spark, d):

@@ -12,6 +12,10 @@ ITEM_SCHEMA = """
 """
 
 
+def _trimmed(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
 def declaration_items(spark: SparkSession, path: str, row_tag: str = "Item") -> DataFrame:
     """Items of declarations in XML files (a folder or a glob), with their file and taxes as an array; short codes are filled to
     eight digits with zeros."""
@@ -45,12 +49,11 @@ def classic_orders(rows: DataFrame) -> DataFrame:
     """Order rows of the classic layout (sheet, row, partner, reference, description, demand, price): the partner is carried down, the
     reference ``PO/GD/n (a/b)`` gives order and invoice references, a bracket in front of the description is the supplier's SKU."""
     down = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    refs = F.regexp_extract("reference", r"\(([^)]*)\)", 1)
     out = rows.withColumn("supplier", F.last("partner", ignorenulls=True).over(down)).withColumn("ref", F.last("reference", ignorenulls=True).over(down))
     refs = F.regexp_extract("ref", r"\(([^)]*)\)", 1)
     return out.filter(F.col("description").isNotNull() & F.col("demand").isNotNull()).select(
         "sheet", "row", "supplier", F.trim(F.regexp_replace("ref", r"\(.*$", "")).alias("po_number"),
-        F.filter(F.transform(F.split(refs, "/"), F.trim), lambda r: r != "").alias("invoice_refs"), F.nullif(F.regexp_extract("description", r"^\[([^\]]+)\]", 1), F.lit("")).alias("supplier_sku"),
+        _trimmed(F.split(refs, "/")).alias("invoice_refs"), F.nullif(F.regexp_extract("description", r"^\[([^\]]+)\]", 1), F.lit("")).alias("supplier_sku"),
         F.trim(F.regexp_replace("description", r"^\[[^\]]+\]", "")).alias("description"), "demand", F.col("price").alias("unit_price"), (F.col("demand") * F.col("price")).cast("decimal(18,2)").alias("total"),
     )
 
@@ -75,7 +78,7 @@ def bills_of_lading(texts: DataFrame, text: str = "text") -> DataFrame:
         "consignee": F.nullif(F.trim(F.regexp_extract(text, r"(?im)^CONSIGNEE:\s*(.+)$", 1)), F.lit("")),
         "packages": F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(1)),
         "weight_kg": (F.replace(pounds, F.lit(","), F.lit("")).try_cast("double") * 0.453592).cast("int"),
-        "refs": F.filter(F.transform(F.split(listed, ","), F.trim), lambda r: r != ""),
+        "refs": _trimmed(F.split(listed, ",")),
     })
 
 
