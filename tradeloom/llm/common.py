@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: The characters that every contract here treats as white space (fixed values).
 WHITESPACE = " \t\n\x0b\x0c\r"
 
-#: Rows in one Arrow batch that an operator returns; bounds the memory of wide outputs.
-OUT_BYTES = 32 << 20
+#: Bytes of one Arrow batch that an operator returns (about), and rows of one that it reads at a time: Spark's own batches
+#: hold thousands of texts, which as Python objects would take several times their memory.
+OUT_BYTES = 8 << 20
+READ_ROWS = 256
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -57,13 +59,21 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of record batches as tuples of these columns, made a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ_ROWS):
+            part = batch.slice(at, READ_ROWS)
+            yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+
+
 def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, size=lambda row: 64) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of at most about ``OUT_BYTES`` each (a single larger row is a batch of its own)."""
     held, total = [], 0
     for row in rows:
         held.append(row)
         total += size(row)
-        if total >= OUT_BYTES or len(held) >= 20_000:
+        if total >= OUT_BYTES or len(held) >= 5_000:
             yield _batch(held, schema)
             held, total = [], 0
     if held:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, documents, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, rows_of, text_or_empty
 from tradeloom.llm.rolling import ANCHOR_BASE, WORD_BASE, mixed, running_least, windows, word_bounds, word_hashes
 
 WINDOW = 20
@@ -74,19 +74,18 @@ def _anchor_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows, held = [], [], 0
-        for b in batches:
-            for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                parts = parts_of(word_hashes(text.encode()), window)
-                if len(parts):
-                    every, times = np.unique(parts, return_counts=True)
-                    own = np.unique(anchors(parts, window))
-                    # a part that one text has twice is a repeated anchor by itself
-                    found.append(np.repeat(own, np.minimum(times[np.searchsorted(every, own)], 2)))
-                    rows.append(row)
-                    held += len(found[-1])
-                    if held >= HELD:
-                        yield from settled(found, rows)
-                        found, rows, held = [], [], 0
+        for row, text in rows_of(batches, "row", "text"):
+            parts = parts_of(word_hashes(text.encode()), window)
+            if len(parts):
+                every, times = np.unique(parts, return_counts=True)
+                own = np.unique(anchors(parts, window))
+                # a part that one text has twice is a repeated anchor by itself
+                found.append(np.repeat(own, np.minimum(times[np.searchsorted(every, own)], 2)))
+                rows.append(row)
+                held += len(found[-1])
+                if held >= HELD:
+                    yield from settled(found, rows)
+                    found, rows, held = [], [], 0
         if found:
             yield from settled(found, rows)
 
@@ -103,50 +102,58 @@ def _window_rows(window: int):
     """Runs of windows with one anchor. With hashes: windows to be compared (mask: which ones); without: windows known to be
     removed."""
 
-    def settled(held: list[tuple]) -> Iterator[tuple]:
+    def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sizes = [len(h[2]) for h in held]
         anchor, start, hashes = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
         doc = np.repeat(np.arange(len(held)), sizes)
+        unknown = np.array([h[0] is None for h in held])
         ids = np.array([_LEAST_ID if h[0] is None else h[0] for h in held], dtype=np.int64)
+        rows = np.array([h[1] for h in held], dtype=np.int64)
+        at = np.arange(len(anchor))
+
         order = np.lexsort((start, ids[doc], hashes, anchor))
         same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])])
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the first of each group
-        its = order[lead]
+        its = order[np.maximum.accumulate(np.where(same, 0, at))]  # the first of each group
         later = np.zeros(len(order), dtype=bool)  # the same place in a repeated row isn't later
         later[order] = (ids[doc[order]] != ids[doc[its]]) | (start[order] != start[its])
-        cut = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
-        runs = np.append(np.flatnonzero(cut), len(anchor))
-        for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
-            for i in range(a, b, RUN):
-                j = min(b, i + RUN)
-                d, key, at = held[doc[i]], int(anchor[i : i + 1].view(np.int64)[0]), int(start[i])
-                gone = later[i:j]
-                bits = [1 << k for k in range(j - i)]
-                removed = sum(bit for bit, g in zip(bits, gone.tolist(), strict=True) if g)
-                if removed:
-                    yield d[1] ^ at, key, d[1], d[0], at, removed, None
-                if not gone.all():
-                    yield key, key, d[1], d[0], at, sum(bits) - removed, hashes[i:j][~gone].view(np.int64).tolist()
+
+        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
+        fresh = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % RUN == 0
+        firsts = np.flatnonzero(fresh)
+        bit = np.int64(1) << (at - np.maximum.accumulate(np.where(fresh, at, 0)))
+        gone = np.bitwise_or.reduceat(np.where(later, bit, 0), firsts)
+        stay = np.bitwise_or.reduceat(np.where(later, 0, bit), firsts)
+        counts = np.add.reduceat((~later).astype(np.int64), firsts)
+
+        def batch(chosen: np.ndarray, part: np.ndarray, mask: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
+            i = firsts[chosen]
+            d = doc[i]
+            columns = [part, _signed(anchor[i]), rows[d], pa.array(ids[d], pa.int64(), mask=unknown[d]), start[i], mask[chosen], lists]
+            whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_WINDOWS)
+            for k in range(0, whole.num_rows, 50_000):
+                yield whole.slice(k, 50_000)
+
+        known = np.flatnonzero(gone)
+        yield from batch(known, rows[doc[firsts[known]]] ^ start[firsts[known]], gone, pa.nulls(len(known), pa.list_(pa.int64())))
+        open_ = np.flatnonzero(stay)
+        ends = np.concatenate([[0], np.cumsum(counts[open_])]).astype(np.int32)
+        yield from batch(open_, _signed(anchor[firsts[open_]]), stay, pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(hashes[~later]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            held, total = [], 0
-            for b in batches:
-                for d, row, text, known in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "anchors")), strict=True):
-                    hashes = word_hashes(text.encode())
-                    anchor = anchors(parts_of(hashes, window), window)
-                    at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64).view(np.uint64)))
-                    if not len(at):
-                        continue
-                    held.append((d, row, anchor[at], at.astype(np.int32), windows(hashes, window, WORD_BASE)[at]))
-                    total += len(at)
-                    if total >= HELD:
-                        yield from settled(held)
-                        held, total = [], 0
-            if held:
+        held, total = [], 0
+        for d, row, text, known in rows_of(batches, "doc_id", "row", "text", "anchors"):
+            hashes = word_hashes(text.encode())
+            anchor = anchors(parts_of(hashes, window), window)
+            at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64).view(np.uint64)))
+            if not len(at):
+                continue
+            held.append((d, row, anchor[at], at.astype(np.int32), windows(hashes, window, WORD_BASE)[at]))
+            total += len(at)
+            if total >= HELD:
                 yield from settled(held)
-
-        yield from arrow_batches(rows(), _WINDOWS, lambda r: 64 + 8 * len(r[6] or ()))
+                held, total = [], 0
+        if held:
+            yield from settled(held)
 
     return run
 
@@ -165,11 +172,11 @@ def intervals(starts: np.ndarray, window: int) -> np.ndarray:
 
 def _removal(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(d, text, gone):
-            raw = text.encode()
-            words = raw.split()
-            starts = np.unique(np.array([g["start"] + i for g in gone or () if g["doc_id"] == d for i in range(RUN) if g["mask"] >> i & 1], dtype=np.int64))
-            spans = intervals(starts, window)
+        def row(d, text, ids, starts, masks):
+            words = text.encode().split()
+            own = np.array([i == d for i in ids or ()], dtype=bool)
+            run_at, offset = np.nonzero(np.array(masks or (), dtype=np.int64)[own][:, None] >> np.arange(RUN) & 1)
+            spans = intervals(np.unique(np.array(starts or (), dtype=np.int64)[own][run_at] + offset), window)
             if not len(spans):
                 return d, len(words), 0, [], b" ".join(words).decode()
             kept, at = [], 0
@@ -179,9 +186,8 @@ def _removal(window: int):
             kept += words[at:]
             return d, len(words), len(words) - len(kept), [{"start": a, "end": b} for a, b in spans.tolist()], b" ".join(kept).decode()
 
-        for b in batches:
-            rows = (row(*r) for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True))
-            yield from arrow_batches(rows, _KEPT, lambda r: len(r[4]) + 64)
+        rows = (row(*r) for r in rows_of(batches, "doc_id", "text", "ids", "starts", "masks"))
+        yield from arrow_batches(rows, _KEPT, lambda r: len(r[4]) + 64)
 
     return run
 
@@ -215,7 +221,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     gone = each.withColumn("place", F.rank().over(order)).filter("hash is null or place > 1")
     merged = gone.groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "mask")).alias("gone"))
 
-    return base.join(merged.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "gone").mapInArrow(_removal(window), _KEPT_DDL)
+    merged = merged.select("row", F.col("gone.doc_id").alias("ids"), F.col("gone.start").alias("starts"), F.col("gone.mask").alias("masks"))
+    return base.join(merged.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "ids", "starts", "masks").mapInArrow(_removal(window), _KEPT_DDL)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
