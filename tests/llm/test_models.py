@@ -45,7 +45,7 @@ def test_families():
 def test_long_texts_are_read_whole():
     text = "ab" * language_id.CHUNK
     assert language_id.features(text)[language_id.features("ab" * 100) > 0].all()
-    assert sum(map(len, quality.hashed("ab cd " * (quality.CHUNK // 4)))) == (quality.CHUNK // 4) * 2 * (1 + 2 + 1)
+    assert sum(map(len, quality.hashed("ab cd " * (quality.CHUNK // 4)))) > (quality.CHUNK // 4) * 2 * (1 + 2 + 1)
 
 
 def test_quality_held_out(spark):
@@ -54,7 +54,7 @@ def test_quality_held_out(spark):
     out = [(r.score, marks[r.doc_id]) for r in rows if r.held_out and r.doc_id in marks]
     good, bad = ([s for s, m in out if m == v] for v in (1, 0))
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
-    assert auc > 0.85 and np.mean([(s >= 0.5) == m for s, m in out]) > 0.9
+    assert auc > 0.97 and np.mean([(s >= 0.5) == m for s, m in out]) > 0.97
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
 
 

@@ -1,6 +1,6 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the mean of vectors of its words and of the character n-grams (3 and 4) of its words, all hashed to
+A document is the mean of vectors of its words, pairs of words and character n-grams (3 and 4) of its words, all hashed to
 ``BUCKETS``; a softmax over two classes follows. Vectors and output weights are learned together by stochastic gradient
 descent in numpy, on the driver, over a bounded sample. A score is then one number for each bucket, averaged.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, documents, held_out, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of, text_or_empty
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -33,7 +33,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: str) -> Iterator[np.ndarray]:
-    """Buckets of all words and of their 3- and 4-grams, a chunk of the text at a time (chunks end at white space where there is any)."""
+    """Buckets of all words, pairs and 3- and 4-grams, a chunk of the text at a time (chunks end at white space where there is any)."""
     at = 0
     while at < len(text):
         end = at + CHUNK
@@ -58,6 +58,7 @@ def hashed(text: str) -> Iterator[np.ndarray]:
         blank = np.concatenate([[True], gap, [True]])
         three = edged[:-2] * _SPREAD[1] + edged[1:-1] * _SPREAD[2] + edged[2:] * _SPREAD[3]
         yield _mixed(words)
+        yield _mixed((words[1:] ^ words[:-1]) + np.uint64(11))  # pairs of words; a word and itself are one bucket, whatever the word
         yield _mixed(three[~blank[1:-1]])
         if len(edged) > 3:
             four = three[:-1] * _SPREAD[4] + edged[3:] * _SPREAD[5]
@@ -124,9 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("buckets", pa.binary()), ("shares", pa.binary())])
-        for b in batches:
-            rows = ((d, m, *(a.tobytes() for a in bag(t))) for d, t, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "mark")), strict=True))
-            yield from arrow_batches(rows, schema, lambda r: len(r[2]) * 2 + 64)
+        rows = ((d, m, *(a.tobytes() for a in bag(t))) for d, t, m in rows_of(batches, "doc_id", "text", "mark"))
+        yield from arrow_batches(rows, schema, lambda r: len(r[2]) * 2 + 64)
 
     chosen = texts.join(F.broadcast(picked), "doc_id")  # the sample's ids: bounded by its size
     found = chosen.mapInArrow(run, "doc_id long, mark int, buckets binary, shares binary").collect()  # a bounded sample
@@ -141,7 +141,7 @@ def scored(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for (t,) in rows_of([b], "text")], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
