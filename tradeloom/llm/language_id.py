@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.llm.common import arrow_batches, documents, held_out, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of
 
 BUCKETS = 4096
 #: Bounds of the training sample: rows of one language and of all (fewer of each where there are many languages).
@@ -149,9 +149,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
-        for b in batches:
-            d, t, v = (c.to_pylist() for c in b.columns)
-            yield from arrow_batches(((i, lang, features(text).astype(np.float16).tobytes()) for i, text, lang in zip(d, t, v, strict=True) if has_letter(text)), schema, lambda r: 2 * BUCKETS)
+        found = ((i, lang, features(text).astype(np.float16).tobytes()) for i, text, lang in rows_of(batches, "doc_id", "text", "lang") if has_letter(text))
+        yield from arrow_batches(found, schema, lambda r: 2 * BUCKETS)
 
     found = sorted(sample.mapInArrow(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["doc_id"], r["lang"], r["x"]))  # a bounded sample
     x = np.array([np.frombuffer(r["x"], dtype=np.float16) for r in found], dtype=np.float32).reshape(len(found), BUCKETS)
@@ -166,7 +165,7 @@ def predicted(docs: DataFrame, model: LanguageModel, text_col: str = "text", nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            found = [model.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            found = [model.predict(t) for (t,) in rows_of([b], text_col)]
             b = b.append_column(names[0], pa.array([f[0] for f in found], pa.string()))
             yield b.append_column(names[1], pa.array([f[1] for f in found], pa.float64()))
 

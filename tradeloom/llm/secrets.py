@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.llm.common import arrow_batches, documents, text_or_empty
+from tradeloom.llm.common import READ_ROWS, arrow_batches, documents, rows_of, text_or_empty
 from tradeloom.llm.tokens import read_file
 
 #: Kinds in the order of their listing; the last is the method's own.
@@ -127,9 +127,8 @@ def scan(docs: DataFrame, path: str | None = None, most_ratio: float = MOST_RATI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         method, schema = _method(path, most_ratio, content), pa.schema([("doc_id", pa.int64()), ("spans", SPANS)])
-        for b in batches:
-            rows = ((d, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t, method)]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            yield from arrow_batches(rows, schema)
+        rows = ((d, [dict(zip(("kind", "start", "end"), s, strict=True)) for s in all_spans(t, method)]) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(rows, schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: int, end: int>>")
@@ -145,8 +144,10 @@ def redacted(docs: DataFrame, path: str | None = None, most_ratio: float = MOST_
         method = _method(path, most_ratio, content)
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = [t if t is None or not (s := all_spans(t, method)) else redact(t, s) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            for i in range(0, b.num_rows, READ_ROWS):
+                part = b.slice(i, READ_ROWS)
+                texts = [t if t is None or not (s := all_spans(t, method)) else redact(t, s) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, schema)
 
