@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import checkpointed
 
 MAX_ROUNDS = 60
+#: Nodes with a 1/HEAVY share of all edges or more (and a thousand at least): at most HEAVY of them, so they can be broadcast.
+HEAVY = 1000
+#: Edges in one partition between rounds; with fewer, a round's many exchanges would be of nearly empty files.
+ROWS_PER_PART = 50_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` (u, v; about ``rows``) with the smallest v of each u as m. The minima of hubs are broadcast, others are joined by u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+    heavy_at = max(1000, -(-rows // HEAVY))
+    hubs = F.broadcast(least.filter(F.col("__n") >= heavy_at).drop("__n"))
+    others = least.filter(F.col("__n") < heavy_at).drop("__n")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    linked = _with_least(down, rows)
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,7 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        now = checkpointed(_small_star(_large_star(now)).filter("u <> v").distinct())
+        parts = max(8, mark[0] // ROWS_PER_PART)
+        large = checkpointed(_large_star(now, mark[0]).filter("u <> v").distinct().coalesce(parts))
+        now = checkpointed(_small_star(large, mark[0]).filter("u <> v").distinct().coalesce(parts))
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

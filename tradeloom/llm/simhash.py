@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, checkpointed, documents, text_or_empty
+from tradeloom.llm.common import arrow_batches, checkpointed, documents, rows_of, text_or_empty
 from tradeloom.llm.components import components
 
 SEED = 42
 #: Fingerprints in a shard beyond which it is split by further bands, and how often at most.
-SHARD = 400
+SHARD = 2000
 SPLITS = 3
 #: Shingles hashed at once.
 AT_ONCE = 1 << 18
@@ -77,9 +77,8 @@ def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lanes", pa.list_(pa.int64()))])
-        for b in batches:
-            rows = ((d, [_as_long(v) for v in fingerprints(t, size, lanes)]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            yield from arrow_batches(rows, schema)
+        rows = ((d, [_as_long(v) for v in fingerprints(t, size, lanes)]) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(rows, schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, lanes array<long>")
@@ -98,13 +97,16 @@ class BkTree:
         self.values: list[int] = []
         self.edges: list[dict[int, int]] = []
 
-    def add(self, value: int) -> None:
+    def add(self, value: int) -> list[int]:
+        """Returns the new member's ancestors."""
         values, edges, new = self.values, self.edges, len(self.values)
         values.append(value)
         edges.append({})
-        at = 0
+        at, path = 0, []
         while at != new:
+            path.append(at)
             at = edges[at].setdefault((values[at] ^ value).bit_count(), new)
+        return path
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """Members at most ``radius`` bits away."""
@@ -124,6 +126,7 @@ def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], r
     """Links that join the members of one shard as all links within ``reach`` bits would. checks: further bits of each member, of
     which two linked members may differ in ``most``."""
     tree, root, out = BkTree(), list(range(len(nodes))), []
+    whole: list[int] = []  # a member of the class that all below a member belong to; -1 if they belong to several
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -131,14 +134,23 @@ def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], r
             i = root[i]
         return i
 
+    stored, edges = tree.values, tree.edges
     for i, value in enumerate(values):
         mine = i
-        for j in tree.within(value, reach):
-            other = top(j)
-            if other != mine and sum((a ^ b).bit_count() for a, b in zip(checks[i], checks[j], strict=True)) <= most:
+        left = [0] if stored else []
+        while left:
+            j = left.pop()
+            if whole[j] >= 0 and top(whole[j]) == mine:
+                continue  # nothing new below
+            far = (stored[j] ^ value).bit_count()
+            if far <= reach and (other := top(j)) != mine and sum((a ^ b).bit_count() for a, b in zip(checks[i], checks[j], strict=True)) <= most:
                 root[max(mine, other)] = mine = min(mine, other)
                 out.append((nodes[i], nodes[j]))
-        tree.add(value)
+            left += [child for distance, child in edges[j].items() if far - reach <= distance <= far + reach]
+        whole.append(i)
+        for j in tree.add(value):
+            if whole[j] >= 0 and top(whole[j]) != mine:
+                whole[j] = -1
     return out
 
 
@@ -152,15 +164,14 @@ def _shard_links(reach: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shards():
             key, nodes, values, checks = None, [], [], []
-            for b in batches:
-                for k, n, v, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    if k != key:
-                        if len(nodes) > 1:
-                            yield nodes, values, checks
-                        key, nodes, values, checks = k, [], [], []
-                    nodes.append(n)
-                    values.append(v & _UNSIGNED)
-                    checks.append(tuple(x & _UNSIGNED for x in c))
+            for k, n, v, c in rows_of(batches, "path", "node", "value", "checks"):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield nodes, values, checks
+                    key, nodes, values, checks = k, [], [], []
+                nodes.append(n)
+                values.append(v & _UNSIGNED)
+                checks.append(tuple(x & _UNSIGNED for x in c))
             if len(nodes) > 1:
                 yield nodes, values, checks
 
