@@ -133,3 +133,5 @@ def test_packing_odd_rows(spark, odd, nothing):
     assert sum(r.length for r in rows if r.doc_id == 5) == 2 * sum(r.length for r in rows if r.doc_id == 4)
     assert any(r.doc_id is None for r in rows)
     assert packing.pack_documents(nothing).count() == 0
+    again = packing.pack(tokens.tokenized(odd, P.path(packing.TOKENIZER), end_id=packing.END_ID))  # in two steps
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, documents
-from tradeloom.llm.tokens import tokenized
+from tradeloom.llm.common import arrow_batches, documents, rows_of, text_or_empty
+from tradeloom.llm.tokens import encoders
 
 WINDOW = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -130,24 +130,33 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 40
-        docs = ((d, i) for b in batches for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from _pieces(rows_of(batches, "doc_id", "ids"), window)
 
-        def rows():
-            for n, sequence in enumerate(packed(docs, window)):
-                offset = 0
-                for doc, start, ids, total in sequence:
-                    yield doc, start, len(ids) // 4, ids, total, first + n, offset
-                    offset += len(ids) // 4
+    return tokens.select("doc_id", "ids").mapInArrow(run, _DDL)
 
-        yield from arrow_batches(rows(), PIECES, lambda r: len(r[3]) + 64)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, _DDL)
+def _pieces(docs: Iterator[tuple[int | None, bytes]], window: int) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 40
+
+    def rows():
+        for n, sequence in enumerate(packed(docs, window)):
+            offset = 0
+            for doc, start, ids, total in sequence:
+                yield doc, start, len(ids) // 4, ids, total, first + n, offset
+                offset += len(ids) // 4
+
+    yield from arrow_batches(rows(), PIECES, lambda r: len(r[3]) + 64)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Tokenises whole texts (null: empty), adds the end id and packs; see ``pack``."""
-    return pack(tokenized(docs, path or public_tokenizers.path(TOKENIZER), end_id=END_ID), window)
+    """Tokenises whole texts (null: empty), adds the end id and packs, in one Python process a task; see ``pack``."""
+    encoder = encoders(docs.sparkSession, path or public_tokenizers.path(TOKENIZER), END_ID)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        yield from _pieces(((d, encode(t)) for d, t in rows_of(batches, "doc_id", "text")), window)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, _DDL)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, text_or_empty
+from tradeloom.llm.common import arrow_batches, rows_of, text_or_empty
 
 #: Words remembered by one Python worker, and the longest of them in bytes.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 MEMO_BYTES = 48
 #: Tokenizer files are read by the driver and broadcast; a larger file is refused.
 MAX_FILE = 64 << 20
@@ -94,21 +94,30 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encoders(spark: SparkSession, path: str, end_id: int | None = None) -> Callable[[], Callable[[str], bytes]]:
+    """For tasks: makes (once in a process) what gives a text's ids, with ``end_id`` last where it is given."""
+    definition = spark.sparkContext.broadcast(read_file(path).decode())
+    last = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+
+    def make() -> Callable[[str], bytes]:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = WordEncoder(definition.value)
+        encode = _ENCODERS[path].encode
+        return lambda text: encode(text) + last
+
+    return make
+
+
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every whole text, with ``end_id`` last where it is given.
 
     Null and empty texts have no ids of their own. Other columns are ignored.
     """
-    definition = docs.sparkSession.sparkContext.broadcast(read_file(path).decode())
-    last = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    encoder = encoders(docs.sparkSession, path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = WordEncoder(definition.value)
-        encode = _ENCODERS[path].encode
-        for b in batches:
-            rows = ((d, encode(t) + last) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            yield from arrow_batches(rows, TOKENS, lambda r: len(r[1]) + 64)
+        encode = encoder()
+        yield from arrow_batches(((d, encode(t)) for d, t in rows_of(batches, "doc_id", "text")), TOKENS, lambda r: len(r[1]) + 64)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, ids binary")
