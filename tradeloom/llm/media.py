@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import jpeg
-from tradeloom.llm.common import arrow_batches, documents, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, rows_of, text_or_empty
 
 BLOCK = 64
 
@@ -21,6 +21,9 @@ _READ = pa.schema([
 ])
 
 
+_READ_DDL = "doc_id long, n_bytes long, media binary, payload binary, width int, height int, rgb binary, feature string"
+
+
 def padded(raw: bytes) -> bytes:
     """Bytes 0 are appended up to a positive multiple of the block."""
     return raw + b"\0" * (-len(raw) % BLOCK if raw else BLOCK)
@@ -38,9 +41,8 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     equal texts give equal streams; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = (t.encode() for t in b.column(1).to_pylist())
-            yield from arrow_batches(((d, len(r), jpeg.store(padded(r))) for d, r in zip(b.column(0).to_pylist(), raws, strict=True)), _MEDIA, lambda r: len(r[2]) + 64)
+        raws = ((d, t.encode()) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(((d, len(r), jpeg.store(padded(r))) for d, r in raws), _MEDIA, lambda r: len(r[2]) + 64)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -49,21 +51,32 @@ def read_back(media: DataFrame) -> DataFrame:
     """``media`` (doc_id, n_bytes, media) with payload, width, height, rgb (height x width x 3 unsigned bytes) and feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(d, n, m):
-            image = jpeg.Image(m)
-            rgb = image.rgb()
-            return d, n, m, jpeg.payload(image), image.width, image.height, rgb.tobytes(), feature(rgb)
+        yield from _read_rows(rows_of(batches, "doc_id", "n_bytes", "media"))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ_DDL)
+
+
+def _read_rows(media: Iterator[tuple[int | None, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def row(d, n, m):
+        image = jpeg.Image(m)
+        rgb = image.rgb()
+        return d, n, m, jpeg.payload(image), image.width, image.height, rgb.tobytes(), feature(rgb)
 
-        for b in batches:
-            rows = (row(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            yield from arrow_batches(rows, _READ, lambda r: len(r[2]) + len(r[3]) + len(r[6]) + 64)
+    yield from arrow_batches((row(*r) for r in media), _READ, lambda r: len(r[2]) + len(r[3]) + len(r[6]) + 64)
+
+
+def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``stored`` and then ``read_back``, in one Python process a task: the columns of ``read_back``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raws = ((d, t.encode()) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from _read_rows((d, len(r), jpeg.store(padded(r))) for d, r in raws)
 
-    ddl = "doc_id long, n_bytes long, media binary, payload binary, width int, height int, rgb binary, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, _READ_DDL)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(stored(documents(spark, sf_dir))).select(
+    return stored_and_read(documents(spark, sf_dir)).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
