@@ -9,7 +9,6 @@ exists are marked, so the work is linear in the piece. Compatibility of pairs an
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -21,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, documents, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, rows_of, text_or_empty
 from tradeloom.llm.tokens import read_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 MEMO_PIECE_CHARS = 48
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 300_000
 #: Pieces of a text that are held at once.
 AT_ONCE = 1 << 20
 
@@ -167,6 +166,7 @@ class ByteBpe:
         return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
+_BOTH = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 _CODERS: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -183,9 +183,8 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder((path, pattern), content)
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        for b in batches:
-            rows = ((d, coder.encode(t)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            yield from arrow_batches(rows, schema, lambda r: len(r[1]) + 64)
+        rows = ((d, coder.encode(t)) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(rows, schema, lambda r: len(r[1]) + 64)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -196,21 +195,28 @@ def decoded(tokens: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder((path, pattern), content)
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-        for b in batches:
-            rows = ((d, i, coder.decode(i)) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            yield from arrow_batches(rows, schema, lambda r: len(r[1]) + len(r[2]) + 64)
+        rows = ((d, i, coder.decode(i)) for d, i in rows_of(batches, "doc_id", "ids"))
+        yield from arrow_batches(rows, _BOTH, lambda r: len(r[1]) + len(r[2]) + 64)
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def sha256_hex(value: bytes) -> str:
-    return hashlib.sha256(value).hexdigest()
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encoded`` and then ``decoded``, in one Python process a task: doc_id, ids and decoded."""
+    content = docs.sparkSession.sparkContext.broadcast(read_file(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder((path, pattern), content)
+        ids = ((d, coder.encode(t)) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(((d, i, coder.decode(i)) for d, i in ids), _BOTH, lambda r: len(r[1]) + len(r[2]) + 64)
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    both = decoded(encoded(documents(spark, sf_dir), path), path)
+    both = round_trip(documents(spark, sf_dir), path)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
