@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tradeloom.llm.common import arrow_batches, rows_of, text_or_empty
 
-#: Words remembered by one Python worker, and the longest of them in bytes.
-MEMO_WORDS = 150_000
+#: Words remembered by one Python worker (twice as many while they are exchanged), and the longest of them in bytes.
+MEMO_WORDS = 120_000
 MEMO_BYTES = 48
 #: Tokenizer files are read by the driver and broadcast; a larger file is refused.
 MAX_FILE = 64 << 20
@@ -40,6 +40,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class Memo:
+    """Remembers at most twice ``most`` values. When ``newer`` is full it becomes ``older``; what is asked for again moves back,
+    so frequent keys stay, and rare ones go."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.newer: dict = {}
+        self.older: dict = {}
+
+    def get(self, key):
+        found = self.newer.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.newer) >= self.most:
+            self.newer, self.older = {}, self.newer
+        self.newer[key] = value
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers. The tokenizer drops white space and never merges across it, so words
     between ASCII white space are encoded on their own and remembered. Plain words go to the tokenizer's model in lower
@@ -53,16 +74,16 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.memo = Memo(MEMO_WORDS)
+        self.pieces = Memo(MEMO_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= MEMO_WORDS:
-                self.pieces.clear()
-            found = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))], dtype="<u4").tobytes()
-            self.pieces[piece] = found
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            found = b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
+            self.pieces.put(piece, found)
         return found
 
     def _word(self, word: bytes) -> bytes:
@@ -73,20 +94,18 @@ class WordEncoder:
         return self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
 
     def encode(self, text: str) -> bytes:
-        words, memo = text.encode().split(), self.memo
+        words, memo, out = text.encode().split(), self.memo, []
         try:
-            return b"".join([memo[w] for w in words])
+            known = memo.newer
+            return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        out = []
         for w in words:
             found = memo.get(w)
             if found is None:
                 found = self._word(w)
                 if len(w) <= MEMO_BYTES:
-                    memo[w] = found
+                    memo.put(w, found)
             out.append(found)
         return b"".join(out)
 
