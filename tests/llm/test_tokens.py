@@ -135,3 +135,19 @@ def test_packing_odd_rows(spark, odd, nothing):
     assert packing.pack_documents(nothing).count() == 0
     again = packing.pack(tokens.tokenized(odd, P.path(packing.TOKENIZER), end_id=packing.END_ID))  # in two steps
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+
+
+def test_memo_is_bounded_and_keeps_what_is_asked_for():
+    memo = tokens.Memo(10)
+    for i in range(100):
+        memo.put(i, i)
+        memo.put("often", 1) if memo.get("often") is None else None
+        assert memo.get("often") == 1 and len(memo.newer) <= 10 and len(memo.older) <= 10
+    assert memo.get(0) is None
+
+
+def test_words_forgotten_are_encoded_the_same(words, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 3)
+    small = tokens.WordEncoder(tokens.read_file(P.path(packing.TOKENIZER)).decode())
+    for text in ("one two, three! four five six", "six five Four. naïve one", "", "one one seven two,"):
+        assert small.encode(text) == words.encode(text)
