@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import documents
-from tradeloom.llm import language_id, quality, secrets
+from tradeloom.llm import language_id, quality, secrets, simhash
 from tradeloom.llm.tokens import read_file
 
 SF = "/root/testdata/sf0.01"
@@ -162,3 +163,21 @@ def test_near_copies(spark):
     rows += [(100 + i, " ".join(f"w{(k * k + i * 31) % 5000}x{i}" for k in range(300)), "en") for i in range(40)]
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, documents(spark, rows), "").collect()}
     assert kept == {0, *range(100, 140)}
+
+
+def varied(rng, words, share):
+    """``words`` with about ``share`` of them replaced."""
+    return [f"n{rng.randrange(10**9)}" if rng.random() < share else w for w in words]
+
+
+def test_near_copies_of_full_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 1)  # every shard is too large
+    rng, texts = random.Random(3), {}
+    for i in range(150):
+        texts[2 * i] = " ".join(words := [f"w{rng.randrange(10**6)}" for _ in range(400)])
+        texts[2 * i + 1] = " ".join(varied(rng, words, 0.01))
+    pairs = brute_near(texts, 0.87)
+    assert len(pairs) > 40
+    found = simhash.classes(documents(spark, [(i, t, "en") for i, t in texts.items()]), corpus_pipeline.NEAR).collect()
+    of = {r.doc_id: r.component_id for r in found}
+    assert not [p for p in pairs if of[p[0]] != of[p[1]]]

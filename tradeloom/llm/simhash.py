@@ -6,6 +6,10 @@ and a search follows only edges within the radius. A shard with more than ``SHAR
 must agree on a band of the remaining bits, too. Trees are built where the shard's rows are: they reach the queries by the
 exchange and not through the driver, which would have to hold all fingerprints. A shard reports a spanning forest, not
 all pairs.
+
+A search by similarity (``similar``) allows more bits than bands can be sure of. Its shards are bands of minimum hashes of the
+shingle sets instead, whose chance to bring a pair together depends on the pair alone; a large shard is not split but searched by
+several tasks, each of which has two of its parts.
 """
 
 from __future__ import annotations
@@ -31,7 +35,13 @@ SPLITS = 3
 AT_ONCE = 1 << 18
 #: Ids are below this.
 SPARE = 1 << 62
+#: Minimum hashes in a band of a search by similarity, and the chance that a pair at the threshold meets in no band.
+WIDTH = 4
+MISSED = 1e-6
+
+_UNSIGNED = (1 << 64) - 1
 
+_BAND_SPREAD = np.random.default_rng(23).integers(0, 1 << 63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE_SPREAD = [1, *(int(v) * 2 + 1 for v in np.random.default_rng(17).integers(1, 1 << 62, size=31))]
 
 
@@ -68,20 +78,43 @@ def fingerprints(text: str, size: int, lanes: int = 1) -> list[int]:
     return [sum(w for w, set_ in zip(weights, (2 * row > n).tolist(), strict=True) if set_) for row in ones]
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct hashes of ``shingle_hashes``, sorted."""
+    found = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def band_count(least: float) -> int:
+    """Bands of ``WIDTH`` minima of which a pair of similarity ``least`` shares one, but for a chance of ``MISSED``."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(least**WIDTH))) if least < 1 else 1
+
+
+def band_keys(shingles: np.ndarray, count: int) -> list[int]:
+    """A key for each of ``count`` bands of ``WIDTH`` minimum hashes of a set; none for an empty set."""
+    if not len(shingles):
+        return []
+    spread = _BAND_SPREAD[: count * WIDTH]
+    least = np.full(len(spread), np.uint64(_UNSIGNED))
+    for i in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[i : i + 1024, None] * spread).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[i * WIDTH : (i + 1) * WIDTH].tobytes(), seed=i) for i in range(count)]
+
+
 def _as_long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and lanes (array of longs) of every whole text. Null, empty and blank texts have fingerprint 0."""
+def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", keys: int = 0) -> DataFrame:
+    """doc_id, lanes and keys (arrays of longs; ``keys`` of ``band_keys``) of every whole text. Null, empty and blank texts have
+    fingerprint 0 and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("lanes", pa.list_(pa.int64()))])
-        rows = ((d, [_as_long(v) for v in fingerprints(t, size, lanes)]) for d, t in rows_of(batches, "doc_id", "text"))
-        yield from arrow_batches(rows, schema)
+        schema = pa.schema([("doc_id", pa.int64()), ("lanes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+        rows = ((d, [_as_long(v) for v in fingerprints(t, size, lanes)], [_as_long(k) for k in band_keys(shingle_set(t, size), keys)] if keys else []) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(rows, schema, lambda r: 64 + 8 * len(r[2]))
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, lanes array<long>")
+    return slim.mapInArrow(run, "doc_id long, lanes array<long>, keys array<long>")
 
 
 def bands(bits: list[int], parts: int) -> list[list[int]]:
@@ -155,7 +188,6 @@ def forest(nodes: list[int], values: list[int], checks: list[tuple[int, ...]], r
 
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_UNSIGNED = (1 << 64) - 1
 
 
 def _shard_links(reach: int, most: int):
@@ -223,8 +255,8 @@ class Near:
     """What counts as a near copy.
 
     size: words in a shingle. radius: bits in which one of the first ``banded`` of ``lanes`` fingerprints may differ so that
-    the bands are sure to bring two texts together; with ``reach`` beyond it, trees are searched further, and texts that
-    meet in a band are found likely, not surely. most: bits in which all lanes may differ in sum.
+    the bands are sure to bring two texts together. least: the similarity of a search by similarity, whose bands are of the shingle
+    sets and whose trees are searched as far as ``reach`` bits. most: bits in which all lanes may differ in sum.
     """
 
     size: int = 4
@@ -233,6 +265,7 @@ class Near:
     banded: int = 1
     reach: int | None = None
     most: int | None = None
+    least: float | None = None
 
 
 def similar(least: float = 0.8, size: int = 5, lanes: int = 8, banded: int = 6) -> Near:
@@ -241,11 +274,27 @@ def similar(least: float = 0.8, size: int = 5, lanes: int = 8, banded: int = 6)
     Of the bits of such a pair's fingerprints a share of acos(2s / (1 + s)) / pi differs; half a deviation is allowed on top.
     """
     share = math.acos(2 * least / (1 + least)) / math.pi
-    return Near(size=size, lanes=lanes, banded=banded, reach=math.ceil(64 * share + 2.5 * math.sqrt(64 * share)), most=round(64 * lanes * share + math.sqrt(16 * lanes * share)))
+    return Near(size=size, lanes=lanes, banded=banded, reach=math.ceil(64 * share + 2.5 * math.sqrt(64 * share)), most=round(64 * lanes * share + math.sqrt(16 * lanes * share)), least=least)
+
+
+def _met(prints: DataFrame) -> DataFrame:
+    """``prints`` (node, lanes, keys) by shard: one for each key. Of a shard of more than ``SHARD`` every two parts are a shard, so no
+    pair is lost."""
+    dealt = prints.select(F.explode("keys").alias("path"), "node")
+    counts = dealt.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = checkpointed(dealt.join(counts, "path").withColumn("parts", F.ceil(F.col("n") / SHARD)))  # fingerprints are sent of these only
+    shared = shared.join(prints.select("node", F.col("lanes")[0].alias("value"), F.col("lanes").alias("checks")), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = shared.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    key = F.when(F.col("parts") > 1, F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("path"))
+    return others.select(key.alias("path"), "node", "value", "checks")
 
 
 def links(prints: DataFrame, near: Near) -> DataFrame:
-    """u and v: links that join ``prints`` (node, lanes: one row a node) as all links would."""
+    """u and v: links that join ``prints`` (node, lanes, and keys for a search by similarity: one row a node) as all links would."""
+    if near.least is not None:
+        shards = _met(prints).repartition("path").sortWithinPartitions("path", "node")
+        return shards.mapInArrow(_shard_links(near.reach, near.most), "u long, v long")
     banded = F.slice("lanes", 1, near.banded)
     checks = F.col("lanes") if near.most is not None else F.array().cast("array<long>")
     rows = prints.select("node", F.posexplode(banded).alias("lane", "value"), checks.alias("checks"))
@@ -265,10 +314,11 @@ def classes(docs: DataFrame, near: Near) -> DataFrame:
     word have fingerprint 0 and are linked like others. Null ids sort last: a class of null ids only has a null
     component_id. Repeated rows get equal values; an empty table gives an empty result.
     """
-    found = checkpointed(with_fingerprints(docs, near.size, near.lanes))
-    prints = checkpointed(found.groupBy("lanes").agg(F.min("doc_id").alias("first"), _spare().alias("spare"), F.count("*").alias("n")))
+    found = checkpointed(with_fingerprints(docs, near.size, near.lanes, keys=band_count(near.least) if near.least is not None else 0))
+    prints = checkpointed(found.groupBy("lanes").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), _spare().alias("spare"), F.count("*").alias("n")))
+    found = found.drop("keys")
     nodes = prints.withColumn("node", F.coalesce("first", "spare"))
-    joined = components(links(nodes.select("node", "lanes"), near))
+    joined = components(links(nodes.select("node", "lanes", "keys"), near))
     named = nodes.join(joined, "node", "left").select("lanes", "n", F.when(F.coalesce("component", "node") < SPARE, F.coalesce("component", "node")).alias("component_id"))
     heavy_at = max(1000, -(-found.count() // 1000))
     heavy = F.broadcast(named.filter(F.col("n") >= heavy_at).drop("n"))  # a thousand rows at most
