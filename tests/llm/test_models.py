@@ -178,6 +178,31 @@ def test_near_copies_of_full_shards(spark, monkeypatch):
         texts[2 * i + 1] = " ".join(varied(rng, words, 0.01))
     pairs = brute_near(texts, 0.87)
     assert len(pairs) > 40
-    found = simhash.classes(documents(spark, [(i, t, "en") for i, t in texts.items()]), corpus_pipeline.NEAR).collect()
+    found = simhash.near_classes(documents(spark, [(i, t, "en") for i, t in texts.items()]), corpus_pipeline.NEAR).collect()
     of = {r.doc_id: r.component_id for r in found}
     assert not [p for p in pairs if of[p[0]] != of[p[1]]]
+
+
+def test_near_copies_are_decided_by_similarity(spark):
+    rng, texts = random.Random(4), {}
+    for i in range(150):  # pairs of a similarity about 0.8
+        texts[2 * i] = " ".join(words := [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 400))])
+        texts[2 * i + 1] = " ".join(words[: max(1, round(len(words) * rng.uniform(0.72, 0.88)))])
+    passage = [f"p{i}" for i in range(60)]
+    texts[1000] = " ".join(passage * 2 + ["end"])
+    texts[1001] = " ".join(passage * 40 + ["end"])  # equal shingle sets
+    texts[1002], texts[1003] = (" ".join(["one", "line", "of", "five", "words"] * 200 + [f"{c}{i}" for i in range(60)]) for c in "ab")
+    rows = [(i, t, "en") for i, t in texts.items()] + [(None, texts[0], "en"), (None, "own words of this row alone", "en")]
+    pairs = brute_near(texts, 0.8)
+    assert 60 < len(pairs) < 120 and (1000, 1001) in pairs
+    found = simhash.near_classes(documents(spark, rows), corpus_pipeline.NEAR).collect()
+    of = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    expected = {i: i for i in texts} | {b: a for a, b in pairs}
+    assert of == expected
+    assert {r.component_id for r in found if r.doc_id is None} == {0, None}
+
+
+def test_similar_classes_are_transitive():
+    a = np.arange(100, dtype=np.uint64)
+    sets = [a, a + np.uint64(20), a + np.uint64(10), a + np.uint64(1000), a[:80], a[:79]]
+    assert dict(simhash.similar_classes([5, 4, 3, 2, 1, 0], sets, 0.8)) == {5: 0, 4: 0, 3: 0, 2: 2, 1: 0, 0: 0}

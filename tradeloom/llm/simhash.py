@@ -9,14 +9,16 @@ all pairs.
 
 A search by similarity (``similar``) allows more bits than bands can be sure of. Its shards are bands of minimum hashes of the
 shingle sets instead, whose chance to bring a pair together depends on the pair alone; a large shard is not split but searched by
-several tasks, each of which has two of its parts.
+several tasks, each of which has two of its parts. Its links are candidates only: the texts that they join are brought together, and the
+similarity of their shingle sets decides.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ SPARE = 1 << 62
 #: Minimum hashes in a band of a search by similarity, and the chance that a pair at the threshold meets in no band.
 WIDTH = 4
 MISSED = 1e-6
+#: A search by similarity allows so many deviations of the bits in which a pair's fingerprints differ, and so much more than the law for
+#: large sets says (of 4 and 5 shingles, 0.188 of the bits differ, not 0.151).
+DEVIATIONS = 5
+SMALL_SETS = 1.25
 
 _UNSIGNED = (1 << 64) - 1
 
@@ -62,10 +68,10 @@ def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[s:e], SEED) for s, e in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
 
 
-def fingerprints(text: str, size: int, lanes: int = 1) -> list[int]:
+def fingerprints(hashes: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
     """64-bit fingerprints: a bit is set if it is set in over half the hashes. Lanes after the first remix the hashes."""
     ones, n = np.zeros((lanes, 64), dtype=np.int64), 0
-    for h in shingle_hashes(text, size):
+    for h in hashes:
         n += len(h)
         for lane in range(lanes):
             if lane:
@@ -104,17 +110,29 @@ def _as_long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", keys: int = 0) -> DataFrame:
-    """doc_id, lanes and keys (arrays of longs; ``keys`` of ``band_keys``) of every whole text. Null, empty and blank texts have
-    fingerprint 0 and no keys."""
+def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and lanes (array of longs) of every whole text. Null, empty and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("lanes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-        rows = ((d, [_as_long(v) for v in fingerprints(t, size, lanes)], [_as_long(k) for k in band_keys(shingle_set(t, size), keys)] if keys else []) for d, t in rows_of(batches, "doc_id", "text"))
-        yield from arrow_batches(rows, schema, lambda r: 64 + 8 * len(r[2]))
+        schema = pa.schema([("doc_id", pa.int64()), ("lanes", pa.list_(pa.int64()))])
+        rows = ((d, [_as_long(v) for v in fingerprints(shingle_hashes(t, size), lanes)]) for d, t in rows_of(batches, "doc_id", "text"))
+        yield from arrow_batches(rows, schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, lanes array<long>, keys array<long>")
+    return slim.mapInArrow(run, "doc_id long, lanes array<long>")
+
+
+def with_sets(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, digest (of the shingle set), and lanes and keys of the set, of every whole text."""
+    count = band_count(near.least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("lanes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+        found = ((d, shingle_set(t, near.size)) for d, t in rows_of(batches, "doc_id", "text"))
+        rows = ((d, xxhash.xxh128_digest(h.tobytes()), [_as_long(v) for v in fingerprints([h], near.lanes)], [_as_long(k) for k in band_keys(h, count)]) for d, h in found)
+        yield from arrow_batches(rows, schema, lambda r: 128 + 8 * len(r[3]))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, lanes array<long>, keys array<long>")
 
 
 def bands(bits: list[int], parts: int) -> list[list[int]]:
@@ -254,27 +272,26 @@ def _left(bits: list[int], used: tuple[int, ...], radius: int) -> list[int]:
 class Near:
     """What counts as a near copy.
 
-    size: words in a shingle. radius: bits in which one of the first ``banded`` of ``lanes`` fingerprints may differ so that
-    the bands are sure to bring two texts together. least: the similarity of a search by similarity, whose bands are of the shingle
-    sets and whose trees are searched as far as ``reach`` bits. most: bits in which all lanes may differ in sum.
+    size: words in a shingle. radius: bits in which one of ``lanes`` fingerprints may differ. least: the similarity of a search by
+    similarity, whose candidates may differ in ``reach`` bits of the first fingerprint and ``most`` bits of all.
     """
 
     size: int = 4
     radius: int = 4
     lanes: int = 1
-    banded: int = 1
     reach: int | None = None
     most: int | None = None
     least: float | None = None
 
 
-def similar(least: float = 0.8, size: int = 5, lanes: int = 8, banded: int = 6) -> Near:
-    """Texts whose shingles have a Jaccard similarity of ``least`` or more, as far as ``lanes`` fingerprints tell.
+def similar(least: float = 0.8, size: int = 5, lanes: int = 8) -> Near:
+    """Texts whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-    Of the bits of such a pair's fingerprints a share of acos(2s / (1 + s)) / pi differs; half a deviation is allowed on top.
+    Of the bits of such a pair's fingerprints a share of acos(2s / (1 + s)) / pi differs; candidates may differ in far more.
     """
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    return Near(size=size, lanes=lanes, banded=banded, reach=math.ceil(64 * share + 2.5 * math.sqrt(64 * share)), most=round(64 * lanes * share + math.sqrt(16 * lanes * share)), least=least)
+    share = SMALL_SETS * math.acos(2 * least / (1 + least)) / math.pi
+    reach, most = (math.ceil(n * share + DEVIATIONS * math.sqrt(n * share * (1 - share))) for n in (64, 64 * lanes))
+    return Near(size=size, lanes=lanes, reach=reach, most=most, least=least)
 
 
 def _met(prints: DataFrame) -> DataFrame:
@@ -295,16 +312,14 @@ def links(prints: DataFrame, near: Near) -> DataFrame:
     if near.least is not None:
         shards = _met(prints).repartition("path").sortWithinPartitions("path", "node")
         return shards.mapInArrow(_shard_links(near.reach, near.most), "u long, v long")
-    banded = F.slice("lanes", 1, near.banded)
-    checks = F.col("lanes") if near.most is not None else F.array().cast("array<long>")
-    rows = prints.select("node", F.posexplode(banded).alias("lane", "value"), checks.alias("checks"))
+    rows = prints.select("node", F.posexplode("lanes").alias("lane", "value"), F.array().cast("array<long>").alias("checks"))
     shards = _sharded(rows, near.radius).repartition("path").sortWithinPartitions("path", "node")
-    return shards.mapInArrow(_shard_links(near.reach or near.radius, near.most or 0), "u long, v long")
+    return shards.mapInArrow(_shard_links(near.radius, 0), "u long, v long")
 
 
-def _spare() -> Column:
+def _spare(by: str = "lanes") -> Column:
     """A node for rows without an id, beyond all ids."""
-    return F.xxhash64("lanes").bitwiseAND(F.lit(SPARE // 2 - 1)) + SPARE
+    return F.xxhash64(by).bitwiseAND(F.lit(SPARE // 2 - 1)) + SPARE
 
 
 def classes(docs: DataFrame, near: Near) -> DataFrame:
@@ -314,16 +329,95 @@ def classes(docs: DataFrame, near: Near) -> DataFrame:
     word have fingerprint 0 and are linked like others. Null ids sort last: a class of null ids only has a null
     component_id. Repeated rows get equal values; an empty table gives an empty result.
     """
-    found = checkpointed(with_fingerprints(docs, near.size, near.lanes, keys=band_count(near.least) if near.least is not None else 0))
-    prints = checkpointed(found.groupBy("lanes").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), _spare().alias("spare"), F.count("*").alias("n")))
-    found = found.drop("keys")
+    found = checkpointed(with_fingerprints(docs, near.size, near.lanes))
+    prints = checkpointed(found.groupBy("lanes").agg(F.min("doc_id").alias("first"), _spare().alias("spare"), F.count("*").alias("n")))
     nodes = prints.withColumn("node", F.coalesce("first", "spare"))
-    joined = components(links(nodes.select("node", "lanes", "keys"), near))
-    named = nodes.join(joined, "node", "left").select("lanes", "n", F.when(F.coalesce("component", "node") < SPARE, F.coalesce("component", "node")).alias("component_id"))
+    joined = components(links(nodes.select("node", "lanes"), near))
+    return _named(found, nodes, joined, "lanes")
+
+
+def _named(found: DataFrame, nodes: DataFrame, joined: DataFrame, by: str) -> DataFrame:
+    """``found`` with the component_id of its node, joined by the column ``by``."""
+    named = nodes.join(joined, "node", "left").select(by, "n", F.when(F.coalesce("component", "node") < SPARE, F.coalesce("component", "node")).alias("component_id"))
     heavy_at = max(1000, -(-found.count() // 1000))
     heavy = F.broadcast(named.filter(F.col("n") >= heavy_at).drop("n"))  # a thousand rows at most
     light = named.filter(F.col("n") < heavy_at).drop("n")
-    return found.join(heavy, "lanes").unionByName(found.join(heavy.select("lanes"), "lanes", "left_anti").join(light, "lanes"))
+    return found.join(heavy, by).unionByName(found.join(heavy.select(by), by, "left_anti").join(light, by))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether sorted arrays of distinct values have a Jaccard similarity of ``least`` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b) - 1e-6:
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common) >= least
+
+
+def similar_classes(nodes: list[int], sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Each node and the smallest node that it reaches through pairs of similarity ``least`` or more."""
+    groups: list[list[int]] = []
+    for i, own in enumerate(sets):
+        hits = [g for g in groups if any(nodes[i] == nodes[j] or _alike(own, sets[j], least) for j in g)]
+        if hits:
+            large = max(hits, key=len)
+            for g in hits:
+                if g is not large:
+                    large += g
+            groups = [g for g in groups if g is large or not any(g is h for h in hits)] if len(hits) > 1 else groups
+            large.append(i)
+        else:
+            groups.append([i])
+    for g in groups:
+        first = min(nodes[i] for i in g)
+        yield from ((nodes[i], first) for i in g)
+
+
+_CLASSES = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+
+def _decided(texts: DataFrame, near: Near) -> DataFrame:
+    """node and component of ``texts`` (component: of candidates; node, text), by the similarity of whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            rows = ((c, n, shingle_set(t, near.size)) for c, n, t in rows_of(batches, "component", "node", "text"))
+            for _, members in groupby(rows, lambda r: r[0]):
+                nodes, sets = zip(*((n, h) for n, same in groupby(members, lambda r: r[1]) for _, _, h in same), strict=True)
+                yield from similar_classes(list(nodes), list(sets), near.least)
+
+        yield from arrow_batches(found(), _CLASSES)
+
+    return texts.repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
+
+
+def near_classes(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest and component_id (the smallest doc_id reachable through pairs of similarity ``near.least`` or more) of every row.
+
+    Candidates are found by fingerprints, each pair among the texts they join is decided by its shingle sets. Rows of equal sets are
+    one node; null ids and repeated rows are as in ``classes``.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    found = checkpointed(with_sets(slim, near))
+    prints = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    nodes = checkpointed(prints.withColumn("node", F.coalesce("first", _spare("digest"))).drop("first"))
+    joined = checkpointed(components(links(nodes.select("node", "lanes", "keys"), near)))
+    texts = slim.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
+    if not found.filter("doc_id IS NULL").isEmpty():
+        texts = texts.unionByName(_without_id(slim.filter("doc_id IS NULL"), near))
+    exact = checkpointed(_decided(texts.join(joined, "node"), near).distinct())
+    return _named(found.select("doc_id", "digest"), nodes.select("node", "digest", "n"), exact, "digest")
+
+
+def _without_id(rows: DataFrame, near: Near) -> DataFrame:
+    """node and text of rows without an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((xxhash.xxh128_digest(shingle_set(t, near.size).tobytes()), t) for (t,) in rows_of(batches, "text"))
+        yield from arrow_batches(found, pa.schema([("digest", pa.binary()), ("text", pa.string())]), lambda r: 64 + 4 * len(r[1]))
+
+    return rows.select("text").mapInArrow(run, "digest binary, text string").select(_spare("digest").alias("node"), "text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
