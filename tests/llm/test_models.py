@@ -206,3 +206,13 @@ def test_similar_classes_are_transitive():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, a + np.uint64(20), a + np.uint64(10), a + np.uint64(1000), a[:80], a[:79]]
     assert dict(simhash.similar_classes([5, 4, 3, 2, 1, 0], sets, 0.8)) == {5: 0, 4: 0, 3: 0, 2: 2, 1: 0, 0: 0}
+
+
+def test_random_letters_and_segments(method):
+    rng = random.Random(6)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        made = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
+        assert sum(map(method.is_random, made)) >= 198
+    assert method.is_random("QZXW-8391-KVJH-5520-GFPM-7743")
+    for s in ("invoice-2024-01-15-final", "SKU-0012-AB-2024-X", "DONAUDAMPFSCHIFFFAHRT", "some/folder/with/another_name", "4379362835490466"):
+        assert not method.is_random(s), s

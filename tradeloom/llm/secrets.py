@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a token-efficiency test that exposes random strings.
 
 Random strings need many tokens of a vocabulary learned from ordinary text: a run of key characters with few characters a
-token is reported, unless it is a digest of a known length, a UUID, a number or a name made of words and numbers.
+token is reported, unless it is a digest of a known length, a UUID or a number. Runs of one case, and such runs joined by separators,
+may be words, so fewer characters a token are asked of them the shorter they are.
 Byte-level checks (a class map and a search for a run of the least length) come first, so most texts meet no expression.
 """
 
@@ -31,6 +32,10 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 LEAST_RUN = 16
 MOST_RATIO = 2.2
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The same for a run of ``LEAST_RUN`` letters that may be a word, and what each further letter adds, up to MOST_RATIO.
+WORD_RATIO, WORD_STEP = 1.55, 0.08
+#: The same for the letters of a name of several segments, each by itself, and how many letters it must have.
+SEGMENT_RATIO, LEAST_LETTERS = 1.6, 8
 #: Runs are judged by so many of their characters at a time, so that a long run costs no more than its length.
 JUDGED = 4096
 
@@ -41,6 +46,8 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words of one case (a capital may lead) and numbers, joined by separators.
 NAME = re.compile(r"[-+/_=]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)([-+/_=]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[-+/_=]*")
+NUMBERS = re.compile(r"[-+/_=0-9]+")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -77,11 +84,16 @@ class RandomStrings:
         return len(run) / sum(len(self.encoding.encode_ordinary(run[i : i + JUDGED])) for i in range(0, len(run), JUDGED))
 
     def is_random(self, run: str) -> bool:
-        if not any(c.isdigit() for c in run) and sum(a.islower() != b.islower() for a, b in zip(run, run[1:], strict=False)) < 4:
-            return False  # one word, whatever its letters
-        if NAME.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
+        if NUMBERS.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
             return False
-        return self.ratio(run) < self.most_ratio
+        letters = LETTERS.findall(run)
+        word = not any(c.isdigit() for c in run) and sum(a.islower() != b.islower() for a, b in zip(run, run[1:], strict=False)) < 4
+        if not word and not NAME.fullmatch(run):
+            return self.ratio(run) < self.most_ratio
+        if len(letters) == 1:
+            return self.ratio(letters[0]) < min(self.most_ratio, WORD_RATIO + WORD_STEP * (len(letters[0]) - LEAST_RUN))
+        total = sum(map(len, letters))
+        return total >= LEAST_LETTERS and sum(len(w) / self.ratio(w) for w in letters) * SEGMENT_RATIO > total and self.ratio(run) < self.most_ratio
 
     def spans(self, text: str) -> list[Span]:
         if b"x" * LEAST_RUN not in text.encode().translate(_RUN_MAP):
