@@ -216,3 +216,18 @@ def test_random_letters_and_segments(method):
     assert method.is_random("QZXW-8391-KVJH-5520-GFPM-7743")
     for s in ("invoice-2024-01-15-final", "SKU-0012-AB-2024-X", "DONAUDAMPFSCHIFFFAHRT", "some/folder/with/another_name", "4379362835490466"):
         assert not method.is_random(s), s
+
+
+def test_random_part_of_a_run(method):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    front = "api/v1/customers/accounts/session/refresh/return/path/access_value="
+    for n in (20, 32):
+        for _ in range(100):
+            text = f"see {front}{(key := ''.join(rng.choice(letters) for _ in range(n)))}/and/further/words now"
+            spans = method.spans(text)
+            assert any(a <= text.index(key) and text.index(key) + n <= b for _, a, b in spans)
+            assert key not in secrets.redact(text, spans)
+    assert method.within(front + "QZXW-8391-KVJH-5520-GFPM-7743")
+    for s in ("files/123e4567-e89b-12d3-a456-426614174000/content", "commit/da39a3ee5e6b4b0d3255bfef95601890afd80709/tree", front + "2024-01-15/invoice_final"):
+        assert not method.spans(s), s

@@ -2,7 +2,8 @@
 
 Random strings need many tokens of a vocabulary learned from ordinary text: a run of key characters with few characters a
 token is reported, unless it is a digest of a known length, a UUID or a number. Runs of one case, and such runs joined by separators,
-may be words, so fewer characters a token are asked of them the shorter they are.
+may be words, so fewer characters a token are asked of them the shorter they are. A run that is not random as a whole is judged by its
+segments, too, each by itself and with as many of the next as make a run of the least length.
 Byte-level checks (a class map and a search for a run of the least length) come first, so most texts meet no expression.
 """
 
@@ -48,6 +49,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NAME = re.compile(r"[-+/_=]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)([-+/_=]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[-+/_=]*")
 NUMBERS = re.compile(r"[-+/_=0-9]+")
 LETTERS = re.compile(r"[A-Za-z]+")
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+KNOWN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -98,7 +101,49 @@ class RandomStrings:
     def spans(self, text: str) -> list[Span]:
         if b"x" * LEAST_RUN not in text.encode().translate(_RUN_MAP):
             return []
-        return [("random", m.start(), m.end()) for m in RUN.finditer(text) if self.is_random(m[0])]
+        out = []
+        for m in RUN.finditer(text):
+            if not self.has_known(m[0]) and self.is_random(m[0]):
+                out.append(("random", m.start(), m.end()))
+            else:
+                out += [("random", m.start() + a, m.start() + b) for a, b in self.within(m[0])]
+        return out
+
+    def has_known(self, run: str) -> bool:
+        return bool(KNOWN.search(run)) or any(len(w) in DIGEST_LENGTHS and DIGEST.fullmatch(w) for w in SEGMENT.findall(run))
+
+    def within(self, run: str) -> list[tuple[int, int]]:
+        """Random parts of a run that isn't random as a whole, overlapping ones as one. Known identifiers part it."""
+        known = [k.span() for k in KNOWN.finditer(run)]
+        parts: list[list[tuple[int, int]]] = [[]]  # segments between known identifiers
+        at = 0
+        for m in SEGMENT.finditer(run):
+            while at < len(known) and known[at][1] <= m.start():
+                at += 1
+                parts.append([])
+            if at < len(known) and known[at][0] <= m.start():
+                continue
+            if len(m[0]) in DIGEST_LENGTHS and DIGEST.fullmatch(m[0]):
+                parts.append([])
+            else:
+                parts[-1].append(m.span())
+        found: list[tuple[int, int]] = []
+        for segments in parts:
+            j = 0
+            for i, (start, end) in enumerate(segments):
+                j = max(i, j)
+                while j < len(segments) - 1 and segments[j][1] - start < LEAST_RUN:
+                    j += 1
+                stop = segments[j][1]
+                if stop - start < LEAST_RUN or (start, stop) == (0, len(run)) or not self.is_random(run[start:stop]):
+                    continue
+                if j > i and any(b - a >= LEAST_RUN and not self.is_random(run[a:b]) for a, b in segments[i : j + 1]):
+                    continue  # the last is long enough to be judged by itself
+                if found and start <= found[-1][1]:
+                    found[-1] = (found[-1][0], max(stop, found[-1][1]))
+                else:
+                    found.append((start, stop))
+        return found
 
 
 def all_spans(text: str, method: RandomStrings) -> list[Span]:
