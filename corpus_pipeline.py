@@ -12,8 +12,10 @@ from tradeloom.llm import exact_dedup, language_id, packing, secrets, simhash
 from tradeloom.llm.common import documents, written
 from tradeloom.shipping import ship
 
-#: A prediction with less certainty is rejected, as is a text without letters.
-LEAST_LANGUAGE_SCORE = 0.25
+#: A prediction with less certainty is rejected, as is a text without letters. The score is a product of two mean chances: with two
+#: families of two languages it is 0.25 at least, whatever the text; of 1500 held-out documents of sf0.1 the least has 0.53, of 300 texts
+#: of random letters nine in ten have less than 0.43.
+LEAST_LANGUAGE_SCORE = 0.45
 #: Near copies share a similarity of 0.8 or more in shingles of five words.
 NEAR = simhash.similar(0.8, size=5)
 

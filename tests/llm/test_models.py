@@ -231,3 +231,14 @@ def test_random_part_of_a_run(method):
     assert method.within(front + "QZXW-8391-KVJH-5520-GFPM-7743")
     for s in ("files/123e4567-e89b-12d3-a456-426614174000/content", "commit/da39a3ee5e6b4b0d3255bfef95601890afd80709/tree", front + "2024-01-15/invoice_final"):
         assert not method.spans(s), s
+
+
+def test_texts_of_no_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(8)
+    junk = [(10**9 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(200)), None) for i in range(40)]
+    junk.append((10**9 + 40, "Tämä on suomenkielinen lause, joka kertoo säästä ja kalastuksesta järvellä kesällä. " * 4, None))
+    mixed = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, mixed, SF).select("doc_id").collect()}
+    assert kept >= {r.doc_id for r in docs.select("doc_id").collect()}  # no clean document is lost
+    assert sum(i >= 10**9 for i in kept) <= 5 and 10**9 + 40 not in kept
