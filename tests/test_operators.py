@@ -172,3 +172,17 @@ def test_fan_out_keeps_rows(spark):
 def test_emails_match_the_latest(spark):
     e = spark.sql("select * from values (1, 7, timestamp_ntz'2024-01-20', 'inv'), (2, 7, timestamp_ntz'2024-01-07', 'bl'), (3, 7, timestamp_ntz'2024-01-10', 'bl'), (4, 7, timestamp_ntz'2024-01-05', 'bl'), (5, 8, timestamp_ntz'2024-01-19', 'bl') t(message_id, client_id, received_at, kind)")
     assert [tuple(r) for r in M.emails_linked(e, "inv", "bl").collect()] == [(1, 3)]
+
+
+def test_whole_tables_are_aligned_repaired_and_expanded(spark, tmp_path):
+    import importlib
+
+    order, lookups, scalars = (importlib.import_module(f"tradeloom.plans.{m}") for m in ("order", "lookups", "scalars"))
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "word " * 60 + ". short line"), (2, "x" * 300)], "conv_id long, text string").write.parquet(f"{d}/conversations.parquet")
+    assert {(r.doc_id, r.lines) for r in order.aligned(spark, d).collect()} == {(1, 4), (2, 2)}
+    spark.createDataFrame([(k, 100.0) for k in range(1, 9)], "o_orderkey long, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    assert sum(r.n for r in lookups.digits(spark, d).collect()) == 8
+    spark.createDataFrame([(k, "n", 1) for k in range(1, 11)], "p_partkey long, p_name string, p_size int").write.parquet(f"{d}/part.parquet")
+    members = {(r.p_partkey, r.member) for r in scalars.QUERIES["bundle_expand_whole"](spark, d).collect()}
+    assert members == {(k, f"BASE{k}*") for k in range(1, 10)} | {(10, f"MF0{10 % 7 + 1}-0{10 % 9 + 1}*")}

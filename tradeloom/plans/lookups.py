@@ -91,7 +91,7 @@ def digits(spark, d):
     tax = (k % 90 + 10).cast(m)
     rows = o.select(k.alias("id"), s.alias("subtotal"), F.when(k % 4 == 1, tax + 3).when(k % 4 == 3, tax + F.lit(123.45).cast(m)).otherwise(tax).cast(m).alias("tax"), F.when(k % 4 == 2, s + tax + 1000).otherwise(s + tax).cast(m).alias("total"))
     out = L.digit_fixed(rows)
-    return out.select("id", ((F.col("subtotal") + F.col("tax")) == F.col("total")).alias("balanced"), (F.col("fixed").isNotNull()).alias("changed")).filter("id % 4 <> 3").groupBy("balanced", "changed").agg(F.count("*").alias("n"))
+    return out.select("id", ((F.col("subtotal") + F.col("tax")) == F.col("total")).alias("balanced"), (F.col("fixed").isNotNull()).alias("changed")).groupBy("balanced", "changed").agg(F.count("*").alias("n"))
 
 
 def convert(spark, d):
