@@ -77,8 +77,8 @@ def charge_list(spark, d):
     return c.select("c_custkey", F.posexplode(L.charges(F.col("t"))).alias("place", "amount"))
 
 
-def arithmetic(spark, d):
-    i = with_seq(invoice_items(spark, d)).filter("invoice_id % 10 = 0").select("invoice_id", "seq", (F.col("part_id") % 9 + 1).alias("base"))
+def arithmetic(spark, d, every=10):
+    i = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0").select("invoice_id", "seq", (F.col("part_id") % 9 + 1).alias("base"))
     q, u = (F.col("seq") + 1), F.col("base")
     made = i.select("invoice_id", "seq", F.when(F.col("seq") % 3 == 0, q + 5).otherwise(q).cast("decimal(18,4)").alias("quantity"), F.when(F.col("seq") % 3 == 1, u + F.lit(0.1)).otherwise(u).cast("decimal(18,4)").alias("unit_cost"), (q * u).cast("decimal(18,2)").alias("total_cost"))
     return L.arithmetic_fixed(made)
@@ -124,6 +124,7 @@ def disagree(spark, d):
 QUERIES = {
     "sku_classification": sku_classify, "tariff_lookup_exact": exact_lookup, "office_lookup": office, "supplier_lookup": supplier, "bundle_inheritance": bundle_inherit, "recap_cross_reference": recap,
     "lookup_cache": cache, "ocr_variant_pick": variants, "field_extraction": fields, "content_class": classes, "cc_charges": charge_list, "item_arithmetic_fix": arithmetic, "metadata_arithmetic_fix": digits,
+    "item_arithmetic_fix_whole": lambda spark, d: arithmetic(spark, d, 1),
     "currency_conversion": convert, "email_status": statuses, "totals_block": block, "group_header_recompute": headers, "consignee_disagreement": disagree,
 }
 

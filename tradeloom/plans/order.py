@@ -68,8 +68,8 @@ def votes(spark, d):
     return O.token_votes(_tokens(spark, d)).groupBy("doc_id").agg(F.count("*").alias("words"), F.sum((F.col("votes") == 3).cast("int")).alias("unanimous"), F.sum(F.length("token")).alias("chars"))
 
 
-def two_way(spark, d):
-    items = with_seq(invoice_items(spark, d)).filter("invoice_id % 50 = 0")
+def two_way(spark, d, every=50):
+    items = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0")
     return O.partitioned(items, [0.5, 0.5]).groupBy("invoice_id").agg(F.count("*").alias("items"), F.countDistinct("declaration").alias("declarations"))
 
 
@@ -85,8 +85,8 @@ def aligned(spark, d):
     return O.lines_aligned(lines.dropDuplicates(["doc_id", "variant", "line_no"])).groupBy("doc_id").agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("lines"))
 
 
-def _pairs(spark, d):
-    items = with_seq(invoice_items(spark, d)).filter("invoice_id % 10 = 0").select("invoice_id", "seq", "part_id", "sku", F.lit(None).cast("string").alias("legacy_sku"), F.col("part_id").cast("string").alias("catalog"), "quantity", "unit_cost", "total_cost")
+def _pairs(spark, d, every=10):
+    items = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0").select("invoice_id", "seq", "part_id", "sku", F.lit(None).cast("string").alias("legacy_sku"), F.col("part_id").cast("string").alias("catalog"), "quantity", "unit_cost", "total_cost")
     po = items.select(
         "invoice_id", F.col("seq").alias("po_seq"), F.when(F.col("seq") % 3 == 0, F.col("sku")).when(F.col("seq") % 3 == 1, F.concat(F.lit("alt"), "part_id")).otherwise(F.concat("sku", F.lit("-X"))).alias("po_sku"),
         F.concat(F.lit("P"), F.col("part_id")).alias("po_short"), F.concat(F.lit("part "), F.col("part_id") + 1).alias("po_description"), (F.col("quantity") + F.col("seq") % 3).alias("po_quantity"), "unit_cost", "total_cost",
@@ -95,12 +95,12 @@ def _pairs(spark, d):
     return M.po_scores(items.join(po, "invoice_id"), aliases)
 
 
-def po_score(spark, d):
-    return _pairs(spark, d).select("invoice_id", "seq", "po_seq", "score")
+def po_score(spark, d, every=10):
+    return _pairs(spark, d, every).select("invoice_id", "seq", "po_seq", "score")
 
 
 def po_greedy(spark, d):
-    return M.po_assigned(_pairs(spark, d))
+    return M.po_assigned(_pairs(spark, d, 1))
 
 
 def bl_match(spark, d):
@@ -142,7 +142,7 @@ def fixes(spark, d):
 
 
 def officer(spark, d):
-    items = with_seq(invoice_items(spark, d)).filter("invoice_id % 20 = 0").select(F.col("invoice_id").alias("shipment_id"), "seq", "sku", "description")
+    items = with_seq(invoice_items(spark, d)).select(F.col("invoice_id").alias("shipment_id"), "seq", "sku", "description")
     official = items.select("shipment_id", (F.lit(100) - F.col("seq")).alias("seq"), F.when(F.col("seq") % 2 == 0, F.col("sku")).alias("sku"), F.when(F.col("seq") % 3 == 0, F.concat("description", F.lit(" extra"))).otherwise(F.col("description")).alias("description"))
     return M.officer_matched(items, official)
 
@@ -162,6 +162,7 @@ QUERIES = {
     "exclusive_claim": claims, "largest_remainder": remainder, "unit_explode_roundrobin": dealt, "token_vote": votes, "two_way_partition": two_way, "package_rebalance": rebalanced,
     "line_align": aligned, "po_score": po_score, "po_greedy_assign": po_greedy, "bl_match": bl_match, "elimination_match": elimination, "generated_vs_exported": exported,
     "ocr_diff": diff, "fixes_join": fixes, "officer_match": officer, "email_link_window": emails, "consignee_group": consignee,
+    "two_way_partition_whole": lambda spark, d: two_way(spark, d, 1), "po_score_whole": lambda spark, d: po_score(spark, d, 1),
 }
 
 _FIRST = lambda cols, src, part, order: f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS r FROM {src}) WHERE r = 1"
