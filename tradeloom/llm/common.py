@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,30 +25,68 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one of our own where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local one of our own if this is a local session
+    (tests), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by.isDefined():
         return set_by.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset, and executors share no other folder")
     made = tempfile.mkdtemp(prefix="tradeloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder, so that later stages don't depend on lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``written`` and ``checkpointed`` wrote within. Results must have been read, or written elsewhere, by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        removed(spark, *_SCRATCH.pop())
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back."""
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that ``stored`` wrote."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read back, and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: computed once, so that later stages don't depend on lost executors."""
+    out, path = stored(df, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    return written(df, "step")
+
+
+def by_share(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group (one row a ``key``) but ``size``, its number of rows. Groups with a thousandth of the ``total``
+    rows or more (a thousand at most, so they can be broadcast) don't go through the exchange by ``key``."""
+    least = max(1000, -(-total // 1000))
+    heavy = F.broadcast(groups.filter(F.col(size) >= least).drop(size))
+    light = groups.filter(F.col(size) < least).drop(size)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
 def text_or_empty(text: str | Column) -> Column:

@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import checkpointed
+from tradeloom.llm.common import by_share, removed, stored, written
 
 MAX_ROUNDS = 60
-#: Nodes with a 1/HEAVY share of all edges or more (and a thousand at least): at most HEAVY of them, so they can be broadcast.
-HEAVY = 1000
 #: Edges in one partition between rounds; with fewer, a round's many exchanges would be of nearly empty files.
 ROWS_PER_PART = 50_000
 
 
 def _with_least(edges: DataFrame, rows: int) -> DataFrame:
     """``edges`` (u, v; about ``rows``) with the smallest v of each u as m. The minima of hubs are broadcast, others are joined by u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
-    heavy_at = max(1000, -(-rows // HEAVY))
-    hubs = F.broadcast(least.filter(F.col("__n") >= heavy_at).drop("__n"))
-    others = least.filter(F.col("__n") < heavy_at).drop("__n")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+    return by_share(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")), "u", "__n", rows)
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -40,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node in ``edges`` (u, v: long, not null).
 
     Loops and repeated edges are allowed; nodes without an edge are not listed. Minima are pre-aggregated, the joins are on
-    the node with one row on one side, and each round is checkpointed, so nothing depends on a single executor. A round
+    the node with one row on one side, and each round is written to the shared folder (the one before is deleted), so nothing depends on a single executor. A round
     never has more edges than the first had, and rounds grow with the square of the logarithm of the nodes at most.
     """
-    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    now, path = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
@@ -51,8 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
         parts = max(8, mark[0] // ROWS_PER_PART)
-        large = checkpointed(_large_star(now, mark[0]).filter("u <> v").distinct().coalesce(parts))
-        now = checkpointed(_small_star(large, mark[0]).filter("u <> v").distinct().coalesce(parts))
+        large, large_path = stored(_large_star(now, mark[0]).filter("u <> v").distinct().coalesce(parts), "large-star")
+        after, after_path = stored(_small_star(large, mark[0]).filter("u <> v").distinct().coalesce(parts), "small-star")
+        removed(spark, path, large_path)
+        now, path = after, after_path
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    removed(spark, path)
+    return out

@@ -1,11 +1,16 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-* memtable: the rows of one input partition; each is sorted by digest and flushed as one Parquet run with min/max
-  statistics and a Parquet Bloom filter on the digest, in the shared folder.
-* compaction: runs merge by digest into one entry a digest, which keeps the group's size and the row that stays.
-* hits: digests with more than one row. The documents behind them are found through a bitmap of fixed size
-  (``FILTER_BITS``) and their normalised bytes are compared, after map-side aggregation, so that a group of any size sends
-  one text a task. A digest shared by different texts is split by the texts themselves.
+* memtable: the rows of one input partition; each is sorted by digest and flushed as a run of one Parquet table in the shared folder, with
+  min/max statistics.
+* levels: runs are taken into the index ``BATCHES`` groups at a time, each as a level with one entry a digest, which keeps the group's size and the
+  row that stays, and a filter: a bitmap of the digests' hashes.
+* compaction: two levels of about one size merge. Each level's entries are probed with the other's filter; what passes neither is carried over as it
+  is, and only the rest is exchanged and merged by digest, where the smallest identifier of the longest rows stays.
+* hits: digests with more than one row. The documents behind them are found through a bitmap, too, and their normalised bytes are
+  compared, after map-side aggregation, so that a group of any size sends one text a task. A digest shared by different texts is
+  split by the texts themselves.
+
+Filters have eight bits an entry, up to ``FILTER_BITS``; a fuller filter only lets more rows be exchanged and compared.
 """
 
 from __future__ import annotations
@@ -16,14 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import WHITESPACE, documents, text_or_empty, written
+from tradeloom.llm.common import WHITESPACE, by_share, documents, text_or_empty, written
 
-#: Bits of the filter over the ids of hits: 1 MB, whatever the input's size. A full filter only lets more rows be compared.
-FILTER_BITS = 1 << 23
-#: At most so many groups are joined by broadcast: those with at least a 1/HEAVY share of all rows.
-HEAVY = 1000
-
-_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
+#: Bits of a filter at least and at most: 128 KB to 8 MB as a broadcast, whatever the input's size.
+LEAST_BITS, FILTER_BITS = 1 << 20, 1 << 26
+#: Levels that the runs of one table are taken in by.
+BATCHES = 2
 
 
 def normalised(text: Column) -> Column:
@@ -38,14 +41,29 @@ def sha256_digest(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+@dataclass
+class Level:
+    """entries: digest, group_size, head(minus_chars, no_id, doc_id, seq). filter: bucket and bits of a bitmap of ``bits`` bits."""
+
+    entries: DataFrame
+    filter: DataFrame
+    bits: int
+    rows: int
+
+
 @dataclass
 class DedupIndex:
-    """runs: seq, doc_id, digest, chars, text_sha256. entries: digest, group_size, head(chars, doc_id, seq) after compaction."""
+    """runs: seq, doc_id, digest, chars, text_sha256, of all ``rows`` rows. levels: the largest first."""
 
     runs: DataFrame
-    entries: DataFrame
+    levels: list[Level]
     rows: int
 
+    @property
+    def entries(self) -> DataFrame:
+        """One entry a digest, of all levels."""
+        return _whole(self.levels).entries
+
 
 def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Writes each partition's rows as a run sorted by digest."""
@@ -53,7 +71,7 @@ def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column]
     slim = docs.select(
         F.monotonically_increasing_id().alias("seq"), F.col(id_col).alias("doc_id"), norm.alias("norm"), F.char_length(text_or_empty(text_col)).alias("chars")
     ).select("seq", "doc_id", digest(F.col("norm")).alias("digest"), "chars", sha256_digest(F.col("norm")).alias("text_sha256"))
-    return written(slim.sortWithinPartitions("digest"), "dedup-run", **_BLOOM)
+    return written(slim.sortWithinPartitions("digest"), "dedup-run")
 
 
 def _head() -> Column:
@@ -61,48 +79,101 @@ def _head() -> Column:
     return F.min(F.struct((-F.col("chars")).alias("minus_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq"))
 
 
+def _slot(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
+
+
+def bitmap(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """A filter: bucket and bits (4 KB each) of the hashes of ``key``; at most ``bits`` / 32768 rows."""
+    slots = rows.select(_slot(key, bits).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def probed(rows: DataFrame, key: str, found: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``maybe``: whether the filter has the hash of ``key``."""
+    slotted = rows.withColumn("slot", _slot(key, bits)).withColumn("bucket", F.bitmap_bucket_number("slot"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = slotted.join(F.broadcast(found), "bucket", "left").withColumn("byte", F.coalesce(byte, F.lit(0)))
+    return joined.withColumn("maybe", F.expr("(shiftright(byte, cast(bitmap_bit_position(slot) % 8 as int)) & 1) = 1")).select(*rows.columns, "maybe")
+
+
+def _level(entries: DataFrame) -> Level:
+    kept = written(entries, "dedup-level")
+    rows = kept.count()
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (8 * rows).bit_length()))
+    return Level(kept, bitmap(kept, "digest", bits), bits, rows)
+
+
+def merged(older: Level, newer: Level) -> Level:
+    """One level of two: entries that the other's filter doesn't have are carried over, the others merge by digest."""
+    columns = older.entries.columns
+    sides = [probed(a.entries, "digest", b.filter, b.bits) for a, b in ((older, newer), (newer, older))]
+    apart, both = (sides[0].filter(c).unionByName(sides[1].filter(c)).select(columns) for c in ("not maybe", "maybe"))
+    return _level(apart.unionByName(both.groupBy("digest").agg(F.sum("group_size").alias("group_size"), F.min("head").alias("head"))))
+
+
+def taken_in(levels: list[Level], runs: DataFrame) -> list[Level]:
+    """``levels`` with one more, of the rows of ``runs``; levels merge while the last is at least half of the one before."""
+    levels = [*levels, _level(runs.groupBy("digest").agg(F.count("*").alias("group_size"), _head().alias("head")))]
+    while len(levels) > 1 and 2 * levels[-1].rows >= levels[-2].rows:
+        levels[-2:] = [merged(*levels[-2:])]
+    return levels
+
+
 def compact(runs: DataFrame) -> DedupIndex:
-    """Merges runs; the smallest identifier of the longest rows is kept for each digest."""
-    entries = runs.groupBy("digest").agg(F.count("*").alias("group_size"), _head().alias("head"))
-    return DedupIndex(runs, written(entries.sortWithinPartitions("digest"), "dedup-level", **_BLOOM), runs.count())
+    """Takes the runs in, by batches of input partitions."""
+    levels: list[Level] = []
+    for i in range(BATCHES):
+        levels = taken_in(levels, runs.filter(F.pmod(F.shiftright("seq", 33), F.lit(BATCHES)) == i))
+    return DedupIndex(runs, levels, runs.count())
+
+
+def _whole(levels: list[Level]) -> Level:
+    levels = list(levels)
+    while len(levels) > 1:
+        levels[-2:] = [merged(*levels[-2:])]
+    return levels[0]
 
 
 def lookup(index: DedupIndex, docs: DataFrame, text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """The rows of ``docs`` whose digest the index holds already, with ``keep_id``; for a further batch of documents."""
+    """The rows of ``docs``, a further batch, whose digest the index holds already, with ``keep_id``. Each level's filter is probed before its
+    entries; digests are taken as proof."""
     new = docs.withColumn("__digest", digest(normalised(F.col(text_col))))
-    return new.join(index.entries.select(F.col("digest").alias("__digest"), F.col("head.doc_id").alias("keep_id")), "__digest").drop("__digest")
+    hits = []
+    for level in index.levels:
+        maybe = probed(new.withColumnRenamed("__digest", "digest"), "digest", level.filter, level.bits).filter("maybe").drop("maybe")
+        hits.append(maybe.join(level.entries.select("digest", "head"), "digest"))
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    least = found.groupBy(F.col("digest").alias("__digest")).agg(F.min("head").alias("head"))
+    return new.join(least, "__digest").select(*docs.columns, F.col("head.doc_id").alias("keep_id"))
 
 
-def _by_digest(runs: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
-    """runs with their entry. Groups with a thousandth of all rows or more (a thousand at most) are broadcast; others are shuffled."""
-    heavy_at = max(1000, -(-rows // HEAVY))
-    heavy = F.broadcast(entries.filter(F.col("group_size") >= heavy_at))
-    light = entries.filter(F.col("group_size") < heavy_at)
-    return runs.join(heavy, "digest").unionByName(runs.join(heavy.select("digest"), "digest", "left_anti").join(light, "digest"))
+def _with_entries(runs: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
+    """runs with their entry; a row that the filter of hits doesn't have is its own entry and isn't exchanged."""
+    hits = entries.filter("group_size > 1")
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (8 * rows).bit_length()))
+    sides = probed(runs, "digest", bitmap(hits, "digest", bits), bits)
+    alone = sides.filter("not maybe").drop("maybe").withColumn("group_size", F.lit(1).cast("long")).withColumn("head", _own_head())
+    sized = entries.withColumn("__n", F.col("group_size"))
+    return alone.unionByName(by_share(sides.filter("maybe").drop("maybe"), sized, "digest", "__n", rows))
 
 
-def _hit_filter(index: DedupIndex) -> DataFrame:
-    """A bitmap over hashed ids of the rows in groups of two or more: at most FILTER_BITS / 32768 rows of 4 KB."""
-    hits = _by_digest(index.runs, index.entries, index.rows).filter(F.col("group_size") > 1).select(_slot("doc_id").alias("slot"))
-    return hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+def _own_head() -> Column:
+    return F.struct((-F.col("chars")).alias("minus_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "seq")
 
 
-def _slot(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)) + 1
+def _maybe_hit(docs: DataFrame, grouped: DataFrame, rows: int) -> DataFrame:
+    """The documents whose id may be one of those in groups of two or more."""
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (8 * rows).bit_length()))
+    return probed(docs, "doc_id", bitmap(grouped.filter("group_size > 1"), "doc_id", bits), bits).filter("maybe").drop("maybe")
 
 
-def _maybe_hit(docs: DataFrame, id_col: str, index: DedupIndex) -> DataFrame:
-    slotted = docs.withColumn("slot", _slot(id_col)).withColumn("bucket", F.bitmap_bucket_number("slot"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.expr("cast(bitmap_bit_position(slot) % 8 as int)")
-    joined = slotted.join(F.broadcast(_hit_filter(index)), "bucket")
-    return joined.withColumn("byte", byte).withColumn("at", is_set).filter(F.expr("(shiftright(byte, at) & 1) = 1"))
-
-
-def collisions(docs: DataFrame, index: DedupIndex, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """Byte verification: the digests that stand for more than one normalised text."""
+def collisions(docs: DataFrame, grouped: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
+    """Byte verification of hits: the digests that stand for more than one normalised text."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = _maybe_hit(slim, "doc_id", index).select(normalised(F.col("text")).alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm")
+    texts = _maybe_hit(slim, grouped, rows).select(normalised(F.col("text")).alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm")
     variants = texts.groupBy("digest", "norm").agg(F.count("*").alias("n"))
     return variants.groupBy("digest").agg(F.count("*").alias("texts")).filter(F.col("texts") > 1).select("digest")
 
@@ -115,8 +186,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result; other columns are ignored.
     """
     index = compact(flush(docs, id_col, text_col, digest))
-    clashing = written(collisions(docs, index, id_col, text_col, digest), "dedup-collisions")
-    grouped = _by_digest(index.runs, index.entries, index.rows)
+    grouped = _with_entries(index.runs, index.entries, index.rows)
+    clashing = written(collisions(docs, grouped, index.rows, id_col, text_col, digest), "dedup-collisions")
     if not clashing.isEmpty():
         grouped = grouped.join(clashing, "digest", "left_anti").unionByName(_split_by_text(docs, index.runs, clashing, id_col, text_col))
     return grouped.select(
@@ -134,14 +205,24 @@ def _split_by_text(docs: DataFrame, runs: DataFrame, clashing: DataFrame, id_col
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.struct(F.col("doc_id"), F.col("text_sha256")).alias("__key"), F.lit(1).alias("__kept"))
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("doc_id"), sha256_digest(normalised(F.col(text_col))).alias("text_sha256")))
-    joined = keyed.join(keep, "__key")
-    from pyspark.sql import Window
-
-    by_key = Window.partitionBy("__key").orderBy(F.char_length(text_or_empty(text_col)).desc())
-    return joined.withColumn("__n", F.row_number().over(by_key)).filter("__n = 1").select(*docs.columns)
+    """``docs`` with one row of each group of equal texts, all columns unchanged.
+
+    Rows whose id isn't in the filter of dropped rows stay without an exchange; the others are looked up by id and digest. Of rows that
+    are alike in both, the longest stays.
+    """
+    found = written(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "dedup-kept")
+    rows = found.count()
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (8 * rows).bit_length()))
+    gone = written(bitmap(found.filter("not kept"), "doc_id", bits), "dedup-gone")
+    names = [f"__own{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with those used here
+    plain = docs.toDF(*names)
+    id_name, text_name = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    sides = probed(plain, id_name, gone, bits)
+    keep = found.filter("kept").select(F.struct("doc_id", "text_sha256").alias("key"))
+    keyed = sides.filter("maybe").drop("maybe").withColumn("key", F.struct(F.col(id_name).alias("doc_id"), sha256_digest(normalised(F.col(text_name))).alias("text_sha256")))
+    longest = F.max_by(F.struct(*names), F.struct(F.char_length(text_or_empty(text_name)), F.xxhash64(*names)))
+    looked_up = keyed.groupBy("key").agg(longest.alias("row")).join(keep, "key").select("row.*")
+    return sides.filter("not maybe").select(*names).unionByName(looked_up).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
