@@ -3,14 +3,16 @@
 Fingerprints within ``radius`` bits agree on at least one of radius + 1 bands of their bits, so every fingerprint is sent to
 the shards of its bands, and each shard finds its links in a BK-tree: a child hangs on its parent by their Hamming distance,
 and a search follows only edges within the radius. A shard with more than ``SHARD`` fingerprints is split again: its members
-must agree on a band of the remaining bits, too. Trees are built where the shard's rows are: they reach the queries by the
-exchange and not through the driver, which would have to hold all fingerprints. A shard reports a spanning forest, not
-all pairs.
+must agree on a band of the remaining bits, too. After ``SPLITS`` bands a shard that is still larger is searched by several tasks, each of which
+has two of its parts, so no task holds more than twice ``SHARD`` fingerprints and no pair is lost. Trees are built where the shard's rows
+are: they reach the queries by the exchange and not by a broadcast from the driver, which would have to hold all fingerprints. A shard
+reports a spanning forest, not all pairs.
 
 A search by similarity (``similar``) allows more bits than bands can be sure of. Its shards are bands of minimum hashes of the
 shingle sets instead, whose chance to bring a pair together depends on the pair alone; a large shard is not split but searched by
-several tasks, each of which has two of its parts. Its links are candidates only: the texts that they join are brought together, and the
-similarity of their shingle sets decides.
+several tasks, each of which has two of its parts. Its links are candidates only: the similarity of the shingle sets decides. Texts that
+candidates join form a group. Up to ``GROUP`` of them are compared in one task; of a larger group all members are compared with its first one,
+and those that aren't like it with all the others, again in tasks of two parts.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, checkpointed, documents, rows_of, text_or_empty
+from tradeloom.llm.common import arrow_batches, by_share, checkpointed, documents, rows_of, text_or_empty
 from tradeloom.llm.components import components
 
 SEED = 42
 #: Fingerprints in a shard beyond which it is split by further bands, and how often at most.
 SHARD = 2000
 SPLITS = 3
+#: Texts, and shingles of them, that one part of a group of candidates has (a single longer text is a part of its own).
+GROUP, GROUP_SHINGLES = 256, 4_000_000
 #: Shingles hashed at once.
 AT_ONCE = 1 << 18
 #: Ids are below this.
@@ -123,16 +127,22 @@ def with_fingerprints(docs: DataFrame, size: int, lanes: int = 1, id_col: str =
 
 
 def with_sets(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, digest (of the shingle set), and lanes and keys of the set, of every whole text."""
+    """doc_id, text_hash, digest (of the shingle set), and shingles (their number), lanes and keys of the set, of every whole text."""
     count = band_count(near.least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("lanes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-        found = ((d, shingle_set(t, near.size)) for d, t in rows_of(batches, "doc_id", "text"))
-        rows = ((d, xxhash.xxh128_digest(h.tobytes()), [_as_long(v) for v in fingerprints([h], near.lanes)], [_as_long(k) for k in band_keys(h, count)]) for d, h in found)
-        yield from arrow_batches(rows, schema, lambda r: 128 + 8 * len(r[3]))
+        schema = pa.schema([
+            ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("digest", pa.binary()), ("shingles", pa.int64()), ("lanes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())),
+        ])
+        found = ((d, x, shingle_set(t, near.size)) for d, x, t in rows_of(batches, "doc_id", "text_hash", "text"))
+        rows = (
+            (d, x, xxhash.xxh128_digest(h.tobytes()), len(h), [_as_long(v) for v in fingerprints([h], near.lanes)], [_as_long(k) for k in band_keys(h, count)])
+            for d, x, h in found
+        )
+        yield from arrow_batches(rows, schema, lambda r: 128 + 8 * len(r[5]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, lanes array<long>, keys array<long>")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, digest binary, shingles long, lanes array<long>, keys array<long>")
 
 
 def bands(bits: list[int], parts: int) -> list[list[int]]:
@@ -231,33 +241,41 @@ def _shard_links(reach: int, most: int):
 
 
 def _sharded(rows: DataFrame, radius: int) -> DataFrame:
-    """``rows`` (node, lane, value, checks) by shard: a key for each band; large shards are split by bands of their other bits."""
-    ready, level = None, rows.select("node", "value", "checks", F.col("lane").cast("long").alias("path"), F.array(F.lit(-1)).alias("used"))
-    every = list(range(64))
-    choice = {(): bands(every, radius + 1)}  # by the bands chosen so far
+    """``rows`` (node, lane, value, checks) by shard: a key for each band; large shards are split by bands of their other bits. ``used`` numbers the
+    bands chosen so far."""
+    arms = radius + 1
+    ready: list[DataFrame] = []
+    level = rows.select("node", "value", "checks", F.col("lane").cast("long").alias("path"), F.lit(0).alias("used"))
+    chosen: list[tuple[int, ...]] = [()]
     for depth in range(SPLITS):
-        arms = []
-        for used, parts in choice.items():
-            for i, part in enumerate(parts):
-                key = F.xxhash64("path", F.lit(i), F.col("value").bitwiseAND(F.lit(_as_long(sum(1 << b for b in part)))))  # shards that clash are searched as one
-                arms.append(F.struct(F.lit(list(used)).cast("array<int>").alias("of"), F.array(*[F.lit(v) for v in (*used, i)]).alias("used"), key.alias("path")))
-        target = F.array() if depth == 0 else F.col("used")
-        fits = F.filter(F.array(*arms), lambda a: a["of"] == target.cast("array<int>"))
-        dealt = level.withColumn("arm", F.explode(fits)).select("node", "value", "checks", F.col("arm.path").alias("path"), F.col("arm.used").alias("used"))
+        masks = [_as_long(sum(1 << b for b in part)) for used in chosen for part in bands(_left(list(range(64)), used, radius), arms)]
+        dealt = level.withColumn("used", F.explode(F.sequence(F.col("used") * arms, F.col("used") * arms + radius)))
+        mask = F.element_at(F.array(*map(F.lit, masks)), F.col("used") + 1)
+        dealt = dealt.withColumn("path", F.xxhash64("path", F.col("used") % arms, F.col("value").bitwiseAND(mask)))  # shards that clash are searched as one
+        large = checkpointed(dealt.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD))
+        if large.isEmpty():
+            return _all([*ready, dealt.select("path", "node", "value", "checks")])
+        ready.append(dealt.join(large, "path", "left_anti").select("path", "node", "value", "checks"))
+        level = dealt.join(large, "path")
         if depth == SPLITS - 1:
-            done = dealt
-        else:
-            large = checkpointed(dealt.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).select("path"))
-            if large.isEmpty():
-                done, level = dealt, None
-            else:
-                done, level = dealt.join(large, "path", "left_anti"), dealt.join(large, "path", "left_semi")
-        done = done.select("path", "node", "value", "checks")
-        ready = done if ready is None else ready.unionByName(done)
-        if level is None or depth == SPLITS - 1:
-            return ready
-        choice = {(*used, i): bands(_left(every, (*used, i), radius), radius + 1) for used, parts in choice.items() for i in range(len(parts))}
-    return ready
+            return _all([*ready, _in_parts(level.withColumn("parts", F.ceil(F.col("n") / SHARD)))])
+        level = level.drop("n")
+        chosen = [(*used, i) for used in chosen for i in range(arms)]
+    return _all(ready)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """path, node, value, checks of ``rows`` (with parts: of the shard): every two parts of a shard are a shard."""
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    key = F.when(F.col("parts") > 1, F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("path"))
+    return dealt.select(key.alias("path"), "node", "value", "checks")
 
 
 def _left(bits: list[int], used: tuple[int, ...], radius: int) -> list[int]:
@@ -301,10 +319,7 @@ def _met(prints: DataFrame) -> DataFrame:
     counts = dealt.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
     shared = checkpointed(dealt.join(counts, "path").withColumn("parts", F.ceil(F.col("n") / SHARD)))  # fingerprints are sent of these only
     shared = shared.join(prints.select("node", F.col("lanes")[0].alias("value"), F.col("lanes").alias("checks")), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
-    others = shared.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    key = F.when(F.col("parts") > 1, F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("path"))
-    return others.select(key.alias("path"), "node", "value", "checks")
+    return _in_parts(shared)
 
 
 def links(prints: DataFrame, near: Near) -> DataFrame:
@@ -339,10 +354,7 @@ def classes(docs: DataFrame, near: Near) -> DataFrame:
 def _named(found: DataFrame, nodes: DataFrame, joined: DataFrame, by: str) -> DataFrame:
     """``found`` with the component_id of its node, joined by the column ``by``."""
     named = nodes.join(joined, "node", "left").select(by, "n", F.when(F.coalesce("component", "node") < SPARE, F.coalesce("component", "node")).alias("component_id"))
-    heavy_at = max(1000, -(-found.count() // 1000))
-    heavy = F.broadcast(named.filter(F.col("n") >= heavy_at).drop("n"))  # a thousand rows at most
-    light = named.filter(F.col("n") < heavy_at).drop("n")
-    return found.join(heavy, by).unionByName(found.join(heavy.select(by), by, "left_anti").join(light, by))
+    return by_share(found, named, by, "n", found.count())
 
 
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -355,11 +367,18 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common / (len(a) + len(b) - common) >= least
 
 
-def similar_classes(nodes: list[int], sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """Each node and the smallest node that it reaches through pairs of similarity ``least`` or more."""
+def similar_classes(nodes: list[int], sets: list[np.ndarray], least: float, prints: list[int] | None = None, most: int = 0, known: list[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Each node and the smallest node that it reaches through pairs of similarity ``least`` or more. prints: bits in which such a pair
+    differs by ``most`` at most. known: nodes that are of one class already, whose pairs aren't looked at."""
     groups: list[list[int]] = []
-    for i, own in enumerate(sets):
-        hits = [g for g in groups if any(nodes[i] == nodes[j] or _alike(own, sets[j], least) for j in g)]
+
+    def meets(i: int, j: int) -> bool:
+        if nodes[i] == nodes[j] or known and known[i] and known[j]:
+            return True
+        return (prints is None or (prints[i] ^ prints[j]).bit_count() <= most) and _alike(sets[i], sets[j], least)
+
+    for i in range(len(nodes)):
+        hits = [g for g in groups if any(meets(i, j) for j in reversed(g))]
         if hits:
             large = max(hits, key=len)
             for g in hits:
@@ -374,40 +393,108 @@ def similar_classes(nodes: list[int], sets: list[np.ndarray], least: float) -> I
         yield from ((nodes[i], first) for i in g)
 
 
-_CLASSES = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+_CLASSES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _decided(texts: DataFrame, near: Near) -> DataFrame:
-    """node and component of ``texts`` (component: of candidates; node, text), by the similarity of whole shingle sets."""
+def _one_print(lanes: list[int]) -> int:
+    out = 0
+    for lane in lanes:
+        out = out << 64 | lane & _UNSIGNED
+    return out
+
+
+def _compared(rows: DataFrame, near: Near, with_first: bool = False) -> DataFrame:
+    """u and v: links within each ``key`` of ``rows`` (key, node, text, lanes, known). with_first: all are compared with the first row (known) only,
+    and u are those like it, v is it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one(members):
+            lead = None
+            for n, own, bits in members:
+                if lead is None:
+                    lead = (n, own, bits)
+                elif n == lead[0] or (bits ^ lead[2]).bit_count() <= near.most and _alike(own, lead[1], near.least):
+                    yield n, lead[0]
+
         def found():
-            rows = ((c, n, shingle_set(t, near.size)) for c, n, t in rows_of(batches, "component", "node", "text"))
+            rows = ((k, n, shingle_set(t, near.size), _one_print(p), s) for k, n, t, p, s in rows_of(batches, "key", "node", "text", "lanes", "known"))
             for _, members in groupby(rows, lambda r: r[0]):
-                nodes, sets = zip(*((n, h) for n, same in groupby(members, lambda r: r[1]) for _, _, h in same), strict=True)
-                yield from similar_classes(list(nodes), list(sets), near.least)
+                if with_first:
+                    yield from one_by_one((n, h, p) for _, n, h, p, _ in members)
+                else:
+                    _, nodes, sets, prints, known = zip(*members, strict=True)
+                    yield from ((u, v) for u, v in similar_classes(nodes, sets, near.least, prints, near.most, known) if u != v)
 
         yield from arrow_batches(found(), _CLASSES)
 
-    return texts.repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
+    order = [F.col("known").desc()] if with_first else []
+    return rows.repartition("key").sortWithinPartitions("key", *order, "node").mapInArrow(run, "u long, v long")
+
+
+def _parts(n: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / GROUP), F.ceil(F.col(shingles) / GROUP_SHINGLES), F.lit(1))
+
+
+def _decided(texts: DataFrame, joined: DataFrame, near: Near) -> DataFrame:
+    """u and v: links that join ``joined`` (node, component: of candidates, lanes, shingles; one row a node) as all pairs of similarity
+    ``near.least`` within each component would. texts: node, text; several rows a node where texts of one shingle set have no id."""
+    size = joined.groupBy("component").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"))
+    size = size.select("component", "n", _parts("n", "shingles").alias("parts"))
+    sized = checkpointed(by_share(joined, size, "component", "n", joined.count()))
+    small = sized.filter("parts = 1").select("node", "lanes", F.col("component").alias("key"), F.lit(False).alias("known"))
+    within = _compared(texts.join(small, "node"), near)
+    large = sized.filter("parts > 1")
+    if large.isEmpty():
+        return within
+
+    # 1: each member with the group's first one, which is sent to each part
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    leads = large.filter("node = component").select("node", "lanes", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("known"))
+    others = large.filter("node <> component").select("node", "lanes", "component", part.alias("part"), F.lit(False).alias("known"))
+    rows = leads.unionByName(others).withColumn("key", F.xxhash64("component", "part")).select("key", "node", "lanes", "known")
+    like_first = checkpointed(_compared(texts.join(rows, "node"), near, with_first=True))
+
+    # 2: members that aren't like the first one with all the others, by two parts
+    sure = like_first.select(F.col("u").alias("node")).distinct().withColumn("known", F.lit(True))
+    marked = checkpointed(large.join(sure, "node", "left").withColumn("known", (F.col("node") == F.col("component")) | F.coalesce("known", F.lit(False))).withColumn("part", part))
+    rest = marked.filter("not known").groupBy("component").agg(F.count("*").alias("__rest"), F.sum("shingles").alias("__shingles"))
+    if rest.isEmpty():
+        return within.unionByName(like_first)
+    open_ = by_share(marked, rest.withColumn("rest_parts", _parts("__rest", "__shingles")).drop("__shingles"), "component", "__rest", marked.count())
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_parts"))
+    to_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(mine.alias("r"), p.alias("p")))
+    to_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1), lambda r: F.struct(r.alias("r"), F.col("part").alias("p")))
+    sent = open_.withColumn("to", F.explode(F.when(F.col("known"), to_rest).otherwise(F.array_union(to_all, to_rest))))
+    pairs = sent.select(F.xxhash64("component", "to.r", "to.p").alias("key"), "node", "lanes", "known")
+    return within.unionByName(like_first).unionByName(_compared(texts.join(pairs, "node"), near))
 
 
 def near_classes(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest and component_id (the smallest doc_id reachable through pairs of similarity ``near.least`` or more) of every row.
+    """doc_id, text_hash, component_id (the smallest doc_id reachable through pairs of similarity ``near.least`` or more) and kept of every row.
 
     Candidates are found by fingerprints, each pair among the texts they join is decided by its shingle sets. Rows of equal sets are
-    one node; null ids and repeated rows are as in ``classes``.
+    one node; null ids and repeated rows are as in ``classes``. kept: whether the row stays if one of each class does: those with the class's
+    id, or, in a class without an id, those with its least text_hash.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = checkpointed(with_sets(slim, near))
-    prints = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    prints = found.groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.first("lanes").alias("lanes"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"), F.count("*").alias("n"), F.min("text_hash").alias("least_hash")
+    )
     nodes = checkpointed(prints.withColumn("node", F.coalesce("first", _spare("digest"))).drop("first"))
-    joined = checkpointed(components(links(nodes.select("node", "lanes", "keys"), near)))
+    candidates = components(links(nodes.select("node", "lanes", "keys"), near))
+    joined = checkpointed(candidates.join(nodes.groupBy("node").agg(F.first("lanes").alias("lanes"), F.sum("shingles").alias("shingles")), "node"))
     texts = slim.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
     if not found.filter("doc_id IS NULL").isEmpty():
         texts = texts.unionByName(_without_id(slim.filter("doc_id IS NULL"), near))
-    exact = checkpointed(_decided(texts.join(joined, "node"), near).distinct())
-    return _named(found.select("doc_id", "digest"), nodes.select("node", "digest", "n"), exact, "digest")
+    exact = components(checkpointed(_decided(texts, joined, near)))
+
+    named = nodes.join(exact, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    lone = named.filter(F.col("class") >= SPARE).groupBy("class").agg(F.min("least_hash").alias("class_hash"))  # classes without an id
+    named = named.join(lone, "class", "left").select("digest", "n", F.when(F.col("class") < SPARE, F.col("class")).alias("component_id"), "class_hash")
+    out = by_share(found.select("doc_id", "text_hash", "digest"), named, "digest", "n", found.count())
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("text_hash") == F.col("class_hash"), F.lit(False))
+    return out.select("doc_id", "text_hash", "component_id", kept.alias("kept"))
 
 
 def _without_id(rows: DataFrame, near: Near) -> DataFrame:
