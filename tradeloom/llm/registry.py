@@ -23,5 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), bit counts of hashes (2), word windows of whole texts in memory (4), random draws (7) and media formats (9)."""
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), bit counts of hashes (2), random draws (7) and media formats (9)."""
+    return {"op4_substring_dedup": substring_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

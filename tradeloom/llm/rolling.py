@@ -1,18 +1,21 @@
-"""Word positions and Rabin-Karp window hashes of texts, in numpy.
+"""Rabin-Karp hashes of windows of words, in numpy.
 
-Hashes are polynomials modulo 2^64 with odd bases, so powers have inverses and all windows follow from one running sum.
+A word has two independent 64-bit values (both halves of its XXH3-128). Window hashes are polynomials of them modulo 2^64 with odd bases, so
+powers have inverses and all windows follow from one running sum. Over a window's few words such a polynomial loses 13 bits at worst
+(alternating words in Thue-Morse order), whatever the words; over a word's bytes it would lose them all.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Fixed odd numbers: bases for bytes and words, and a mixing factor.
-BYTE_BASE = 0x9E3779B97F4A7C15
+#: Fixed odd numbers: bases of windows and of their parts, and mixing factors.
+MIX_MORE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 ANCHOR_BASE = 0xC2B2AE3D27D4EB4F
 MIX = 0xBF58476D1CE4E5B9
-#: Bytes of a text handled at once (cut at white space where there's any).
+#: Powers in the tables that are kept.
 CHUNK = 1 << 22
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -31,7 +34,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(BYTE_BASE)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX_MORE)
     return h ^ (h >> np.uint64(31))
 
 
@@ -45,29 +48,22 @@ def windows(values: np.ndarray, size: int, base: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * down[:n]
 
 
-def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space."""
-    b = np.frombuffer(raw, dtype=np.uint8)
-    inside = np.zeros(len(b) + 2, dtype=bool)
-    inside[1:-1] = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[0::2], edges[1::2]
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    out, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + CHUNK)
-        while end < len(raw) and raw[end] != 32 and not 9 <= raw[end] <= 13:  # words aren't cut
-            end += 1
-        part = raw[at:end]
-        at = end
-        starts, ends = word_bounds(part)
-        up, down = powers(BYTE_BASE, len(part) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(part, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        out.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def content_hashes(words: list[bytes], starts: np.ndarray, size: int) -> np.ndarray:
+    """XXH3-64 of the bytes of the windows at ``starts`` (ascending), their words joined by one space."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh3_64_intdigest
+    spans = zip(begins[starts].tolist(), ends[starts + size - 1].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b]) for a, b in spans), dtype=np.uint64, count=len(starts))
 
 
 def running_least(values: np.ndarray, width: int) -> np.ndarray:

@@ -5,12 +5,13 @@ counted in two steps, neither of which can lose one:
 
 1. A window's anchor is the least hash of its ``ANCHOR``-word parts: equal windows have equal anchors, and neighbouring windows
    mostly share theirs. Anchors are counted; a window whose anchor occurs in one place only is unique.
-2. The windows of repeated anchors are compared by anchor and hash (128 bits in all): the first occurrence stays, all
-   others are removed. Removed windows merge into maximal intervals of words.
+2. The windows of repeated anchors are compared by anchor, Rabin-Karp hash and a hash of the window's bytes (three independent ones of
+   64 bits; two windows of different words would have to agree in all): the first occurrence stays, all others are removed. Removed
+   windows merge into maximal intervals of words.
 
-Each task settles what it can see before the exchange: of a window that it holds many times only the first goes on. So a
-passage that a third of all documents share sends one row a task, and no group is larger than the number of tasks. The texts
-are exchanged once; the steps read the same exchange.
+Each task settles what it can see before the exchange: of each ``HELD`` windows it sends a repeated one once. So a passage that a third of
+all documents share sends one row for every ``HELD`` windows of the corpus, not one a document. The texts are exchanged once; the
+steps read the same exchange. Rows of one id and text are told apart by the input partition, so they aren't one key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradeloom.llm.common import arrow_batches, documents, rows_of, text_or_empty
-from tradeloom.llm.rolling import ANCHOR_BASE, WORD_BASE, mixed, running_least, windows, word_bounds, word_hashes
+from tradeloom.llm.rolling import ANCHOR_BASE, WORD_BASE, content_hashes, mixed, running_least, windows, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -75,7 +76,7 @@ def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows, held = [], [], 0
         for row, text in rows_of(batches, "row", "text"):
-            parts = parts_of(word_hashes(text.encode()), window)
+            parts = parts_of(word_hashes(text.encode().split())[0], window)
             if len(parts):
                 every, times = np.unique(parts, return_counts=True)
                 own = np.unique(anchors(parts, window))
@@ -93,9 +94,9 @@ def _anchor_rows(window: int):
 
 
 _WINDOWS = pa.schema([
-    ("part", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64())),
+    ("part", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64())), ("contents", pa.list_(pa.int64())),
 ])
-_WINDOWS_DDL = "part long, anchor long, row long, doc_id long, start int, mask long, hashes array<long>"
+_WINDOWS_DDL = "part long, anchor long, row long, doc_id long, start int, mask long, hashes array<long>, contents array<long>"
 
 
 def _window_rows(window: int):
@@ -104,15 +105,15 @@ def _window_rows(window: int):
 
     def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sizes = [len(h[2]) for h in held]
-        anchor, start, hashes = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+        anchor, start, hashes, contents = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
         doc = np.repeat(np.arange(len(held)), sizes)
         unknown = np.array([h[0] is None for h in held])
         ids = np.array([_LEAST_ID if h[0] is None else h[0] for h in held], dtype=np.int64)
         rows = np.array([h[1] for h in held], dtype=np.int64)
         at = np.arange(len(anchor))
 
-        order = np.lexsort((start, ids[doc], hashes, anchor))
-        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])])
+        order = np.lexsort((start, ids[doc], contents, hashes, anchor))
+        same = np.concatenate([[False], np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in (anchor, hashes, contents)])])
         its = order[np.maximum.accumulate(np.where(same, 0, at))]  # the first of each group
         later = np.zeros(len(order), dtype=bool)  # the same place in a repeated row isn't later
         later[order] = (ids[doc[order]] != ids[doc[its]]) | (start[order] != start[its])
@@ -125,29 +126,30 @@ def _window_rows(window: int):
         stay = np.bitwise_or.reduceat(np.where(later, 0, bit), firsts)
         counts = np.add.reduceat((~later).astype(np.int64), firsts)
 
-        def batch(chosen: np.ndarray, part: np.ndarray, mask: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
+        def batch(chosen: np.ndarray, part: np.ndarray, mask: np.ndarray, *lists: pa.Array) -> Iterator[pa.RecordBatch]:
             i = firsts[chosen]
             d = doc[i]
-            columns = [part, _signed(anchor[i]), rows[d], pa.array(ids[d], pa.int64(), mask=unknown[d]), start[i], mask[chosen], lists]
+            columns = [part, _signed(anchor[i]), rows[d], pa.array(ids[d], pa.int64(), mask=unknown[d]), start[i], mask[chosen], *lists]
             whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_WINDOWS)
             for k in range(0, whole.num_rows, 50_000):
                 yield whole.slice(k, 50_000)
 
         known = np.flatnonzero(gone)
-        yield from batch(known, rows[doc[firsts[known]]] ^ start[firsts[known]], gone, pa.nulls(len(known), pa.list_(pa.int64())))
+        yield from batch(known, rows[doc[firsts[known]]] ^ start[firsts[known]], gone, *[pa.nulls(len(known), pa.list_(pa.int64()))] * 2)
         open_ = np.flatnonzero(stay)
-        ends = np.concatenate([[0], np.cumsum(counts[open_])]).astype(np.int32)
-        yield from batch(open_, _signed(anchor[firsts[open_]]), stay, pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(hashes[~later]))))
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts[open_])]).astype(np.int32))
+        yield from batch(open_, _signed(anchor[firsts[open_]]), stay, *(pa.ListArray.from_arrays(ends, pa.array(_signed(v[~later]))) for v in (hashes, contents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for d, row, text, known in rows_of(batches, "doc_id", "row", "text", "anchors"):
-            hashes = word_hashes(text.encode())
-            anchor = anchors(parts_of(hashes, window), window)
+            words = text.encode().split()
+            for_parts, for_windows = word_hashes(words)
+            anchor = anchors(parts_of(for_parts, window), window)
             at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64).view(np.uint64)))
             if not len(at):
                 continue
-            held.append((d, row, anchor[at], at.astype(np.int32), windows(hashes, window, WORD_BASE)[at]))
+            held.append((d, row, anchor[at], at.astype(np.int32), windows(for_windows, window, WORD_BASE)[at], content_hashes(words, at, window)))
             total += len(at)
             if total >= HELD:
                 yield from settled(held)
@@ -201,7 +203,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # the row's key spreads copies over partitions; a clash of keys only adds candidates, as ids are compared, too
-    base = slim.withColumn("row", F.xxhash64("doc_id", "text")).repartition("row")
+    base = slim.withColumn("row", F.xxhash64("doc_id", "text", F.spark_partition_id())).repartition("row")
 
     counted = base.mapInArrow(_anchor_rows(window), "part long, anchor long, row long, weight int").repartition("part")
     times = F.sum("weight").over(Window.partitionBy("part", "anchor"))
@@ -211,13 +213,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     # texts aren't sorted for these joins: one document's row on either side
     found = base.join(known.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "anchors").mapInArrow(_window_rows(window), _WINDOWS_DDL).repartition("part")
     bits = F.filter(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    to_compare = F.when(F.col("hashes").isNotNull(), F.arrays_zip(bits.alias("bit"), F.col("hashes").alias("hash")))
+    to_compare = F.when(F.col("hashes").isNotNull(), F.arrays_zip(bits.alias("bit"), F.col("hashes").alias("hash"), F.col("contents").alias("content")))
     each = found.select("part", "anchor", "row", "doc_id", "start", "mask", F.explode_outer(to_compare).alias("w"))
     each = each.select(
-        "part", "anchor", "row", "doc_id", (F.col("start") + F.coalesce(F.col("w.bit"), F.lit(0))).alias("start"), F.col("w.hash").alias("hash"),
+        "part", "anchor", "row", "doc_id", (F.col("start") + F.coalesce(F.col("w.bit"), F.lit(0))).alias("start"), F.col("w.hash").alias("hash"), F.col("w.content").alias("content"),
         F.when(F.col("w.bit").isNull(), F.col("mask")).otherwise(F.lit(1)).alias("mask"),
     )
-    order = Window.partitionBy("part", "anchor", "hash").orderBy(F.col("doc_id").asc_nulls_first(), "start")
+    order = Window.partitionBy("part", "anchor", "hash", "content").orderBy(F.col("doc_id").asc_nulls_first(), "start")
     gone = each.withColumn("place", F.rank().over(order)).filter("hash is null or place > 1")
     merged = gone.groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "mask")).alias("gone"))
 
@@ -227,3 +229,33 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: A window's words are one string, put together by doubling.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), e AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word, len(words) AS n FROM d
+), e2 AS (
+  SELECT *, word || ' ' || lead(word, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS two FROM e
+), e4 AS (
+  SELECT *, two || ' ' || lead(two, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS four FROM e2
+), e8 AS (
+  SELECT *, four || ' ' || lead(four, 4) OVER (PARTITION BY doc_id ORDER BY pos) AS eight FROM e4
+), e20 AS (
+  SELECT doc_id, pos, n,
+         eight || ' ' || lead(eight, 8) OVER (PARTITION BY doc_id ORDER BY pos) || ' ' || lead(four, 16) OVER (PARTITION BY doc_id ORDER BY pos) AS twenty
+  FROM e8
+), g AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY sha256(twenty) ORDER BY doc_id, pos) AS place FROM e20 WHERE pos + 19 <= n
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM g WHERE place > 1
+), kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY e.pos) FILTER (WHERE gone.pos IS NULL), '') AS kept
+  FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.pos = gone.pos GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
