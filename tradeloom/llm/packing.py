@@ -2,9 +2,10 @@
 
 Each task packs the documents of its partition, one after another. A document of more than one window gives full windows
 and a rest; the rest goes to the fill level that leaves the smallest sum of squared counts of partially filled windows,
-tracked in an array with one count for each level. At the end of the partition the open windows fill one another by
-cutting, and the last one is cut at powers of two, which need no padding. Open windows are bounded by the window's size:
-at most one for each level stays useful, so a task holds a few MB whatever the partition's size.
+tracked in an array with one count for each level. Sizes that find no partner leave windows open: beyond ``MOST_OPEN`` of them
+the fullest are filled by cutting pieces off the emptiest until half as many are left, so a task holds at most ``MOST_OPEN`` windows of ids
+(8 MB) whatever the partition's size. At the end of the partition the open windows fill one another in the same way, and the last one is cut at
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tradeloom.llm.tokens import encoders
 WINDOW = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Windows that a task holds open.
+MOST_OPEN = 1024
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -44,10 +47,11 @@ def _tokens(piece: Piece) -> int:
 
 
 class LevelPacker:
-    """open[h]: the windows filled to h tokens; counts[h]: how many."""
+    """open[h]: the windows filled to h tokens; counts[h]: how many; n_open: how many in all."""
 
     def __init__(self, window: int = WINDOW):
         self.window = window
+        self.n_open = 0
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
 
@@ -66,20 +70,26 @@ class LevelPacker:
         if level:
             pieces = self.open[level].pop()
             counts[level] -= 1
+            self.n_open -= 1
         else:
             pieces = []
         pieces.append(piece)
         if level + size == self.window:
             return pieces
-        counts[level + size] += 1
-        self.open.setdefault(level + size, []).append(pieces)
+        self._reopen(level + size, pieces)
         return None
 
-    def drain(self) -> Iterator[list[Piece]]:
-        """The open windows, the fullest first, filled from the emptiest ones; the last is cut at powers of two."""
+    def _reopen(self, level: int, pieces: list[Piece]) -> None:
+        self.counts[level] += 1
+        self.n_open += 1
+        self.open.setdefault(level, []).append(pieces)
+
+    def drain(self, keep: int = 0) -> Iterator[list[Piece]]:
+        """The open windows, the fullest first, filled from the emptiest ones, until at most ``keep`` are open; with 0 the last is cut at
+        powers of two."""
         left = [w for h in sorted(self.open) for w in self.open[h]]
-        self.open, self.counts[:] = {}, 0
-        while len(left) > 1:
+        self.open, self.counts[:], self.n_open = {}, 0, 0
+        while len(left) > max(1, keep):
             full = left.pop()
             room = self.window - sum(map(_tokens, full))
             while room and left:
@@ -95,7 +105,9 @@ class LevelPacker:
                 left.append(full)
                 break
             yield full
-        for pieces in left:
+        for pieces in left if keep else ():
+            self._reopen(sum(map(_tokens, pieces)), pieces)
+        for pieces in () if keep else left:
             rest = sum(map(_tokens, pieces))
             while rest:
                 room = 1 << (rest.bit_length() - 1)
@@ -109,7 +121,7 @@ class LevelPacker:
                 yield part
 
 
-def packed(docs: Iterator[tuple[int | None, bytes]], window: int = WINDOW) -> Iterator[list[Piece]]:
+def packed(docs: Iterator[tuple[int | None, bytes]], window: int = WINDOW, most_open: int = MOST_OPEN) -> Iterator[list[Piece]]:
     """Sequences (lists of pieces) of the documents (id, ids) in their order; documents without ids give nothing."""
     packer = LevelPacker(window)
     for doc, ids in docs:
@@ -119,6 +131,8 @@ def packed(docs: Iterator[tuple[int | None, bytes]], window: int = WINDOW) -> It
             yield [(doc, at, ids[4 * at : 4 * (at + window)], total)]
         if total > whole and (done := packer.place((doc, whole, ids[4 * whole :], total))):
             yield done
+        if packer.n_open > most_open:
+            yield from packer.drain(most_open // 2)
     yield from packer.drain()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -29,6 +30,17 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+#: What a tokenizer file must say for words to be encoded one by one and plain ones by the model alone (fixed values).
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: A word of Latin letters and then ASCII punctuation, if any: the tokenizer cuts it into these two pieces.
 PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
@@ -62,9 +74,9 @@ class Memo:
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit integers. The tokenizer drops white space and never merges across it, so words
-    between ASCII white space are encoded on their own and remembered. Plain words go to the tokenizer's model in lower
-    case, without its regular expressions; all others through the whole tokenizer."""
+    """Ids as little-endian unsigned 32-bit integers. A tokenizer of the definition ``BY_WORD`` drops white space and never merges across
+    it, so words between ASCII white space are encoded on their own and remembered. Plain words go to the tokenizer's model in lower
+    case, without its regular expressions; all others through the whole tokenizer. So do whole texts under any other definition."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,6 +84,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        spec = json.loads(definition)
+        self.by_word = all(spec.get(k) == v for k, v in BY_WORD.items()) and not any(not t["special"] for t in spec.get("added_tokens", []))
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -90,10 +104,15 @@ class WordEncoder:
         text = word.decode()
         plain = PLAIN_WORD.fullmatch(text) if len(word) <= MEMO_BYTES else None
         if plain is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._whole(text)
         return self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         words, memo, out = text.encode().split(), self.memo, []
         try:
             known = memo.newer
