@@ -4,12 +4,14 @@
 2. The driver draws how many rows each partition sends to each shard: partition by partition, a multivariate hypergeometric
    sample of the places that are left. Row sums are the partitions' sizes and column sums the shards'. It holds one integer
    for each partition and shard, no rows.
-3. Each task permutes its labels locally; rows are exchanged by shard and random chunk, and permuted again within chunks
-   of about ``CHUNK_ROWS``; slots follow from the chunks' counts. No task gets a whole shard.
+3. Each task permutes its labels locally and draws a random key for each of its rows by their position, so equal rows have keys of
+   their own. Rows are exchanged by shard and a chunk of keys of about ``CHUNK_ROWS`` rows and permuted again, by key, within chunks;
+   slots follow from the chunks' counts. No task gets a whole shard.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradeloom.llm.common import checkpointed, documents, text_or_empty
+from tradeloom.llm.common import documents, shared_dir, text_or_empty
 
 CHUNK_ROWS = 50_000
-#: numpy draws hypergeometric numbers exactly for populations below 10^9; more rows are dealt in blocks of partitions.
-BLOCK_ROWS = 500_000_000
+#: A draw looks at the values within so many deviations (and ``NEARBY`` places) of the likeliest; others have a chance below 1e-30 in all.
+DEVIATIONS, NEARBY = 12, 40
 
 
 def even(rows: int, shards: int) -> np.ndarray:
@@ -30,23 +32,36 @@ def even(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (j < rows % shards) for j in range(shards)], dtype=np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` places, of ``good`` and ``bad`` ones, are good. By inversion: neighbouring values' chances have a simple ratio,
+    whatever the population, so only the values around the likeliest are summed."""
+    least, most = max(0, drawn - bad), min(good, drawn)
+    if least == most:
+        return least
+    total = good + bad
+    likeliest = min(max((drawn + 1) * (good + 1) // (total + 2), least), most)
+    deviation = math.sqrt(drawn * (good / total) * (bad / total) * (total - drawn) / (total - 1))
+    reach = NEARBY + math.ceil(DEVIATIONS * deviation)
+    first = max(least, likeliest - reach)
+    k = np.arange(first, min(most, likeliest + reach), dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - k) * (drawn - k) / ((k + 1) * (bad - drawn + k + 1))))])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Rows that each partition (of ``counts`` rows) sends to each shard; columns sum to ``even`` shard sizes."""
+    """Rows that each partition (of ``counts`` rows) sends to each shard; columns sum to ``even`` shard sizes. Each row is a multivariate
+    hypergeometric draw of the places left, one shard after another."""
     rng = np.random.default_rng(seed)
     matrix = np.zeros((len(counts), shards), dtype=np.int64)
-    done = block = 0
-    left = np.zeros(shards, dtype=np.int64)
+    left = even(sum(counts), shards).tolist()
     for i, n in enumerate(counts):
-        if block <= 0:  # a new block takes whole partitions, up to BLOCK_ROWS rows
-            k, block = i, 0
-            while k < len(counts) and (k == i or block + counts[k] <= BLOCK_ROWS):
-                block += counts[k]
-                k += 1
-            left = even(done + block, shards) - even(done, shards)
-            done += block
-        matrix[i] = rng.multivariate_hypergeometric(left, n, method="marginals") if n else 0
-        left = left - matrix[i]
-        block -= n
+        others = sum(left)
+        for j in range(shards):
+            others -= left[j]
+            took = hypergeometric(rng, left[j], others, n)
+            matrix[i, j] = took
+            left[j], n = left[j] - took, n - took
     return matrix
 
 
@@ -57,7 +72,9 @@ def assign_shards(rows: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     table gives an empty one. Keep ``rows`` narrow: they are written once and shuffled twice.
     """
     spark = rows.sparkSession
-    stable = checkpointed(rows).withColumn("__part", F.spark_partition_id())
+    shared_dir(spark)
+    # a checkpoint keeps partitions and the order in them, which a table's readers may not
+    stable = rows.checkpoint(eager=True).withColumn("__part", F.spark_partition_id())
     counts = {r["__part"]: r["count"] for r in stable.groupBy("__part").count().collect()}  # one number a partition
     parts = sorted(counts)
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)
@@ -65,23 +82,26 @@ def assign_shards(rows: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: dict[int, np.ndarray] = {}
+        draws: dict[int, np.random.Generator] = {}
         for b in batches:
             part = b.column(b.schema.get_field_index("__part")).to_numpy()
-            out = np.zeros(len(part), dtype=np.int32)
-            for p in np.unique(part):
+            out, key = np.zeros(len(part), dtype=np.int32), np.zeros(len(part), dtype=np.int64)
+            for p in np.unique(part).tolist():
                 mine = np.flatnonzero(part == p)
                 if p not in labels:
-                    labels[p] = np.random.default_rng([seed, int(p)]).permutation(np.repeat(np.arange(shards, dtype=np.int32), sent.value[int(p)]))
+                    labels[p] = np.random.default_rng([seed, p, 0]).permutation(np.repeat(np.arange(shards, dtype=np.int32), sent.value[p]))
+                    draws[p] = np.random.default_rng([seed, p, 1])
                 out[mine], labels[p] = labels[p][: len(mine)], labels[p][len(mine) :]
-            yield b.append_column("shard", pa.array(out, pa.int32()))
+                key[mine] = draws[p].integers(-(1 << 63), 1 << 63, len(mine), dtype=np.int64)
+            yield b.append_column("shard", pa.array(out, pa.int32())).append_column("__key", pa.array(key, pa.int64()))
 
-    labelled = stable.mapInArrow(label, T.StructType([*stable.schema.fields, T.StructField("shard", T.IntegerType())]))
+    fields = [*stable.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("__key", T.LongType())]
+    labelled = stable.mapInArrow(label, T.StructType(fields))
     chunks = max(1, -(-sum(counts.values()) // (shards * CHUNK_ROWS)))
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns])
-    keyed = labelled.withColumn("__key", key).withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)))
+    keyed = labelled.withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = keyed.groupBy("shard", "__chunk").agg(F.count("*").alias("__n")).withColumn("__before", before).drop("__n")
-    at = F.row_number().over(Window.partitionBy("shard", "__chunk").orderBy("__key"))
+    at = F.row_number().over(Window.partitionBy("shard", "__chunk").orderBy("__key", F.xxhash64(*rows.columns)))
     return keyed.withColumn("__at", at).join(offsets, ["shard", "__chunk"]).select(*rows.columns, "shard", (F.col("__before") + F.col("__at") - 1).alias("slot"))
 
 
