@@ -59,17 +59,22 @@ def has_letter(text: str | None) -> bool:
 
 
 def features(text: str) -> np.ndarray:
-    """Hashed n-gram counts of the whole text, as square roots at unit length."""
+    """Hashed n-gram counts of the whole text, as square roots at unit length. A run of other characters than letters is one gap; a gap
+    also leads and ends the text. ``CHUNK`` characters are handled at once, with the two before them for n-grams over the cut."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for i in range(0, len(text), CHUNK):
-        codes = np.frombuffer(text[max(0, i - 2) : i + CHUNK].lower().encode("utf-32-le"), dtype=np.uint32)
-        codes = np.where(_letters(codes), codes, 0)
-        codes = np.concatenate([[0], codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])], [0]]).astype(np.uint32)
+    low = text.lower()
+    before = np.zeros(1, dtype=np.uint32)  # up to two codes that were counted already
+    for i in range(0, len(low) + 1, CHUNK):
+        codes = np.frombuffer(low[i : i + CHUNK].encode("utf-32-le"), dtype=np.uint32)
+        codes = np.concatenate([before, np.where(_letters(codes), codes, 0).astype(np.uint32), np.zeros(int(i + CHUNK > len(low)), dtype=np.uint32)])
+        codes = codes[np.concatenate([np.ones(len(before), dtype=bool), (codes[len(before) :] != 0) | (codes[len(before) - 1 : -1] != 0)])]
         one = codes * np.uint32(2654435761)
         two = (one[:-1] ^ (one[:-1] >> 15)) * np.uint32(2246822519) + one[1:]
         three = (two[:-1] ^ (two[:-1] >> 13)) * np.uint32(3266489917) + one[2:]
-        for h in (one[codes != 0], two, three):
+        known = len(before)
+        for h in (one[known:][codes[known:] != 0], two[known - 1 :], three[max(0, known - 2) :]):
             counts += np.bincount((h ^ (h >> 16)) % BUCKETS, minlength=BUCKETS)
+        before = codes[-2:]
     x = np.sqrt(counts).astype(np.float32)
     norm = float(np.sqrt(counts.sum()))
     return x / norm if norm else x
