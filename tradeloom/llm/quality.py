@@ -18,9 +18,10 @@ from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of, te
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-#: Bound of the training sample in rows (about), picked by a hash of the id, and the features kept of one of its rows.
+#: Bounds of the training sample: rows (about), picked by a hash of the id, and features of one of its rows, the most frequent ones. So
+#: at most SAMPLE x SAMPLE_FEATURES x 8 bytes (160 MB) reach the driver. Scores are of all features of a text.
 SAMPLE = 5000
-SAMPLE_FEATURES = 1 << 16
+SAMPLE_FEATURES = 4096
 ROUNDS = 6
 CHUNK = 1 << 20
 
@@ -33,36 +34,48 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: str) -> Iterator[np.ndarray]:
-    """Buckets of all words, pairs and 3- and 4-grams, a chunk of the text at a time (chunks end at white space where there is any)."""
-    at = 0
-    while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut if cut > at else end
-        codes = np.frombuffer(text[at:end].encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        at = end
-        gap = (codes == 32) | ((codes >= 9) & (codes <= 13))
-        inside = np.concatenate([[False], ~gap, [False]])
-        starts, ends = (np.flatnonzero(inside[1:] != inside[:-1])[i::2] for i in (0, 1))
-        if not len(starts):
-            continue
-        place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) if starts[0] == 0 else None
-        if place is None:
-            lead = int(starts[0])
-            place = np.concatenate([np.zeros(lead, dtype=np.int64), np.arange(lead, len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))])
-        c = np.where(gap, np.uint64(0), (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        c ^= c >> np.uint64(32)
-        words = np.add.reduceat(np.where(gap, np.uint64(0), c * _SPREAD[place % 64]), starts)
-        edged = np.concatenate([[np.uint64(7)], np.where(gap, np.uint64(7), c), [np.uint64(7)]])
-        blank = np.concatenate([[True], gap, [True]])
-        three = edged[:-2] * _SPREAD[1] + edged[1:-1] * _SPREAD[2] + edged[2:] * _SPREAD[3]
+    """Buckets of all words, pairs of words next to one another, and 3- and 4-grams, ``CHUNK`` characters of the text at a time. What a cut
+    parts is carried on: the open word's sum and length, the last whole word, and the last three characters."""
+    gap_code, nothing = np.uint64(7), np.zeros(0, dtype=np.uint64)
+    open_sum, open_length = np.zeros(1, dtype=np.uint64), 0
+    last_word = nothing  # the word before the open one, if there is one
+    tail, tail_blank = np.array([gap_code]), np.array([True])
+    for i in range(0, len(text) + 1, CHUNK):
+        end = int(i + CHUNK > len(text))  # a gap ends the text
+        codes = np.frombuffer(text[i : i + CHUNK].encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        gap = np.concatenate([(codes == 32) | ((codes >= 9) & (codes <= 13)), np.ones(end, dtype=bool)])
+        c = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        c = np.where(gap, np.uint64(0), np.concatenate([c ^ (c >> np.uint64(32)), np.zeros(end, dtype=np.uint64)]))
+
+        at = np.arange(len(c))
+        after = np.maximum.accumulate(np.where(gap, at + 1, 0)) if len(c) else at  # where the word of a character starts
+        place = at - after + np.where(after == 0, open_length, 0)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(c * _SPREAD[place % 64])])
+        ends = np.flatnonzero(gap & np.concatenate([[open_length > 0], ~gap[:-1]])[: len(gap)])
+        begins = after[np.maximum(ends - 1, 0)]
+        begins = np.where(ends == 0, 0, begins)
+        words = sums[ends] - sums[begins] + np.where(begins == 0, open_sum, np.uint64(0))
+        if len(gap) and gap[-1]:
+            open_sum, open_length = np.zeros(1, dtype=np.uint64), 0
+        elif len(gap):
+            first = int(after[-1])
+            carried = (open_sum, open_length) if first == 0 else (np.zeros(1, dtype=np.uint64), 0)
+            open_sum, open_length = sums[-1:] - sums[first : first + 1] + carried[0], len(c) - first + carried[1]
         yield _mixed(words)
-        yield _mixed((words[1:] ^ words[:-1]) + np.uint64(11))  # pairs of words; a word and itself are one bucket, whatever the word
-        yield _mixed(three[~blank[1:-1]])
+        row = np.concatenate([last_word, words])
+        yield _mixed((row[1:] ^ row[:-1]) + np.uint64(11))  # a word and itself are one bucket, whatever the word
+        last_word = row[-1:]
+
+        known = len(tail)
+        edged, blank = np.concatenate([tail, np.where(gap, gap_code, c)]), np.concatenate([tail_blank, gap])
+        three = edged[:-2] * _SPREAD[1] + edged[1:-1] * _SPREAD[2] + edged[2:] * _SPREAD[3]
+        fresh = max(0, known - 2)
+        yield _mixed(three[fresh:][~blank[1:-1][fresh:]])
         if len(edged) > 3:
             four = three[:-1] * _SPREAD[4] + edged[3:] * _SPREAD[5]
-            yield _mixed(four[~(blank[1:-2] | blank[2:-1])])
+            fresh = max(0, known - 3)
+            yield _mixed(four[fresh:][~(blank[1:-2] | blank[2:-1])[fresh:]])
+        tail, tail_blank = edged[-3:], blank[-3:]
 
 
 class QualityModel:
@@ -109,6 +122,8 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     for h in hashed(text):
         counts += np.bincount(h.astype(np.int64), minlength=BUCKETS)
     buckets = np.flatnonzero(counts)
+    if len(buckets) > SAMPLE_FEATURES:
+        buckets = np.sort(buckets[np.argsort(-counts[buckets], kind="stable")[:SAMPLE_FEATURES]])
     return buckets.astype(np.int32), (counts[buckets] / max(1, counts.sum())).astype(np.float32)
 
 
