@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -178,8 +179,19 @@ def test_operator(spark, odd, nothing):
 
 
 def test_query(spark, sf):
+    """Every column, from streams stored and read here."""
     found = {r.doc_id: r for r in media.op9_media(spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        raw = media.padded((r.text or "").encode())
-        assert found[r.doc_id].payload_sha256 == hashlib.sha256(raw).hexdigest()
-        assert found[r.doc_id].payload_bytes == len(raw)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for r in docs:
+        raw = (r.text or "").encode()
+        payload = raw + b"\0" * (64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        kept = jpeg.store(payload)
+        rgb = jpeg.Image(kept).rgb()
+        means = ",".join(str(int(rgb[:, :, c].astype(int).sum()) * 1000 // rgb[:, :, c].size) for c in range(3))
+        feature = f"{rgb.shape[1]}x{rgb.shape[0]};{means};{zlib.crc32(np.ascontiguousarray(rgb).tobytes()):08x}"
+        expected = (
+            r.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(kept), hashlib.sha256(kept).hexdigest(), feature,
+        )
+        f = found[r.doc_id]
+        assert (f.doc_id, f.n_bytes, f.payload_bytes, f.payload_sha256, f.tail_crc32, f.media_bytes, f.media_sha256, f.feature) == expected

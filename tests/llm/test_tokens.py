@@ -85,6 +85,33 @@ def test_packer():
         assert [(d, b"".join(v for _, v in sorted(back[d].items()))) for d in sorted(back)] == docs
 
 
+def test_open_windows_are_bounded():
+    """Sizes over half a window find no partner: beyond the bound windows are filled by cutting, and nothing is lost."""
+    docs = [(i, np.full(1100, i, dtype="<u4").tobytes()) for i in range(3000)]
+    most, packer_open, sequences = 64, [], []
+    drain = packing.LevelPacker.drain
+
+    class Watched(packing.LevelPacker):
+        def place(self, piece):
+            packer_open.append(self.n_open)
+            assert self.n_open == sum(map(len, self.open.values())) == self.counts.sum()
+            return super().place(piece)
+
+    real, packing.LevelPacker = packing.LevelPacker, Watched
+    try:
+        sequences = list(packing.packed(iter(docs), most_open=most))
+    finally:
+        packing.LevelPacker = real
+    assert max(packer_open) <= most and drain is packing.LevelPacker.drain
+    sizes = [sum(len(p[2]) // 4 for p in s) for s in sequences]
+    assert sum(sizes) == 3000 * 1100 and all(n & (n - 1) == 0 for n in sizes) and sum(n == 2048 for n in sizes) == 3000 * 1100 // 2048
+    back = {}
+    for s in sequences:
+        for doc, start, ids, _ in s:
+            back.setdefault(doc, {})[start] = ids
+    assert all(b"".join(v for _, v in sorted(back[d].items())) == ids for d, ids in docs)
+
+
 def test_least_squares():
     packer = packing.LevelPacker(10)
     squares = lambda: int((packer.counts[:10] ** 2).sum())
@@ -151,3 +178,13 @@ def test_words_forgotten_are_encoded_the_same(words, monkeypatch):
     small = tokens.WordEncoder(tokens.read_file(P.path(packing.TOKENIZER)).decode())
     for text in ("one two, three! four five six", "six five Four. naïve one", "", "one one seven two,"):
         assert small.encode(text) == words.encode(text)
+
+
+def test_other_tokenizers_are_used_whole(spark, plain):
+    """A file of another definition isn't cut into words."""
+    other = tokens.WordEncoder(tokens.read_file(P.path("byte_bpe_50k.json")).decode())
+    assert not other.by_word
+    for text in ("One two,  three", " Größe 12.5\n\n", ""):
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+    docs = spark.createDataFrame([(1, "One two,  three")], "doc_id long, text string")
+    assert packing.pack_documents(docs, P.path("byte_bpe_50k.json")).first().doc_tokens == len(plain.encode_ordinary("One two,  three")) + 1
