@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import exact_dedup, language_id, packing, secrets, simhash
-from tradeloom.llm.common import documents, written
+from tradeloom.llm.common import documents, removed, scratch, stored, text_or_empty
 from tradeloom.shipping import ship
 
 #: A prediction with less certainty is rejected, as is a text without letters. The score is a product of two mean chances: with two
@@ -34,9 +34,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near copies."""
-    found = simhash.near_classes(docs, NEAR)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    own_id, own_hash = F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.xxhash64(text_or_empty("text")))
+    kept = simhash.near_classes(docs, NEAR).filter("kept").select(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("__hash")).distinct()
+    return docs.join(kept, own_id.eqNullSafe(kept["__id"]) & own_hash.eqNullSafe(kept["__hash"]), "left_semi")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what each returns is written to the shared folder and read again."""
+    """All stages in turn; what each returns is written to the shared folder and read again. What a stage wrote besides is deleted after it, its
+    input, too, unless it is a given table."""
     ship(spark)
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        removed(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
