@@ -490,8 +490,9 @@ def near_classes(docs: DataFrame, near: Near, id_col: str = "doc_id", text_col:
     exact = components(checkpointed(_decided(texts, joined, near)))
 
     named = nodes.join(exact, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    lone = named.filter(F.col("class") >= SPARE).groupBy("class").agg(F.min("least_hash").alias("class_hash"))  # classes without an id
-    named = named.join(lone, "class", "left").select("digest", "n", F.when(F.col("class") < SPARE, F.col("class")).alias("component_id"), "class_hash")
+    no_id = named.filter(F.col("class") >= SPARE)  # classes of texts without an id only
+    lone = no_id.join(no_id.groupBy("class").agg(F.min("least_hash").alias("class_hash")), "class").select("digest", "n", F.lit(None).cast("long").alias("component_id"), "class_hash")
+    named = named.filter(F.col("class") < SPARE).select("digest", "n", F.col("class").alias("component_id"), F.lit(None).cast("long").alias("class_hash")).unionByName(lone)
     out = by_share(found.select("doc_id", "text_hash", "digest"), named, "digest", "n", found.count())
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("text_hash") == F.col("class_hash"), F.lit(False))
     return out.select("doc_id", "text_hash", "component_id", kept.alias("kept"))
