@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from decimal import Decimal
 from itertools import product
@@ -87,11 +88,115 @@ def test_majority(spark):
 
 
 def test_correction(spark):
-    valid = spark.createDataFrame([(c,) for c in ("11111100", "22222290", "22222295", "33330001")], "code string")
-    bad = spark.createDataFrame([("99999999", "11111100")], "code string, correct_code string")
-    rows = spark.createDataFrame([(c,) for c in ("99999999", "11111100", "11111155", "22222211", "33335555", "44444444")], "code string")
+    valid = spark.createDataFrame([(c,) for c in ("11111100", "22222290", "22222295", "33330001", "55550000", "55550042", "66666600", "77777790", "77777710")], "code string")
+    bad = spark.createDataFrame([("99999999", "nowhere"), ("66666600", "66666601"), ("77777790", "x")], "code string, correct_code string")
+    rows = spark.createDataFrame([(c,) for c in ("99999999", "11111100", "11111155", "22222211", "33335555", "44444444", "55559999", "66666677", "77777755", "UNKNOWN", None)], "code string")
     got = {r.code: (r.corrected, r.how) for r in C.corrected(rows, valid, bad).collect()}
-    assert got == {"99999999": ("11111100", "mapped"), "11111100": ("11111100", "valid"), "11111155": ("11111100", "zero"), "22222211": ("22222290", "subheading"), "33335555": ("33330001", "heading"), "44444444": (None, None)}
+    assert got == {
+        "99999999": ("nowhere", "mapped"), "11111100": ("11111100", "valid"), "11111155": ("11111100", "zero"), "22222211": ("22222290", "subheading"), "33335555": ("33330001", "heading"),
+        "44444444": ("44444444", "none"), "55559999": ("55550000", "heading"), "66666677": ("66666601", "zero mapped"), "77777755": ("77777710", "subheading"), "UNKNOWN": ("UNKNOWN", "none"), None: (None, "none"),
+    }
+
+
+ENTRIES = "seq int, description_norm string, code string, confidence double, count int, refs array<string>"
+
+
+def test_containment_is_of_text(spark):
+    """Within words, too; the score is by the entry's confidence, and the largest share of the longer text wins."""
+    e = spark.createDataFrame([(1, "ball pointer pen", "11", 0.5, 9, []), (2, "pen ball pointer", "22", 1.0, 9, []), (3, "pointer", "33", 1.0, 9, []), (4, "a football pointers", "44", 0.2, 9, [])], ENTRIES)
+    keys = spark.createDataFrame([("football pointer penny",), ("football pointer",), ("oneword",), ("short it",)], "key string")
+    got = {r.key: (r.code, round(r.score, 4)) for r in C.assessed_containment(keys, e).collect()}
+    assert got == {"football pointer penny": ("11", 0.885), "football pointer": ("44", 0.864)}
+
+
+def test_references_and_siblings_refute(spark):
+    e = spark.createDataFrame([
+        (1, "brass ship bell", "83000000", 0.9, 4, ["r1"]), (2, "12 brass bell", "74000000", 0.9, 4, ["r1", "r2"]), (3, "steel ship anchor", "73000000", 0.9, 4, ["r3"]), (4, "7 anchor", "89000000", 0.9, 3, ["r3"]),
+        (5, "rope nylon white", "56000000", 0.9, 1, []), (6, "rope nylon white long", "39000000", 0.9, 9, []),
+    ], ENTRIES)
+    asked = [("brass ship bell", "83000000", 1), ("steel ship anchor", "73000000", 3), ("rope nylon white", "56000000", 5), ("rope nylon white", "39000000", 6)]
+    got = {(r.key, r.code) for r in C.cross_validated(spark.createDataFrame(asked, "key string, code string, seq int"), e).collect()}
+    assert got == {("steel ship anchor", "73000000"), ("rope nylon white", "39000000")}  # a rival of fewer entries doesn't refute
+
+
+def test_tier_codes_are_corrected(spark):
+    e = spark.createDataFrame([(1, "brass ship bell", "83000011", 0.9, 4, ["r1"])], ENTRIES)
+    valid, bad = spark.createDataFrame([("83000000",)], "code string"), spark.createDataFrame([("1", "2")], "code string, correct_code string")
+    keys = spark.createDataFrame([("brass ship bell",)], "key string")
+    assert C.assessed_lookup(keys, e, valid=valid, invalid=bad).first().code == "83000000"
+    assert C.assessed_lookup(keys, e).first().code == "83000011"
+
+
+def test_rare_words_find_all_pairs(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("a b c d e f g h".split()) + rng.choice("1 2 3".split()) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    e = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq int, description_norm string")
+    keys = spark.createDataFrame([(t,) for t in set(texts)], "key string")
+    for least, need in ((F.greatest(F.lit(2), F.ceil(F.col("n") * 0.75).cast("int")), lambda n: max(2, math.ceil(0.75 * n))), (F.lit(1), lambda n: 1)):
+        got = {(r.key, r.seq, r.common) for r in C._by_rare_words(keys, e, least).collect()}
+        assert got == {(k, i, c) for k in set(texts) for i, t in enumerate(texts) if (c := len(set(k.split()) & set(t.split()))) >= need(len(set(k.split())))}
+
+
+def test_orders_by_reference(spark):
+    inv = spark.createDataFrame([(1, "2026-001763"), (2, "1763"), (3, ""), (4, "ABC-1")], "invoice_id long, ref string")
+    po = spark.createDataFrame([(10, ["2026001763-B"]), (11, ["x", "176"]), (12, ["ABC1-22", ""]), (13, [])], "order_id long, refs array<string>")
+    got = {tuple(r) for r in M.po_candidates(inv, po).collect()}
+    assert got == {(1, 10), (2, 10), (1, 11), (2, 11), (4, 12)}
+
+
+def test_aliases_are_read_both_ways(spark):
+    a = spark.createDataFrame([("a-1", "B 2", None), ("c3", None, "d-4")], "sku string, bm_code string, supplier_item string")
+    assert {tuple(r) for r in M.alias_pairs(a).collect()} == {("A1", "B2"), ("B2", "A1"), ("C3", "D4"), ("D4", "C3")}
+
+
+def test_officers_rows_take_ours_in_their_order(spark):
+    ours = [(1, 1, "S1", "red bolt"), (1, 2, None, "blue bolt large"), (1, 3, "s2", "rope")]
+    theirs = [(1, 1, "s2", "nothing"), (1, 2, None, "blue bolt huge"), (1, 3, None, "red bolt"), (1, 4, None, "rope"), (1, 5, None, "unlike all else")]
+    ddl = "shipment_id long, seq int, sku string, description string"
+    got = sorted((r.official_seq, r.seq, r.how) for r in M.officer_matched(spark.createDataFrame(ours, ddl), spark.createDataFrame(theirs, ddl)).collect())
+    assert got == [(1, 3, "sku"), (2, 2, "words"), (3, 1, "description"), (4, 3, "description")]
+
+
+def test_partition_of_many_ways():
+    """Three declarations of thirteen items are all looked at; ties go to the first way."""
+    rng = random.Random(5)
+    for n, k in ((6, 3), (5, 4), (7, 2)):
+        costs, targets = [float(rng.randrange(1, 9)) for _ in range(n)], [float(rng.randrange(4, 20)) for _ in range(k)]
+        best = None
+        for code in range(k**n):
+            way = [code // k**i % k for i in range(n)]
+            if k == 2:
+                way = [1 - d for d in way]
+            if len(set(way)) == k:
+                score = O.deviation([sum(c for c, w in zip(costs, way, strict=True) if w == d) for d in range(k)], targets)
+                best = (score, way) if best is None or score < best[0] else best
+        assert O.divided(costs, targets) == best[1]
+    costs = [7.0, 5, 4, 4, 3, 3, 3, 2, 2, 2, 1, 1, 1]
+    sums = [sum(c for c, d in zip(costs, O.divided(costs, [12.0, 13, 13]), strict=True) if d == k) for k in range(3)]
+    assert sums == [12, 13, 13]
+
+
+def test_caps():
+    assert O.capped([5, 9, 9, 1], 10) == [5, 1, 3, 1] and O.capped([5, 9], 1) == [1, 1] and O.capped([2, 3], 9) == [2, 3] and O.capped([1, 1, 4], 3) == [1, 1, 1]
+
+
+def test_readings_agree_on_a_text(spark):
+    rows = [("scan", ["Widget large 12 8.19", "a line of its own", "Total 20.00"]), ("text", ["Widget large 12 8.19", "Total 20.00"]), ("photo", ["Wldget large l2 8.19", "T0tal 20.00"])]
+    lines = spark.createDataFrame([(1, v, n, t) for v, ts in rows for n, t in enumerate(ts)], "doc_id long, variant string, line_no int, text string")
+    trust = {"scan": 3, "text": 2, "photo": 1}
+    assert {(r.cluster, r.variant, r.line_no) for r in O.lines_aligned(lines, trust).collect()} == {(0, "scan", 0), (0, "text", 0), (0, "photo", 0), (1, "scan", 2), (1, "text", 1), (1, "photo", 1)}
+    r = O.consensus(lines, trust).first()
+    assert r.text == "Widget large 12 8.19\nTotal 20.00" and r.confidence == 0.0
+    one = lines.filter("variant = 'text'")
+    assert O.consensus(one, trust).first().text == "Widget large 12 8.19\nTotal 20.00" and O.consensus(one, trust).first().confidence == 1.0
+
+
+def test_bounded_refuses(spark):
+    from tradeloom.operators.common import bounded
+
+    with pytest.raises(ValueError):
+        bounded(spark.range(50), 20)
+    assert bounded(spark.range(5), 20).count() == 5
 
 
 def test_groups_guard_division(spark):
@@ -179,10 +284,11 @@ def test_whole_tables_are_aligned_repaired_and_expanded(spark, tmp_path):
 
     order, lookups, scalars = (importlib.import_module(f"tradeloom.plans.{m}") for m in ("order", "lookups", "scalars"))
     d = str(tmp_path)
-    spark.createDataFrame([(1, "word " * 60 + ". short line"), (2, "x" * 300)], "conv_id long, text string").write.parquet(f"{d}/conversations.parquet")
-    assert {(r.doc_id, r.lines) for r in order.aligned(spark, d).collect()} == {(1, 4), (2, 2)}
+    turns = [(1, 1, "user", "word " * 60 + ". short line"), (1, 2, "user", "x" * 300)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    assert sorted(r["count"] for r in order.aligned(spark, d).groupBy("doc_id").count().collect()) == [3, 5]  # difflib finds long texts of few characters unlike
     spark.createDataFrame([(k, 100.0) for k in range(1, 9)], "o_orderkey long, o_totalprice double").write.parquet(f"{d}/orders.parquet")
     assert sum(r.n for r in lookups.digits(spark, d).collect()) == 8
     spark.createDataFrame([(k, "n", 1) for k in range(1, 11)], "p_partkey long, p_name string, p_size int").write.parquet(f"{d}/part.parquet")
-    members = {(r.p_partkey, r.member) for r in scalars.QUERIES["bundle_expand_whole"](spark, d).collect()}
+    members = {(r.p_partkey, r.member) for r in scalars.QUERIES["bundle_expand"](spark, d).collect()}
     assert members == {(k, f"BASE{k}*") for k in range(1, 10)} | {(10, f"MF0{10 % 7 + 1}-0{10 % 9 + 1}*")}

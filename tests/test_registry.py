@@ -60,23 +60,6 @@ def test_every_sql_has_a_query():
     assert registry.FLAGSHIP in registry.queries()
 
 
-WHOLE = "two_way_partition po_score item_arithmetic_fix multiline_items line_items price_token_map orphan_price_recovery bundle_expand".split()
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_table(spark, sf, con, name):
-    """The SQL of a part of the table, with its filter taken out here, against the query of the whole table."""
-    import re
-
-    sql, filters = re.subn(r"(invoice_id|l_orderkey|p_partkey) % (50|20|10|5) = 0(?! THEN|\s+AND a)", "TRUE", registry.oracle_sql()[name])
-    assert filters >= 1
-    frame = registry.queries()[f"{name}_whole"](spark, sf)
-    got = rows(frame.columns, [tuple(r) for r in frame.collect()])
-    result = con.execute(sql)
-    columns = [c[0] for c in result.description]
-    assert got == rows(columns, result.fetchall())
-
-
 @pytest.mark.parametrize(("name", "key"), [("po_greedy_assign", "invoice_id"), ("officer_match", "shipment_id")])
 def test_all_invoices_are_matched(spark, sf, name, key):
     found = {r[0] for r in registry.queries()[name](spark, sf).select(key).distinct().collect()}

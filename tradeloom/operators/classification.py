@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions import codes
 from tradeloom.functions.text import words
-from tradeloom.operators.common import dimension, winners
+from tradeloom.operators.common import BROADCAST_ROWS, bounded, contained_in, dimension, winners
 
 
 @dataclass(frozen=True)
@@ -54,65 +54,94 @@ def majority_vote(rows: DataFrame, key: str, code: str, valid: DataFrame, refs:
 
 
 def assessed_exact(keys: DataFrame, assessed: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """key, code and confidence of keys that an entry has word for word."""
+    """key, code, score, tier and seq (of the entry) of keys that an entry has word for word."""
     found = keys.join(assessed.withColumnRenamed("description_norm", "key"), "key").filter(
         (F.col("confidence") >= gates.exact_confidence) & (F.col("count") >= gates.exact_count)
     )
-    return found.select("key", "code", F.least(F.lit(0.97), 0.90 + 0.07 * F.col("confidence")).alias("score"), F.lit("exact").alias("tier"))
+    return found.select("key", "code", F.least(F.lit(0.97), 0.90 + 0.07 * F.col("confidence")).alias("score"), F.lit("exact").alias("tier"), "seq")
 
 
-def _by_token(keys: DataFrame, assessed: DataFrame) -> DataFrame:
-    """Pairs of keys and entries that share a word, with the number of words shared; joined by word, not all against all."""
-    ours = keys.select("key", F.explode(F.array_distinct(words(F.col("key")))).alias("word"))
-    theirs = assessed.select("seq", F.explode(F.array_distinct(words(F.col("description_norm")))).alias("word"))
-    return ours.join(theirs, "word").groupBy("key", "seq").agg(F.count("*").alias("common"))
+def distinct_words(text: str) -> Column:
+    return F.array_distinct(words(F.col(text)))
+
+
+def _by_rare_words(keys: DataFrame, assessed: DataFrame, least: Column) -> DataFrame:
+    """Pairs of keys and entries (seq, description_norm) that share ``least`` words (of the key's ``n``) or more, with ``common``.
+
+    Of a key's words, all but the ``least`` - 1 most frequent ones are looked for: an entry that has none of them can't share enough. So the
+    words that many rows have aren't joined unless a key has no others.
+    """
+    theirs = assessed.select("seq", "description_norm", distinct_words("description_norm").alias("has")).withColumn("word", F.explode("has"))
+    often = theirs.groupBy("word").agg(F.count("*").alias("times"))
+    ours = keys.select("key", distinct_words("key").alias("asked")).withColumn("n", F.size("asked")).withColumn("word", F.explode("asked"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("times", "word"))
+    rare = ours.join(often, "word", "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("at", rank).filter(F.col("at") <= F.col("n") - least + 1)
+    pairs = rare.select("key", "n", "asked", "word").join(theirs, "word").dropDuplicates(["key", "seq"])
+    return pairs.withColumn("common", F.size(F.array_intersect("asked", "has"))).filter(F.col("common") >= least).select("key", "n", "seq", "description_norm", "common")
 
 
 def assessed_containment(keys: DataFrame, assessed: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """key, code and confidence where one of key and entry contains the other; both have two words, the shorter covers enough
-    of the longer; the largest coverage wins, then the first entry."""
-    e = assessed.select("seq", "description_norm", "code", "confidence")
-    pairs = _by_token(keys, assessed).join(e, "seq")
+    """key, code, score, tier and seq where one of key and entry contains the other, as text; both have two words, the shorter covers enough
+    of the longer; the largest coverage wins, then the first entry. The score is by the entry's confidence."""
+    ours = keys.select("key").distinct().filter(F.size(words(F.col("key"))) >= 2)
+    theirs = assessed.select("seq", "description_norm", "code", "confidence").filter(F.size(words(F.col("description_norm"))) >= 2)
+    columns = ["key", "seq", "description_norm", "code", "confidence"]
+    pairs = contained_in(theirs, ours, "description_norm", "key", gates.shortest).select(columns).union(contained_in(ours, theirs, "key", "description_norm", gates.shortest).select(columns))
     a, b = F.length("key"), F.length("description_norm")
-    coverage = F.least(a, b) / F.greatest(a, b)
-    contained = F.contains("key", F.col("description_norm")) | F.contains("description_norm", F.col("key"))
-    fits = (F.size(words(F.col("key"))) >= 2) & (F.size(words(F.col("description_norm"))) >= 2) & (F.least(a, b) >= gates.shortest) & (coverage >= gates.coverage)
-    best = winners(pairs.filter(contained & fits).withColumn("coverage", coverage), ["key"], F.col("coverage").desc(), F.col("seq"))
-    return best.select("key", "code", F.least(F.lit(0.92), 0.85 + 0.07 * F.col("coverage")).alias("score"), F.lit("containment").alias("tier"))
+    close = pairs.withColumn("coverage", F.least(a, b) / F.greatest(a, b)).filter(F.col("coverage") >= gates.coverage)
+    best = winners(close, ["key"], F.col("coverage").desc(), F.col("seq"))
+    return best.select("key", "code", F.least(F.lit(0.92), 0.85 + 0.07 * F.col("confidence")).alias("score"), F.lit("containment").alias("tier"), "seq")
 
 
 def assessed_overlap(keys: DataFrame, assessed: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """key, code and confidence by shared words: three at least, and a mean share of both sides above the gate."""
+    """key, code, score, tier and seq by shared words: three at least, and a mean share of both sides above the gate."""
     e = assessed.filter((F.col("confidence") >= gates.overlap_confidence) & (F.col("count") >= gates.overlap_count))
-    pairs = _by_token(keys.filter(F.size(F.array_distinct(words(F.col("key")))) >= gates.common_words), e).join(e.select("seq", "description_norm", "code"), "seq")
-    share = (F.col("common") / F.size(F.array_distinct(words(F.col("key")))) + F.col("common") / F.size(F.array_distinct(words(F.col("description_norm"))))) / 2
-    close = pairs.withColumn("share", share).filter((F.col("common") >= gates.common_words) & (F.col("share") > gates.overlap))
-    best = winners(close, ["key"], F.col("share").desc(), F.col("seq"))
-    return best.select("key", "code", F.least(F.lit(0.85), 0.75 + 0.10 * F.col("share")).alias("score"), F.lit("overlap").alias("tier"))
-
-
-def assessed_lookup(keys: DataFrame, assessed: DataFrame, expected_chapter: DataFrame | None = None, gates: Gates = Gates()) -> DataFrame:
-    """key, code, score and tier: each tier's one winner is gated by the key's expected chapter, if it has one, and the first
-    tier that passes counts; a winner that fails gives way to the next tier, not to a runner-up."""
+    # the key's own share is over twice the gate less one, as the entry's is one at most
+    least = F.greatest(F.lit(gates.common_words), F.floor(F.col("n") * (2 * gates.overlap - 1)).cast("int") + 1)
+    pairs = _by_rare_words(keys, e, least)
+    share = (F.col("common") / F.col("n") + F.col("common") / F.size(distinct_words("description_norm"))) / 2
+    best = winners(pairs.withColumn("share", share).filter(F.col("share") > gates.overlap), ["key"], F.col("share").desc(), F.col("seq"))
+    return best.join(e.select("seq", "code"), "seq").select("key", "code", F.least(F.lit(0.85), 0.75 + 0.10 * F.col("share")).alias("score"), F.lit("overlap").alias("tier"), "seq")
+
+
+def assessed_lookup(
+    keys: DataFrame, assessed: DataFrame, expected_chapter: DataFrame | None = None, gates: Gates = Gates(), valid: DataFrame | None = None, invalid: DataFrame | None = None
+) -> DataFrame:
+    """key, code, score and tier: each tier's one winner has its code corrected (where ``valid`` and ``invalid`` are given), is gated by the
+    key's expected chapter, if it has one, and by ``cross_validated``. The first tier that passes counts; a winner that fails gives way to
+    the next tier, not to a runner-up."""
     tiers = assessed_exact(keys, assessed, gates).withColumn("n", F.lit(1))
     tiers = tiers.unionByName(assessed_containment(keys, assessed, gates).withColumn("n", F.lit(2)))
     tiers = tiers.unionByName(assessed_overlap(keys, assessed, gates).withColumn("n", F.lit(3)))
+    if valid is not None and invalid is not None:
+        tiers = corrected(tiers, valid, invalid).withColumn("code", F.col("corrected")).drop("corrected", "how")
     if expected_chapter is not None:
-        tiers = tiers.join(expected_chapter, "key", "left").filter(F.col("chapter").isNull() | (F.substring("code", 1, 2) == F.col("chapter")))
-    return winners(tiers, ["key"], F.col("n")).select("key", "code", "score", "tier")
+        tiers = tiers.join(expected_chapter, "key", "left").filter(F.col("chapter").isNull() | (F.substring("code", 1, 2) == F.col("chapter"))).drop("chapter")
+    return winners(cross_validated(tiers, assessed), ["key"], F.col("n")).select("key", "code", "score", "tier")
 
 
 def cross_validated(candidates: DataFrame, assessed: DataFrame, least_share: float = 0.30) -> DataFrame:
-    """``candidates`` (key, code) whose chapter stands up to its siblings: entries that share two words and three quarters of
-    the key's, weighted by count. Rejected if another chapter leads and the candidate's share is below ``least_share``."""
-    siblings = _by_token(candidates.select("key").distinct(), assessed).withColumn("n", F.size(F.array_distinct(words(F.col("key")))))
-    near = siblings.filter((F.col("n") >= 2) & (F.col("common") >= F.greatest(F.lit(2.0), 0.75 * F.col("n"))))
-    votes = near.join(assessed.select("seq", F.substring("code", 1, 2).alias("chapter"), "count"), "seq").groupBy("key", "chapter").agg(F.sum("count").alias("weight"))
-    lead = votes.groupBy("key").agg(F.max("weight").alias("most"), F.sum("weight").alias("all_votes"))
-    own = candidates.withColumn("chapter", F.substring("code", 1, 2)).join(votes, ["key", "chapter"], "left").join(lead, "key", "left")
-    weight = F.coalesce("weight", F.lit(0))
-    refuted = F.col("all_votes").isNotNull() & (weight < F.col("most")) & (weight / F.col("all_votes") < least_share)
-    return own.filter(~F.coalesce(refuted, F.lit(False))).select(*candidates.columns)
+    """``candidates`` (key, code, seq of the matched entry) whose chapter stands up to two checks.
+
+    References: an entry that begins with a digit, shares a reference with the matched one, counts as much at least and has another chapter
+    refutes it. Siblings: entries that share two words and three quarters of the key's, weighted by count, refute it if another chapter
+    leads (of equal ones that with the first entry) and the candidate's has a share below ``least_share``.
+    """
+    marked = candidates.withColumn("__chapter", F.substring("code", 1, 2))
+    numbered = assessed.filter(F.col("description_norm").rlike("^[0-9]")).select(F.explode("refs").alias("__ref"), F.substring("code", 1, 2).alias("__other"), "count")
+    rivals = numbered.groupBy("__ref", "__other").agg(F.max("count").alias("__most"))
+    own = assessed.select("seq", F.col("count").alias("__own"), F.explode("refs").alias("__ref"))
+    met = marked.select("key", "seq", "__chapter").distinct().join(own, "seq").join(rivals, "__ref")
+    refuted = met.filter((F.col("__other") != F.col("__chapter")) & (F.col("__most") >= F.col("__own"))).select("key", "seq", "__chapter").distinct()
+    left = marked.join(refuted, ["key", "seq", "__chapter"], "left_anti")
+
+    least = F.greatest(F.lit(2), F.ceil(F.col("n") * 0.75).cast("int"))
+    near = _by_rare_words(candidates.select("key").distinct(), assessed, least).filter("n >= 2")
+    votes = near.join(assessed.select("seq", F.substring("code", 1, 2).alias("__chapter"), "count"), "seq").groupBy("key", "__chapter").agg(F.sum("count").alias("weight"), F.min("seq").alias("first"))
+    lead = votes.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "first", F.col("__chapter").alias("chapter"))).alias("lead"), F.sum("weight").alias("all_votes"))
+    own_votes = left.join(votes.select("key", "__chapter", "weight"), ["key", "__chapter"], "left").join(lead, "key", "left")
+    minor = F.col("lead").isNotNull() & (F.col("lead.chapter") != F.col("__chapter")) & (F.coalesce("weight", F.lit(0)) < least_share * F.col("all_votes"))
+    return own_votes.filter(~F.coalesce(minor, F.lit(False))).select(*candidates.columns)
 
 
 def _holds(text: Column, pattern: Column, boundary: int) -> Column:
@@ -132,7 +161,7 @@ def rule_match(keys: DataFrame, rules: DataFrame, boundary: int = 7, chapters: D
     text = F.lower("key")
     excluded = F.exists("exclude", lambda p: F.contains(text, F.lower(p)))
     matched = F.exists("patterns", lambda p: _holds(text, F.lower(p), boundary))
-    pairs = keys.crossJoin(dimension(rules)).filter(~excluded & matched)
+    pairs = keys.crossJoin(bounded(rules)).filter(~excluded & matched)
     if chapters is not None:
         pairs = pairs.join(chapters, "key", "left").filter(F.col("chapter").isNull() | (F.substring("code", 1, 2) == F.col("chapter")))
     return winners(pairs, ["key"], F.col("priority").desc(), F.col("seq")).select("key", F.col("id").alias("rule_id"), "code", "category", "confidence")
@@ -142,31 +171,48 @@ def category_scores(keys: DataFrame, categories: DataFrame, least: int = 2) -> D
     """key, code, category and confidence of the best category: a point for each keyword, two for materials and items."""
     text = F.lower("key")
     points = lambda name, each: F.size(F.filter(name, lambda w: F.contains(text, F.lower(w)))) * each
-    scored = keys.crossJoin(dimension(categories)).withColumn("points", points("keywords", 1) + points("materials", 2) + points("items", 2))
+    scored = keys.crossJoin(bounded(categories)).withColumn("points", points("keywords", 1) + points("materials", 2) + points("items", 2))
     best = winners(scored.filter(F.col("points") >= least), ["key"], F.col("points").desc(), F.col("seq"))
     return best.select("key", "code", "category", "points", F.least(F.lit(0.75), 0.5 + 0.05 * F.col("points")).alias("confidence"))
 
 
 def contained_value(keys: DataFrame, brands: DataFrame, confidence: float = 0.7) -> DataFrame:
     """key, brand and code of the first brand that the key contains."""
-    found = keys.crossJoin(dimension(brands)).filter(F.contains(F.lower("key"), F.lower("brand")))
+    found = keys.crossJoin(bounded(brands)).filter(F.contains(F.lower("key"), F.lower("brand")))
     return winners(found, ["key"], F.col("seq")).select("key", "brand", "code", F.lit(confidence).alias("confidence"))
 
 
 def corrected(rows: DataFrame, valid: DataFrame, invalid: DataFrame, code: str = "code") -> DataFrame:
-    """``rows`` with ``corrected`` and ``how``: mapped by the invalid list, then valid as it is, then its subheading with 00, then
-    the subheading's code that ends in 90 or else the last, then the same by heading; else null."""
+    """``rows`` with ``corrected`` and ``how``: what the invalid list maps it to, whatever that is; else valid as it is; else its subheading with
+    00, mapped again if that is on the invalid list; else the subheading's last code that ends in 90, or its last; else the same by
+    heading, where 00 counts as 90 does; else the code itself. Codes on the invalid list are no substitutes. UNKNOWN and no code stay."""
     leaves = valid.select("code").distinct()
-    best = lambda n: leaves.groupBy(F.substring("code", 1, n).alias(f"p{n}")).agg(F.max(F.when(F.col("code").endswith("90"), F.col("code"))).alias("ninety"), F.max("code").alias("last")).select(f"p{n}", F.coalesce("ninety", "last").alias(f"near{n}"))
-    out = rows.withColumn("__code", F.col(code)).join(dimension(invalid.select(F.col("code").alias("__code"), F.col("correct_code").alias("__mapped"))), "__code", "left")
-    out = out.withColumn("__now", F.coalesce("__mapped", "__code"))
-    out = out.join(dimension(leaves.select(F.col("code").alias("__now"), F.lit(True).alias("__ok"))), "__now", "left")
-    out = out.withColumn("__zero", F.concat(F.substring("__now", 1, 6), F.lit("00")))
-    out = out.join(dimension(leaves.select(F.col("code").alias("__zero"), F.lit(True).alias("__zero_ok"))), "__zero", "left")
-    for n in (6, 4):
-        out = out.withColumn(f"p{n}", F.substring("__now", 1, n)).join(dimension(best(n)), f"p{n}", "left")
-    steps = [("mapped", F.when(F.col("__mapped").isNotNull() & F.col("__ok"), F.col("__now"))), ("valid", F.when(F.col("__ok"), F.col("__now"))), ("zero", F.when(F.col("__zero_ok"), F.col("__zero"))), ("subheading", F.col("near6")), ("heading", F.col("near4"))]
-    return out.select(*rows.columns, F.coalesce(*[c for _, c in steps]).alias("corrected"), F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in steps]).alias("how"))
+    mapped = invalid.select("code", "correct_code").dropDuplicates(["code"])
+    small = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and mapped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hinted = F.broadcast if small else lambda df: df
+    usable = leaves.join(hinted(mapped), "code", "left_anti")
+
+    def last(n: int, *ends: str) -> DataFrame:
+        general = F.max(F.when(F.substring("code", -2, 2).isin(*ends), F.col("code")))
+        return usable.groupBy(F.substring("code", 1, n).alias(f"__p{n}")).agg(F.coalesce(general, F.max("code")).alias(f"__near{n}"))
+
+    own = F.col(code)
+    out = rows.withColumn("__code", own).withColumn("__zero", F.concat(F.substring(own, 1, 6), F.lit("00"))).withColumn("__p6", F.substring(own, 1, 6)).withColumn("__p4", F.substring(own, 1, 4))
+    for key in ("__code", "__zero"):
+        out = out.join(hinted(mapped.select(F.col("code").alias(key), F.col("correct_code").alias(f"{key}_mapped"))), key, "left")
+        out = out.join(hinted(leaves.select(F.col("code").alias(key), F.lit(True).alias(f"{key}_ok"))), key, "left")
+    out = out.join(hinted(last(6, "90")), "__p6", "left").join(hinted(last(4, "90", "00")), "__p4", "left")
+    steps = [
+        ("none", F.when(own.isNull() | own.isin("", "UNKNOWN"), own)),
+        ("mapped", F.col("__code_mapped")),
+        ("valid", F.when(F.col("__code_ok"), own)),
+        ("zero mapped", F.when(F.col("__zero_ok"), F.col("__zero_mapped"))),
+        ("zero", F.when(F.col("__zero_ok"), F.col("__zero"))),
+        ("subheading", F.col("__near6")),
+        ("heading", F.col("__near4")),
+    ]
+    how = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in steps], F.lit("none"))
+    return out.select(*rows.columns, F.coalesce(*[c for _, c in steps], own).alias("corrected"), how.alias("how"))
 
 
 def walked_up(rows: DataFrame, dim: DataFrame, value: str, code: str = "code") -> DataFrame:

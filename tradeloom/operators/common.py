@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A dimension of more rows is not broadcast; its joins are left to the optimiser.
 BROADCAST_ROWS = 20_000
@@ -14,6 +20,57 @@ def dimension(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast and compared with every row; an error if it has more than ``most`` rows, as that would be all against all."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are to be compared with every row: index them by a word or key instead")
+    return F.broadcast(df)
+
+
+def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[tuple]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """The rows that ``step`` makes of the rows (tuples of ``columns``, in ``order``) of each ``key``.
+
+    Groups are read one after another from the sorted partition, so many small ones need no frame each. A group must fit a task: it should be
+    one document.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000)
+                    yield from zip(*(part.column(c).to_pylist() for c in (key, *columns)), strict=True)
+
+        made = (row for _, group in groupby(read(), lambda r: r[0]) for row in step([r[1:] for r in group]))
+        while held := list(islice(made, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    slim = rows.select(*dict.fromkeys((key, *columns)))
+    return slim.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+
+
+def grams(text: Column, size: int) -> Column:
+    """Hashes of all parts of ``size`` characters."""
+    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<long>"))
+
+
+def contained_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str, size: int | None = None) -> DataFrame:
+    """Pairs of ``parts`` and ``wholes`` where the text ``whole`` contains the text ``part`` of ``size`` characters or more.
+
+    A part is looked for by the least of its grams' hashes only, which each whole that contains it has, too; so pairs meet by a rather
+    rare gram instead of all with all. Without ``size``, for short texts such as numbers of documents, a whole is found by each of its parts.
+    """
+    if size is None:
+        left = parts.filter(F.length(part) > 0).withColumn("__gram", F.col(part))
+        n, each = F.length(whole), F.col(whole)
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(each, i, k))))
+        return left.join(wholes.filter(n > 0).withColumn("__gram", F.explode(F.array_distinct(every))), "__gram").drop("__gram")
+    left = parts.filter(F.length(part) >= size).withColumn("__gram", F.array_min(grams(F.col(part), size)))
+    right = wholes.withColumn("__gram", F.explode(F.array_distinct(grams(F.col(whole), size))))
+    return left.join(right, "__gram").filter(F.contains(whole, F.col(part))).drop("__gram")
+
+
 def winners(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order that should leave no ties."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")

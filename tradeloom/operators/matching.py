@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.functions.codes import sku
-from tradeloom.operators.common import winners
+from tradeloom.operators.common import bounded, contained_in, streamed, winners
 
 
 @dataclass(frozen=True)
@@ -37,16 +36,35 @@ def _partial(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 3) & (F.contains(a, b) | F.contains(b, a))
 
 
-def po_scores(pairs: DataFrame, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
-    """``pairs`` with ``score``. SKUs count once, by the best way; catalogue, short code, quantity, price and total add to it.
+def po_candidates(invoices: DataFrame, orders: DataFrame) -> DataFrame:
+    """invoice_id and order_id of orders that name the invoice: one of their references (``refs``) and the invoice's (``ref``), without hyphens,
+    are equal or contain one another. A last hyphen and capital letter of an order's reference don't count; empty references name nothing."""
+    ours = invoices.select("invoice_id", F.replace("ref", F.lit("-"), F.lit("")).alias("__ours")).filter("__ours <> ''")
+    bare = F.replace(F.regexp_replace("__ref", "-[A-Z]$", ""), F.lit("-"), F.lit(""))
+    theirs = orders.select("order_id", F.explode("refs").alias("__ref")).select("order_id", bare.alias("__theirs")).filter("__theirs <> ''").distinct()
+    # distinct references meet, so that a common one isn't joined once for each of its rows
+    a, b = ours.select("__ours").distinct(), theirs.select("__theirs").distinct()
+    met = contained_in(a, b, "__ours", "__theirs").select("__ours", "__theirs").union(contained_in(b, a, "__theirs", "__ours").select("__ours", "__theirs")).distinct()
+    return ours.join(met, "__ours").join(theirs, "__theirs").select("invoice_id", "order_id").distinct()
+
+
+def alias_pairs(aliases: DataFrame) -> DataFrame:
+    """__a and __b: normalised SKUs that name one product by ``aliases`` (sku, bm_code, supplier_item), read both ways: the key with either code."""
+    known = aliases.select(sku(F.col("sku")).alias("__a"), F.explode(F.array("bm_code", "supplier_item")).alias("code")).filter("code IS NOT NULL").select("__a", sku(F.col("code")).alias("__b"))
+    return known.union(known.select("__b", "__a")).filter("__a <> '' AND __b <> ''").distinct()
+
+
+def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
+    """Pairs of ``items`` and ``orders`` with one value of ``on``, with ``score``. SKUs count once, by the best way; catalogue, short code,
+    quantity, price and total add to it.
 
     Columns: sku, legacy_sku, catalog, quantity, unit_cost, total_cost of the item; po_sku, po_short, po_description, po_quantity,
-    po_price, po_total of the order. aliases: sku, po_sku (normalised).
+    po_price, po_total of the order. aliases: see ``alias_pairs``. SKUs are normalised before the join, once a row.
     """
-    a, b, short, legacy = (sku(F.col(c)) for c in ("sku", "po_sku", "po_short", "legacy_sku"))
-    known = aliases.select(F.col("sku").alias("__a"), F.col("po_sku").alias("__b"), F.lit(True).alias("__alias")).distinct()
-    out = pairs.withColumn("__a", a).withColumn("__b", b).join(known, ["__a", "__b"], "left")
-    a, b = F.col("__a"), F.col("__b")
+    left = items.withColumns({"__a": sku(F.col("sku")), "__legacy": sku(F.col("legacy_sku"))})
+    right = orders.withColumns({"__b": sku(F.col("po_sku")), "__short": sku(F.col("po_short"))})
+    out = left.join(right, on).join(alias_pairs(aliases).withColumn("__alias", F.lit(True)), ["__a", "__b"], "left")
+    a, b, short, legacy = (F.col(c) for c in ("__a", "__b", "__short", "__legacy"))
     both = (a != "") & (b != "")
     by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.col("__alias"), s.alias_sku)
     by_legacy = F.when((legacy != "") & ((legacy == b) | (legacy == short)), s.exact_sku)
@@ -62,7 +80,7 @@ def po_scores(pairs: DataFrame, aliases: DataFrame, s: Scores = Scores()) -> Dat
         F.when(_close(F.col("unit_cost"), F.col("po_price"), 0.02), s.price).when(_close(F.col("unit_cost"), F.col("po_price"), 0.50), s.close_price),
         F.when(_close(F.col("total_cost"), F.col("po_total"), 0.02), s.total),
     ]
-    return out.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__alias")
+    return out.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "__alias")
 
 
 def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[int, tuple[int, int]]:
@@ -87,16 +105,14 @@ def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[in
 def po_assigned(scored: DataFrame, s: Scores = Scores()) -> DataFrame:
     """invoice_id, seq, po_seq and score: one order row for an item, one item for an order row, within an invoice.
 
-    Only pairs worth taking are grouped; one invoice is one group.
+    Only pairs worth taking are grouped; one invoice, which one document bounds, is one group.
     """
 
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        found = greedy(list(frame[["seq", "po_seq", "score"]].itertuples(index=False, name=None)), s.exact_sku, s.least)
-        ident = frame["invoice_id"].iloc[0]
-        return pd.DataFrame([(ident, i, row, score) for i, (row, score) in found.items()], columns=["invoice_id", "seq", "po_seq", "score"])
+    def assign(rows: list[tuple]) -> list[tuple]:
+        return [(rows[0][0], i, row, score) for i, (row, score) in greedy([r[1:] for r in rows], s.exact_sku, s.least).items()]
 
-    worth = scored.filter(F.col("score") >= s.least).select("invoice_id", "seq", "po_seq", "score")
-    return worth.groupBy("invoice_id").applyInPandas(assign, "invoice_id long, seq int, po_seq int, score int")
+    worth = scored.filter(F.col("score") >= s.least)
+    return streamed(worth, "invoice_id", ["invoice_id", "seq", "po_seq", "score"], ["seq", "po_seq"], assign, "invoice_id long, seq int, po_seq int, score int")
 
 
 def shipments_matched(invoices: DataFrame, shipments: DataFrame, refs: str = "refs", shipment_refs: str = "invoice_refs") -> DataFrame:
@@ -147,32 +163,39 @@ def fixed(items: DataFrame, fixes: DataFrame) -> DataFrame:
     return out.select(*[given.get(c, F.col(c)).alias(c) for c in items.columns])
 
 
+def officer_pairs(ours: list[tuple], theirs: list[tuple], least: float) -> list[tuple]:
+    """(seq, official_seq, how) of rows (seq, sku, description). An official row, in turn, takes ours of its SKU, else of its description, else the
+    first whose words are alike by ``least`` of the larger set. Of ours with one SKU or description the last counts; each is taken once by
+    SKU and once by description."""
+    by_sku = {k.lower(): n for n, k, _ in ours if k}
+    by_text = {d: n for n, _, d in ours if d}
+    out = []
+    for n, code, text in theirs:
+        code, mine = (code or "").lower(), set((text or "").split())
+        if code in by_sku:
+            out.append((by_sku.pop(code), n, "sku"))
+        elif text in by_text:
+            out.append((by_text.pop(text), n, "description"))
+        else:
+            alike = (d for d in by_text if mine and len(mine & (w := set(d.split()))) >= least * max(len(mine), len(w)))
+            if (found := next(alike, None)) is not None:
+                out.append((by_text.pop(found), n, "words"))
+    return out
+
+
 def officer_matched(items: DataFrame, official: DataFrame, least: float = 0.60) -> DataFrame:
-    """shipment_id, seq, official_seq and how: by SKU, else by description, else by shared words; each official row is used once.
+    """shipment_id, seq, official_seq and how, as in ``officer_pairs``: both sides (shipment_id, seq, sku, description) in order of seq.
 
     One shipment is one group; both sides are bounded by its declaration.
     """
 
-    def match(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        free = list(theirs.sort_values("seq").itertuples(index=False))
-        out = []
-        for r in ours.sort_values("seq").itertuples(index=False):
-            mine = set(r.description.split())
-            share = lambda o: len(mine & (w := set(o.description.split()))) / max(1, len(mine | w))  # noqa: E731, B023
-            hit, how = next((o for o in free if o.sku and o.sku == r.sku), None), "sku"
-            if hit is None:
-                hit, how = next((o for o in free if o.description == r.description), None), "description"
-            if hit is None and free:
-                best = max(free, key=lambda o: (share(o), -o.seq))
-                hit, how = (best, "words") if share(best) >= least else (None, "")
-            if hit is not None:
-                free.remove(hit)
-                out.append((r.shipment_id, r.seq, hit.seq, how))
-        return pd.DataFrame(out, columns=["shipment_id", "seq", "official_seq", "how"])
+    def match(rows: list[tuple]) -> list[tuple]:
+        ours, theirs = ([r[2:] for r in rows if r[1] == side] for side in (0, 1))
+        return [(rows[0][0], *pair) for pair in officer_pairs(ours, theirs, least)]
 
     columns = ["shipment_id", "seq", "sku", "description"]
-    renamed = official.select(F.col("shipment_id").alias("__shipment"), *columns[1:]).withColumnRenamed("__shipment", "shipment_id")  # both may come from one table
-    return items.select(*columns).groupBy("shipment_id").cogroup(renamed.groupBy("shipment_id")).applyInPandas(match, "shipment_id long, seq int, official_seq int, how string")
+    both = items.select(*columns, F.lit(0).alias("side")).unionByName(official.select(*columns, F.lit(1).alias("side")))
+    return streamed(both, "shipment_id", ["shipment_id", "side", "seq", "sku", "description"], ["side", "seq"], match, "shipment_id long, seq int, official_seq int, how string")
 
 
 def emails_linked(emails: DataFrame, has: str, lacks: str, days: int = 14) -> DataFrame:
@@ -189,7 +212,5 @@ def emails_linked(emails: DataFrame, has: str, lacks: str, days: int = 14) -> Da
 
 def consignees(names: DataFrame, rules: DataFrame, name: str) -> DataFrame:
     """``names`` with the consignee of the first rule (seq, match, code) that the name contains; ``UNKNOWN`` if none."""
-    from tradeloom.operators.common import dimension
-
-    found = names.select(name).distinct().crossJoin(dimension(rules)).filter(F.contains(F.lower(name), F.lower("match")))
+    found = names.select(name).distinct().crossJoin(bounded(rules)).filter(F.contains(F.lower(name), F.lower("match")))
     return names.join(winners(found, [name], F.col("seq")).select(name, F.col("code").alias("consignee")), name, "left").fillna("UNKNOWN", ["consignee"])

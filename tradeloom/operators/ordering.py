@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeloom.operators.common import winners
+from tradeloom.operators.common import streamed, winners
 
 
 def filled_down(rows: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -72,20 +76,52 @@ def deviation(sums: list[float], targets: list[float]) -> tuple[float, float]:
     return max(g / max(t, 1e-9) for g, t in zip(gaps, targets, strict=True)), sum(gaps)
 
 
+#: Assignments of the first items that are looked at together.
+AT_ONCE = 1 << 16
+
+
+def _all_ways(costs: list[float], targets: list[float]) -> tuple[tuple[float, float], list[int]]:
+    """The best score and the first way that has it, over all ways that leave no declaration empty, the first item's changing fastest."""
+    n, full = len(targets), (1 << len(targets)) - 1
+    low = 0
+    sums, used, ways = np.zeros((1, n)), np.zeros(1, dtype=np.int64), np.zeros((1, 0), dtype=np.int8)
+    while low < len(costs) and len(sums) * n <= AT_ONCE:
+        step = np.zeros((n, n))
+        np.fill_diagonal(step, costs[low])
+        sums = (step[:, None, :] + sums[None]).reshape(-1, n)  # the new item changes slowest
+        used = ((1 << np.arange(n))[:, None] | used[None]).reshape(-1)
+        ways = np.concatenate([np.tile(ways, (n, 1)), np.repeat(np.arange(n, dtype=np.int8), len(ways))[:, None]], axis=1)
+        low += 1
+    best: tuple[tuple[float, float], list[int]] | None = None
+    for rest in product(range(n), repeat=len(costs) - low):
+        rest = rest[::-1]
+        here, mask = sums.copy(), used.copy()
+        for cost, d in zip(costs[low:], rest, strict=True):
+            here[:, d] += cost
+            mask |= 1 << d
+        gaps = np.abs(here - targets)
+        worst = np.where(mask == full, (gaps / np.maximum(targets, 1e-9)).max(axis=1), np.inf)
+        first = worst.min()
+        if not np.isfinite(first) or best and first > best[0][0]:
+            continue
+        close = np.flatnonzero(worst == first)
+        total = np.zeros(len(close))
+        for d in range(n):
+            total += gaps[close, d]
+        at = int(np.argmin(total))
+        if best is None or (first, total[at]) < best[0]:
+            best = ((float(first), float(total[at])), [*ways[close[at]].tolist(), *rest])
+    return best or ((math.inf, math.inf), [])
+
+
 def divided(costs: list[float], targets: list[float], exhaustive: int = 15) -> list[int]:
-    """The declaration of each item. All ways for few items and declarations, none left empty; otherwise the largest first, each
-    where the score grows least."""
+    """The declaration of each item. All ways for few items and declarations, none left empty (of equally good ones the first; for two
+    declarations the ways are counted by the items of the first one); otherwise the largest first, each where the score grows least."""
     n = len(targets)
-    if n <= len(costs) <= exhaustive and n <= 4 and n ** len(costs) <= 300_000:
-        best: tuple = ()
-        for way in product(range(n), repeat=len(costs)):
-            way = way[::-1]  # the first item changes fastest
-            if len(set(way)) < n:
-                continue
-            score = deviation([sum(c for c, w in zip(costs, way, strict=True) if w == d) for d in range(n)], targets)
-            if not best or score < best[0]:
-                best = (score, way)
-        return list(best[1])
+    if n <= len(costs) <= exhaustive and n <= 4:
+        if n == 2:
+            return [1 - d for d in _all_ways(costs, targets[::-1])[1]]
+        return _all_ways(costs, targets)[1]
     sums, out = [0.0] * n, [0] * len(costs)
     for i in sorted(range(len(costs)), key=lambda i: -costs[i]):
         out[i] = min(range(n), key=lambda d: deviation([s + (costs[i] if k == d else 0) for k, s in enumerate(sums)], targets))
@@ -93,19 +129,26 @@ def divided(costs: list[float], targets: list[float], exhaustive: int = 15) -> l
     return out
 
 
+def unreliable(score: float, targets: list[float], least_target: float = 1.0, most_score: float = 5.0) -> bool:
+    """Whether a partition isn't to be trusted: a target near nothing, or even the best way far off."""
+    return not targets or min(targets) < least_target or score > most_score
+
+
 def partitioned(items: DataFrame, targets: list[float]) -> DataFrame:
-    """invoice_id, seq and declaration of each item; ``targets`` are the declarations' shares of an invoice's cost.
+    """invoice_id, seq, declaration of each item and unreliable (of its invoice); ``targets`` are the declarations' shares of an invoice's cost.
 
     One invoice is one group; its items are bounded by the document.
     """
 
-    def split(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        costs = frame["total_cost"].astype(float).tolist()
-        whole = sum(costs)
-        return pd.DataFrame({"invoice_id": frame["invoice_id"], "seq": frame["seq"], "declaration": divided(costs, [t * whole for t in targets])})
+    def split(rows: list[tuple]) -> list[tuple]:
+        costs = [float(r[2]) for r in rows]
+        wanted = [t * sum(costs) for t in targets]
+        found = divided(costs, wanted)
+        sums = [sum(c for c, d in zip(costs, found, strict=True) if d == k) for k in range(len(targets))]
+        bad = unreliable(deviation(sums, wanted)[0], wanted)
+        return [(ident, seq, d, bad) for (ident, seq, _), d in zip(rows, found, strict=True)]
 
-    return items.select("invoice_id", "seq", "total_cost").groupBy("invoice_id").applyInPandas(split, "invoice_id long, seq int, declaration int")
+    return streamed(items, "invoice_id", ["invoice_id", "seq", "total_cost"], ["seq"], split, "invoice_id long, seq int, declaration int, unreliable boolean")
 
 
 def redistributed(packages: list[int], total: int) -> list[int]:
@@ -135,11 +178,33 @@ def redistributed(packages: list[int], total: int) -> list[int]:
 def packages_redistributed(rows: DataFrame, group: str, order: str) -> DataFrame:
     """``group``, ``order`` and packages of each row after redistribution to the group's bl_total. One shipment is one group."""
 
-    def deal(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        return frame.assign(packages=redistributed(frame["packages"].tolist(), int(frame["bl_total"].iloc[0])))[[group, order, "packages"]]
+    def deal(rows: list[tuple]) -> list[tuple]:
+        return [(g, o, p) for (g, o, _, _), p in zip(rows, redistributed([r[2] for r in rows], int(rows[0][3])), strict=True)]
+
+    return streamed(rows, group, [group, order, "packages", "bl_total"], [order], deal, f"{group} long, {order} long, packages long")
+
 
-    return rows.select(group, order, "packages", "bl_total").groupBy(group).applyInPandas(deal, f"{group} long, {order} long, packages long")
+def capped(packages: list[int], most: int) -> list[int]:
+    """Packages that add up to ``most`` at most, one each at least: the largest (the first of equals) is cut to what is left over, then the next."""
+    out = [1] * len(packages) if most < len(packages) else list(packages)
+    surplus = sum(out) - most
+    while surplus > 0 and max(out) > 1:
+        at = out.index(max(out))
+        cut = min(out[at] - 1, surplus)
+        out[at], surplus = out[at] - cut, surplus - cut
+    return out
+
+
+def packages_capped(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``group``, ``order`` and packages after the cap of the group: the bill's total, else the manifest's; without either all stay. No or zero
+    packages count as one."""
+
+    def cut(rows: list[tuple]) -> list[tuple]:
+        own = [r[2] or 1 for r in rows]
+        most = rows[0][3] if rows[0][3] is not None else rows[0][4]
+        return [(r[0], r[1], p) for r, p in zip(rows, own if most is None else capped(own, int(most)), strict=True)]
+
+    return streamed(rows, group, [group, order, "packages", "bill_packages", "manifest_packages"], [order], cut, f"{group} long, {order} long, packages long")
 
 
 def token_votes(tokens: DataFrame) -> DataFrame:
@@ -148,39 +213,119 @@ def token_votes(tokens: DataFrame) -> DataFrame:
     return winners(counted, ["doc_id", "pos"], F.col("votes").desc(), F.col("priority").desc(), F.col("token")).select("doc_id", "pos", "token", "votes")
 
 
-def lines_aligned(lines: DataFrame, least: float = 0.55) -> DataFrame:
-    """Clusters of like lines of a document's variants: doc_id, variant, line_no, cluster.
+@dataclass(frozen=True)
+class Reading:
+    """How readings of a page are put together (fixed values)."""
 
-    In order, each line joins the best cluster of another variant that is alike by ``least`` (difflib's ratio) and has no line
-    of its own variant yet. One document is one group.
-    """
+    like: float = 0.55
+    price: str = r"\$?(\d+\.\d{2})\b"
+    number: str = r"^\$?\d+(?:\.\d+)?$"
+    token: str = r"\$?\d+(?:[.,]\d+)*|[A-Za-z]+|[^\s\w]"
 
-    def align(frame: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
 
-        clusters: list[tuple[str, set]] = []
-        found = []
-        for r in frame.sort_values(["variant", "line_no"]).itertuples():
-            best, at = least, -1
-            for i, (text, seen) in enumerate(clusters):
-                if r.variant not in seen and (like := SequenceMatcher(None, text, r.text).ratio()) >= best and (like > best or at < 0):
-                    best, at = like, i
-            if at < 0:
-                clusters.append((r.text, {r.variant}))
-                at = len(clusters) - 1
-            clusters[at][1].add(r.variant)
-            found.append((r.doc_id, r.variant, r.line_no, at))
-        return pd.DataFrame(found, columns=["doc_id", "variant", "line_no", "cluster"])
+def _plain(line: str) -> str:
+    return " ".join(line.lower().split())
 
-    return lines.select("doc_id", "variant", "line_no", "text").groupBy("doc_id").applyInPandas(align, "doc_id long, variant int, line_no int, cluster int")
 
+def _ratio(a: str, b: str) -> float:
+    from difflib import SequenceMatcher
 
-def merged_lines(texts: Iterator[str], most_alike: float = 0.80) -> list[str]:
-    """Lines in order without those alike to one kept before."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def clusters_of(lines: dict[str, list[tuple[int, str]]], priority: dict[str, int], how: Reading = Reading()) -> list[list[tuple[str, int, str]]]:
+    """Clusters (variant, line number, line) of like lines. The skeleton is the variant of the highest priority, then of most prices, then of the
+    least sum of its name's characters. Each of its lines, in order, takes the most like free line of each other variant, if that is
+    like enough; a line that no other variant has is dropped unless there is one variant only."""
+    if not lines:
+        return []
+    price = re.compile(how.price)
+    lead = max(lines, key=lambda v: (priority.get(v, 0), sum(len(price.findall(t)) for _, t in lines[v]), -sum(map(ord, v))))
+    free = {v: {n: (t, _plain(t)) for n, t in rows} for v, rows in lines.items() if v != lead}
+    out = []
+    for n, line in lines[lead]:
+        cluster, own = [(lead, n, line)], _plain(line)
+        for v, rows in free.items():
+            best, at = 0.0, None
+            for k, (_, text) in rows.items():
+                if (like := _ratio(own, text)) > best:
+                    best, at = like, k
+            if at is not None and best >= how.like:
+                cluster.append((v, at, rows.pop(at)[0]))
+        if len(cluster) > 1 or len(lines) == 1:
+            out.append(cluster)
+    return out
+
+
+def tokens_aligned(cluster: list[tuple[str, int, str]], how: Reading = Reading()) -> list[list[tuple[str, str]]]:
+    """For each word of a cluster's first line, the words (variant, word) that its lines have in that place."""
     from difflib import SequenceMatcher
 
+    token = re.compile(how.token)
+    own = token.findall(cluster[0][2])
+    places = [[(cluster[0][0], w)] for w in own]
+    for v, _, line in cluster[1:]:
+        theirs = token.findall(line)
+        for kind, a, b, c, d in SequenceMatcher(None, own, theirs, autojunk=False).get_opcodes():
+            if kind in ("equal", "replace"):
+                for k in range(min(b - a, d - c)):
+                    places[a + k].append((v, theirs[c + k]))
+    return places
+
+
+def agreed_line(cluster: list[tuple[str, int, str]], priority: dict[str, int], how: Reading = Reading()) -> str:
+    """The line that a cluster's variants vote for, word by word: most votes, then the highest priority, then the larger word. Where a number is read
+    and at least half the votes are numbers, in this place or next to it, only numbers are voted for."""
+    if len(cluster) == 1:
+        return cluster[0][2]
+    number = re.compile(how.number)
+    places = tokens_aligned(cluster, how)
+    votes = [Counter(w for _, w in place) for place in places]
+    ranks = [{w: max(priority.get(v, 0) for v, x in place if x == w) for _, w in place} for place in places]
+    counts = [sum(c for w, c in v.items() if number.match(w)) for v in votes]
+    numeric = [n >= 1 and 2 * n >= v.total() for n, v in zip(counts, votes, strict=True)]
+    out = []
+    for i, v in enumerate(votes):
+        near = counts[i] and any(numeric[j] for j in (i, i - 1, i + 1) if 0 <= j < len(votes))
+        choice = [w for w in v if number.match(w)] if near else list(v)
+        out.append(max(choice, key=lambda w: (v[w], ranks[i][w], w)))
+    return " ".join(out)
+
+
+def lines_aligned(lines: DataFrame, priority: dict[str, int], how: Reading = Reading()) -> DataFrame:
+    """Clusters of like lines of a document's variants (see ``clusters_of``): doc_id, cluster, variant, line_no. Blank lines don't count. One
+    document is one group."""
+
+    def align(rows: list[tuple]) -> list[tuple]:
+        found = clusters_of(_by_variant(rows), priority, how)
+        return [(rows[0][0], i, v, n) for i, cluster in enumerate(found) for v, n, _ in cluster]
+
+    return streamed(lines, "doc_id", ["doc_id", "variant", "line_no", "text"], ["variant", "line_no"], align, "doc_id long, cluster int, variant string, line_no int")
+
+
+def consensus(lines: DataFrame, priority: dict[str, int], how: Reading = Reading()) -> DataFrame:
+    """doc_id, text and confidence (the share of clusters whose lines are the same) of the readings of a document. One document is one group."""
+
+    def agree(rows: list[tuple]) -> list[tuple]:
+        found = clusters_of(_by_variant(rows), priority, how)
+        alike = sum(len({_plain(t) for _, _, t in c}) == 1 for c in found)
+        return [(rows[0][0], "\n".join(filter(None, (agreed_line(c, priority, how) for c in found))), alike / len(found) if found else 0.0)]
+
+    return streamed(lines, "doc_id", ["doc_id", "variant", "line_no", "text"], ["variant", "line_no"], agree, "doc_id long, text string, confidence double")
+
+
+def _by_variant(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
+    out: dict[str, list[tuple[int, str]]] = {}
+    for _, v, n, t in rows:
+        if t and t.strip():
+            out.setdefault(v, []).append((n, t))
+    return out
+
+
+def merged_lines(texts: Iterator[str], most_alike: float = 0.80) -> list[str]:
+    """Lines in order without those alike to one kept before."""
     kept: list[str] = []
     for t in texts:
-        if all(SequenceMatcher(None, k, t).ratio() < most_alike for k in kept):
+        if all(_ratio(k, t) < most_alike for k in kept):
             kept.append(t)
     return kept

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.text import assessed_key
 from tradeloom.operators import classification as C
+from tradeloom.sources.shared import kept
 from tradeloom.sources.tables import table, tariff_code
 
 #: seq, id, code, category, patterns, exclude, priority, confidence
@@ -24,10 +25,10 @@ CATEGORIES = [
     (3, "71179000", "RINGS", ["ring"], [], ["ring", "hot"]),
 ]
 BRANDS = [(1, "cold", "84189900"), (2, "gear", "84839000"), (3, "gizmo", "95030000")]
-INVALID = [("01010000", "03310017"), ("12510085", "99999999"), ("17110119", "17110100")]
+INVALID = [("01010000", "03310017"), ("12510085", "99999999"), ("17110119", "17110100"), ("40200200", "40200209"), ("86610600", "86610601"), ("33610290", "33610299")]
 #: Every code but those of the residues 3, 7 and 12 modulo 40 is valid; 17110190 and 40200290 are added.
 NOT_VALID = (3, 7, 12)
-ADDED = ("17110190", "40200290", "33610200")
+ADDED = ("17110190", "40200290", "33610200", "33610290", "86610600", "79109900")
 
 
 def _dim(spark, rows, ddl):
@@ -47,6 +48,10 @@ def valid_codes(spark, d):
     return made.unionByName(_dim(spark, [(c,) for c in ADDED], "code string")).distinct()
 
 
+def invalid_codes(spark):
+    return _dim(spark, INVALID, "code string, correct_code string")
+
+
 def part_keys(spark, d):
     """Distinct descriptions of parts."""
     return table(spark, d, "part").select(assessed_key(F.concat_ws(" ", "p_name", "p_type")).alias("key")).distinct()
@@ -57,7 +62,7 @@ def assessed(spark, d):
     p = table(spark, d, "part")
     own = F.lpad(((F.length("p_name") * 5000011 + F.ascii("p_name") * 70001) % 97000000 + 1000000).cast("string"), 8, "0")
     rows = p.select(
-        assessed_key(F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name"))).alias("description_norm"),
+        assessed_key(F.concat_ws(" ", F.when(F.col("p_partkey") % 9 == 0, F.col("p_partkey") % 37 + 10), F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name")))).alias("description_norm"),
         F.when(F.col("p_partkey") % 7 == 0, tariff_code("p_partkey")).otherwise(own).alias("code"), "p_brand", "p_name", F.concat(F.lit("db"), F.col("p_size") % 3).alias("source"),
     )
     return C.majority_vote(rows, "description_norm", "code", valid_codes(spark, d), "p_brand", "source", "p_name").withColumn("seq", F.xxhash64("description_norm"))
@@ -68,8 +73,8 @@ def majority(spark, d):
 
 
 def _ordered(spark, d):
-    """Entries in the order of their key (a name is its place)."""
-    return assessed(spark, d).withColumn("seq", F.col("description_norm"))
+    """Entries in the order of their key (a name is its place), computed once."""
+    return kept(assessed(spark, d).withColumn("seq", F.col("description_norm")), "assessed")
 
 
 def _tier(tier):
@@ -86,13 +91,13 @@ def _score(df):
 def lookup(spark, d):
     keys = part_keys(spark, d)
     chapters = keys.filter(F.length("key") % 3 == 0).select("key", F.lit("46").alias("chapter"))
-    return _score(C.assessed_lookup(keys, _ordered(spark, d), chapters))
+    return _score(C.assessed_lookup(keys, _ordered(spark, d), chapters, valid=valid_codes(spark, d), invalid=invalid_codes(spark)))
 
 
 def cross(spark, d):
     e = _ordered(spark, d)
-    found = C.assessed_containment(part_keys(spark, d), e).select("key", F.when(F.length("key") % 2 == 0, F.lit("99999999")).otherwise(F.col("code")).alias("code"))
-    return C.cross_validated(found, e)
+    found = C.assessed_containment(part_keys(spark, d), e).select("key", F.when(F.length("key") % 2 == 0, F.lit("99999999")).otherwise(F.col("code")).alias("code"), "seq")
+    return C.cross_validated(found, e).drop("seq")
 
 
 def rules_v1(spark, d):
@@ -115,7 +120,7 @@ def brand(spark, d):
 
 def correction(spark, d):
     rows = table(spark, d, "part").select("p_partkey", tariff_code("p_partkey").alias("code"))
-    return C.corrected(rows, valid_codes(spark, d), _dim(spark, INVALID, "code string, correct_code string"))
+    return C.corrected(rows, valid_codes(spark, d), invalid_codes(spark))
 
 
 def _tree(spark):
@@ -143,7 +148,7 @@ def code_gate(spark, d):
     from tradeloom.functions import codes
 
     rows = table(spark, d, "part").select("p_partkey", tariff_code("p_partkey").alias("code"))
-    bad = _dim(spark, INVALID, "code string, correct_code string")
+    bad = invalid_codes(spark)
     ok = rows.filter(codes.chapter_ok(F.col("code")))
     return ok.join(C.dimension(bad), "code", "left_anti").join(C.dimension(valid_codes(spark, d)), "code", "left_semi").select("p_partkey", "code")
 
@@ -179,10 +184,18 @@ QUERIES = {
 _NOISE = "('the','a','an','and','or','for','with','in','on','to','of','no','nr','num','pcs','pc','ea','each','qty','quantity','size','color','colour','pack','set','pieces','item','items','new','used','unit','units','assorted','various','other')"
 _KEY = lambda x: f"array_to_string(list_filter(string_split(lower({x}), ' '), lambda w: length(w) > 1 AND w NOT IN {_NOISE}), ' ')"
 _CODE = "lpad(CAST((p_partkey % 40) * 2300017 + 1010000 AS VARCHAR), 8, '0')"
-_VALID = f"valid AS (SELECT DISTINCT {_CODE} AS code FROM part WHERE p_partkey % 40 NOT IN {NOT_VALID} UNION SELECT * FROM (VALUES ('17110190'), ('40200290'), ('33610200')))"
+_VALID = f"valid AS (SELECT DISTINCT {_CODE} AS code FROM part WHERE p_partkey % 40 NOT IN {NOT_VALID} UNION SELECT * FROM (VALUES ('17110190'), ('40200290'), ('33610200'), ('33610290'), ('86610600'), ('79109900')))"
+_BAD = "bad AS (SELECT * FROM (VALUES ('01010000','03310017'), ('12510085','99999999'), ('17110119','17110100'), ('40200200','40200209'), ('86610600','86610601'), ('33610290','33610299')) t(code, correct_code))"
+#: The rules in order: listed, valid, with 00, by subheading, by heading, itself.
+_FIX = lambda c: f"""CASE WHEN {c} IN (SELECT code FROM bad) THEN (SELECT correct_code FROM bad WHERE bad.code = {c}) WHEN {c} IN (SELECT code FROM valid) THEN {c}
+  WHEN left({c}, 6) || '00' IN (SELECT code FROM valid) THEN coalesce((SELECT correct_code FROM bad WHERE bad.code = left({c}, 6) || '00'), left({c}, 6) || '00')
+  ELSE coalesce((SELECT max(v.code) FROM valid v WHERE left(v.code, 6) = left({c}, 6) AND right(v.code, 2) = '90' AND v.code NOT IN (SELECT code FROM bad)),
+                (SELECT max(v.code) FROM valid v WHERE left(v.code, 6) = left({c}, 6) AND v.code NOT IN (SELECT code FROM bad)),
+                (SELECT max(v.code) FROM valid v WHERE left(v.code, 4) = left({c}, 4) AND right(v.code, 2) IN ('90', '00') AND v.code NOT IN (SELECT code FROM bad)),
+                (SELECT max(v.code) FROM valid v WHERE left(v.code, 4) = left({c}, 4) AND v.code NOT IN (SELECT code FROM bad)), {c}) END"""
 _KEYS = f"ks AS (SELECT DISTINCT {_KEY(chr(39).join(['p_name || ', ' ', ' || p_type']))} AS key FROM part)"
 _ASSESSED = f"""{_VALID}, src AS (
-  SELECT {_KEY("CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name END")} AS description_norm, p_name, p_brand, 'db' || p_size % 3 AS source,
+  SELECT {_KEY("CASE WHEN p_partkey % 9 = 0 THEN (p_partkey % 37 + 10) || ' ' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name END")} AS description_norm, p_name, p_brand, 'db' || p_size % 3 AS source,
          CASE WHEN p_partkey % 7 = 0 THEN {_CODE} ELSE lpad(CAST((length(p_name) * 5000011 + ascii(p_name) * 70001) % 97000000 + 1000000 AS VARCHAR), 8, '0') END AS code FROM part),
 votes AS (SELECT description_norm, code, count(*) AS n FROM src GROUP BY ALL),
 pick AS (SELECT *, row_number() OVER (PARTITION BY description_norm ORDER BY n DESC, code NOT IN (SELECT code FROM valid), code) AS r, sum(n) OVER (PARTITION BY description_norm) AS total FROM votes),
@@ -190,13 +203,22 @@ extra AS (SELECT description_norm, max_by(p_name, (length(p_name), p_name)) AS s
           array_to_string(list_slice(list_sort(list_distinct(list(p_brand))), 1, 10), ',') AS refs FROM src GROUP BY 1),
 assessed AS (SELECT description_norm, code, n AS count, CAST(total AS BIGINT) AS total, CAST(round(CAST(n / total AS DECIMAL(18,6)), 3) AS DOUBLE) AS confidence, sample, sources, refs
              FROM pick JOIN extra USING (description_norm) WHERE r = 1)"""
-_TIER1 = "t1 AS (SELECT key, code, least(0.97, 0.90 + 0.07 * confidence) AS score, 'exact' AS tier FROM ks JOIN assessed ON key = description_norm WHERE confidence >= 0.60 AND count >= 2)"
-_TIER2 = """p2 AS (SELECT key, code, description_norm, least(length(key), length(description_norm)) / greatest(length(key), length(description_norm)) AS cov FROM ks, assessed
+_TIER1 = "t1 AS (SELECT key, code, least(0.97, 0.90 + 0.07 * confidence) AS score, 'exact' AS tier, key AS entry FROM ks JOIN assessed ON key = description_norm WHERE confidence >= 0.60 AND count >= 2)"
+_TIER2 = """p2 AS (SELECT key, code, confidence, description_norm, least(length(key), length(description_norm)) / greatest(length(key), length(description_norm)) AS cov FROM ks, assessed
   WHERE (contains(key, description_norm) OR contains(description_norm, key)) AND contains(key, ' ') AND contains(description_norm, ' ') AND least(length(key), length(description_norm)) >= 12),
-t2 AS (SELECT key, code, least(0.92, 0.85 + 0.07 * cov) AS score, 'containment' AS tier FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cov DESC, description_norm) AS r FROM p2 WHERE cov >= 0.40) WHERE r = 1)"""
+t2 AS (SELECT key, code, least(0.92, 0.85 + 0.07 * confidence) AS score, 'containment' AS tier, description_norm AS entry FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cov DESC, description_norm) AS r FROM p2 WHERE cov >= 0.40) WHERE r = 1)"""
 _TIER3 = """w AS (SELECT key, list_distinct(string_split(key, ' ')) AS a FROM ks), v AS (SELECT *, list_distinct(string_split(description_norm, ' ')) AS b FROM assessed WHERE confidence >= 0.85 AND count >= 5),
 p3 AS (SELECT key, code, description_norm, len(list_intersect(a, b)) AS c, (len(list_intersect(a, b)) / len(a) + len(list_intersect(a, b)) / len(b)) / 2 AS share FROM w, v WHERE len(a) >= 3),
-t3 AS (SELECT key, code, least(0.85, 0.75 + 0.10 * share) AS score, 'overlap' AS tier FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY share DESC, description_norm) AS r FROM p3 WHERE c >= 3 AND share > 0.75) WHERE r = 1)"""
+t3 AS (SELECT key, code, least(0.85, 0.75 + 0.10 * share) AS score, 'overlap' AS tier, description_norm AS entry FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY share DESC, description_norm) AS r FROM p3 WHERE c >= 3 AND share > 0.75) WHERE r = 1)"""
+_CROSS = """matched AS (SELECT cand.*, a.count AS own, string_split(a.refs, ',') AS refs FROM cand JOIN assessed a ON a.description_norm = cand.entry),
+rival AS (SELECT left(code, 2) AS chapter, count, string_split(refs, ',') AS refs FROM assessed WHERE regexp_matches(description_norm, '^[0-9]')),
+asked AS (SELECT key, list_distinct(string_split(key, ' ')) AS a FROM (SELECT DISTINCT key FROM cand)),
+sib AS (SELECT asked.key, left(s.code, 2) AS chapter, sum(s.count) AS weight, min(s.description_norm) AS first FROM asked, assessed s
+        WHERE len(a) >= 2 AND len(list_distinct(string_split(s.description_norm, ' '))) >= 2 AND len(list_intersect(a, string_split(s.description_norm, ' '))) >= greatest(2.0, 0.75 * len(a)) GROUP BY ALL),
+led AS (SELECT key, chapter, sum(weight) OVER (PARTITION BY key) AS total, row_number() OVER (PARTITION BY key ORDER BY weight DESC, first) AS r FROM sib),
+stands AS (SELECT m.* FROM matched m LEFT JOIN sib ON sib.key = m.key AND sib.chapter = left(m.code, 2) LEFT JOIN led ON led.key = m.key AND led.r = 1
+           WHERE NOT EXISTS (SELECT 1 FROM rival WHERE list_has_any(rival.refs, m.refs) AND rival.chapter <> left(m.code, 2) AND rival.count >= m.own)
+             AND (led.chapter IS NULL OR led.chapter = left(m.code, 2) OR coalesce(sib.weight, 0) >= 0.30 * led.total))"""
 _SCORE = "CAST(round(CAST(score AS DECIMAL(18,8)), 4) AS DOUBLE) AS score"
 _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({s}, '{i}', '{c}', '{k}', {p}, {e or '[]::VARCHAR[]'}, {q}, {f}::DOUBLE)" for s, i, c, k, p, e, q, f in RULES) + ") t(seq, id, code, category, patterns, exclude, priority, confidence))"
 _RULE_PAIRS = "pairs AS (SELECT key, id AS rule_id, code, category, confidence, priority, seq FROM ks, rules WHERE len(list_filter(exclude, lambda p: contains(key, p))) = 0 AND len(list_filter(patterns, lambda p: {test})) > 0)"
@@ -213,17 +235,13 @@ SQL = {
     "assessed_exact": f"WITH {_ASSESSED}, {_KEYS}, {_TIER1} SELECT key, code, {_SCORE}, tier FROM t1",
     "assessed_containment": f"WITH {_ASSESSED}, {_KEYS}, {_TIER2} SELECT key, code, {_SCORE}, tier FROM t2",
     "assessed_token_overlap": f"WITH {_ASSESSED}, {_KEYS}, {_TIER3} SELECT key, code, {_SCORE}, tier FROM t3",
-    "assessed_lookup": f"""WITH {_ASSESSED}, {_KEYS}, {_TIER1}, {_TIER2}, {_TIER3},
-        tiers AS (SELECT *, 1 AS n FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3)
-        SELECT key, code, {_SCORE}, tier FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM tiers WHERE length(key) % 3 <> 0 OR left(code, 2) = '46') WHERE r = 1""",
+    "assessed_lookup": f"""WITH {_ASSESSED}, {_BAD}, {_KEYS}, {_TIER1}, {_TIER2}, {_TIER3},
+        tiers AS (SELECT *, 1 AS n FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3),
+        cand AS (SELECT * REPLACE ({_FIX("tiers.code")} AS code) FROM tiers), {_CROSS}
+        SELECT key, code, {_SCORE}, tier FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM stands WHERE length(key) % 3 <> 0 OR left(code, 2) = '46') WHERE r = 1""",
     "chapter_cross_validate": f"""WITH {_ASSESSED}, {_KEYS}, {_TIER2},
-        cand AS (SELECT key, CASE WHEN length(key) % 2 = 0 THEN '99999999' ELSE code END AS code FROM t2),
-        w AS (SELECT key, code, list_distinct(string_split(key, ' ')) AS a FROM cand),
-        sib AS (SELECT w.key, left(s.code, 2) AS chapter, sum(s.count) AS weight FROM w, assessed s
-                WHERE len(a) >= 2 AND len(list_intersect(a, string_split(s.description_norm, ' '))) >= greatest(2.0, 0.75 * len(a)) GROUP BY ALL),
-        led AS (SELECT key, max(weight) AS most, sum(weight) AS total FROM sib GROUP BY 1)
-        SELECT cand.key, cand.code FROM cand LEFT JOIN sib ON sib.key = cand.key AND sib.chapter = left(cand.code, 2) LEFT JOIN led ON led.key = cand.key
-        WHERE NOT coalesce(total IS NOT NULL AND coalesce(weight, 0) < most AND coalesce(weight, 0) / total < 0.30, false)""",
+        cand AS (SELECT key, CASE WHEN length(key) % 2 = 0 THEN '99999999' ELSE code END AS code, entry FROM t2), {_CROSS}
+        SELECT key, code FROM stands""",
     "rule_match_v1": f"WITH {_KEYS}, {_RULES}, {_RULE_PAIRS.format(test=_BOUNDED)} " + _FIRST_RULE.format(gate="(NOT ends_with(key, 'standard') OR left(code, 2) = '39')"),
     "rule_match_v2": f"WITH {_KEYS}, {_RULES}, {_RULE_PAIRS.format(test='contains(key, p)')} {_FIRST_RULE.format(gate='true')}",
     "category_keyword_score": f"""WITH {_KEYS}, cats AS (SELECT * FROM (VALUES {", ".join(f"({s}, '{c}', '{n}', {k}, {m or '[]::VARCHAR[]'}, {i})" for s, c, n, k, m, i in CATEGORIES)}) t(seq, code, category, kw, mat, it)),
@@ -231,13 +249,12 @@ SQL = {
         SELECT key, code, category, CAST(points AS INT) AS points, CAST(least(0.75, 0.5 + 0.05 * points) AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY points DESC, seq) AS r FROM s WHERE points >= 2) WHERE r = 1""",
     "brand_lookup": f"""WITH {_KEYS}, b AS (SELECT * FROM (VALUES (1, 'cold', '84189900'), (2, 'gear', '84839000'), (3, 'gizmo', '95030000')) t(seq, brand, code))
         SELECT key, brand, code, CAST(0.7 AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS r FROM ks, b WHERE contains(key, brand)) WHERE r = 1""",
-    "code_validate_correct": f"""WITH {_VALID}, bad AS (SELECT * FROM (VALUES ('01010000','03310017'), ('12510085','99999999'), ('17110119','17110100')) t(code, correct_code)),
-        rows AS (SELECT p_partkey, {_CODE} AS code FROM part), n AS (SELECT rows.*, correct_code, coalesce(correct_code, rows.code) AS now FROM rows LEFT JOIN bad USING (code)),
-        x AS (SELECT n.*, now IN (SELECT code FROM valid) AS ok, left(now, 6) || '00' IN (SELECT code FROM valid) AS zok,
-              (SELECT coalesce(max(code) FILTER (code LIKE '%90'), max(code)) FROM valid v WHERE left(v.code, 6) = left(now, 6)) AS n6,
-              (SELECT coalesce(max(code) FILTER (code LIKE '%90'), max(code)) FROM valid v WHERE left(v.code, 4) = left(now, 4)) AS n4 FROM n)
-        SELECT p_partkey, code, CASE WHEN ok THEN now WHEN zok THEN left(now, 6) || '00' ELSE coalesce(n6, n4) END AS corrected,
-               CASE WHEN ok AND correct_code IS NOT NULL THEN 'mapped' WHEN ok THEN 'valid' WHEN zok THEN 'zero' WHEN n6 IS NOT NULL THEN 'subheading' WHEN n4 IS NOT NULL THEN 'heading' END AS how FROM x""",
+    "code_validate_correct": f"""WITH {_VALID}, {_BAD}, rows AS (SELECT p_partkey, {_CODE} AS code FROM part), x AS (SELECT *, left(code, 6) || '00' AS zero FROM rows)
+        SELECT p_partkey, code, {_FIX("x.code")} AS corrected,
+               CASE WHEN code IN (SELECT code FROM bad) THEN 'mapped' WHEN code IN (SELECT code FROM valid) THEN 'valid'
+                    WHEN zero IN (SELECT code FROM valid) THEN CASE WHEN zero IN (SELECT code FROM bad) THEN 'zero mapped' ELSE 'zero' END
+                    WHEN EXISTS (SELECT 1 FROM valid v WHERE left(v.code, 6) = left(x.code, 6) AND v.code NOT IN (SELECT code FROM bad)) THEN 'subheading'
+                    WHEN EXISTS (SELECT 1 FROM valid v WHERE left(v.code, 4) = left(x.code, 4) AND v.code NOT IN (SELECT code FROM bad)) THEN 'heading' ELSE 'none' END AS how FROM x""",
     "category_walkup": f"""WITH {_TREE_SQL}, u AS (SELECT r.p_partkey, r.code, l.description AS leaf, coalesce(t8.description, t6.description, t4.description, t2.description) AS up,
             CASE WHEN t8.code IS NOT NULL THEN 8 WHEN t6.code IS NOT NULL THEN 6 WHEN t4.code IS NOT NULL THEN 4 WHEN t2.code IS NOT NULL THEN 2 END AS level
             FROM rows r LEFT JOIN tree l ON l.code = r.code {_UPS("lower({a}.description) <> $$other$$")})
@@ -245,7 +262,7 @@ SQL = {
     "rate_walkup": f"""WITH {_TREE_SQL} SELECT r.p_partkey, r.code, CAST(coalesce(t8.rate, t6.rate, t4.rate, t2.rate, 0.20) AS DOUBLE) AS rate,
             CASE WHEN t8.code IS NOT NULL THEN 8 WHEN t6.code IS NOT NULL THEN 6 WHEN t4.code IS NOT NULL THEN 4 WHEN t2.code IS NOT NULL THEN 2 END AS level FROM rows r {_UPS("{a}.rate IS NOT NULL")}""",
     "hs_code_gate": f"""WITH {_VALID} SELECT p_partkey, {_CODE} AS code FROM part WHERE CAST(left({_CODE}, 2) AS INT) BETWEEN 1 AND 97 AND left({_CODE}, 2) <> '77'
-        AND {_CODE} NOT IN ('01010000', '12510085', '17110119') AND {_CODE} IN (SELECT code FROM valid)""",
+        AND {_CODE} NOT IN ('01010000', '12510085', '17110119', '40200200', '86610600', '33610290') AND {_CODE} IN (SELECT code FROM valid)""",
     "batch_dedup_fanout": f"""WITH items AS (SELECT {_KEY("p_name || ' ' || lower(p_type) || ' size ' || p_size")} AS key, CAST(l_extendedprice AS DECIMAL(18,2)) AS total_cost FROM lineitem JOIN part ON l_partkey = p_partkey),
         ks AS (SELECT DISTINCT key FROM items), {_RULES}, {_RULE_PAIRS.format(test=_BOUNDED)}, hit AS ({_FIRST_RULE.format(gate="true")})
         SELECT coalesce(code, 'UNKNOWN') AS code, count(*) AS n, CAST(sum(total_cost) AS DECIMAL(18,2)) AS cost FROM items LEFT JOIN hit USING (key) GROUP BY 1""",

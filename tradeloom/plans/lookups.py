@@ -77,8 +77,8 @@ def charge_list(spark, d):
     return c.select("c_custkey", F.posexplode(L.charges(F.col("t"))).alias("place", "amount"))
 
 
-def arithmetic(spark, d, every=10):
-    i = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0").select("invoice_id", "seq", (F.col("part_id") % 9 + 1).alias("base"))
+def arithmetic(spark, d):
+    i = with_seq(invoice_items(spark, d)).select("invoice_id", "seq", (F.col("part_id") % 9 + 1).alias("base"))
     q, u = (F.col("seq") + 1), F.col("base")
     made = i.select("invoice_id", "seq", F.when(F.col("seq") % 3 == 0, q + 5).otherwise(q).cast("decimal(18,4)").alias("quantity"), F.when(F.col("seq") % 3 == 1, u + F.lit(0.1)).otherwise(u).cast("decimal(18,4)").alias("unit_cost"), (q * u).cast("decimal(18,2)").alias("total_cost"))
     return L.arithmetic_fixed(made)
@@ -124,7 +124,6 @@ def disagree(spark, d):
 QUERIES = {
     "sku_classification": sku_classify, "tariff_lookup_exact": exact_lookup, "office_lookup": office, "supplier_lookup": supplier, "bundle_inheritance": bundle_inherit, "recap_cross_reference": recap,
     "lookup_cache": cache, "ocr_variant_pick": variants, "field_extraction": fields, "content_class": classes, "cc_charges": charge_list, "item_arithmetic_fix": arithmetic, "metadata_arithmetic_fix": digits,
-    "item_arithmetic_fix_whole": lambda spark, d: arithmetic(spark, d, 1),
     "currency_conversion": convert, "email_status": statuses, "totals_block": block, "group_header_recompute": headers, "consignee_disagreement": disagree,
 }
 
@@ -155,7 +154,7 @@ SQL = {
         CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '\b([0-9]{1,3}\.[0-9]{2})\b', 1), lambda x: CAST(x AS DECIMAL(18,2)))), 0) AS DECIMAL(18,2)) AS amount FROM documents""",
     "content_class": "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'invoice' WHEN 1 THEN 'freight' WHEN 2 THEN 'recap' WHEN 3 THEN 'manifest' WHEN 4 THEN 'packing_list' WHEN 5 THEN 'bill_of_lading' WHEN 6 THEN 'declaration' ELSE 'unknown' END AS content FROM part",
     "cc_charges": """WITH c AS (SELECT c_custkey, abs(CAST(c_acctbal AS DECIMAL(18,2))) AS a FROM customer) SELECT c_custkey, 0 AS place, a AS amount FROM c WHERE a > 0 UNION ALL SELECT c_custkey, CASE WHEN a > 0 THEN 1 ELSE 0 END, CAST(a + 1 AS DECIMAL(18,2)) FROM c""",
-    "item_arithmetic_fix": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, b AS (SELECT invoice_id, seq, seq + 1 AS q, part_id % 9 + 1 AS u FROM numbered WHERE invoice_id % 10 = 0),
+    "item_arithmetic_fix": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, b AS (SELECT invoice_id, seq, seq + 1 AS q, part_id % 9 + 1 AS u FROM numbered),
         m AS (SELECT invoice_id, seq, CASE WHEN seq % 3 = 0 THEN q + 5 ELSE q END AS quantity, CASE WHEN seq % 3 = 1 THEN u + 0.1 ELSE u END AS unit_cost, q * u AS t, q, u FROM b),
         h AS (SELECT *, CASE WHEN abs(quantity * unit_cost - t) <= 0.01 THEN 'kept' WHEN seq % 3 = 0 OR (t * 10) % CAST(unit_cost * 10 AS BIGINT) = 0 THEN 'quantity' WHEN abs(CAST(t AS DOUBLE) / quantity - unit_cost) <= 0.25 * unit_cost THEN 'cost' ELSE 'open' END AS how FROM m)
         SELECT invoice_id, seq, CAST(CASE WHEN how = 'quantity' THEN round(CAST(t AS DOUBLE) / unit_cost) ELSE quantity END AS DECIMAL(18,4)) AS quantity, CAST(CASE WHEN how = 'cost' THEN u ELSE unit_cost END AS DECIMAL(18,4)) AS unit_cost, CAST(t AS DECIMAL(18,2)) AS total_cost, how FROM h""",

@@ -68,39 +68,73 @@ def votes(spark, d):
     return O.token_votes(_tokens(spark, d)).groupBy("doc_id").agg(F.count("*").alias("words"), F.sum((F.col("votes") == 3).cast("int")).alias("unanimous"), F.sum(F.length("token")).alias("chars"))
 
 
-def two_way(spark, d, every=50):
-    items = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0")
-    return O.partitioned(items, [0.5, 0.5]).groupBy("invoice_id").agg(F.count("*").alias("items"), F.countDistinct("declaration").alias("declarations"))
+def two_way(spark, d):
+    """Each invoice divided in halves: every item's declaration."""
+    return O.partitioned(with_seq(invoice_items(spark, d)), [0.5, 0.5])
 
 
 def rebalanced(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("shipment_id"), F.col("o_orderkey").alias("invoice_id"), (F.col("o_orderkey") % 5 + 1).alias("packages"), (F.col("o_custkey") % 40 + 10).alias("bl_total"))
-    return O.packages_redistributed(o, "shipment_id", "invoice_id").groupBy("shipment_id").agg(F.sum("packages").alias("packages"), F.count("*").alias("invoices"))
+    return O.packages_redistributed(o, "shipment_id", "invoice_id")
+
+
+def cap(spark, d):
+    k = F.col("o_custkey")
+    o = table(spark, d, "orders").select(k.alias("shipment_id"), F.col("o_orderkey").alias("invoice_id"), (F.col("o_orderkey") % 5).alias("packages"), F.when(k % 3 == 0, k % 20 + 1).alias("bill_packages"), F.when(k % 3 < 2, k % 12 + 5).alias("manifest_packages"))
+    return O.packages_capped(o, "shipment_id", "invoice_id")
+
+
+#: Readings and how far each is trusted (made up).
+TRUST = {"scan": 3, "text": 2, "photo": 1}
+
+
+def _readings(spark, d):
+    """Three made-up readings of each conversation turn: as it is, with letters misread, and without every third line."""
+    t = table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn", "role", "text").alias("doc_id"), "text").distinct()
+    lines = t.select("doc_id", F.posexplode(F.split("text", r"[.]\s*")).alias("line_no", "text"))
+    worse = lines.select("doc_id", F.lit("photo").alias("variant"), "line_no", F.translate("text", "oe", "0c").alias("text"))
+    gaps = lines.filter("line_no % 3 < 2").select("doc_id", F.lit("text").alias("variant"), "line_no", F.upper("text").alias("text"))
+    return lines.select("doc_id", F.lit("scan").alias("variant"), "line_no", "text").unionByName(worse).unionByName(gaps)
 
 
 def aligned(spark, d):
-    """Two made-up readings of conversation turns, aligned."""
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.posexplode(F.split("text", r"[.]\s*")).alias("line_no", "text")).filter("length(text) > 0")
-    lines = t.select("doc_id", F.lit(1).alias("variant"), "line_no", "text").unionByName(t.select("doc_id", F.lit(2).alias("variant"), "line_no", F.translate("text", "oe", "0c").alias("text")))
-    return O.lines_aligned(lines.dropDuplicates(["doc_id", "variant", "line_no"])).groupBy("doc_id").agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("lines"))
+    """All readings of all turns, aligned."""
+    return O.lines_aligned(_readings(spark, d), TRUST)
 
 
-def _pairs(spark, d, every=10):
-    items = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0").select("invoice_id", "seq", "part_id", "sku", F.lit(None).cast("string").alias("legacy_sku"), F.col("part_id").cast("string").alias("catalog"), "quantity", "unit_cost", "total_cost")
+def agreed(spark, d):
+    return O.consensus(_readings(spark, d), TRUST)
+
+
+def _pairs(spark, d):
+    items = with_seq(invoice_items(spark, d)).select("invoice_id", "seq", "part_id", "sku", F.lit(None).cast("string").alias("legacy_sku"), F.col("part_id").cast("string").alias("catalog"), "quantity", "unit_cost", "total_cost")
     po = items.select(
         "invoice_id", F.col("seq").alias("po_seq"), F.when(F.col("seq") % 3 == 0, F.col("sku")).when(F.col("seq") % 3 == 1, F.concat(F.lit("alt"), "part_id")).otherwise(F.concat("sku", F.lit("-X"))).alias("po_sku"),
         F.concat(F.lit("P"), F.col("part_id")).alias("po_short"), F.concat(F.lit("part "), F.col("part_id") + 1).alias("po_description"), (F.col("quantity") + F.col("seq") % 3).alias("po_quantity"), "unit_cost", "total_cost",
     ).withColumnsRenamed({"unit_cost": "po_price", "total_cost": "po_total"})
-    aliases = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.when(F.col("p_partkey") % 10 == 0, "ST").otherwise(""), F.lit("SKU"), F.col("p_partkey")).alias("sku"), F.concat(F.lit("ALT"), F.col("p_partkey")).alias("po_sku"))
-    return M.po_scores(items.join(po, "invoice_id"), aliases)
+    k = F.col("p_partkey")
+    own, other = F.concat(F.when(k % 10 == 0, "ST-").otherwise(""), F.lit("SKU-"), k), F.concat(F.lit("alt-"), k)
+    aliases = table(spark, d, "part").filter("p_partkey % 2 = 0").select(  # the key is ours or theirs, the other one either code
+        F.when(k % 4 == 0, own).otherwise(other).alias("sku"), F.when(k % 8 == 0, other).when(k % 8 == 2, own).alias("bm_code"), F.when(k % 8 == 4, other).when(k % 8 == 6, own).otherwise(F.lit("none")).alias("supplier_item")
+    )
+    return M.po_scores(items, po, "invoice_id", aliases)
+
 
+def po_score(spark, d):
+    return _pairs(spark, d).select("invoice_id", "seq", "po_seq", "score")
 
-def po_score(spark, d, every=10):
-    return _pairs(spark, d, every).select("invoice_id", "seq", "po_seq", "score")
+
+def candidates(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    inv = o.select(k.alias("invoice_id"), F.when(k % 3 == 0, F.concat(F.lit("2026-"), F.lpad(k.cast("string"), 6, "0"))).otherwise(F.concat(F.lit("2026"), F.lpad(k.cast("string"), 6, "0"))).alias("ref"))
+    number = F.lpad((k * 7 % 900000).cast("string"), 6, "0")
+    refs = F.array(F.concat(F.lit("2026-"), number, F.when(k % 2 == 0, F.lit("-B")).otherwise(F.lit(""))), F.when(k % 5 == 0, F.concat(F.lit("PO2026"), number, F.lit("X"))).otherwise(F.lit("")))
+    return M.po_candidates(inv, o.select(k.alias("order_id"), refs.alias("refs")))
 
 
 def po_greedy(spark, d):
-    return M.po_assigned(_pairs(spark, d, 1))
+    return M.po_assigned(_pairs(spark, d))
 
 
 def bl_match(spark, d):
@@ -162,13 +196,13 @@ QUERIES = {
     "exclusive_claim": claims, "largest_remainder": remainder, "unit_explode_roundrobin": dealt, "token_vote": votes, "two_way_partition": two_way, "package_rebalance": rebalanced,
     "line_align": aligned, "po_score": po_score, "po_greedy_assign": po_greedy, "bl_match": bl_match, "elimination_match": elimination, "generated_vs_exported": exported,
     "ocr_diff": diff, "fixes_join": fixes, "officer_match": officer, "email_link_window": emails, "consignee_group": consignee,
-    "two_way_partition_whole": lambda spark, d: two_way(spark, d, 1), "po_score_whole": lambda spark, d: po_score(spark, d, 1),
+    "po_candidates": candidates, "package_cap": cap, "reading_consensus": agreed,
 }
 
 _FIRST = lambda cols, src, part, order: f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS r FROM {src}) WHERE r = 1"
 _EV = "e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type <> 'view' THEN event_type END AS ident FROM events)"
 _FILLED = f"WITH {_EV}, f AS (SELECT user_id, event_id, event_type, ident AS raw, last_value(ident IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM e)"
-_PAIRS = f"""WITH {ITEMS_SQL}, {SEQ_SQL}, i AS (SELECT * FROM numbered WHERE invoice_id % 10 = 0),
+_PAIRS = f"""WITH {ITEMS_SQL}, {SEQ_SQL}, i AS (SELECT * FROM numbered),
   po AS (SELECT invoice_id, seq AS po_seq, CASE seq % 3 WHEN 0 THEN sku WHEN 1 THEN 'alt' || part_id ELSE sku || '-X' END AS po_sku, 'P' || part_id AS po_short, 'part ' || (part_id + 1) AS po_description,
          quantity + seq % 3 AS po_quantity, unit_cost AS po_price, total_cost AS po_total FROM i),
   p AS (SELECT i.*, po.* EXCLUDE (invoice_id), upper(replace(sku, '-', '')) AS a, upper(replace(po_sku, '-', '')) AS b FROM i JOIN po USING (invoice_id)),
@@ -203,9 +237,30 @@ SQL = {
         c AS (SELECT doc_id, pos, token, count(*) AS votes, max(priority) AS priority FROM t GROUP BY 1, 2, 3),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY votes DESC, priority DESC, token) AS r FROM c) WHERE r = 1)
         SELECT doc_id, count(*) AS words, count(*) FILTER (votes = 3) AS unanimous, CAST(sum(length(token)) AS BIGINT) AS chars FROM b GROUP BY 1""",
-    "two_way_partition": "SELECT l_orderkey AS invoice_id, count(*) AS items, CASE WHEN count(*) >= 2 THEN 2 ELSE 1 END AS declarations FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1",
-    "package_rebalance": "SELECT o_custkey AS shipment_id, greatest(o_custkey % 40 + 10, count(*)) AS packages, count(*) AS invoices FROM orders GROUP BY o_custkey",
+    # all ways of each invoice: bit i set puts item i + 1 into the first declaration
+    "two_way_partition": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, t AS (SELECT invoice_id, list(CAST(total_cost AS DOUBLE) ORDER BY seq) AS costs, sum(CAST(total_cost AS DOUBLE) ORDER BY seq) AS whole FROM numbered GROUP BY 1),
+        ways AS (SELECT invoice_id, costs, whole, unnest(CASE WHEN len(costs) > 1 THEN range(1, (1 << len(costs)) - 1) ELSE [1] END) AS mask FROM t),
+        summed AS (SELECT *, list_reduce(list_prepend(0.0, list_transform(costs, lambda c, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN c ELSE 0.0 END)), lambda x, y: x + y) AS s0,
+                   list_reduce(list_prepend(0.0, list_transform(costs, lambda c, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN 0.0 ELSE c END)), lambda x, y: x + y) AS s1 FROM ways),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY greatest(abs(s0 - 0.5 * whole), abs(s1 - 0.5 * whole)) / (0.5 * whole), abs(s0 - 0.5 * whole) + abs(s1 - 0.5 * whole), mask) AS r FROM summed) WHERE r = 1)
+        SELECT invoice_id, CAST(unnest(range(1, len(costs) + 1)) AS INT) AS seq, unnest(list_transform(costs, lambda c, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN 0 ELSE 1 END)) AS declaration, 0.5 * whole < 1.0 AS unreliable FROM best""",
+    "package_rebalance": """WITH o AS (SELECT o_custkey AS shipment_id, o_orderkey AS invoice_id, o_orderkey % 5 + 1 AS p, o_custkey % 40 + 10 AS total FROM orders),
+        g AS (SELECT *, count(*) OVER s AS n, total - sum(p) OVER s AS extra, max(p) OVER s > 1 AS large FROM o WINDOW s AS (PARTITION BY shipment_id)),
+        t AS (SELECT *, p > 1 OR NOT large AS taker, sum(CASE WHEN p > 1 OR NOT large THEN p END) OVER (PARTITION BY shipment_id) AS w FROM g),
+        f AS (SELECT *, CASE WHEN taker AND extra > 0 THEN CAST(p * extra AS DOUBLE) / w ELSE 0 END AS share FROM t),
+        r AS (SELECT *, extra - sum(floor(share)) OVER (PARTITION BY shipment_id) AS over, row_number() OVER (PARTITION BY shipment_id ORDER BY NOT taker, share - floor(share) DESC, invoice_id) AS turn,
+              coalesce(sum(p - 1) OVER (PARTITION BY shipment_id ORDER BY p DESC, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM f)
+        SELECT shipment_id, invoice_id, CAST(CASE WHEN total <= n THEN 1 WHEN extra > 0 THEN p + floor(share) + CASE WHEN taker AND turn <= over THEN 1 ELSE 0 END
+               ELSE p - least(p - 1, greatest(0, -extra - cut)) END AS BIGINT) AS packages FROM r""",
+    "package_cap": """WITH o AS (SELECT o_custkey AS shipment_id, o_orderkey AS invoice_id, greatest(o_orderkey % 5, 1) AS p,
+              CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 20 + 1 WHEN o_custkey % 3 < 2 THEN o_custkey % 12 + 5 END AS most FROM orders),
+        r AS (SELECT *, count(*) OVER s AS n, sum(p) OVER s - most AS surplus, coalesce(sum(p - 1) OVER (PARTITION BY shipment_id ORDER BY p DESC, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM o WINDOW s AS (PARTITION BY shipment_id))
+        SELECT shipment_id, invoice_id, CAST(CASE WHEN most IS NULL THEN p WHEN most < n THEN 1 ELSE p - least(p - 1, greatest(0, surplus - cut)) END AS BIGINT) AS packages FROM r""",
     "po_score": f"{_PAIRS} SELECT * FROM scored",
+    "po_candidates": """WITH inv AS (SELECT o_orderkey AS invoice_id, '2026' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS a FROM orders),
+        po AS (SELECT o_orderkey AS order_id, unnest(CASE WHEN o_orderkey % 5 = 0 THEN ['2026' || lpad(CAST(o_orderkey * 7 % 900000 AS VARCHAR), 6, '0'), 'PO2026' || lpad(CAST(o_orderkey * 7 % 900000 AS VARCHAR), 6, '0') || 'X']
+               ELSE ['2026' || lpad(CAST(o_orderkey * 7 % 900000 AS VARCHAR), 6, '0')] END) AS b FROM orders)
+        SELECT DISTINCT invoice_id, order_id FROM inv JOIN po ON b = a OR b = 'PO' || a || 'X'""",
     "bl_match": f"""WITH {_INV}, h AS (SELECT DISTINCT invoice_id, shipment_id, packages, weight FROM inv JOIN shp USING (ref)), s AS (SELECT invoice_id, CAST(sum(packages) AS BIGINT) AS packages, CAST(sum(weight) AS BIGINT) AS weight FROM h GROUP BY 1)
         SELECT o_orderkey AS invoice_id, coalesce(packages, 1) AS packages, coalesce(weight, 0) AS weight FROM orders LEFT JOIN s ON invoice_id = o_orderkey""",
     "elimination_match": """WITH a AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS invoice_id FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1 HAVING count(*) = 1),

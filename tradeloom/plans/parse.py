@@ -8,16 +8,16 @@ from tradeloom.operators import parsing as P
 from tradeloom.sources.tables import ITEMS_SQL, SEQ_SQL, invoice_items, table, with_seq
 
 
-def _lines(spark, d, every=20):
+def _lines(spark, d):
     """Two lines an item: its words, and size and price; some items have their price left out."""
-    i = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0")
+    i = with_seq(invoice_items(spark, d))
     price = F.when(F.col("seq") % 4 == 0, F.lit("no price")).otherwise(F.concat(F.lit("$"), F.col("total_cost").cast("string")))
     each = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("sku").alias("line")), F.struct(F.lit(1).alias("k"), F.concat_ws(" ", F.lit("lot"), price).alias("line")))).alias("l")
     return i.select(F.col("invoice_id").alias("doc_id"), "seq", each).select("doc_id", (F.col("seq") * 2 + F.col("l.k")).alias("line_no"), "l.line")
 
 
-def multiline(spark, d, every=20):
-    return P.multiline_items(_lines(spark, d, every))
+def multiline(spark, d):
+    return P.multiline_items(_lines(spark, d))
 
 
 def columns(spark, d):
@@ -82,12 +82,11 @@ def rates(spark, d):
 QUERIES = {
     "multiline_items": multiline, "column_items": columns, "table_rows": dump, "clean_rules": clean, "sensible_line": sensible_lines, "page_position": positions, "page_order": page_order,
     "page_marker": markers, "ocr_confidence": confidence, "package_check": packages, "shipment_split": splits, "accuracy_report": rates,
-    "multiline_items_whole": lambda spark, d: multiline(spark, d, 1),
 }
 
 _EV = "e AS (SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f, CASE WHEN event_id % 11 > 0 THEN event_id % 7 END AS marker FROM events)"
 SQL = {
-    "multiline_items": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, l AS (SELECT invoice_id AS doc_id, seq, sku, total_cost, seq % 4 > 0 AS priced FROM numbered WHERE invoice_id % 20 = 0),
+    "multiline_items": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, l AS (SELECT invoice_id AS doc_id, seq, sku, total_cost, seq % 4 > 0 AS priced FROM numbered),
         g AS (SELECT *, coalesce(sum(CAST(priced AS INT)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS item FROM l)
         SELECT doc_id, item, string_agg(sku || ' lot' || CASE WHEN priced THEN '' ELSE ' no price' END, ' ' ORDER BY seq) AS description, max(total_cost) FILTER (priced) AS price FROM g GROUP BY 1, 2 HAVING bool_or(priced)""",
     "column_items": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, a AS (SELECT invoice_id, row_number() OVER (PARTITION BY invoice_id ORDER BY seq) AS n, sku AS description FROM numbered WHERE seq <> 2),

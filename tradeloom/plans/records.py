@@ -120,23 +120,23 @@ def types(spark, d):
     return table(spark, d, "documents").select("doc_id", D.type_scored(F.col("text"), TYPES).alias("doc_type"))
 
 
-def _lines(spark, d, every=10):
+def _lines(spark, d):
     """Invoice lines written out from items."""
-    i = with_seq(invoice_items(spark, d)).filter(f"invoice_id % {every} = 0")
+    i = with_seq(invoice_items(spark, d))
     return i.select(F.col("invoice_id").alias("doc_id"), F.col("seq").alias("line_no"), F.concat_ws(" ", F.when(F.col("seq") % 2 == 0, F.col("quantity").cast("int").cast("string")), "description", F.format_number("total_cost", 2), F.when(F.col("seq") % 3 == 0, "XCD")).alias("line"))
 
 
-def line_items(spark, d, every=10):
-    return D.items_in_lines(_lines(spark, d, every))
+def line_items(spark, d):
+    return D.items_in_lines(_lines(spark, d))
 
 
-def price_map(spark, d, every=10):
-    return D.price_tokens(_lines(spark, d, every).withColumn("line", F.replace("line", F.lit(","), F.lit(""))))
+def price_map(spark, d):
+    return D.price_tokens(_lines(spark, d).withColumn("line", F.replace("line", F.lit(","), F.lit(""))))
 
 
-def orphan_price(spark, d, every=10):
-    lines = _lines(spark, d, every).withColumn("line", F.replace("line", F.lit(","), F.lit("")))
-    gaps = invoice_items(spark, d).filter(f"invoice_id % {every} = 0").groupBy(F.col("invoice_id").alias("doc_id")).agg((F.max("total_cost") + F.lit(0.1).cast("decimal(18,2)")).cast("decimal(18,2)").alias("gap"))
+def orphan_price(spark, d):
+    lines = _lines(spark, d).withColumn("line", F.replace("line", F.lit(","), F.lit("")))
+    gaps = invoice_items(spark, d).groupBy(F.col("invoice_id").alias("doc_id")).agg((F.max("total_cost") + F.lit(0.1).cast("decimal(18,2)")).cast("decimal(18,2)").alias("gap"))
     return D.recovered_price(lines, gaps)
 
 
@@ -182,8 +182,6 @@ QUERIES = {
     "zero_value_filter": zero_filter, "line_count_verify": line_counts, "ocr_quality_score": quality_scores, "format_detect": formats, "doc_type_score": types,
     "line_items": line_items, "price_token_map": price_map, "orphan_price_recovery": orphan_price, "page_text": page_text, "conversation_counts": chat_counts,
     "chat_search": chat_search, "description_like": like_search, "tariff_lookup_fuzzy": fuzzy_lookup, "journal_summary": journal, "cet_stats": statistics,
-    "line_items_whole": lambda spark, d: line_items(spark, d, 1), "price_token_map_whole": lambda spark, d: price_map(spark, d, 1),
-    "orphan_price_recovery_whole": lambda spark, d: orphan_price(spark, d, 1),
 }
 
 _E = "e AS (SELECT user_id, event_id, event_type, CAST(value AS DECIMAL(18,2)) AS confidence, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events)"
@@ -191,7 +189,7 @@ _L = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]::VARCHAR[]"  # noqa: E7
 _HAS = lambda v, op: f"len(list_filter({_L(v)}, lambda p: contains(lower(text), p))) {op}"
 _SPEC_SQL = " ".join(f"WHEN {_HAS(n, '= 0')} AND {_HAS(a, f'= {len(a)}')} AND {'true' if not o else _HAS(o, '> 0')} THEN '{name}'" for name, _, a, o, n in sorted(SPECS, key=lambda s: (-s[1], s[0])) if a or o)
 _SCORES = [(name, " + ".join([f"(" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in ks) + f") / {float(len(ks))}"] + [f"CASE WHEN contains(lower(text), '{k}') THEN {b}::DOUBLE ELSE 0 END" for k, b in bs.items()])) for name, (ks, bs) in TYPES.items()]
-_LINES_SQL = f"""WITH {ITEMS_SQL}, {SEQ_SQL}, l AS (SELECT invoice_id AS doc_id, seq AS line_no, CASE WHEN seq % 2 = 0 THEN CAST(quantity AS INT) ELSE 1 END AS quantity, description, total_cost AS amount FROM numbered WHERE invoice_id % 10 = 0)"""
+_LINES_SQL = f"""WITH {ITEMS_SQL}, {SEQ_SQL}, l AS (SELECT invoice_id AS doc_id, seq AS line_no, CASE WHEN seq % 2 = 0 THEN CAST(quantity AS INT) ELSE 1 END AS quantity, description, total_cost AS amount FROM numbered)"""
 _K = "(invoice_id + seq)"
 
 SQL = {

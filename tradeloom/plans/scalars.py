@@ -81,9 +81,9 @@ def rates(spark, d):
     return table(spark, d, "part").select("p_partkey", codes.rate(F.element_at(texts, (F.col("p_partkey") % len(_RATE_TEXTS) + 1).cast("int"))).alias("rate"))
 
 
-def bundles(spark, d, every=5):
-    """Sets and the parts that their references list, of each part whose key is a multiple of ``every``."""
-    p = table(spark, d, "part").filter(f"p_partkey % {every} = 0")
+def bundles(spark, d):
+    """Sets and the parts that their references list."""
+    p = table(spark, d, "part")
     ref = F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("MF0"), F.col("p_partkey") % 7 + 1, F.lit("-0"), F.col("p_partkey") % 9 + 1)).otherwise(F.concat(F.lit("BASE"), F.col("p_partkey")))
     prefix = F.element_at(F.array(*map(F.lit, ("ST-", "DP-", "X-", "TST-"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     kind = codes.bundle_type(F.concat(prefix, F.col("p_partkey")), F.when(F.col("p_size") > 40, F.concat_ws(" ", F.lit("set for"), "p_name")).otherwise(F.col("p_name")))
@@ -104,7 +104,6 @@ QUERIES = {
     "reference_normalize": references,
     "rate_parse": rates,
     "bundle_expand": bundles,
-    "bundle_expand_whole": lambda spark, d: bundles(spark, d, 1),
     "params_hash": params_hashes,
 }
 
@@ -150,7 +149,7 @@ SQL = {
     "rate_parse": """
         SELECT p_partkey, CAST(CASE p_partkey % 8 WHEN 0 THEN 0.0 WHEN 2 THEN 0.05 WHEN 3 THEN 0.2 WHEN 4 THEN 0.2 WHEN 5 THEN 0.0 END AS DOUBLE) AS rate FROM part""",
     "bundle_expand": """
-        WITH p AS (SELECT *, p_partkey % 7 + 1 AS a, p_partkey % 9 + 1 AS b FROM part WHERE p_partkey % 5 = 0),
+        WITH p AS (SELECT *, p_partkey % 7 + 1 AS a, p_partkey % 9 + 1 AS b FROM part),
              k AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'starter_kit' WHEN 1 THEN 'display' WHEN 3 THEN 'tester_set' ELSE CASE WHEN p_size > 40 THEN 'set' END END AS kind FROM p),
              m AS (SELECT *, CASE WHEN p_partkey % 10 = 0 AND a <= b THEN list_transform(range(a, b + 1), lambda x: 'MF' || lpad(CAST(x AS VARCHAR), 2, '0'))
                                   WHEN p_partkey % 10 = 0 THEN ['MF0' || a || '-0' || b || '*'] ELSE ['BASE' || p_partkey || '*'] END AS members FROM k)

@@ -44,14 +44,16 @@ def first_seen(messages: DataFrame, ident: str, at: str, within: str = "14 days"
     return messages.withWatermark(at, within).dropDuplicatesWithinWatermark([ident])
 
 
-def counted(messages: DataFrame, at: str, every: str, *by: str) -> DataFrame:
-    """Rows and their values in windows of a fixed length."""
-    w = messages.groupBy(F.window(at, every), *by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("value"))
+def counted(messages: DataFrame, at: str, every: str, *by: str, late: str = "1 day") -> DataFrame:
+    """Rows and their values in windows of a fixed length. A window is given once, when the latest time is ``late`` beyond its end, and its
+    state is dropped then."""
+    w = messages.withWatermark(at, late).groupBy(F.window(at, every), *by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("value"))
     return w.select(F.col("window.start").alias("start"), *by, "n", "value")
 
 
-def sessions(messages: DataFrame, at: str, gap: str, by: str) -> DataFrame:
-    w = messages.groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"))
+def sessions(messages: DataFrame, at: str, gap: str, by: str, late: str = "1 hour") -> DataFrame:
+    """Sessions of each ``by``, ended by a ``gap``; given and dropped as in ``counted``."""
+    w = messages.withWatermark(at, late).groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("start"), by, "n")
 
 
@@ -63,9 +65,9 @@ def paired(a: DataFrame, b: DataFrame, ident: str, at: str, by: str, within: str
     return left.join(right, near).select("message_id", "other_id")
 
 
-def settled(events: DataFrame, at: str, by: str, what: str, ident: str, quiet: str = "300 milliseconds") -> DataFrame:
-    """The last event of each path in each window: bursts are handled once."""
-    w = events.groupBy(F.window(at, quiet), by).agg(F.max_by(F.struct(what, ident), F.struct(at, ident)).alias("last"), F.count("*").alias("n"))
+def settled(events: DataFrame, at: str, by: str, what: str, ident: str, quiet: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """The last event of each path in each window: bursts are handled once; given and dropped as in ``counted``."""
+    w = events.withWatermark(at, late).groupBy(F.window(at, quiet), by).agg(F.max_by(F.struct(what, ident), F.struct(at, ident)).alias("last"), F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("start"), by, F.col(f"last.{what}").alias(what), "n")
 
 
