@@ -5,9 +5,9 @@ counted in two steps, neither of which can lose one:
 
 1. A window's anchor is the least hash of its ``ANCHOR``-word parts: equal windows have equal anchors, and neighbouring windows
    mostly share theirs. Anchors are counted; a window whose anchor occurs in one place only is unique.
-2. The windows of repeated anchors are compared by anchor, Rabin-Karp hash and a hash of the window's bytes (three independent ones of
-   64 bits; two windows of different words would have to agree in all): the first occurrence stays, all others are removed. Removed
-   windows merge into maximal intervals of words.
+2. The windows of repeated anchors are compared by anchor and by their Rabin-Karp hash joined (exclusive or) with a hash of their bytes, which
+   are read again for it: two independent numbers of 64 bits in which windows of different words would have to agree. The first
+   occurrence stays, all others are removed. Removed windows merge into maximal intervals of words.
 
 Each task settles what it can see before the exchange: of each ``HELD`` windows it sends a repeated one once. So a passage that a third of
 all documents share sends one row for every ``HELD`` windows of the corpus, not one a document. The texts are exchanged once; the
@@ -94,9 +94,9 @@ def _anchor_rows(window: int):
 
 
 _WINDOWS = pa.schema([
-    ("part", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64())), ("contents", pa.list_(pa.int64())),
+    ("part", pa.int64()), ("anchor", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64())),
 ])
-_WINDOWS_DDL = "part long, anchor long, row long, doc_id long, start int, mask long, hashes array<long>, contents array<long>"
+_WINDOWS_DDL = "part long, anchor long, row long, doc_id long, start int, mask long, hashes array<long>"
 
 
 def _window_rows(window: int):
@@ -105,15 +105,15 @@ def _window_rows(window: int):
 
     def settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sizes = [len(h[2]) for h in held]
-        anchor, start, hashes, contents = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
+        anchor, start, hashes = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
         doc = np.repeat(np.arange(len(held)), sizes)
         unknown = np.array([h[0] is None for h in held])
         ids = np.array([_LEAST_ID if h[0] is None else h[0] for h in held], dtype=np.int64)
         rows = np.array([h[1] for h in held], dtype=np.int64)
         at = np.arange(len(anchor))
 
-        order = np.lexsort((start, ids[doc], contents, hashes, anchor))
-        same = np.concatenate([[False], np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in (anchor, hashes, contents)])])
+        order = np.lexsort((start, ids[doc], hashes, anchor))
+        same = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])])
         its = order[np.maximum.accumulate(np.where(same, 0, at))]  # the first of each group
         later = np.zeros(len(order), dtype=bool)  # the same place in a repeated row isn't later
         later[order] = (ids[doc[order]] != ids[doc[its]]) | (start[order] != start[its])
@@ -126,19 +126,19 @@ def _window_rows(window: int):
         stay = np.bitwise_or.reduceat(np.where(later, 0, bit), firsts)
         counts = np.add.reduceat((~later).astype(np.int64), firsts)
 
-        def batch(chosen: np.ndarray, part: np.ndarray, mask: np.ndarray, *lists: pa.Array) -> Iterator[pa.RecordBatch]:
+        def batch(chosen: np.ndarray, part: np.ndarray, mask: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
             i = firsts[chosen]
             d = doc[i]
-            columns = [part, _signed(anchor[i]), rows[d], pa.array(ids[d], pa.int64(), mask=unknown[d]), start[i], mask[chosen], *lists]
+            columns = [part, _signed(anchor[i]), rows[d], pa.array(ids[d], pa.int64(), mask=unknown[d]), start[i], mask[chosen], lists]
             whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_WINDOWS)
             for k in range(0, whole.num_rows, 50_000):
                 yield whole.slice(k, 50_000)
 
         known = np.flatnonzero(gone)
-        yield from batch(known, rows[doc[firsts[known]]] ^ start[firsts[known]], gone, *[pa.nulls(len(known), pa.list_(pa.int64()))] * 2)
+        yield from batch(known, rows[doc[firsts[known]]] ^ start[firsts[known]], gone, pa.nulls(len(known), pa.list_(pa.int64())))
         open_ = np.flatnonzero(stay)
         ends = pa.array(np.concatenate([[0], np.cumsum(counts[open_])]).astype(np.int32))
-        yield from batch(open_, _signed(anchor[firsts[open_]]), stay, *(pa.ListArray.from_arrays(ends, pa.array(_signed(v[~later]))) for v in (hashes, contents)))
+        yield from batch(open_, _signed(anchor[firsts[open_]]), stay, pa.ListArray.from_arrays(ends, pa.array(_signed(hashes[~later]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -149,7 +149,7 @@ def _window_rows(window: int):
             at = np.flatnonzero(np.isin(anchor, np.array(known, dtype=np.int64).view(np.uint64)))
             if not len(at):
                 continue
-            held.append((d, row, anchor[at], at.astype(np.int32), windows(for_windows, window, WORD_BASE)[at], content_hashes(words, at, window)))
+            held.append((d, row, anchor[at], at.astype(np.int32), mixed(windows(for_windows, window, WORD_BASE)[at]) ^ content_hashes(words, at, window)))
             total += len(at)
             if total >= HELD:
                 yield from settled(held)
@@ -213,13 +213,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     # texts aren't sorted for these joins: one document's row on either side
     found = base.join(known.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "anchors").mapInArrow(_window_rows(window), _WINDOWS_DDL).repartition("part")
     bits = F.filter(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    to_compare = F.when(F.col("hashes").isNotNull(), F.arrays_zip(bits.alias("bit"), F.col("hashes").alias("hash"), F.col("contents").alias("content")))
+    to_compare = F.when(F.col("hashes").isNotNull(), F.arrays_zip(bits.alias("bit"), F.col("hashes").alias("hash")))
     each = found.select("part", "anchor", "row", "doc_id", "start", "mask", F.explode_outer(to_compare).alias("w"))
     each = each.select(
-        "part", "anchor", "row", "doc_id", (F.col("start") + F.coalesce(F.col("w.bit"), F.lit(0))).alias("start"), F.col("w.hash").alias("hash"), F.col("w.content").alias("content"),
+        "part", "anchor", "row", "doc_id", (F.col("start") + F.coalesce(F.col("w.bit"), F.lit(0))).alias("start"), F.col("w.hash").alias("hash"),
         F.when(F.col("w.bit").isNull(), F.col("mask")).otherwise(F.lit(1)).alias("mask"),
     )
-    order = Window.partitionBy("part", "anchor", "hash", "content").orderBy(F.col("doc_id").asc_nulls_first(), "start")
+    order = Window.partitionBy("part", "anchor", "hash").orderBy(F.col("doc_id").asc_nulls_first(), "start")
     gone = each.withColumn("place", F.rank().over(order)).filter("hash is null or place > 1")
     merged = gone.groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "mask")).alias("gone"))
 
