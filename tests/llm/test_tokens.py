@@ -165,12 +165,19 @@ def test_packing_odd_rows(spark, odd, nothing):
 
 
 def test_memo_is_bounded_and_keeps_what_is_asked_for():
-    memo = tokens.Memo(10)
+    made = []
+
+    def make(key):
+        made.append(key)
+        return key.upper()
+
+    memo = tokens.Memo(make, 10, longest=8)
     for i in range(100):
-        memo.put(i, i)
-        memo.put("often", 1) if memo.get("often") is None else None
-        assert memo.get("often") == 1 and len(memo.newer) <= 10 and len(memo.older) <= 10
-    assert memo.get(0) is None
+        assert memo[f"w{i}"] == f"W{i}" and memo["often"] == "OFTEN"
+        assert len(memo) <= 10 and len(memo.older) <= 10
+    assert made.count("often") == 1
+    assert memo["w0"] == "W0" and made.count("w0") == 2
+    assert memo["much longer"] == "MUCH LONGER" and "much longer" not in memo
 
 
 def test_words_forgotten_are_encoded_the_same(words, monkeypatch):

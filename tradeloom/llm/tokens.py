@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tradeloom.llm.common import arrow_batches, rows_of, text_or_empty
 
 #: Words remembered by one Python worker (twice as many while they are exchanged), and the longest of them in bytes.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 240_000
 MEMO_BYTES = 48
 #: Tokenizer files are read by the driver and broadcast; a larger file is refused.
 MAX_FILE = 64 << 20
@@ -52,26 +52,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class Memo:
-    """Remembers at most twice ``most`` values. When ``newer`` is full it becomes ``older``; what is asked for again moves back,
-    so frequent keys stay, and rare ones go."""
+class Memo(dict):
+    """``memo[key]`` is ``make(key)``, remembered for at most twice ``most`` keys, none of them longer than ``longest``. When it is full its
+    values become ``older``; what is asked for again moves back, so frequent keys stay, and rare ones go."""
 
-    def __init__(self, most: int):
-        self.most = most
-        self.newer: dict = {}
+    def __init__(self, make: Callable, most: int, longest: int = MEMO_BYTES):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
         self.older: dict = {}
 
-    def get(self, key):
-        found = self.newer.get(key)
-        if found is None and (found := self.older.get(key)) is not None:
-            self.put(key, found)
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.older = self.copy()
+            self.clear()
+        self[key] = found
         return found
 
-    def put(self, key, value) -> None:
-        if len(self.newer) >= self.most:
-            self.newer, self.older = {}, self.newer
-        self.newer[key] = value
-
 
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers. A tokenizer of the definition ``BY_WORD`` drops white space and never merges across
@@ -89,23 +90,19 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.memo = Memo(MEMO_WORDS)
-        self.pieces = Memo(MEMO_WORDS)
+        self.words = Memo(self._word, MEMO_WORDS)
+        self.pieces = Memo(self._piece, MEMO_WORDS)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-            found = b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
-            self.pieces.put(piece, found)
-        return found
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         plain = PLAIN_WORD.fullmatch(text) if len(word) <= MEMO_BYTES else None
         if plain is None:
             return self._whole(text)
-        return self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
+        return self.pieces[plain[1].lower()] + (self.pieces[plain[2]] if plain[2] else b"")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -113,20 +110,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._whole(text)
-        words, memo, out = text.encode().split(), self.memo, []
-        try:
-            known = memo.newer
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        for w in words:
-            found = memo.get(w)
-            if found is None:
-                found = self._word(w)
-                if len(w) <= MEMO_BYTES:
-                    memo.put(w, found)
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
