@@ -31,7 +31,7 @@ def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], st
     """The rows that ``step`` makes of the rows (tuples of ``columns``, in ``order``) of each ``key``.
 
     Groups are read one after another from the sorted partition, so many small ones need no frame each. A group must fit a task: it should be
-    one document.
+    one document. The number of partitions is stated, so that adaptive execution doesn't join few bytes of much work to one task.
     """
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -47,7 +47,8 @@ def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], st
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     slim = rows.select(*dict.fromkeys((key, *columns)))
-    return slim.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
 def grams(text: Column, size: int) -> Column:

@@ -239,16 +239,20 @@ def clusters_of(lines: dict[str, list[tuple[int, str]]], priority: dict[str, int
     like enough; a line that no other variant has is dropped unless there is one variant only."""
     if not lines:
         return []
+    from difflib import SequenceMatcher
+
     price = re.compile(how.price)
     lead = max(lines, key=lambda v: (priority.get(v, 0), sum(len(price.findall(t)) for _, t in lines[v]), -sum(map(ord, v))))
-    free = {v: {n: (t, _plain(t)) for n, t in rows} for v, rows in lines.items() if v != lead}
+    free = {v: {n: (t, SequenceMatcher(None, "", _plain(t))) for n, t in rows} for v, rows in lines.items() if v != lead}
     out = []
     for n, line in lines[lead]:
         cluster, own = [(lead, n, line)], _plain(line)
         for v, rows in free.items():
             best, at = 0.0, None
-            for k, (_, text) in rows.items():
-                if (like := _ratio(own, text)) > best:
+            for k, (_, theirs) in rows.items():
+                theirs.set_seq1(own)
+                bounds = (theirs.real_quick_ratio, theirs.quick_ratio)  # upper bounds of the ratio
+                if all(bound() > best and bound() >= how.like for bound in bounds) and (like := theirs.ratio()) > best:
                     best, at = like, k
             if at is not None and best >= how.like:
                 cluster.append((v, at, rows.pop(at)[0]))
