@@ -191,6 +191,50 @@ def test_readings_agree_on_a_text(spark):
     assert O.consensus(one, trust).first().text == "Widget large 12 8.19\nTotal 20.00" and O.consensus(one, trust).first().confidence == 1.0
 
 
+def test_lines_are_compared_as_without_bounds():
+    """Clusters equal those of a plain search by the full ratio."""
+    from difflib import SequenceMatcher
+
+    def plainly(lines, trust, like=0.55):
+        lead = max(lines, key=lambda v: trust[v])
+        free = {v: dict(rows) for v, rows in lines.items() if v != lead}
+        out = []
+        for n, line in lines[lead]:
+            cluster = [(lead, n, line)]
+            for v, rows in free.items():
+                ratios = {k: SequenceMatcher(None, line, t).ratio() for k, t in rows.items()}
+                if ratios and (top := max(ratios.values())) >= like:
+                    k = next(k for k, r in ratios.items() if r == top)
+                    cluster.append((v, k, rows.pop(k)))
+            out += [cluster] if len(cluster) > 1 else []
+        return out
+
+    rng = random.Random(5)
+    for _ in range(60):
+        base = ["".join(rng.choices("abcde ", k=rng.choice([3, 9, 30, 230]))).strip() or "a" for _ in range(6)]
+        misread = lambda t: "".join(rng.choice("abcde") if rng.random() < 0.3 else c for c in t)
+        lines = {v: [(n, " ".join(misread(t).split()) or "a") for n, t in enumerate(base) if rng.random() < 0.9] for v in ("x", "y", "z")}
+        lines = {v: rows for v, rows in lines.items() if rows}
+        assert O.clusters_of(lines, {"x": 3, "y": 2, "z": 1}) == plainly(lines, {"x": 3, "y": 2, "z": 1})
+
+
+def test_a_permissive_reading_must_meet_the_subtotal(spark):
+    from tradeloom.operators.parsing import anchored
+
+    ddl = "invoice_id long, seq int, quantity decimal(18,4), unit_cost decimal(18,4), total_cost decimal(18,2), extra string"
+    D = Decimal
+    items = [(1, 1, D(1), D(5), D(5), "a"), (2, 1, D(1), D(5), D(5), "a"), (3, 1, D(1), D(5), D(5), "a"), (4, 1, D(1), None, None, "a"), (5, 1, D(2), D(5), D(10), "a")]
+    again = [(i, s, D(4), D(5), D(20), "b") for i in (1, 2, 3, 5, 6) for s in (1, 2)] + [(4, 1, None, None, None, "b")]
+    subtotals = spark.createDataFrame([(1, D("10.02")), (2, D("10.03")), (3, None), (4, D(7)), (5, D(10)), (6, D(10))], "invoice_id long, subtotal decimal(18,2)")
+    got = anchored(spark.createDataFrame(items, ddl), spark.createDataFrame(again, ddl), subtotals)
+    assert got.columns == [*"invoice_id seq quantity unit_cost total_cost extra reread".split()]
+    found = {(r.invoice_id, r.seq): (r.reread, r.quantity, r.total_cost) for r in got.collect()}
+    new = (True, D(1), D(5))
+    old = (False, D(1), D(5))
+    assert found == {(1, 1): new, (1, 2): new, (2, 1): old, (3, 1): old, (4, 1): (False, D(1), None), (5, 1): (False, D(2), D(10)), (6, 1): new, (6, 2): new}
+    assert anchored(spark.createDataFrame([], ddl), spark.createDataFrame([], ddl), subtotals).count() == 0
+
+
 def test_bounded_refuses(spark):
     from tradeloom.operators.common import bounded
 

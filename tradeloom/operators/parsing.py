@@ -108,3 +108,22 @@ def outcome_rates(outcomes: DataFrame) -> DataFrame:
     counts = outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy())  # a row for each outcome
     return counts.withColumn("share", F.round((F.col("n") / whole).cast("decimal(18,8)"), 4).cast("double"))
+
+
+def anchored(items: DataFrame, again: DataFrame, subtotals: DataFrame, key: str = "invoice_id", near: str = "0.02") -> DataFrame:
+    """``items`` and reread: where a ``key``'s sum of total_cost is off its printed subtotal by more than ``near``, the rows ``again`` of a more permissive
+    reading (same columns) take their place, if those meet the subtotal.
+
+    A permissive reading's quantities aren't to be trusted: each row with a unit_cost counts once. Missing amounts count as nothing; without a
+    subtotal above zero, or without ``again`` rows, the items stay. A ``key`` without items can be filled by ``again``.
+    """
+    once = F.coalesce(F.col("unit_cost") > 0, F.lit(False))
+    quantity = F.when(once, F.lit(1)).otherwise(F.col("quantity")).cast(again.schema["quantity"].dataType)
+    total = F.when(once, F.round("unit_cost", 2)).otherwise(F.col("total_cost")).cast(items.schema["total_cost"].dataType)
+    again = again.withColumns({"quantity": quantity, "total_cost": total})
+    amount = F.sum(F.coalesce("total_cost", F.lit(0)))
+    sums = subtotals.filter("subtotal > 0").join(items.groupBy(key).agg(amount.alias("__own")), key, "left").join(again.groupBy(key).agg(amount.alias("__again")), key)
+    off = lambda c: F.abs(F.coalesce(c, F.lit(0)) - F.col("subtotal"))
+    chosen = sums.filter((off("__own") > F.lit(near).cast("decimal(18,4)")) & (off("__again") <= F.lit(near).cast("decimal(18,4)"))).select(key).distinct()
+    kept = items.join(chosen, key, "left_anti").withColumn("reread", F.lit(False))
+    return kept.unionByName(again.select(*items.columns).join(chosen, key, "left_semi").withColumn("reread", F.lit(True)))

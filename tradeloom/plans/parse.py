@@ -79,13 +79,27 @@ def rates(spark, d):
     return P.outcome_rates(table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "N", "modified").otherwise("accepted").alias("outcome")))
 
 
+def reread(spark, d):
+    """Readings without every third invoice's second item; a permissive one has all, with the right unit price for even invoices."""
+    i = with_seq(invoice_items(spark, d)).select("invoice_id", "seq", "quantity", F.col("unit_cost").cast("decimal(18,4)").alias("unit_cost"), F.col("total_cost").cast("decimal(18,2)").alias("total_cost"))
+    subtotals = i.groupBy("invoice_id").agg(F.sum("total_cost").alias("subtotal"))
+    again = i.withColumn("unit_cost", F.when(F.col("invoice_id") % 2 == 0, F.col("total_cost").cast("decimal(18,4)")).otherwise(F.col("unit_cost")))
+    found = P.anchored(i.filter("NOT (invoice_id % 3 = 0 AND seq = 2)"), again, subtotals)
+    return found.groupBy("invoice_id", "reread").agg(F.count("*").alias("n"), F.sum("total_cost").cast("decimal(18,2)").alias("total"))
+
+
 QUERIES = {
+    "subtotal_anchored": reread,
     "multiline_items": multiline, "column_items": columns, "table_rows": dump, "clean_rules": clean, "sensible_line": sensible_lines, "page_position": positions, "page_order": page_order,
     "page_marker": markers, "ocr_confidence": confidence, "package_check": packages, "shipment_split": splits, "accuracy_report": rates,
 }
 
 _EV = "e AS (SELECT user_id, event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f, CASE WHEN event_id % 11 > 0 THEN event_id % 7 END AS marker FROM events)"
 SQL = {
+    "subtotal_anchored": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, i AS (SELECT invoice_id, CAST(total_cost AS DECIMAL(18,2)) AS t, round(CAST(unit_cost AS DECIMAL(18,4)), 2) AS u, NOT (invoice_id % 3 = 0 AND seq = 2) AS has FROM numbered),
+        s AS (SELECT invoice_id, sum(t) AS subtotal, sum(t) FILTER (has) AS own, count(*) FILTER (has) AS n_own, sum(CASE WHEN invoice_id % 2 = 0 THEN t ELSE u END) AS again, count(*) AS n_all FROM i GROUP BY 1),
+        c AS (SELECT *, abs(own - subtotal) > 0.02 AND abs(again - subtotal) <= 0.02 AS reread FROM s)
+        SELECT invoice_id, reread, CASE WHEN reread THEN n_all ELSE n_own END AS n, CAST(CASE WHEN reread THEN again ELSE own END AS DECIMAL(18,2)) AS total FROM c""",
     "multiline_items": f"""WITH {ITEMS_SQL}, {SEQ_SQL}, l AS (SELECT invoice_id AS doc_id, seq, sku, total_cost, seq % 4 > 0 AS priced FROM numbered),
         g AS (SELECT *, coalesce(sum(CAST(priced AS INT)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS item FROM l)
         SELECT doc_id, item, string_agg(sku || ' lot' || CASE WHEN priced THEN '' ELSE ' no price' END, ' ' ORDER BY seq) AS description, max(total_cost) FILTER (priced) AS price FROM g GROUP BY 1, 2 HAVING bool_or(priced)""",
