@@ -31,6 +31,8 @@ MARKS = b"#$%&*|"
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 #: Bytes of texts that a task of the first stage holds before it hands them on, and what a row takes besides its text (about).
 HELD_BYTES, LINK_BYTES = 64 << 20, 400
+#: Bytes of texts that are routed to one partition (about): its rows are sorted there.
+ROUTED_BYTES = 64 << 20
 
 #: A row of known filters: id, part, mask, and how many such rows.
 Known = tuple[int | None, str, int, int]
@@ -120,9 +122,9 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     among themselves, so they are copies only where a smaller id has their text. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col), F.coalesce(F.col(part_col).cast("string"), F.lit("")))
-    rows = slim.rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, parts = slim.rdd, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTED_BYTES))
     routed = rows.mapPartitions(met).repartitionAndSortWithinPartitions(parts, partitionFunc=lambda h: h % parts)
     return spark.createDataFrame(routed.mapPartitions(chained), DDL, verifySchema=False)
 
