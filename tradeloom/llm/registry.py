@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tradeloom.llm import byte_bpe, exact_dedup, filter_audit, language_id, media, packing, quality, secrets, sharding, simhash, substring_dedup, weighted_samples
+from tradeloom.llm import byte_bpe, collocations, exact_dedup, filter_audit, language_id, media, packing, quality, secrets, sharding, simhash, substring_dedup, weighted_samples
 
 
 def queries() -> dict:
@@ -20,10 +20,11 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_fingerprints": weighted_samples.op11_fingerprints,
+        "op12_collocations": collocations.op12_collocations,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: tokenizers (5, 6, 10), trained models (1, 3), bit counts of hashes (2), random draws (7, 11) and media formats (9)."""
-    return {"op4_substring_dedup": substring_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
+    return {"op4_substring_dedup": substring_dedup.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op12_collocations": collocations.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
