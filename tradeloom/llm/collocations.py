@@ -38,8 +38,8 @@ CHUNK_BITS = 20
 ROW_WORDS, HELD = 1 << 16, 1 << 21
 #: Candidates of a block (about): 56 bytes each are broadcast.
 BLOCK = 1 << 20
-#: Words of which a task remembers the number.
-REMEMBERED = 1 << 19
+#: Words of a language of which a task remembers the number, and words that it knows to have listed.
+REMEMBERED = 1 << 16
 ODD = 0xC2B2AE3D27D4EB4F
 
 #: Text bytes: capitals are lowered, all breaks are full stops, tabs are spaces.
