@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.operators.common import streamed, winners
+from tradeloom.operators.subsets import two_sides
 
 
 def filled_down(rows: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -93,9 +94,25 @@ def _all_ways(costs: list[float], targets: list[float]) -> tuple[tuple[float, fl
         ways = np.concatenate([np.tile(ways, (n, 1)), np.repeat(np.arange(n, dtype=np.int8), len(ways))[:, None]], axis=1)
         low += 1
     best: tuple[tuple[float, float], list[int]] | None = None
+    # a way that beats one already known has all of its sums near their targets
+    wanted, base = np.array(targets), np.maximum(targets, 1e-9)
+    known = _improved(costs, targets, _one_by_one(costs, targets))
+    by_first, grows = np.argsort(sums[:, 0], kind="stable"), min(costs, default=0) >= 0
+    ascending = sums[by_first, 0]
     for rest in product(range(n), repeat=len(costs) - low):
         rest = rest[::-1]
-        here, mask = sums.copy(), used.copy()
+        held = np.array(_sums(costs[low:], rest, n))
+        slack = known * base * (1 + 1e-9) + 1e-6
+        if grows and (held > wanted + slack).any():
+            continue
+        window = np.searchsorted(ascending, [wanted[0] - slack[0] - held[0], wanted[0] + slack[0] - held[0]])
+        rows = by_first[window[0] : window[1] + 1]
+        for d in range(1, n):
+            rows = rows[np.abs(sums[rows, d] + (held[d] - wanted[d])) <= slack[d]]
+        if not len(rows):
+            continue
+        rows = np.sort(rows)
+        here, mask = sums[rows], used[rows]
         for cost, d in zip(costs[low:], rest, strict=True):
             here[:, d] += cost
             mask |= 1 << d
@@ -110,18 +127,52 @@ def _all_ways(costs: list[float], targets: list[float]) -> tuple[tuple[float, fl
             total += gaps[close, d]
         at = int(np.argmin(total))
         if best is None or (first, total[at]) < best[0]:
-            best = ((float(first), float(total[at])), [*ways[close[at]].tolist(), *rest])
+            best = ((float(first), float(total[at])), [*ways[rows[close[at]]].tolist(), *rest])
+            known = min(known, float(first))
     return best or ((math.inf, math.inf), [])
 
 
+def _sums(costs: list[float], way, n: int) -> list[float]:
+    out = [0.0] * n
+    for cost, d in zip(costs, way, strict=True):
+        out[d] += cost
+    return out
+
+
+def _improved(costs: list[float], targets: list[float], way: list[int]) -> float:
+    """The largest deviation that moving and swapping items leads to from ``way``; infinite if a declaration stays empty."""
+    n, score = len(targets), deviation(_sums(costs, way, len(targets)), targets)
+    moved = True
+    while moved:
+        moved = False
+        for i, j in product(range(len(costs)), range(-n, len(costs))):
+            other = list(way)
+            if j < 0:
+                other[i] = j + n
+            else:
+                other[i], other[j] = way[j], way[i]
+            found = deviation(_sums(costs, other, n), targets)
+            if found < score and len(set(other)) == n:
+                way, score, moved = other, found, True
+    return score[0] if len(set(way)) == n else math.inf
+
+
 def divided(costs: list[float], targets: list[float], exhaustive: int = 15) -> list[int]:
     """The declaration of each item. All ways for few items and declarations, none left empty (of equally good ones the first; for two
-    declarations the ways are counted by the items of the first one); otherwise the largest first, each where the score grows least."""
+    declarations the ways are counted by the items of the first one). Two declarations of any number of items are divided exactly, too (see
+    ``subsets``, which says when that isn't possible); otherwise the largest first, each where the score grows least."""
     n = len(targets)
     if n <= len(costs) <= exhaustive and n <= 4:
         if n == 2:
             return [1 - d for d in _all_ways(costs, targets[::-1])[1]]
         return _all_ways(costs, targets)[1]
+    if n == 2 and (exact := two_sides(costs, targets)):
+        return exact
+    return _one_by_one(costs, targets)
+
+
+def _one_by_one(costs: list[float], targets: list[float]) -> list[int]:
+    n = len(targets)
     sums, out = [0.0] * n, [0] * len(costs)
     for i in sorted(range(len(costs)), key=lambda i: -costs[i]):
         out[i] = min(range(n), key=lambda d: deviation([s + (costs[i] if k == d else 0) for k, s in enumerate(sums)], targets))
