@@ -35,7 +35,7 @@ FACTOR = 1000
 SHARE, LEAST_BITS, MOST_BITS = 8, 20, 28
 CHUNK_BITS = 20
 #: Words (numbers) in a row of the written table, and phrases that a task holds before it hands on their buckets.
-ROW_WORDS, HELD = 1 << 16, 1 << 21
+ROW_WORDS, HELD = 1 << 17, 1 << 21
 #: Candidates of a block (about): 56 bytes each are broadcast.
 BLOCK = 1 << 20
 #: Words of a language of which a task remembers the number, and words that it knows to have listed.
@@ -153,16 +153,23 @@ def phrases(v: np.ndarray, bitmaps: list[np.ndarray], shift: np.uint64, words: i
         yield k, at, g
 
 
+def _packed(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers as their distinct values and the place of each: a third of the bytes, and few values for Spark to carry."""
+    distinct, at = np.unique(codes, return_inverse=True)
+    return distinct.tobytes(), at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32).tobytes()
+
+
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     for b in batches:
-        langs, codes = b.column(b.schema.get_field_index("lang")), b.column(b.schema.get_field_index("codes"))
-        for lang, row in zip(langs, codes, strict=True):
-            yield lang.as_py(), row.values.to_numpy().view(np.uint64)
+        for row in zip(*(b.column(b.schema.get_field_index(c)) for c in ("lang", "values", "codes")), strict=True):
+            lang, distinct, at = (x.as_py() for x in row)
+            distinct = np.frombuffer(distinct, dtype=np.uint64)
+            yield lang, distinct[np.frombuffer(at, dtype=np.uint16 if len(distinct) <= 1 << 16 else np.uint32)]
 
 
 def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
-    """lang, n (words), codes (numbers in text order; 0 for breaks and words that can't be frequent) and words (number and string of words that
-    this row is the first of its task to have)."""
+    """lang, n (words), values and codes (``_packed`` numbers in text order; 0 for breaks and words that can't be frequent) and words (number and
+    string of words that this row is the first of its task to have)."""
     sc = docs.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +180,7 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
 
     hot = sc.broadcast(full(docs.mapInArrow(count, Buckets.DDL), bits, least))
     word_type = pa.list_(pa.struct([("code", pa.int64()), ("word", pa.string())]))
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("codes", pa.list_(pa.int64())), ("words", word_type)])
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("values", pa.binary()), ("codes", pa.binary()), ("words", word_type)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
@@ -182,9 +189,8 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
 
         def row(lang: str) -> pa.RecordBatch:
             n, codes, new, _ = held.pop(lang)
-            joined = np.concatenate(codes).view(np.int64)
-            arrays = [pa.array([lang], pa.string()), pa.array([n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), pa.array(joined, pa.int64())), pa.array([new], word_type)]
-            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+            row = (lang, n, *_packed(np.concatenate(codes)), new)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for lang, words, codes in numbered(batches, seed):
             mine = held.setdefault(lang, [0, [], [], 0])
@@ -206,7 +212,7 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
         for lang in list(held):
             yield row(lang)
 
-    return written(docs.mapInArrow(encode, "lang string, n long, codes array<long>, words array<struct<code: long, word: string>>"), "encoded")
+    return written(docs.mapInArrow(encode, "lang string, n long, values binary, codes binary, words array<struct<code: long, word: string>>"), "encoded")
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], bitmaps, shift: np.uint64) -> Iterator[pa.RecordBatch]:
@@ -231,7 +237,7 @@ CANDIDATES = "lang string, k int, g long, " + ", ".join(f"{w} long" for w in WOR
 def candidates(table: DataFrame, bits: int, least: int) -> DataFrame:
     """lang, k, g (hash) and the words' numbers of every phrase of up to five words that may be frequent."""
     sc, shift = table.sparkSession.sparkContext, np.uint64(64 - bits)
-    text = table.select("lang", "codes")
+    text = table.select("lang", "values", "codes")
     bitmaps: list[np.ndarray] = []
     for words in range(2, WORDS + 1):
         sent = sc.broadcast(bitmaps)
@@ -406,7 +412,7 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
         if keyed.count().filter("count > 1").limit(1).count():
             raise Collision
     made, block_bits = blocks(found, block_size)
-    text = table.select("lang", "codes")
+    text = table.select("lang", "values", "codes")
     kept: DataFrame | None = None
     numbers = sorted(r.block for r in made.select("block").collect())
 
