@@ -251,7 +251,7 @@ def candidates(table: DataFrame, bits: int, least: int) -> DataFrame:
 
         bitmaps = [*bitmaps, full(text.mapInArrow(count, Buckets.DDL), bits, least)]
     sent = sc.broadcast(bitmaps)
-    return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).dropDuplicates(["k", *WORD_COLUMNS]), "candidates")
+    return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "candidates")
 
 
 class Block:
