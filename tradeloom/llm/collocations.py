@@ -37,8 +37,8 @@ CHUNK_BITS = 20
 #: Words (numbers) in a row of the written table, and phrases that a task holds before it hands on their buckets.
 ROW_WORDS, HELD = 1 << 17, 1 << 21
 #: Candidates of a block (about): 56 bytes each are broadcast.
-BLOCK = 1 << 20
-#: Words of a language of which a task remembers the number, and words that it knows to have listed.
+BLOCK = 1 << 19
+#: Words of a language of which a task remembers the number.
 REMEMBERED = 1 << 16
 ODD = 0xC2B2AE3D27D4EB4F
 
@@ -52,18 +52,20 @@ class Collision(Exception):
 
 
 class Numbers(dict):
-    """Numbers of a language's words; a break's is 0."""
+    """Numbers of a language's words; a break's is 0. ``new`` has the words that weren't remembered."""
 
     def __init__(self, lang: str, seed: int):
         super().__init__({b".": 0})
         self.seed = xxhash.xxh3_64_intdigest(lang.encode(), seed)
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-            self[b"."] = 0
-        self[word] = found = xxhash.xxh3_64_intdigest(word, self.seed) or 1
-        return found if word != b"." else 0
+        found = 0 if word == b"." else xxhash.xxh3_64_intdigest(word, self.seed) or 1
+        self[word] = found
+        self.new.append(word)
+        return found
 
 
 def tokens(text: str) -> list[bytes]:
@@ -72,15 +74,17 @@ def tokens(text: str) -> list[bytes]:
 
 
 def numbered(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Language, tokens and their numbers of each text."""
+    """Language, words that weren't met lately, and the numbers of all words of each text."""
     known: dict[str, Numbers] = {}
     for lang, text in rows_of(batches, "lang", "text"):
         if lang not in known:
             if len(known) >= 16:
                 known.clear()
             known[lang] = Numbers(lang, seed)
-        found = tokens(text)
-        yield lang, found, np.fromiter(map(known[lang].__getitem__, found), dtype=np.uint64, count=len(found))
+        found, numbers = tokens(text), known[lang]
+        numbers.new = []
+        codes = np.fromiter(map(numbers.__getitem__, found), dtype=np.uint64, count=len(found))
+        yield lang, numbers.new, codes
 
 
 class Buckets:
@@ -169,7 +173,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]
 
 def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
     """lang, n (words), values and codes (``_packed`` numbers in text order; 0 for breaks and words that can't be frequent) and words (number and
-    string of words that this row is the first of its task to have)."""
+    string of words that the task hadn't met lately)."""
     sc = docs.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,6 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
-        listed: set[tuple[str, bytes]] = set()
         held: dict[str, list] = {}  # by language: words so far, codes, new words, number of codes
 
         def row(lang: str) -> pa.RecordBatch:
@@ -192,16 +195,15 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
             row = (lang, n, *_packed(np.concatenate(codes)), new)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for lang, words, codes in numbered(batches, seed):
+        for lang, met, codes in numbered(batches, seed):
             mine = held.setdefault(lang, [0, [], [], 0])
             mine[0] += int(np.count_nonzero(codes))
             codes = np.where(lies_in(hot.value, codes, shift), codes, np.uint64(0))
-            for i in np.flatnonzero(codes).tolist():
-                if (lang, words[i]) not in listed:
-                    listed.add((lang, words[i]))
-                    mine[2].append({"code": int(codes[i : i + 1].view(np.int64)[0]), "word": words[i].decode()})
-            if len(listed) > REMEMBERED:
-                listed.clear()
+            if met:
+                own = xxhash.xxh3_64_intdigest(lang.encode(), seed)
+                number = np.fromiter((0 if w == b"." else xxhash.xxh3_64_intdigest(w, own) or 1 for w in met), dtype=np.uint64, count=len(met))
+                for i in np.flatnonzero(lies_in(hot.value, number, shift) & (number != 0)).tolist():
+                    mine[2].append({"code": int(number[i : i + 1].view(np.int64)[0]), "word": met[i].decode()})
             codes = np.append(codes, np.uint64(0))
             mine[1].append(codes[(codes != 0) | np.append(True, codes[:-1] != 0)])  # one break of each run
             mine[3] += len(mine[1][-1])
@@ -234,8 +236,8 @@ WORD_COLUMNS = [f"w{i}" for i in range(WORDS)]
 CANDIDATES = "lang string, k int, g long, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)
 
 
-def candidates(table: DataFrame, bits: int, least: int) -> DataFrame:
-    """lang, k, g (hash) and the words' numbers of every phrase of up to five words that may be frequent."""
+def candidates(table: DataFrame, bits: int, least: int):
+    """lang, k, g (hash) and the words' numbers of every phrase of up to five words that may be frequent; and what filtered them, broadcast."""
     sc, shift = table.sparkSession.sparkContext, np.uint64(64 - bits)
     text = table.select("lang", "values", "codes")
     bitmaps: list[np.ndarray] = []
@@ -251,17 +253,18 @@ def candidates(table: DataFrame, bits: int, least: int) -> DataFrame:
 
         bitmaps = [*bitmaps, full(text.mapInArrow(count, Buckets.DDL), bits, least)]
     sent = sc.broadcast(bitmaps)
-    return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "candidates")
+    return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "candidates"), sent
 
 
 class Block:
     """A share of the candidates: their slots, the words stored there, and later their counts."""
 
-    def __init__(self, lang: np.ndarray, k: np.ndarray, g: np.ndarray, words: np.ndarray):
+    def __init__(self, langs: list[str], lang: np.ndarray, k: np.ndarray, g: np.ndarray, words: np.ndarray):
+        """``lang``: places in ``langs``."""
         self.hash = PerfectHash(g)
         at = np.empty(len(g), dtype=np.int64)
         at[self.hash.slots(g)] = np.arange(len(g))
-        self.lang, self.k, self.words = lang[at], k[at], np.ascontiguousarray(words[at])
+        self.langs, self.lang, self.k, self.words = langs, lang[at], k[at].astype(np.int8), np.ascontiguousarray(words[at])
         self.counts = np.zeros(len(g), dtype=np.int64)
 
     def found(self, g: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -291,7 +294,9 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in list(held):
         t = pa.Table.from_batches(held.pop(x))
         words = np.stack([t[w].to_numpy().view(np.uint64) for w in WORD_COLUMNS], axis=1)
-        made = Block(t["lang"].to_numpy(zero_copy_only=False).astype(object), t["k"].to_numpy(), t["g"].to_numpy().view(np.uint64), words)
+        lang = t["lang"].combine_chunks().dictionary_encode()
+        lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+        made = Block(lang.dictionary.to_pylist(), lang.indices.to_numpy(), t["k"].to_numpy(), t["g"].to_numpy().view(np.uint64), words)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([pickle.dumps(made)], pa.large_binary()).cast(pa.binary())], names=["block", "made"])
 
 
@@ -300,21 +305,22 @@ def blocks(found: DataFrame, size: int) -> tuple[DataFrame, int]:
     total = found.count()
     bits = max(0, (-(-total // size) - 1).bit_length())
     block = F.shiftrightunsigned("g", 64 - bits).cast("int") if bits else F.lit(0)
-    return written(found.withColumn("block", block).repartition(1 << bits, "block").mapInArrow(_built, "block int, made binary"), "blocks"), bits
+    return written(found.withColumn("block", block).repartitionById(1 << bits, F.col("block")).mapInArrow(_built, "block int, made binary"), "blocks"), bits
 
 
 def _block_of(g: np.ndarray, bits: int) -> np.ndarray:
     return (g >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), dtype=np.int64)
 
 
-def counted(text: DataFrame, block: Block, number: int, bits: int) -> np.ndarray:
-    """Occurrences of a block's candidates by slot: one array a task, summed in a tree."""
+def counted(text: DataFrame, block: Block, number: int, bits: int, filters=None, shift: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """Occurrences of a block's candidates by slot: one array a task, summed in a tree. What the ``filters`` of ``candidates`` don't pass isn't looked
+    up."""
     sent, size = text.sparkSession.sparkContext.broadcast(block), len(block.k)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for _, v in _codes(batches):
-            for k, at, g in phrases(v, [], np.uint64(0), WORDS):
+            for k, at, g in phrases(v, filters.value if filters else [], shift, WORDS):
                 mine = np.flatnonzero(_block_of(g, bits) == number) if bits else slice(None)
                 at, g = at[mine], g[mine]
                 slot = sent.value.hash.slots(g)
@@ -347,7 +353,7 @@ def frequent(spark: SparkSession, block: Block, least: int) -> DataFrame:
             for j in range(0, len(slots), 10_000):
                 s = slots[j : j + 10_000]
                 words = [b.words[x, : b.k[x]].view(np.int64).tolist() for x in s.tolist()]
-                columns = [pa.array(b.lang[s].tolist(), pa.string()), pa.array(b.k[s], pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(b.counts[s])]
+                columns = [pa.array([b.langs[x] for x in b.lang[s].tolist()], pa.string()), pa.array(b.k[s].astype(np.int32)), pa.array(words, pa.list_(pa.int64())), pa.array(b.counts[s])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([[0] * (2 * len(w) - 2) for w in words], pa.list_(pa.int64()))], names=["lang", "k", "words", "a", "parts"])
 
     return spark.range(0, tasks, 1, tasks).mapInArrow(rows, PHRASES)
@@ -407,7 +413,7 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
     bits = min(MOST_BITS, max(LEAST_BITS, (size // (6 * SHARE)).bit_length()))  # six bytes a word
     table = encoded(docs, seed, bits, least)
     listed = written(table.select("lang", F.explode("words").alias("w")).select("lang", "w.code", "w.word").distinct(), "words")
-    found = candidates(table, bits, least)
+    found, filters = candidates(table, bits, least)
     for keyed in (listed.groupBy("code"), found.groupBy("g")):
         if keyed.count().filter("count > 1").limit(1).count():
             raise Collision
@@ -425,7 +431,7 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
     with_counts: dict[int, Block | DataFrame] = {}  # of several blocks, only the one at hand is held
     for number in numbers:
         b = block(number)
-        b.counts = counted(text, b, number, block_bits)
+        b.counts = counted(text, b, number, block_bits, filters, np.uint64(64 - bits))
         with_counts[number] = b if one else written(spark.createDataFrame([(pickle.dumps(b),)], "made binary"), "counts")
         more = frequent(spark, b, least)
         kept = more if kept is None else kept.unionByName(more)
