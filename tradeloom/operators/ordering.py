@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -278,12 +277,6 @@ def _plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _ratio(a: str, b: str) -> float:
-    from difflib import SequenceMatcher
-
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def clusters_of(lines: dict[str, list[tuple[int, str]]], priority: dict[str, int], how: Reading = Reading()) -> list[list[tuple[str, int, str]]]:
     """Clusters (variant, line number, line) of like lines. The skeleton is the variant of the highest priority, then of most prices, then of the
     least sum of its name's characters. Each of its lines, in order, takes the most like free line of each other variant, if that is
@@ -375,12 +368,3 @@ def _by_variant(rows: list[tuple]) -> dict[str, list[tuple[int, str]]]:
         if t and t.strip():
             out.setdefault(v, []).append((n, t))
     return out
-
-
-def merged_lines(texts: Iterator[str], most_alike: float = 0.80) -> list[str]:
-    """Lines in order without those alike to one kept before."""
-    kept: list[str] = []
-    for t in texts:
-        if all(_ratio(k, t) < most_alike for k in kept):
-            kept.append(t)
-    return kept
