@@ -38,8 +38,12 @@ CHUNK_BITS = 20
 ROW_WORDS, HELD = 1 << 17, 1 << 21
 #: Candidates of a block (about): 56 bytes each are broadcast.
 BLOCK = 1 << 19
+#: Arrays that one task of the tree sums.
+FAN_IN = 16
 #: Words of a language of which a task remembers the number.
 REMEMBERED = 1 << 16
+#: Words that a task knows to have listed.
+LISTED = 1 << 19
 ODD = 0xC2B2AE3D27D4EB4F
 
 #: Text bytes: capitals are lowered, all breaks are full stops, tabs are spaces.
@@ -87,6 +91,17 @@ def numbered(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str
         yield lang, numbers.new, codes
 
 
+def _gaps(at: np.ndarray) -> bytes:
+    """Ascending places as steps, which compress well; the first byte says how wide they are."""
+    steps = np.diff(at, prepend=np.uint32(0))
+    wide = steps.max(initial=0) > 0xFFFF
+    return bytes([wide]) + steps.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _places(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, dtype=np.uint32 if raw[0] else np.uint16, offset=1), dtype=np.int64)
+
+
 class Buckets:
     """Sums of hash buckets of one task, capped at ``least`` each (more doesn't matter), handed on in chunks of 2^20 buckets."""
 
@@ -113,7 +128,7 @@ class Buckets:
         chunks, first = np.unique(at >> np.uint32(CHUNK_BITS), return_index=True)
         ends = [*first[1:].tolist(), len(at)]
         at &= np.uint32((1 << CHUNK_BITS) - 1)
-        rows = [(int(c), at[a:b].tobytes(), n[a:b].tobytes()) for c, a, b in zip(chunks, first.tolist(), ends, strict=True)]
+        rows = [(int(c), _gaps(at[a:b]), n[a:b].astype(np.min_scalar_type(self.least)).tobytes()) for c, a, b in zip(chunks, first.tolist(), ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
 
 
@@ -124,8 +139,8 @@ def full(partial: DataFrame, bits: int, least: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for chunk, at, n in rows_of(batches, "chunk", "at", "n"):
             total = sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.uint32))
-            at = np.frombuffer(at, dtype=np.uint32)
-            total[at] = np.minimum(total[at] + np.frombuffer(n, dtype=np.uint32), least)
+            at = _places(at)
+            total[at] = np.minimum(total[at] + np.frombuffer(n, dtype=np.min_scalar_type(least)), least)
         for chunk, total in sums.items():
             raw = np.packbits(total >= least, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "bits"])
@@ -189,6 +204,7 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
         held: dict[str, list] = {}  # by language: words so far, codes, new words, number of codes
+        listed: set[int] = set()
 
         def row(lang: str) -> pa.RecordBatch:
             n, codes, new, _ = held.pop(lang)
@@ -203,7 +219,12 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
                 own = xxhash.xxh3_64_intdigest(lang.encode(), seed)
                 number = np.fromiter((0 if w == b"." else xxhash.xxh3_64_intdigest(w, own) or 1 for w in met), dtype=np.uint64, count=len(met))
                 for i in np.flatnonzero(lies_in(hot.value, number, shift) & (number != 0)).tolist():
-                    mine[2].append({"code": int(number[i : i + 1].view(np.int64)[0]), "word": met[i].decode()})
+                    pair = xxhash.xxh3_64_intdigest(met[i], int(number[i]))  # of number and word, as other words may have this number
+                    if pair not in listed:
+                        listed.add(pair)
+                        mine[2].append({"code": int(number[i : i + 1].view(np.int64)[0]), "word": met[i].decode()})
+                if len(listed) > LISTED:
+                    listed.clear()
             codes = np.append(codes, np.uint64(0))
             mine[1].append(codes[(codes != 0) | np.append(True, codes[:-1] != 0)])  # one break of each run
             mine[3] += len(mine[1][-1])
@@ -332,8 +353,19 @@ def counted(text: DataFrame, block: Block, number: int, bits: int, filters=None,
                 total += np.bincount(slot[ok], minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    arrays = text.mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], dtype=np.int64))
-    out = arrays.treeReduce(np.add)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for (raw,) in rows_of(batches, "counts"):
+            total += np.frombuffer(raw, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    arrays, left = text.mapInArrow(count, "counts binary"), text.rdd.getNumPartitions()
+    while left > 1:  # a tree: every task sums a few arrays
+        left = -(-left // FAN_IN)
+        arrays = arrays.repartition(left).mapInArrow(summed, "counts binary")
+    out = np.zeros(size, dtype=np.int64)
+    for r in arrays.collect():  # one row
+        out += np.frombuffer(r.counts, dtype=np.int64)
     sent.destroy()
     return out
 
