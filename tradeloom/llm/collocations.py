@@ -94,7 +94,7 @@ def numbered(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str
 def _gaps(at: np.ndarray) -> bytes:
     """Ascending places as steps, which compress well; the first byte says how wide they are."""
     steps = np.diff(at, prepend=np.uint32(0))
-    wide = steps.max(initial=0) > 0xFFFF
+    wide = bool(steps.max(initial=0) > 0xFFFF)
     return bytes([wide]) + steps.astype(np.uint32 if wide else np.uint16).tobytes()
 
 
