@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.codes import sku
@@ -115,6 +115,38 @@ def po_assigned(scored: DataFrame, s: Scores = Scores()) -> DataFrame:
     return streamed(worth, "invoice_id", ["invoice_id", "seq", "po_seq", "score"], ["seq", "po_seq"], assign, "invoice_id long, seq int, po_seq int, score int")
 
 
+def orders_matched(invoices: DataFrame, items: DataFrame, orders: DataFrame, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
+    """Every item of every invoice with the order row that it is matched with: candidates by reference, scores, one to one assignment.
+
+    ``invoices``: invoice_id, ref; ``items``: invoice_id, seq, sku, legacy_sku, catalog, description, quantity, unit_cost, total_cost; ``orders``: po_row (in
+    order), po_number, refs, po_item_ref, po_sku, po_short, po_description, po_quantity, po_price, po_total, uom. What an item lacks comes from its
+    order row; an item without a match has empty order fields and a score of 0. An invoice without items has the order rows that name it alone, or
+    first.
+    """
+    named = po_candidates(invoices, orders.select(F.col("po_row").alias("order_id"), "refs"))
+    place = F.row_number().over(Window.partitionBy("invoice_id").orderBy("po_row"))
+    rows = named.join(orders, F.col("order_id") == F.col("po_row")).drop("order_id").withColumn("po_seq", place)
+    fields = ["po_sku", "po_short", "po_description", "po_quantity", "po_price", "po_total"]
+    scored = po_scores(items, rows.select("invoice_id", "po_seq", *fields), "invoice_id", aliases, s)
+    found = po_assigned(scored.select("invoice_id", "seq", "po_seq", "score"), s)
+    taken = found.join(rows, ["invoice_id", "po_seq"]).drop("refs", "po_row")
+    number = lambda c: F.nullif(F.col(c), F.lit(0).cast(items.schema[c].dataType))
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    out = items.join(taken, ["invoice_id", "seq"], "left").select(
+        "invoice_id", "seq", *[F.coalesce(c, F.lit("")).alias(c) for c in ("po_item_ref", "po_description", "po_number")],
+        F.coalesce(text("sku"), F.concat(F.lit("ITEM-"), F.lpad(F.col("seq").cast("string"), 3, "0"))).alias("supplier_item"), F.coalesce(text("description"), "po_description", F.lit("")).alias("supplier_item_desc"),
+        F.coalesce("quantity", "po_quantity", F.lit(0)).cast("double").alias("quantity"), F.coalesce(number("unit_cost"), "po_price", F.lit(0)).cast("double").alias("unit_price"),
+        F.coalesce(number("total_cost"), "po_total", F.lit(0)).cast("double").alias("total_cost"), F.coalesce("uom", F.lit("Unit")).alias("uom"), F.coalesce("score", F.lit(0)).cast("int").alias("match_score"),
+    )
+    empty = invoices.join(items.select("invoice_id").distinct(), "invoice_id", "left_anti").select("invoice_id", "ref")
+    alone = (F.size("refs") == 1) | (F.col("ref") == F.regexp_replace(F.get("refs", F.lit(0)), "-[A-Z]$", ""))
+    whole = rows.join(empty, "invoice_id").filter(alone).select(
+        "invoice_id", F.col("po_seq").cast(items.schema["seq"].dataType).alias("seq"), "po_item_ref", "po_description", "po_number", F.col("po_sku").alias("supplier_item"), F.col("po_description").alias("supplier_item_desc"),
+        F.col("po_quantity").cast("double").alias("quantity"), F.col("po_price").cast("double").alias("unit_price"), F.col("po_total").cast("double").alias("total_cost"), "uom", F.lit(0).alias("match_score"),
+    )
+    return out.unionByName(whole)
+
+
 def shipments_matched(invoices: DataFrame, shipments: DataFrame, refs: str = "refs", shipment_refs: str = "invoice_refs") -> DataFrame:
     """invoice_id, packages and weight of the shipments that name one of the invoice's references; 1 and 0 where none does."""
     ours = invoices.select("invoice_id", F.explode(F.array_distinct(refs)).alias("ref"))

@@ -120,6 +120,36 @@ def _pairs(spark, d):
     return M.po_scores(items, po, "invoice_id", aliases)
 
 
+def _chain(spark, d):
+    """Invoices, their items (every ninth has none), order rows that name one or two invoices in other spellings, and aliases; all made from the order
+    tables."""
+    k = F.col("o_orderkey")
+    ref = F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 7, "0"))
+    inv = table(spark, d, "orders").select(k.alias("invoice_id"), F.when(k % 4 == 0, F.replace(ref, F.lit("-"), F.lit(""))).otherwise(ref).alias("ref"))
+    every = with_seq(invoice_items(spark, d))
+    seq = F.col("seq")
+    items = every.filter("invoice_id % 9 > 0").select(
+        "invoice_id", "seq", F.when(seq % 5 == 0, "").otherwise(F.col("sku")).alias("sku"), F.lit(None).cast("string").alias("legacy_sku"), F.when(seq % 4 == 1, F.col("part_id").cast("string")).alias("catalog"), F.when(seq % 6 > 0, F.col("description")).alias("description"),
+        "quantity", F.when(seq % 7 == 3, F.lit(0)).otherwise(F.col("unit_cost")).cast("decimal(18,4)").alias("unit_cost"), "total_cost",
+    )
+    i = F.col("invoice_id")
+    own = F.concat(F.lit("INV"), F.lpad(i.cast("string"), 7, "0"), F.when(seq % 2 == 0, "-B").otherwise(""))
+    after = F.concat(F.lit("INV-"), F.lpad((i + 1).cast("string"), 7, "0"))
+    orders = every.filter("seq <> 4").select(
+        (i * 1000 + (F.lit(999) - seq)).alias("po_row"), F.concat(F.lit("PO"), i).alias("po_number"), F.when(seq % 3 == 0, F.array(own, after)).otherwise(F.array(own)).alias("refs"), F.concat(F.lit("R"), "part_id").alias("po_item_ref"),
+        F.when(seq % 3 == 0, F.concat(F.lit("alt"), "part_id")).when(seq % 3 == 1, F.col("sku")).otherwise(F.concat("sku", F.lit("-X"))).alias("po_sku"), F.concat(F.lit("P"), F.col("part_id")).alias("po_short"), F.concat(F.lit("part "), F.col("part_id")).alias("po_description"),
+        F.col("quantity").alias("po_quantity"), F.col("unit_cost").alias("po_price"), F.col("total_cost").alias("po_total"), F.lit("EA").alias("uom"),
+    )
+    p = F.col("p_partkey")
+    aliases = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.when(p % 10 == 0, "ST-").otherwise(""), F.lit("SKU-"), p).alias("sku"), F.concat(F.lit("alt-"), p).alias("bm_code"), F.lit(None).cast("string").alias("supplier_item"))
+    return inv, items, orders, aliases
+
+
+def po_match(spark, d):
+    """Candidates, scores and assignment of all orders."""
+    return M.orders_matched(*_chain(spark, d))
+
+
 def po_score(spark, d):
     return _pairs(spark, d).select("invoice_id", "seq", "po_seq", "score")
 
@@ -196,7 +226,7 @@ QUERIES = {
     "exclusive_claim": claims, "largest_remainder": remainder, "unit_explode_roundrobin": dealt, "token_vote": votes, "two_way_partition": two_way, "package_rebalance": rebalanced,
     "line_align": aligned, "po_score": po_score, "po_greedy_assign": po_greedy, "bl_match": bl_match, "elimination_match": elimination, "generated_vs_exported": exported,
     "ocr_diff": diff, "fixes_join": fixes, "officer_match": officer, "email_link_window": emails, "consignee_group": consignee,
-    "po_candidates": candidates, "package_cap": cap, "reading_consensus": agreed,
+    "po_match": po_match, "po_candidates": candidates, "package_cap": cap, "reading_consensus": agreed,
 }
 
 _FIRST = lambda cols, src, part, order: f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS r FROM {src}) WHERE r = 1"
