@@ -56,20 +56,33 @@ def grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<long>"))
 
 
+#: Parts of fewer characters are looked for by themselves, longer ones by one of their grams of so many.
+GRAM = 4
+#: So many parts are compared with every whole: that costs less than grams.
+FEW = 64
+
+
 def contained_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str, size: int | None = None) -> DataFrame:
-    """Pairs of ``parts`` and ``wholes`` where the text ``whole`` contains the text ``part`` of ``size`` characters or more.
+    """Pairs of ``parts`` and ``wholes`` where the text ``whole`` contains the text ``part`` (of ``size`` characters or more, if given). Empty and null
+    parts are in nothing.
 
-    A part is looked for by the least of its grams' hashes only, which each whole that contains it has, too; so pairs meet by a rather
-    rare gram instead of all with all. Without ``size``, for short texts such as numbers of documents, a whole is found by each of its parts.
+    A part is looked for by the least of its grams' hashes only, which each whole that contains it has, too; so pairs meet by a rather rare gram
+    instead of all with all. Without ``size``, parts shorter than a gram meet the wholes' parts of their length, which are few.
     """
-    if size is None:
-        left = parts.filter(F.length(part) > 0).withColumn("__gram", F.col(part))
-        n, each = F.length(whole), F.col(whole)
-        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(each, i, k))))
-        return left.join(wholes.filter(n > 0).withColumn("__gram", F.explode(F.array_distinct(every))), "__gram").drop("__gram")
-    left = parts.filter(F.length(part) >= size).withColumn("__gram", F.array_min(grams(F.col(part), size)))
-    right = wholes.withColumn("__gram", F.explode(F.array_distinct(grams(F.col(whole), size))))
-    return left.join(right, "__gram").filter(F.contains(whole, F.col(part))).drop("__gram")
+    least, own = size or GRAM, F.col(part)
+    named = parts.filter(F.length(part) >= (size or 1))
+    if named.limit(FEW + 1).count() <= FEW:
+        return F.broadcast(named).join(wholes, F.contains(whole, own))
+    right = wholes.withColumn("__gram", F.explode(F.array_distinct(grams(F.col(whole), least))))
+    long = named.filter(F.length(part) >= least).withColumn("__gram", F.array_min(grams(own, least)))
+    found = long.join(right, "__gram").filter(F.contains(whole, own)).drop("__gram")
+    if size:
+        return found
+    each = F.col(whole)
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(each) - n + 1), lambda i: F.substr(each, i, F.lit(n)))
+    cuts = F.flatten(F.array(*[F.when(F.length(each) >= n, of_length(n)).otherwise(F.array().cast("array<string>")) for n in range(1, least)]))
+    short = named.filter(F.length(part) < least).withColumn("__cut", own)
+    return found.unionByName(short.join(wholes.withColumn("__cut", F.explode(F.array_distinct(cuts))), "__cut").drop("__cut"))
 
 
 def winners(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

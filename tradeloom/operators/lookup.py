@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeloom.operators.common import dimension, winners
+from tradeloom.operators.common import contained_in, dimension, winners
 
 
 def sku_classified(skus: DataFrame, assessed: DataFrame, aliases: DataFrame) -> DataFrame:
     """``skus`` with code and source: the latest assessed code, else the last enabled alias that the description contains."""
     latest = winners(assessed, ["sku"], F.col("created_at").desc(), F.col("id").desc()).select("sku", F.col("code").alias("__assessed"))
-    texts = skus.select("description").distinct()
-    by_alias = texts.join(dimension(aliases.filter("enabled")), F.contains(F.lower("description"), F.lower("alias")))
-    last = winners(by_alias, ["description"], F.col("id").desc()).select("description", F.col("code").alias("__alias"))
+    texts = skus.select("description").distinct().withColumn("__text", F.lower("description"))
+    named = aliases.filter("enabled").select("id", F.col("code").alias("__alias"), F.lower("alias").alias("__part"))
+    last = winners(contained_in(named, texts, "__part", "__text"), ["description"], F.col("id").desc()).select("description", "__alias")
     out = skus.join(latest, "sku", "left").join(last, "description", "left")
     source = F.when(F.col("__assessed").isNotNull(), "assessed").when(F.col("__alias").isNotNull(), "alias")
     return out.select(*skus.columns, F.coalesce("__assessed", "__alias").alias("code"), source.alias("source"))
@@ -41,7 +41,8 @@ def supplier_found(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     exact = wanted.join(s, F.col("__n") == F.col("__code")).select("name", "supplier_id", F.lit(1).alias("tier"))
     exact = exact.unionByName(wanted.join(s, F.col("__n") == F.col("__name")).select("name", "supplier_id", F.lit(2).alias("tier")))
     rest = wanted.join(exact.select("name").distinct(), "name", "left_anti")
-    part = rest.join(dimension(s), F.contains("__n", F.col("__name")) | F.contains("__name", F.col("__n"))).select("name", "supplier_id", F.lit(3).alias("tier"))
+    both = contained_in(s, rest, "__name", "__n").select("name", "supplier_id").union(contained_in(rest, s, "__n", "__name").select("name", "supplier_id"))
+    part = both.distinct().withColumn("tier", F.lit(3))
     return winners(exact.unionByName(part), ["name"], F.col("tier"), F.col("supplier_id"))
 
 
@@ -73,7 +74,7 @@ def cached(terms: DataFrame, cache: DataFrame) -> DataFrame:
     """term, code and confidence: 0.8 for the same key, else 0.7 for the first cached key that is part of it or has it as a part."""
     exact = terms.join(cache.withColumnRenamed("key", "term"), "term").select("term", "code", F.lit(0.8).alias("confidence"))
     rest = terms.join(exact, "term", "left_anti")
-    part = rest.join(dimension(cache), F.contains("term", F.col("key")) | F.contains("key", F.col("term")))
+    part = contained_in(cache, rest, "key", "term").select("term", "key", "code").union(contained_in(rest, cache, "term", "key").select("term", "key", "code"))
     return exact.unionByName(winners(part, ["term"], F.col("key")).select("term", "code", F.lit(0.7).alias("confidence")))
 
 

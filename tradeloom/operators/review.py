@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeloom.operators.common import bounded, winners
+from tradeloom.operators.classification import corrected
+from tradeloom.operators.common import bounded, contained_in, winners
+from tradeloom.operators.lookup import cached
 
 #: Labels of a totals section (fixed values).
-FOOTER_LABELS = ("grand total", "grand totak", "subtotal", "sub-total", "sub total", "estimated tax", "order total", "total before tax")
+FOOTER_LABELS = (
+    r"grand\s*tot(?:al|ak)", r"sub.?total", r"estimated\s*tax", r"order\s*total", r"total\s*before\s*tax", r"item\s*\(\s*s\s*\)\s*subtotal", r"payment\s*method", r"shipping\s*(?:&|and)\s*handling",
+)
 #: Label of a bill's line and the charge that it is, the first that a line has (fixed values).
 BILL_CHARGES = {
     "OCEAN FREIGHT": "ocean_freight", "TERMINAL HANDLING": "terminal_handling", "LANDING": "landing", "BILL OF LADING PROCESSING": "bl_processing", "BILL OF LADING": "bl_processing",
@@ -81,7 +85,8 @@ def matches_in_full(text: Column, patterns: list[str]) -> Column:
 def bogus(items: DataFrame, group: str) -> DataFrame:
     """``group`` and reason where half of the items or more are labels of a totals section, or have no quantity but a price."""
     label = F.lower("description").rlike(r"\b(" + "|".join(FOOTER_LABELS) + r")\b")
-    priced = (F.coalesce("quantity", F.lit(0)) == 0) & (F.coalesce("total_cost", F.lit(0)) > 0)
+    price = F.col("unit_cost") if "unit_cost" in items.columns else F.lit(0)
+    priced = (F.coalesce("quantity", F.lit(0)) == 0) & ((F.coalesce("total_cost", F.lit(0)) > 0) | (F.coalesce(price, F.lit(0)) > 0))
     sums = items.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.coalesce(label, F.lit(False)).cast("int")).alias("labels"), F.sum(priced.cast("int")).alias("priced"))
     reason = F.when(F.col("labels") * 2 >= F.col("n"), "labels").when(F.col("priced") * 2 >= F.col("n"), "no quantity")
     return sums.select(group, "n", reason.alias("reason")).filter("reason IS NOT NULL")
@@ -163,6 +168,27 @@ def inconsistent(items: DataFrame) -> DataFrame:
     return items.filter(asked & (F.substring("code", 1, 2) != F.col("expected_chapter")))
 
 
+def reclassified(items: DataFrame, cache: DataFrame, valid: DataFrame, invalid: DataFrame) -> DataFrame:
+    """``items`` (item_id, term, code, expected_chapter, source) with new_code and outcome. An item whose chapter isn't the expected one (``inconsistent``)
+    is looked up in the cache by its term: first in all of it, then among codes of the expected chapter only. An answer counts if it has that
+    chapter, before and after it is corrected; outcome is then ``cache`` or ``second``, else ``kept``. Other items are ``consistent``."""
+    asked = inconsistent(items).select("item_id", "term", "expected_chapter")
+    usable = cache.filter("code IS NOT NULL AND code <> 'UNKNOWN'").select("key", "code")
+    found = cached(asked.select("term").filter("term <> ''").distinct(), usable).select("term", F.col("code").alias("__code"))
+    first = asked.join(found, "term").filter(F.substring("__code", 1, 2) == F.col("expected_chapter"))
+    chapters = asked.join(first.select("item_id"), "item_id", "left_anti")
+    # a term and its chapter are one key, so that only codes of the chapter meet
+    wanted = chapters.filter("term <> ''").select("expected_chapter", F.col("term")).distinct()
+    tagged = usable.withColumn("chapter", F.substring("code", 1, 2))
+    pairs = contained_in(tagged, wanted, "key", "term").union(contained_in(wanted, tagged, "term", "key").select("key", "code", "chapter", "expected_chapter", "term"))
+    best = winners(pairs.filter("chapter = expected_chapter"), ["term", "expected_chapter"], (F.col("key") != F.col("term")), F.col("key"), F.col("code")).select("term", "expected_chapter", F.col("code").alias("__code"))
+    second = chapters.join(best, ["term", "expected_chapter"])
+    answers = first.select("item_id", "expected_chapter", "__code", F.lit("cache").alias("__how")).unionByName(second.select("item_id", "expected_chapter", "__code", F.lit("second").alias("__how")))
+    kept = corrected(answers, valid, invalid, "__code").filter(F.substring("corrected", 1, 2) == F.col("expected_chapter")).select("item_id", F.col("corrected").alias("__new"), "__how")
+    out = items.join(kept, "item_id", "left").join(asked.select("item_id", F.lit(True).alias("__asked")), "item_id", "left")
+    return out.select(*items.columns, F.coalesce("__new", "code").alias("new_code"), F.coalesce("__how", F.when(F.col("__asked"), "kept"), F.lit("consistent")).alias("outcome"))
+
+
 def primary_bill(files: DataFrame, group: str, words: list[str]) -> DataFrame:
     """``group``, name and score of the file that reads most like a bill of lading: a point for each expression found, two for its name; the first of
     equals, and the first file where none has text."""
@@ -175,13 +201,21 @@ def primary_bill(files: DataFrame, group: str, words: list[str]) -> DataFrame:
 
 
 def order_file(rows: DataFrame, invoices: DataFrame) -> DataFrame:
-    """shipment_id, file and hits: the order workbook of which most rows name one of the shipment's invoices in brackets, with or without
-    hyphens; the first of equals. rows: file, order_ref; invoices: shipment_id, ref."""
+    """shipment_id, file and hits: the order workbook of which most rows name one of the shipment's invoices; the first of equals. A row names it in
+    brackets in its order reference, with or without hyphens; without brackets, by a number in its first cell (``number``, if there is such a
+    column; slashes as in file names) that is part of the invoice's. rows: file, order_ref, number; invoices: shipment_id, ref."""
+    rows = rows if "number" in rows.columns else rows.withColumn("number", F.lit(None).cast("string"))
     listed = F.split(F.lower(F.regexp_extract("order_ref", r"\(([^)]+)\)", 1)), "/")
-    named = rows.withColumn("__row", F.monotonically_increasing_id()).select("file", "__row", F.explode(listed).alias("ref"))
+    bracketed = F.coalesce(F.col("order_ref").rlike(r"\([^)]+\)"), F.lit(False))
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    named = numbered.filter(bracketed).select("file", "__row", F.explode(listed).alias("ref"))
     named = named.select("file", "__row", F.replace(F.trim("ref"), F.lit("-"), F.lit("")).alias("ref")).filter("ref <> ''")
     ours = invoices.select("shipment_id", F.replace(F.lower("ref"), F.lit("-"), F.lit("")).alias("ref")).distinct()
-    hits = named.join(ours, "ref").select("shipment_id", "file", "__row").distinct().groupBy("shipment_id", "file").agg(F.count("*").alias("hits"))
+    cells = numbered.filter(~bracketed).select("file", "__row", F.lower(F.replace("number", F.lit("/"), F.lit("_"))).alias("__number"))
+    stems = invoices.select("shipment_id", F.explode(F.array(F.lower("ref"), F.replace(F.lower("ref"), F.lit("-"), F.lit("")))).alias("__stem")).distinct()
+    met = contained_in(cells.select("__number").distinct(), stems.select("__stem").distinct(), "__number", "__stem")
+    by_cell = cells.join(met, "__number").join(stems, "__stem").select("shipment_id", "file", "__row")
+    hits = named.join(ours, "ref").select("shipment_id", "file", "__row").union(by_cell).distinct().groupBy("shipment_id", "file").agg(F.count("*").alias("hits"))
     return winners(hits, ["shipment_id"], F.col("hits").desc(), F.col("file"))
 
 

@@ -100,6 +100,18 @@ def inconsistent(spark, d):
     return V.inconsistent(p).select("item_id", "code", "expected_chapter")
 
 
+_CACHE = [("cold anvil", "42010000"), ("anvil", "73269000"), ("bolt", "42020001"), ("red bolt", "73181500"), ("blue", "42039999"), ("gizmo", "UNKNOWN"), ("w", "99999999"), ("large", "42110000")]
+
+
+def reclassify(spark, d):
+    """Parts whose code isn't of the expected chapter (42 for a third of them), looked up again."""
+    cache = spark.createDataFrame(_CACHE, "key string, code string")
+    valid = spark.createDataFrame([("42010000",), ("42020090",), ("73181500",)], "code string")
+    invalid = spark.createDataFrame([("42110000", "73000000")], "code string, correct_code string")
+    p = table(spark, d, "part").select(_k().alias("item_id"), F.lower("p_name").alias("term"), tariff_code("p_partkey").alias("code"), F.when(_k() % 3 == 0, "").when(_k() % 3 == 1, F.substring(tariff_code("p_partkey"), 1, 2)).otherwise("42").alias("expected_chapter"), F.when(_k() % 4 == 0, "rule").alias("source"))
+    return V.reclassified(p, cache, valid, invalid).select("item_id", "new_code", "outcome")
+
+
 def bills(spark, d):
     t = table(spark, d, "documents").select("source", F.concat(F.when(F.col("doc_id") % 5 == 0, "bl_").otherwise("doc_"), "doc_id").alias("name"), "text")
     return V.primary_bill(t, "source", ["THE", r"\bSHIPPER\b", r"ON\w+ ", "[0-9]{4}"])
@@ -108,8 +120,9 @@ def bills(spark, d):
 def order_files(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
-    rows = o.select(F.concat(F.lit("f"), k % 40, F.lit(".xlsx")).alias("file"), F.concat(F.lit("PO/"), k, F.lit(" (2026-"), k % 500, F.lit("/ A-"), k % 9, F.lit(")")).alias("order_ref"))
-    inv = o.select(F.col("o_custkey").alias("shipment_id"), F.concat(F.lit("2026"), k % 700).alias("ref"))
+    bracketed = F.concat(F.lit("PO/"), k, F.lit(" (2026-"), k % 500, F.lit("/ A-"), k % 9, F.lit(")"))
+    rows = o.select(F.concat(F.lit("f"), k % 40, F.lit(".xlsx")).alias("file"), F.when(k % 6 > 0, bracketed).otherwise("PO").alias("order_ref"), F.when(k % 12 > 0, F.concat(F.lit("INV/SX/"), k % 300)).alias("number"))
+    inv = o.select(F.col("o_custkey").alias("shipment_id"), F.when(k % 4 == 0, F.concat(F.lit("bm INV_SX_"), k % 350)).otherwise(F.concat(F.lit("2026"), k % 700)).alias("ref"))
     return V.order_file(rows, inv)
 
 
@@ -166,7 +179,7 @@ def accuracy(spark, d):
 QUERIES = {
     "rule_query": rule_query, "unknown_products": unknown, "disable_code": disable, "learned_rules": learned, "doc_type_resolve": doc_type, "carrier_bill": carrier, "bogus_items": bogus,
     "reverse_scan": reverse_scan, "items_without_po": no_orders, "item_provenance": meta, "force_adjustment": corrections, "template_resolve": templates, "bill_charges": charges,
-    "chapter_consistency": inconsistent, "primary_bill": bills, "order_file": order_files, "assessed_extract": extract, "dumped_codes": dump_codes, "header_columns": header_map,
+    "chapter_consistency": inconsistent, "chapter_reclassify": reclassify, "primary_bill": bills, "order_file": order_files, "assessed_extract": extract, "dumped_codes": dump_codes, "header_columns": header_map,
     "dump_items": dump_items, "delimited_items": delimited, "positional_items": positional, "bench_accuracy": accuracy,
 }
 
@@ -201,11 +214,21 @@ SQL = {
     "bill_charges": """WITH s AS (SELECT s_suppkey AS bill_id, CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS m FROM supplier)
         SELECT bill_id, 'ocean_freight' AS charge, m AS amount FROM s UNION ALL SELECT bill_id, 'landing', 12.00 FROM s UNION ALL SELECT bill_id, 'total_usd', m FROM s""",
     "chapter_consistency": f"SELECT p_partkey AS item_id, {_CODE} AS code, '42' AS expected_chapter FROM part WHERE p_partkey % 3 = 2 AND p_partkey % 4 > 0 AND left({_CODE}, 2) <> '42'",
+    # of the cache, anvil and w are of other chapters and gizmo has no code; 42110000 is mapped to another chapter; 42020001 and 42039999 become what is near
+    "chapter_reclassify": f"""WITH p AS (SELECT p_partkey AS k, lower(p_name) AS term, {_CODE} AS code, p_partkey % 3 = 2 AND p_partkey % 4 > 0 AND left({_CODE}, 2) <> '42' AS asked FROM part),
+        c AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{c}')" for k, c in _CACHE if c != "UNKNOWN")}) t(key, found)),
+        m AS (SELECT term, key, found FROM (SELECT DISTINCT term FROM p WHERE asked) JOIN c ON contains(term, key) OR contains(key, term)),
+        one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY key <> term, key) = 1), two AS (SELECT * FROM m WHERE left(found, 2) = '42' QUALIFY row_number() OVER (PARTITION BY term ORDER BY key <> term, key) = 1),
+        a AS (SELECT p.*, CASE WHEN left(one.found, 2) = '42' THEN one.found ELSE two.found END AS f, CASE WHEN left(one.found, 2) = '42' THEN 'cache' ELSE 'second' END AS how FROM p LEFT JOIN one USING (term) LEFT JOIN two USING (term)),
+        x AS (SELECT *, CASE f WHEN '42010000' THEN '42010000' WHEN '42020001' THEN '42020090' WHEN '42039999' THEN '42039999' END AS fixed FROM a)
+        SELECT k AS item_id, CASE WHEN asked AND fixed IS NOT NULL THEN fixed ELSE code END AS new_code, CASE WHEN NOT asked THEN 'consistent' WHEN fixed IS NOT NULL THEN how ELSE 'kept' END AS outcome FROM x""",
     "primary_bill": r"""WITH f AS (SELECT source, CASE WHEN doc_id % 5 = 0 THEN 'bl_' ELSE 'doc_' END || doc_id AS name, upper(coalesce(text, '')) AS t, doc_id % 5 = 0 AS bl FROM documents),
         s AS (SELECT *, CASE WHEN trim(t) = '' THEN -1 ELSE CAST(contains(t, 'THE') AS INT) + CAST(regexp_matches(t, '\bSHIPPER\b') AS INT) + CAST(regexp_matches(t, 'ON\w+ ') AS INT) + CAST(regexp_matches(t, '[0-9]{4}') AS INT) + CASE WHEN bl THEN 2 ELSE 0 END END AS score FROM f)
         SELECT source, name, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, name) AS r FROM s) WHERE r = 1""",
-    "order_file": """WITH r AS (SELECT o_orderkey, 'f' || (o_orderkey % 40) || '.xlsx' AS file, unnest(['2026' || (o_orderkey % 500), 'a' || (o_orderkey % 9)]) AS ref FROM orders),
-        i AS (SELECT DISTINCT o_custkey AS shipment_id, '2026' || (o_orderkey % 700) AS ref FROM orders), h AS (SELECT shipment_id, file, count(DISTINCT o_orderkey) AS hits FROM r JOIN i USING (ref) GROUP BY 1, 2)
+    "order_file": """WITH r AS (SELECT o_orderkey, 'f' || (o_orderkey % 40) || '.xlsx' AS file, unnest(['2026' || (o_orderkey % 500), 'a' || (o_orderkey % 9)]) AS ref FROM orders WHERE o_orderkey % 6 > 0),
+        c AS (SELECT o_orderkey, 'f' || (o_orderkey % 40) || '.xlsx' AS file, 'inv_sx_' || (o_orderkey % 300) AS number FROM orders WHERE o_orderkey % 12 = 6),
+        i AS (SELECT DISTINCT o_custkey AS shipment_id, CASE WHEN o_orderkey % 4 = 0 THEN 'bm inv_sx_' || (o_orderkey % 350) ELSE '2026' || (o_orderkey % 700) END AS ref FROM orders),
+        h AS (SELECT shipment_id, file, count(DISTINCT o_orderkey) AS hits FROM (SELECT shipment_id, file, o_orderkey FROM r JOIN i USING (ref) UNION ALL SELECT shipment_id, file, o_orderkey FROM c JOIN i ON contains(ref, number)) GROUP BY 1, 2)
         SELECT shipment_id, file, hits FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY hits DESC, file) AS n FROM h) WHERE n = 1""",
     "assessed_extract": f"""SELECT p_partkey AS item_id, {_CODE} AS code, p_name AS commercial, p_type AS goods, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 100 BETWEEN 0 AND 79 AND p_partkey % 100 IN (SELECT p_partkey FROM part) THEN 'INV/' || (p_partkey % 100) ELSE '' END AS item_number
         FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 11 > 0 AND p_partkey % 13 > 0 AND p_partkey % 17 > 0 AND length(trim(p_name)) > 3""",
