@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -277,6 +278,32 @@ def candidates(table: DataFrame, bits: int, least: int):
     return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "candidates"), sent
 
 
+def words_of(table: DataFrame, found: DataFrame, bits: int) -> DataFrame:
+    """lang, code and word of the words of candidates of two words or more: others are in no result. Two strings of one number are both there."""
+    shift = np.uint64(64 - bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Buckets(bits, 1)
+        for b in batches:
+            for w in WORD_COLUMNS:
+                codes = b.column(b.schema.get_field_index(w)).to_numpy().view(np.uint64)
+                yield from marks.add(codes[codes != 0])
+        yield from marks.handed_on()
+
+    sent = table.sparkSession.sparkContext.broadcast(full(found.filter("k > 1").select(*WORD_COLUMNS).mapInArrow(mark, Buckets.DDL), bits, 1))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(b.schema.get_field_index("words"))
+            lang = b.column(b.schema.get_field_index("lang"))
+            code, word = words.flatten().field("code"), words.flatten().field("word")
+            keep = pa.array(lies_in(sent.value, code.to_numpy().view(np.uint64), shift))
+            of = lang.take(pc.list_parent_indices(words))
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (of, code, word)], names=["lang", "code", "word"])
+
+    return written(table.select("lang", "words").mapInArrow(pick, "lang string, code long, word string").distinct(), "words")
+
+
 class Block:
     """A share of the candidates: their slots, the words stored there, and later their counts."""
 
@@ -444,8 +471,8 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // (6 * SHARE)).bit_length()))  # six bytes a word
     table = encoded(docs, seed, bits, least)
-    listed = written(table.select("lang", F.explode("words").alias("w")).select("lang", "w.code", "w.word").distinct(), "words")
     found, filters = candidates(table, bits, least)
+    listed = words_of(table, found, bits)
     for keyed in (listed.groupBy("code"), found.groupBy("g")):
         if keyed.count().filter("count > 1").limit(1).count():
             raise Collision
