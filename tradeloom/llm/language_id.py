@@ -12,16 +12,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of
 
 BUCKETS = 4096
-#: Bounds of the training sample: rows of one language and of all (fewer of each where there are many languages).
+#: Bounds of the training sample: rows of one language and of all (fewer of each where there are many languages), and languages, those with most
+#: rows: each pair of their families has a machine of 16 KB.
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE = 6000
+LANGUAGES = 64
 CHUNK = 1 << 20
 UNDETERMINED = "und"
 
@@ -139,25 +141,39 @@ class LanguageModel:
         return lang, p * q
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE) -> LanguageModel:
-    """Learns from about ``per_language`` rows of each language (``total`` at most), picked by a hash of the id.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE, languages: int = LANGUAGES) -> LanguageModel:
+    """Learns from ``per_language`` rows at most of each of the ``languages`` with most rows (``total`` in all), picked by a hash of id and text.
 
-    Rows with a null id, text or language are not used. Only hashed counts of the sample reach the driver.
+    Rows with a null id, text or language are not used; equal rows count once, however often one is repeated. Only hashed counts of the sample reach the
+    driver.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().withColumn("h", F.xxhash64("doc_id", "text"))
+    distinct = rows.select("lang", "h").distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in distinct.orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return LanguageModel(np.zeros((0, BUCKETS), dtype=np.float32), [])
     share = min(per_language, max(1, total // len(counts)))
-    keep = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(share / n * (1 << 30)))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < keep[F.col("lang")])
+    # about a quarter more than are wanted, of which the first ones by their hash stay
+    keep = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, (1.25 * share + 20) / n) * (1 << 30)))])
+    sample = rows.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < keep[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
-        found = ((i, lang, features(text).astype(np.float16).tobytes()) for i, text, lang in rows_of(batches, "doc_id", "text", "lang") if has_letter(text))
-        yield from arrow_batches(found, schema, lambda r: 2 * BUCKETS)
-
-    found = sorted(sample.mapInArrow(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["doc_id"], r["lang"], r["x"]))  # a bounded sample
+        schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
+        last: set[tuple[int, str]] = set()
+
+        def fresh(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for h, text, lang in rows:
+                if (h, lang) not in last and has_letter(text):
+                    last.add((h, lang))
+                    yield h, lang, features(text).astype(np.float16).tobytes()
+                if len(last) > total:
+                    last.clear()
+
+        yield from arrow_batches(fresh(rows_of(batches, "h", "text", "lang")), schema, lambda r: 2 * BUCKETS)
+
+    made = sample.mapInArrow(run, "h long, lang string, x binary").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h", "x"))
+    found = sorted(made.withColumn("place", first).filter(F.col("place") <= share).collect(), key=lambda r: (r["h"], r["lang"], r["x"]))  # a bounded sample
     x = np.array([np.frombuffer(r["x"], dtype=np.float16) for r in found], dtype=np.float32).reshape(len(found), BUCKETS)
     return LanguageModel(x, [r["lang"] for r in found])
 

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of, text_or_empty
+from tradeloom.llm.common import arrow_batches, documents, held_out, rows_of, text_or_empty, written
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-#: Bounds of the training sample: rows (about), picked by a hash of the id, and features of one of its rows, the most frequent ones. So
-#: at most SAMPLE x SAMPLE_FEATURES x 8 bytes (160 MB) reach the driver. Scores are of all features of a text.
+#: Bounds of the training sample: rows, picked by a hash of id and text, and features of all its rows (of eight bytes each, 160 MB). Rows are taken in
+#: the order of their hash until a bound is met; none is cut.
 SAMPLE = 5000
-SAMPLE_FEATURES = 4096
+MOST_FEATURES = 20_000_000
 ROUNDS = 6
 CHUNK = 1 << 20
 
@@ -117,36 +117,52 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS,
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text, each once, the most frequent ``SAMPLE_FEATURES`` at most, with their shares."""
+    """Buckets of a text, each once, with their shares."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for h in hashed(text):
         counts += np.bincount(h.astype(np.int64), minlength=BUCKETS)
     buckets = np.flatnonzero(counts)
-    if len(buckets) > SAMPLE_FEATURES:
-        buckets = np.sort(buckets[np.argsort(-counts[buckets], kind="stable")[:SAMPLE_FEATURES]])
     return buckets.astype(np.int32), (counts[buckets] / max(1, counts.sum())).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """Learns from about ``sample`` labelled documents, picked by a hash of the id; of several labels the mean is rounded.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> QualityModel:
+    """Learns from ``sample`` labelled documents at most, with ``most_features`` in all, picked by a hash of id and text; of several labels the mean is
+    rounded. Equal rows count once, however often one is repeated.
 
     Null ids, labels and texts are not used. Without labels all scores are one half; with one class they follow it.
     """
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("mark")).dropna()
-    n = marked.count()
-    picked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30)))
-    picked = picked.groupBy("doc_id").agg((F.avg("mark") >= 0.5).cast("int").alias("mark"))
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("mark")).dropna().groupBy("doc_id").agg((F.avg("mark") >= 0.5).cast("int").alias("mark"))
+    # the first ids by their hash, and of their rows again the first ones
+    picked = marked.withColumn("p", F.xxhash64("doc_id")).orderBy("p", "doc_id").limit(sample).drop("p")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
+    rows = texts.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # ids of the sample: bounded by its size
+    first = rows.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(sample)
+    chosen = rows.join(F.broadcast(first), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("buckets", pa.binary()), ("shares", pa.binary())])
-        rows = ((d, m, *(a.tobytes() for a in bag(t))) for d, t, m in rows_of(batches, "doc_id", "text", "mark"))
-        yield from arrow_batches(rows, schema, lambda r: len(r[2]) * 2 + 64)
-
-    chosen = texts.join(F.broadcast(picked), "doc_id")  # the sample's ids: bounded by its size
-    found = chosen.mapInArrow(run, "doc_id long, mark int, buckets binary, shares binary").collect()  # a bounded sample
-    found.sort(key=lambda r: (r["doc_id"], r["buckets"]))
-    return train([(np.frombuffer(r["buckets"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32), r["mark"]) for r in found if r["buckets"]])
+        schema = pa.schema([("h", pa.int64()), ("mark", pa.int32()), ("n", pa.int32()), ("buckets", pa.binary()), ("shares", pa.binary())])
+        seen: set[int] = set()  # of the sample's rows
+
+        def fresh(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for h, t, m in rows:
+                if h not in seen:
+                    seen.add(h)
+                    buckets, shares = bag(t)
+                    yield h, m, len(buckets), buckets.tobytes(), shares.tobytes()
+
+        yield from arrow_batches(fresh(rows_of(batches, "h", "text", "mark")), schema, lambda r: len(r[3]) * 2 + 64)
+
+    bags = written(chosen.mapInArrow(run, "h long, mark int, n int, buckets binary, shares binary").distinct(), "bags")
+    within, total = [], 0
+    for h, n in sorted({(r["h"], r["n"]) for r in bags.select("h", "n").collect()}):  # two numbers a row of the sample
+        total += n
+        if total > most_features:
+            break
+        within.append(h)
+    most = within[-1] if within else 0
+    found = bags.filter((F.col("h") <= most) & (F.col("n") > 0)).collect() if within else []  # a bounded sample
+    found.sort(key=lambda r: (r["h"], r["buckets"]))
+    return train([(np.frombuffer(r["buckets"], dtype=np.int32), np.frombuffer(r["shares"], dtype=np.float32), r["mark"]) for r in found])
 
 
 def scored(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
