@@ -49,6 +49,18 @@ def rules_found(rules: DataFrame, text: str, field: str = "all") -> DataFrame:
     return rules.filter(out)
 
 
+def rules_queried(rules: DataFrame, queries: DataFrame) -> DataFrame:
+    """word, field, id and code: for every query (word, field) the rules (id, code, category, patterns) that ``rules_found`` finds for it. Each different
+    text of a rule is looked at once."""
+    upper = lambda c: F.upper(F.coalesce(c, F.lit("")))
+    named = F.array(F.struct(F.lit("code").alias("own"), F.coalesce("code", F.lit("")).alias("text")), F.struct(F.lit("category").alias("own"), upper(F.col("category")).alias("text")))
+    texts = rules.select("id", "code", F.explode(F.concat(named, F.transform(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.struct(F.lit("patterns").alias("own"), upper(p).alias("text"))))).alias("t")).select("id", "code", "t.*")
+    asked = queries.select("word", "field", F.upper("word").alias("__word")).distinct()
+    met = contained_in(asked.select("__word").distinct(), texts.select("text").distinct(), "__word", "text")
+    found = asked.join(met, "__word").join(texts, "text").filter((F.col("field") == "all") | (F.col("field") == F.col("own")))
+    return found.select("word", "field", "id", "code").distinct()
+
+
 def unknown_items(items: DataFrame) -> DataFrame:
     """``items`` without a code, with code UNKNOWN or marked for review, once for each description, with how many there are."""
     left = items.filter(F.col("code").isNull() | F.col("code").isin("", "UNKNOWN") | F.coalesce("needs_review", F.lit(False)))

@@ -18,12 +18,11 @@ def _cents(column: str):
 
 
 def rule_query(spark, d):
-    """Rules that speak of each word: every brand's last letters and some words."""
-    found = None
-    for word, field in (("anvil", "all"), ("7", "code"), ("goods", "category"), ("ring", "patterns"), ("zzz", "all")):
-        one = V.rules_found(rules(spark), word, field).select(F.lit(word).alias("word"), "id", "code")
-        found = one if found is None else found.unionByName(one)
-    return found
+    """Rules that speak of each word of the parts' types, or whose code has each heading; the rules are made from the parts."""
+    p = table(spark, d, "part")
+    made = p.select(_k().alias("id"), tariff_code("p_partkey").alias("code"), F.lower("p_type").alias("category"), F.split("p_name", " ").alias("patterns"))
+    words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word"), F.lit("all").alias("field")).union(p.select(F.explode(F.split(F.initcap("p_name"), " ")), F.lit("patterns")))
+    return V.rules_queried(made, words.union(p.select(F.substring(tariff_code("p_partkey"), 1, 4), F.lit("code"))).union(p.select(F.substring("p_name", 2, 2), F.lit("patterns"))))
 
 
 def unknown(spark, d):
@@ -192,8 +191,9 @@ _PLACES = ", ".join(
 )
 
 SQL = {
-    "rule_query": f"""WITH {_RULES} SELECT 'anvil' AS word, id, code FROM rules WHERE contains(upper(category), 'ANVIL') OR {_WORD('ANVIL')} UNION ALL SELECT '7', id, code FROM rules WHERE contains(code, '7')
-        UNION ALL SELECT 'goods', id, code FROM rules WHERE contains(category, 'GOODS') UNION ALL SELECT 'ring', id, code FROM rules WHERE {_WORD('RING')}""",
+    "rule_query": f"""WITH r AS (SELECT p_partkey AS id, {_CODE} AS code, upper(p_type) AS category, string_split(upper(p_name), ' ') AS patterns, p_name, p_type FROM part),
+        q AS (SELECT DISTINCT * FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS word, 'all' AS field FROM part UNION ALL SELECT upper(w[1]) || lower(w[2:]), 'patterns' FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) UNION ALL SELECT left(code, 4), 'code' FROM r UNION ALL SELECT substr(p_name, 2, 2), 'patterns' FROM part))
+        SELECT word, field, id, code FROM q, r WHERE (field IN ('all', 'code') AND contains(code, upper(word))) OR (field = 'all' AND contains(category, upper(word))) OR (field IN ('all', 'patterns') AND len(list_filter(patterns, lambda p: contains(p, upper(word)))) > 0)""",
     "unknown_products": "SELECT p_name AS description, count(*) AS n, min(p_partkey) AS first_item FROM part WHERE p_partkey % 3 < 2 OR p_partkey % 5 = 0 GROUP BY 1",
     "disable_code": """SELECT CAST(p_partkey AS VARCHAR) AS code, p_partkey % 7 <> 0 AS enabled, CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' | ' ELSE '' END || 'Disabled: ' ||
         CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE 'No reason provided' END WHEN p_partkey % 2 = 0 THEN p_brand END AS notes FROM part""",

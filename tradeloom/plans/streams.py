@@ -36,7 +36,7 @@ def debounce(spark, d):
 
 
 def retries(spark, d):
-    return S.gathered(S.retried(S.stream(spark, d, "events").filter("event_type = 'error'").select("user_id", "event_id"), "user_id", "event_id"))
+    return S.gathered(S.retried(S.stream(spark, d, "events").filter("event_type = 'error'").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts"))
 
 
 QUERIES = {"stream_dedup": dedup, "stream_tumbling": tumbling, "stream_session": sessions, "stream_pairing": pairing, "stream_debounce": debounce, "stream_retry": retries}

@@ -71,13 +71,23 @@ def settled(events: DataFrame, at: str, by: str, what: str, ident: str, quiet: s
     return w.select(F.col("window.start").alias("start"), by, F.col(f"last.{what}").alias(what), "n")
 
 
-def retried(events: DataFrame, by: str, ident: str, most: int = 3) -> DataFrame:
-    """Failed messages that are tried again: the first ``most`` of each client, with the attempt; the count is kept as state."""
+def retried(events: DataFrame, by: str, ident: str, at: str, most: int = 3, forget_days: int = 30, late: str = "10 seconds") -> DataFrame:
+    """Failed messages that are tried again: the first ``most`` of each client, with the attempt. The count is kept as state, and forgotten when a client
+    has had no message for ``forget_days`` (event time): such a client begins anew."""
+    forget = forget_days * 86_400_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.get[0] if state.exists else 0
-        ids = sorted(i for f in frames for i in f[ident].tolist())[: max(0, most - done)]
-        state.update((done + len(ids),))
-        yield pd.DataFrame({by: [key[0]] * len(ids), ident: ids, "attempt": range(done + 1, done + len(ids) + 1)})
-
-    return events.groupBy(by).applyInPandasWithState(step, f"{by} long, {ident} long, attempt int", "done int", "append", GroupStateTimeout.NoTimeout)
+        done, seen = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            ids: list[int] = []
+        else:
+            rows = [(int(i), t.value // 1_000_000) for f in frames for i, t in zip(f[ident], f[at], strict=True)]
+            ids, seen = sorted(i for i, _ in rows)[: max(0, most - done)], max([seen, *(t for _, t in rows)])
+            state.update((done + len(ids), seen))
+            state.setTimeoutTimestamp(max(seen + forget, state.getCurrentWatermarkMs() + 1))
+        made = {by: [key[0]] * len(ids), ident: ids, "attempt": list(range(done + 1, done + len(ids) + 1))}
+        yield pd.DataFrame({c: pd.Series(v, dtype="int64") for c, v in made.items()})
+
+    kept = events.withWatermark(at, late).groupBy(by)
+    return kept.applyInPandasWithState(step, f"{by} long, {ident} long, attempt int", "done int, seen long", "append", GroupStateTimeout.EventTimeTimeout)
