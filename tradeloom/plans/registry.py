@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that have QUERIES and SQL.
-MODULES: tuple[str, ...] = ("totals", "scalars", "classify", "order", "records", "lookups", "parse", "review", "streams", "checklist", "splits", "specs", "flows", "stores", "files")
+MODULES: tuple[str, ...] = ("totals", "scalars", "classify", "order", "records", "lookups", "parse", "review", "streams", "checklist", "splits", "specs", "flows", "stores", "files", "sections")
 FLAGSHIP = "group_totals"
 
 
