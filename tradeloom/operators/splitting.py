@@ -75,7 +75,8 @@ def strategy(costs: list[float], targets: list[float | None], charges: list[floa
         best, best_score = None, (math.inf, math.inf)
         for wanted in _orders(untaxed):
             way = divided(costs, list(wanted))
-            score = deviation(_sums(costs, way, n), list(wanted))
+            worst, gaps = deviation(_sums(costs, way, n), list(wanted))
+            score = round(worst, 9), round(gaps, 6)  # orders that differ by the order of additions only are alike: the first counts
             if score < best_score:
                 best, best_score, best_wanted = way, score, wanted
         if best is not None and len(set(best)) == n and not unreliable(best_score[0], list(best_wanted)):

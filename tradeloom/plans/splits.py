@@ -66,13 +66,14 @@ _SPLIT_SQL = f"""WITH {ITEMS_SQL}, {SEQ_SQL},
   full_ways AS (SELECT k, code, way, list_transform(range(0, n), lambda d: list_reduce(list_prepend(0.0::DOUBLE, list_transform(costs, lambda c, i: CASE WHEN way[i] = d THEN c ELSE 0.0::DOUBLE END)), lambda x, y: x + y)) AS sums FROM ways WHERE len(list_distinct(way)) = n),
   scores AS (SELECT r.k, kind, p, targets, code, way, list_max(list_transform(range(1, n + 1), lambda d: abs(sums[d] - targets[d]) / greatest(targets[d], 1e-9::DOUBLE))) AS worst, list_reduce(list_transform(range(1, n + 1), lambda d: abs(sums[d] - targets[d])), lambda x, y: x + y) AS gaps
         FROM trials r JOIN full_ways w ON w.k = r.k),
-  best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY worst, gaps, p, code) = 1),
+  best_ways AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY k, kind, p ORDER BY worst, gaps, code) = 1),
+  best AS (SELECT * FROM best_ways QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY round(worst, 9), round(gaps, 6), p) = 1),
   won AS (SELECT * FROM best WHERE list_min(targets) >= 1 AND worst <= 5 QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE kind WHEN 'duty' THEN 1 WHEN 'charges' THEN 2 ELSE 3 END) = 1),
   rest AS (SELECT u.k, n, len(costs) AS lines, units FROM u ANTI JOIN won ON won.k = u.k),
   dealt AS (SELECT r.k, n, q.*, (row_number() OVER (PARTITION BY r.k ORDER BY seq, x) - 1) % n AS d FROM (SELECT * FROM rest WHERE lines < n AND units >= n) r JOIN (SELECT *, unnest(range(CAST(floor(quantity) AS BIGINT))) AS x FROM numbered) q ON q.invoice_id = r.k),
   assigned AS (
     SELECT k AS invoice_id, CAST(way[seq] AS INT) AS declaration, CAST(seq AS INT) AS seq, CAST(quantity AS DOUBLE) AS quantity, CAST(total_cost AS DOUBLE) AS total_cost, kind AS strategy FROM won JOIN numbered ON invoice_id = k
-    UNION ALL SELECT k, CAST(d AS INT), CAST(min(seq) AS INT), CAST(count(*) AS DOUBLE), CAST(sum(CAST(round(CAST(unit_cost AS DOUBLE), 2) AS DECIMAL(18,2))) AS DOUBLE), 'quantity' FROM dealt GROUP BY k, d, description, tariff_code
+    UNION ALL SELECT k, CAST(d AS INT), CAST(min(seq) AS INT), CAST(count(*) AS DOUBLE), CAST(sum(CAST(round(unit_cost, 2) AS DECIMAL(18,2))) AS DOUBLE), 'quantity' FROM dealt GROUP BY k, d, description, tariff_code
     UNION ALL SELECT k, CAST((seq - 1) % n AS INT), CAST(seq AS INT), CAST(quantity AS DOUBLE), CAST(total_cost AS DOUBLE), 'turn' FROM rest JOIN numbered ON invoice_id = k WHERE NOT (lines < n AND units >= n))"""
 
 SQL = {
