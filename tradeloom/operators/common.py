@@ -85,6 +85,15 @@ def contained_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str, siz
     return found.unionByName(short.join(wholes.withColumn("__cut", F.explode(F.array_distinct(cuts))), "__cut").drop("__cut"))
 
 
+def named_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """The same for short texts such as numbers of documents, which have most of their grams in common: a whole is found by each of its parts, so as many
+    as the square of its length."""
+    n, each = F.length(whole), F.col(whole)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(each, i, k))))
+    left = parts.filter(F.length(part) > 0).withColumn("__part", F.col(part))
+    return left.join(wholes.filter(n > 0).withColumn("__part", F.explode(F.array_distinct(every))), "__part").drop("__part")
+
+
 def winners(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order that should leave no ties."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")

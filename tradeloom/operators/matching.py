@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.codes import sku
-from tradeloom.operators.common import bounded, contained_in, streamed, winners
+from tradeloom.operators.common import bounded, named_in, streamed, winners
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def po_candidates(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     theirs = orders.select("order_id", F.explode("refs").alias("__ref")).select("order_id", bare.alias("__theirs")).filter("__theirs <> ''").distinct()
     # distinct references meet, so that a common one isn't joined once for each of its rows
     a, b = ours.select("__ours").distinct(), theirs.select("__theirs").distinct()
-    met = contained_in(a, b, "__ours", "__theirs").select("__ours", "__theirs").union(contained_in(b, a, "__theirs", "__ours").select("__ours", "__theirs")).distinct()
+    met = named_in(a, b, "__ours", "__theirs").select("__ours", "__theirs").union(named_in(b, a, "__theirs", "__ours").select("__ours", "__theirs")).distinct()
     return ours.join(met, "__ours").join(theirs, "__theirs").select("invoice_id", "order_id").distinct()
 
 
