@@ -147,12 +147,34 @@ def orders_matched(invoices: DataFrame, items: DataFrame, orders: DataFrame, ali
     return out.unionByName(whole)
 
 
+#: A reference that more invoices and more shipments than this have is matched by sums, without a row a pair.
+COMMON_REF = 16
+
+
 def shipments_matched(invoices: DataFrame, shipments: DataFrame, refs: str = "refs", shipment_refs: str = "invoice_refs") -> DataFrame:
-    """invoice_id, packages and weight of the shipments that name one of the invoice's references; 1 and 0 where none does."""
-    ours = invoices.select("invoice_id", F.explode(F.array_distinct(refs)).alias("ref"))
-    theirs = shipments.select("shipment_id", "packages", "weight", F.explode(F.array_distinct(shipment_refs)).alias("ref"))
-    hits = ours.join(theirs, "ref").dropDuplicates(["invoice_id", "shipment_id"])
-    sums = hits.groupBy("invoice_id").agg(F.sum("packages").alias("packages"), F.sum("weight").alias("weight"))
+    """invoice_id, packages and weight of the shipments that name one of the invoice's references; 1 and 0 where none does. A shipment counts once for an invoice.
+
+    Pairs of an invoice and a shipment are listed only for references that few rows of either side have, so they are at most ``COMMON_REF`` times the rows.
+    For common references, rows are grouped by the set of those that they have, and sets meet instead of rows; a pair that has a rare reference in
+    common, too, is taken out of the sums again.
+    """
+    ours = invoices.select("invoice_id", F.explode(F.array_distinct(refs)).alias("ref")).filter("ref IS NOT NULL").distinct()
+    theirs = shipments.select("shipment_id", F.explode(F.array_distinct(shipment_refs)).alias("ref")).filter("ref IS NOT NULL").distinct()
+    often = lambda rows: rows.groupBy("ref").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_REF).select("ref")
+    common = often(ours).join(often(theirs), "ref").withColumn("__common", F.lit(True))
+    sets = lambda rows, key: rows.join(common, "ref").groupBy(key).agg(F.array_sort(F.collect_list("ref")).alias("set"))
+    held, named = sets(ours, "invoice_id"), sets(theirs, "shipment_id")
+    amounts = shipments.select("shipment_id", "packages", "weight").dropDuplicates(["shipment_id"])
+    # sets of references that meet, each pair once, with what the shipments of the one set have
+    whole = named.join(amounts, "shipment_id").groupBy("set").agg(F.sum("packages").alias("packages"), F.sum("weight").alias("weight"))
+    a = held.select("set").distinct().select("set", F.explode("set").alias("ref"))
+    b = whole.select(F.col("set").alias("other"), F.explode("set").alias("ref"))
+    met = a.join(b, "ref").select("set", "other").distinct().join(whole.withColumnRenamed("set", "other"), "other")
+    by_set = held.join(met.groupBy("set").agg(F.sum("packages").alias("packages"), F.sum("weight").alias("weight")), "set").select("invoice_id", "packages", "weight")
+    rare = ours.join(theirs.join(common, "ref", "left_anti"), "ref").select("invoice_id", "shipment_id").distinct()
+    pairs = rare.join(held, "invoice_id", "left").join(named.withColumnRenamed("set", "other"), "shipment_id", "left")
+    by_pair = pairs.filter(~F.coalesce(F.arrays_overlap("set", "other"), F.lit(False))).join(amounts, "shipment_id").select("invoice_id", "packages", "weight")
+    sums = by_set.unionByName(by_pair).groupBy("invoice_id").agg(F.sum("packages").alias("packages"), F.sum("weight").alias("weight"))
     return invoices.select("invoice_id").join(sums, "invoice_id", "left").select("invoice_id", F.coalesce("packages", F.lit(1)).alias("packages"), F.coalesce("weight", F.lit(0)).alias("weight"))
 
 
