@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tradeloom.operators import common as C
 from tradeloom.operators import matching as M
 
 
@@ -33,3 +34,35 @@ def test_shipments_by_common_references(spark):
     rows, n = shuffled(spark, M.shipments_matched(inv, ship))
     assert rows == expected
     assert n < 50_000  # there are over 200,000 pairs
+
+
+def test_references_are_cut_to_lengths_that_occur(spark):
+    """A whole isn't cut into all of its parts, only into those that can be found."""
+    parts = [f"2026{i:06d}" for i in range(300)] + ["", None, "26000001", "7X"]
+    wholes = [f"PO2026{i * 7 % 400:06d}X" for i in range(300)] + [None, "", "7", "2026000001"]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, C.named_in(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"), "part", "whole"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert rows == sorted((p, w) for p in parts if p for w in wholes if w and p in w)
+    assert n < 10_000  # there are 300 x 91 parts
+
+
+def test_scores_shuffle_no_pairs(spark, monkeypatch):
+    """Aliases meet items, not pairs of items and orders."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(M, "sku", lambda c: F.upper(c))
+    items = spark.range(60).select(F.lit(1).alias("invoice_id"), F.col("id").cast("int").alias("seq"), F.concat(F.lit("S"), "id").alias("sku"), F.lit(None).cast("string").alias("legacy_sku"), F.lit("").alias("catalog"), *[F.lit(0).alias(c) for c in ("quantity", "unit_cost", "total_cost")])
+    orders = spark.range(60).select(F.lit(1).alias("invoice_id"), F.col("id").cast("int").alias("po_seq"), F.concat(F.lit("T"), "id").alias("po_sku"), F.lit("").alias("po_short"), F.lit("").alias("po_description"), *[F.lit(0).alias(c) for c in ("po_quantity", "po_price", "po_total")])
+    aliases = spark.createDataFrame([(f"s{i}", f"t{i + 1}", "none") for i in range(0, 60, 2)] + [("t3", "s3", None), ("s1", "", "t1")], "sku string, bm_code string, supplier_item string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, M.po_scores(items, orders, "invoice_id", aliases).filter("score > 0").select("seq", "po_seq", "score"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert rows == sorted([(i, i + 1, 90) for i in range(0, 59, 2)] + [(3, 3, 90), (1, 1, 90)])
+    assert n < 1000  # there are 3,600 pairs

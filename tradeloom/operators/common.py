@@ -86,12 +86,20 @@ def contained_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str, siz
 
 
 def named_in(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
-    """The same for short texts such as numbers of documents, which have most of their grams in common: a whole is found by each of its parts, so as many
-    as the square of its length."""
-    n, each = F.length(whole), F.col(whole)
-    every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(each, i, k))))
+    """The same for short texts such as numbers of documents, which have most of their grams in common: a whole is found by each of its parts that has a
+    length of ``parts``; those lengths are few where numbers have forms, at most as many as the longest whole has characters."""
+    each = F.col(whole)
     left = parts.filter(F.length(part) > 0).withColumn("__part", F.col(part))
-    return left.join(wholes.filter(n > 0).withColumn("__part", F.explode(F.array_distinct(every))), "__part").drop("__part")
+    longest = wholes.agg(F.max(F.length(whole))).first()[0] or 0
+    lengths = sorted(n for (n,) in left.select(F.length(part)).filter(F.length(part) <= longest).distinct().collect())
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.length(each) - n + 1), lambda i: F.substr(each, i, F.lit(n)))
+    if len(lengths) <= FEW:
+        every = F.concat(F.array().cast("array<string>"), *[F.when(F.length(each) >= n, cuts(n)).otherwise(F.array().cast("array<string>")) for n in lengths])
+    else:
+        n = F.length(each)
+        fit = F.filter(F.lit(lengths), lambda k: k <= n)
+        every = F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(each, i, k))))
+    return left.join(wholes.withColumn("__part", F.explode(F.array_distinct(every))), "__part").drop("__part")
 
 
 def winners(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
