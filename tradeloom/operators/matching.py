@@ -56,17 +56,18 @@ def alias_pairs(aliases: DataFrame) -> DataFrame:
 
 def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
     """Pairs of ``items`` and ``orders`` with one value of ``on``, with ``score``. SKUs count once, by the best way; catalogue, short code,
-    quantity, price and total add to it.
+    quantity, price and total add to it. Items get the codes that are aliases of theirs before they meet orders, so no pair is shuffled.
 
     Columns: sku, legacy_sku, catalog, quantity, unit_cost, total_cost of the item; po_sku, po_short, po_description, po_quantity,
     po_price, po_total of the order. aliases: see ``alias_pairs``. SKUs are normalised before the join, once a row.
     """
-    left = items.withColumns({"__a": sku(F.col("sku")), "__legacy": sku(F.col("legacy_sku"))})
+    known = alias_pairs(aliases).groupBy("__a").agg(F.collect_list("__b").alias("__named"))
+    left = items.withColumns({"__a": sku(F.col("sku")), "__legacy": sku(F.col("legacy_sku"))}).join(known, "__a", "left")
     right = orders.withColumns({"__b": sku(F.col("po_sku")), "__short": sku(F.col("po_short"))})
-    out = left.join(right, on).join(alias_pairs(aliases).withColumn("__alias", F.lit(True)), ["__a", "__b"], "left")
+    out = left.join(right, on)
     a, b, short, legacy = (F.col(c) for c in ("__a", "__b", "__short", "__legacy"))
     both = (a != "") & (b != "")
-    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.col("__alias"), s.alias_sku)
+    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.array_contains("__named", b), s.alias_sku)
     by_legacy = F.when((legacy != "") & ((legacy == b) | (legacy == short)), s.exact_sku)
     catalog = F.coalesce("catalog", F.lit(""))
     listed = (F.length(catalog) >= 3) & (F.contains("po_sku", catalog) | F.contains("po_description", catalog))
@@ -80,7 +81,7 @@ def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame,
         F.when(_close(F.col("unit_cost"), F.col("po_price"), 0.02), s.price).when(_close(F.col("unit_cost"), F.col("po_price"), 0.50), s.close_price),
         F.when(_close(F.col("total_cost"), F.col("po_total"), 0.02), s.total),
     ]
-    return out.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "__alias")
+    return out.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "__named")
 
 
 def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[int, tuple[int, int]]:
