@@ -47,13 +47,17 @@ def supplier_found(names: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def bundles_inherit(bundles: DataFrame, items: DataFrame) -> DataFrame:
-    """bundle_id and code: that of the first item (seq) that a member names or, ending in ``*``, begins."""
+    """bundle_id and code: that of the first item (seq) that a member names or, ending in ``*``, begins.
+
+    Items are reduced to the first of each SKU, and those to the first of each beginning, before members meet them.
+    """
     members = bundles.select("bundle_id", F.posexplode("members").alias("place", "member"))
     star = F.col("member").endswith("*")
-    prefix = F.regexp_replace("member", r"\*$", "")
-    exact = members.filter(~star).join(items, F.col("member") == F.col("sku"))
-    begun = members.filter(star).withColumn("__p", prefix).join(items.withColumn("__head", F.substring("sku", 1, 3)), (F.substring("__p", 1, 3) == F.col("__head")) & F.col("sku").startswith(F.col("__p")))
-    columns = ["bundle_id", "place", "seq", "code"]
+    first = items.filter("sku IS NOT NULL").groupBy("sku").agg(F.min(F.struct("seq", "code")).alias("first"))
+    heads = first.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("sku")), lambda n: F.left("sku", n))).alias("__p"), "first").groupBy("__p").agg(F.min("first").alias("first"))
+    exact = members.filter(~star).join(first, F.col("member") == F.col("sku"))
+    begun = members.filter(star).withColumn("__p", F.regexp_replace("member", r"\*$", "")).join(heads, "__p")
+    columns = ["bundle_id", "place", "first.seq", "first.code"]
     return winners(exact.select(columns).unionByName(begun.select(columns)), ["bundle_id"], F.col("place"), F.col("seq")).select("bundle_id", "code")
 
 
