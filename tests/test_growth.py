@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tradeloom.operators import common as C
+from tradeloom.operators import lookup as L
 from tradeloom.operators import matching as M
+from tradeloom.operators import review as V
 
 
 def shuffled(spark, df) -> tuple[list[tuple], int]:
@@ -66,3 +68,39 @@ def test_scores_shuffle_no_pairs(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert rows == sorted([(i, i + 1, 90) for i in range(0, 59, 2)] + [(3, 3, 90), (1, 1, 90)])
     assert n < 1000  # there are 3,600 pairs
+
+
+def test_bundles_meet_first_items_only(spark):
+    """Many items of one SKU don't meet each bundle; beginnings of any length count."""
+    items = [(f"Brand#{i % 9}-{i % 4}", i, f"c{i}") for i in range(2000)] + [(None, -1, "none"), ("X", 3000, "x")]
+    bundles = [(b, [f"Brand#{b % 12}-{b % 4}", f"Brand#{b % 10}*", "X*"]) for b in range(300)] + [(900, ["Br*"]), (901, ["nothing", "nothing*"]), (902, ["B"])]
+    begins = lambda m, sku: sku.startswith(m[:-1]) if m.endswith("*") else sku == m
+    expected = []
+    for b, members in bundles:
+        found = next((c for m in members for sku, _, c in sorted((x for x in items if x[0]), key=lambda x: x[1]) if begins(m, sku)), None)
+        expected += [(b, found)] if found else []
+    rows, n = shuffled(spark, L.bundles_inherit(spark.createDataFrame(bundles, "bundle_id long, members array<string>"), spark.createDataFrame(items, "sku string, seq long, code string")))
+    assert rows == sorted(expected)
+    assert n < 10_000  # there are over 60,000 pairs
+
+
+def test_rows_of_order_files_are_counted_first(spark):
+    rows = [(f"f{i % 3}", f"PO/{i} (2026-{i % 4}/ A-{i % 5} /2026{i % 4})" if i % 3 else "PO", f"INV/{i % 6}" if i % 2 else None) for i in range(900)]
+    inv = [(i % 60, f"2026-{i % 7}" if i % 2 else f"x inv_{i % 9} A5") for i in range(300)] + [(70, "A-1"), (70, "2026-1"), (71, None)]
+    expected = []
+    for s in {s for s, _ in inv}:
+        mine = [r.lower() for t, r in inv if t == s and r]
+        bare = {r.replace("-", "") for r in mine}
+        hits: dict[str, int] = {}
+        for file, text, number in rows:
+            listed = {x.strip().lower().replace("-", "") for x in text.split("(")[1].rstrip(")").split("/")} if "(" in text else None
+            cell = (number or "").lower().replace("/", "_")
+            if listed & bare if listed else cell and any(cell in x for r in mine for x in (r, r.replace("-", ""))):
+                hits[file] = hits.get(file, 0) + 1
+        if hits:
+            file = min(hits, key=lambda f: (-hits[f], f))
+            expected.append((s, file, hits[file]))
+    made = V.order_file(spark.createDataFrame(rows, "file string, order_ref string, number string"), spark.createDataFrame(inv, "shipment_id long, ref string"))
+    found, n = shuffled(spark, made.select("shipment_id", "file", "hits"))
+    assert found == sorted(expected)
+    assert n < 5_000  # there are over 10,000 pairs of a row and a shipment

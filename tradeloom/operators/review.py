@@ -219,15 +219,20 @@ def order_file(rows: DataFrame, invoices: DataFrame) -> DataFrame:
     rows = rows if "number" in rows.columns else rows.withColumn("number", F.lit(None).cast("string"))
     listed = F.split(F.lower(F.regexp_extract("order_ref", r"\(([^)]+)\)", 1)), "/")
     bracketed = F.coalesce(F.col("order_ref").rlike(r"\([^)]+\)"), F.lit(False))
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    named = numbered.filter(bracketed).select("file", "__row", F.explode(listed).alias("ref"))
-    named = named.select("file", "__row", F.replace(F.trim("ref"), F.lit("-"), F.lit("")).alias("ref")).filter("ref <> ''")
+    refs = F.array_sort(F.array_distinct(F.filter(F.transform(listed, lambda r: F.replace(F.trim(r), F.lit("-"), F.lit(""))), lambda r: r != "")))
+    # rows of a file that name the same are counted before they meet shipments
+    named = rows.filter(bracketed).groupBy("file", refs.alias("refs")).agg(F.count("*").alias("n"))
     ours = invoices.select("shipment_id", F.replace(F.lower("ref"), F.lit("-"), F.lit("")).alias("ref")).distinct()
-    cells = numbered.filter(~bracketed).select("file", "__row", F.lower(F.replace("number", F.lit("/"), F.lit("_"))).alias("__number"))
+    known = named.select("file", "refs", "n", F.explode("refs").alias("ref")).join(ours.select("ref").distinct(), "ref", "left_semi").groupBy("file", "refs", "n").agg(F.array_sort(F.collect_list("ref")).alias("known"))
+    known = known.groupBy("file", "known").agg(F.sum("n").alias("n"))
+    by_ref = known.withColumn("ref", F.explode("known")).join(ours, "ref").select("shipment_id", "file", "known", "n").distinct().select("shipment_id", "file", "n")
+    number = F.lower(F.replace("number", F.lit("/"), F.lit("_")))
+    cells = rows.filter(~bracketed).groupBy("file", number.alias("__number")).agg(F.count("*").alias("n"))
     stems = invoices.select("shipment_id", F.explode(F.array(F.lower("ref"), F.replace(F.lower("ref"), F.lit("-"), F.lit("")))).alias("__stem")).distinct()
     met = contained_in(cells.select("__number").distinct(), stems.select("__stem").distinct(), "__number", "__stem")
-    by_cell = cells.join(met, "__number").join(stems, "__stem").select("shipment_id", "file", "__row")
-    hits = named.join(ours, "ref").select("shipment_id", "file", "__row").union(by_cell).distinct().groupBy("shipment_id", "file").agg(F.count("*").alias("hits"))
+    wanted = stems.join(met, "__stem").select("shipment_id", "__number").distinct()
+    by_cell = wanted.join(cells, "__number").select("shipment_id", "file", "n")
+    hits = by_ref.unionByName(by_cell).groupBy("shipment_id", "file").agg(F.sum("n").alias("hits"))
     return winners(hits, ["shipment_id"], F.col("hits").desc(), F.col("file"))
 
 
