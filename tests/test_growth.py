@@ -104,3 +104,17 @@ def test_rows_of_order_files_are_counted_first(spark):
     found, n = shuffled(spark, made.select("shipment_id", "file", "hits"))
     assert found == sorted(expected)
     assert n < 5_000  # there are over 10,000 pairs of a row and a shipment
+
+
+def test_recap_meets_first_invoices_only(spark):
+    refs, invoices = [f"INV-2024-{i:06d}-A" for i in range(0, 900, 2)], [f"INV-2024-{i:06d}{'-B' if i % 3 else ''}" for i in range(0, 900, 3)] + [f"INV-2024-{i:06d}-B" for i in range(1, 600, 7)] + ["X"]
+    best = {}
+    for r in refs:
+        found = [(n, i) for n, cut in enumerate((15, 14, 13), 1) for i in invoices if len(i) >= cut and i[:cut] == r[:cut]]
+        best[r] = min(found)[::-1] if found else (None, None)
+    taken = {i for i, _ in best.values()}
+    expected = [(r, *best[r]) for r in refs] + [(None, i, None) for i in set(invoices) - taken]
+    rows = L.recap_matched(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame([(i,) for i in invoices], "invoice_ref string"))
+    joined = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("min(invoice_ref") >= 3  # before, each met all invoices of its beginning
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(expected, key=str)

@@ -66,7 +66,9 @@ def recap_matched(recap: DataFrame, invoices: DataFrame, lengths: tuple[int, ...
     r, i = recap.select("ref").distinct(), invoices.select("invoice_ref").distinct()
     pairs = r.join(i, F.col("ref") == F.col("invoice_ref")).select("ref", "invoice_ref", F.lit(0).alias("way"))
     for n, length in enumerate(lengths, 1):
-        cut = r.filter(F.length("ref") >= length).withColumn("__c", F.substring("ref", 1, length)).join(i.filter(F.length("invoice_ref") >= length).withColumn("__c", F.substring("invoice_ref", 1, length)), "__c")
+        # of the invoices with one beginning the first is the best of this way
+        first = i.filter(F.length("invoice_ref") >= length).groupBy(F.substring("invoice_ref", 1, length).alias("__c")).agg(F.min("invoice_ref").alias("invoice_ref"))
+        cut = r.filter(F.length("ref") >= length).withColumn("__c", F.substring("ref", 1, length)).join(first, "__c")
         pairs = pairs.unionByName(cut.select("ref", "invoice_ref", F.lit(n).alias("way")))
     best = winners(pairs, ["ref"], F.col("way"), F.col("invoice_ref"))
     missed_r = r.join(best, "ref", "left_anti").select("ref", F.lit(None).cast("string").alias("invoice_ref"), F.lit(None).cast("int").alias("way"))
