@@ -118,3 +118,18 @@ def test_recap_meets_first_invoices_only(spark):
     joined = rows._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count("min(invoice_ref") >= 3  # before, each met all invoices of its beginning
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_suppliers_of_like_names(spark):
+    """Names that have their grams in common meet by whole parts."""
+    suppliers = [(i, f"Supplier#{i:09d}", f"S{i}") for i in range(400)] + [(900, "Acme", None), (901, "", "E"), (902, None, None)]
+    names = [f"Supplier#{i:09d} Ltd" for i in range(400)] + ["s7", "supplier#000000009", "the acme co", "cm", "Supplier", "nobody", "", None]
+    expected = []
+    for name in names:
+        n = name.strip().lower() if name is not None else None
+        tiers = [[i for i, _, c in suppliers if c and n == c.lower()], [i for i, s, _ in suppliers if s is not None and n == s.lower()], [i for i, s, _ in suppliers if n and s and (s.lower() in n or n in s.lower())]]
+        found = next(((min(t), k) for k, t in enumerate(tiers, 1) if t), None) if n is not None else None
+        expected += [(name, *found)] if found else []
+    made = L.supplier_found(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(suppliers, "supplier_id long, name string, code string"))
+    assert "__gram" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, made.select("name", "supplier_id", "tier").collect())) == sorted(expected)

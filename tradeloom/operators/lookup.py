@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeloom.operators.common import contained_in, dimension, winners
+from tradeloom.operators.common import contained_in, dimension, named_in, winners
 
 
 def sku_classified(skus: DataFrame, assessed: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def supplier_found(names: DataFrame, suppliers: DataFrame) -> DataFrame:
     exact = wanted.join(s, F.col("__n") == F.col("__code")).select("name", "supplier_id", F.lit(1).alias("tier"))
     exact = exact.unionByName(wanted.join(s, F.col("__n") == F.col("__name")).select("name", "supplier_id", F.lit(2).alias("tier")))
     rest = wanted.join(exact.select("name").distinct(), "name", "left_anti")
-    both = contained_in(s, rest, "__name", "__n").select("name", "supplier_id").union(contained_in(rest, s, "__n", "__name").select("name", "supplier_id"))
+    # names of one list may have all of their grams in common
+    both = named_in(s, rest, "__name", "__n").select("name", "supplier_id").union(named_in(rest, s, "__n", "__name").select("name", "supplier_id"))
     part = both.distinct().withColumn("tier", F.lit(3))
     return winners(exact.unionByName(part), ["name"], F.col("tier"), F.col("supplier_id"))
 
