@@ -113,3 +113,19 @@ def test_items_of_null_amounts(spark):
     got = sorted(map(tuple, S.items_split(items, declarations, invoices).select("invoice_id", "declaration", "seq", "total_cost", "strategy").collect()))
     assert got == [(1, 0, 1, 0.0, "turn"), (1, 1, 2, 6.0, "turn")]
     assert S.items_split(items.limit(0), declarations, invoices).count() == 0
+
+
+def test_divisions_together_are_those_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    asked = []
+    for _ in range(300):
+        n = rng.choice([1, 2, 2, 3, 3, 4])
+        costs = [rng.choice([0.0, 5.0, 5.0, round(rng.uniform(1, 900), 2)]) for _ in range(rng.randint(1, 7))]
+        asked.append((costs, [rng.choice([0.0, 10.0, sum(costs) / n, rng.uniform(0, 500)]) for _ in range(n)]))
+    plain, alone = O.divided, []
+    expected = [plain(*a) for a in asked]
+    monkeypatch.setattr(O, "SUMS_AT_ONCE", 2000)
+    monkeypatch.setattr(O, "divided", lambda costs, targets, exhaustive=15: alone.append(targets) or plain(costs, targets, exhaustive))
+    assert O.divided_together(asked) == expected
+    # only what has one declaration or too few items is divided by itself
+    assert len(alone) == sum(len(t) < 2 or len(c) < len(t) for c, t in asked)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,15 @@ def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], st
     Groups are read one after another from the sorted partition, so many small ones need no frame each. A group must fit a task: it should be
     one document. The number of partitions is stated, so that adaptive execution doesn't join few bytes of much work to one task.
     """
+    return streamed_together(rows, key, columns, order, lambda groups: (row for group in groups for row in step(group)), ddl)
+
+
+#: Rows of whole groups that ``streamed_together`` hands over at once, about.
+ROWS_TOGETHER = 8_000
+
+
+def streamed_together(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[list[tuple]]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """The same where ``step`` takes a list of groups, for work that is cheaper on many at once."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +52,18 @@ def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], st
                     part = b.slice(at, 1000)
                     yield from zip(*(part.column(c).to_pylist() for c in (key, *columns)), strict=True)
 
-        made = (row for _, group in groupby(read(), lambda r: r[0]) for row in step([r[1:] for r in group]))
+        def several() -> Iterator[list[list[tuple]]]:
+            held, n = [], 0
+            for _, group in groupby(read(), itemgetter(0)):
+                held.append([r[1:] for r in group])
+                n += len(held[-1])
+                if n >= ROWS_TOGETHER:
+                    yield held
+                    held, n = [], 0
+            if held:
+                yield held
+
+        made = (row for groups in several() for row in step(groups))
         while held := list(islice(made, 5000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 

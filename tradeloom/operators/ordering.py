@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeloom.operators.common import streamed, winners
+from tradeloom.operators.common import streamed, streamed_together, winners
 from tradeloom.operators.subsets import two_sides
 
 
@@ -170,6 +172,58 @@ def divided(costs: list[float], targets: list[float], exhaustive: int = 15) -> l
     return _one_by_one(costs, targets)
 
 
+#: Ways of one division up to which many are judged together, and sums held at once.
+FEW_WAYS, SUMS_AT_ONCE = 1 << 18, 1 << 19
+
+
+@lru_cache(maxsize=64)
+def _ways(items: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ways that leave no declaration empty, the first item's changing fastest, and their places among all ways."""
+    code = np.arange(n**items)
+    ways = np.stack([code // n**i % n for i in range(items)], axis=1).astype(np.int8)
+    full = np.flatnonzero(np.logical_and.reduce([(ways == d).any(axis=1) for d in range(n)]))
+    return ways[full], full
+
+
+def _all_ways_together(costs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """What ``_all_ways`` finds, for many divisions (rows) of as many items and declarations."""
+    (many, items), n = costs.shape, targets.shape[1]
+    ways, full = _ways(items, n)
+    sums = np.zeros((n, many, 1))
+    for i in range(items):
+        sums = np.repeat(sums[:, :, None, :], n, axis=2)
+        for d in range(n):
+            sums[d, :, d, :] += costs[:, i, None]
+        sums = sums.reshape(n, many, -1)
+    worst, total = np.zeros((many, len(full))), np.zeros((many, len(full)))
+    for d in range(n):
+        gaps = np.abs(sums[d][:, full] - targets[:, d, None])
+        worst = np.maximum(worst, gaps / np.maximum(targets[:, d, None], 1e-9))
+        total += gaps
+    return ways[np.where(worst == worst.min(axis=1, keepdims=True), total, np.inf).argmin(axis=1)]
+
+
+def divided_together(asked: list[tuple[list[float], list[float]]], exhaustive: int = 15) -> list[list[int]]:
+    """``divided`` of many (costs, targets): those with equally many items and declarations are judged by the same array operations."""
+    out: list[list[int]] = [[] for _ in asked]
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (costs, targets) in enumerate(asked):
+        n = len(targets)
+        if 2 <= n <= len(costs) <= exhaustive and n <= 4 and n ** len(costs) <= FEW_WAYS and all(map(math.isfinite, (*costs, *targets))):
+            alike.setdefault((len(costs), n), []).append(i)
+        else:
+            out[i] = divided(costs, targets, exhaustive)
+    for (items, n), places in alike.items():
+        step = max(SUMS_AT_ONCE // (n ** (items + 1)), 1)
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            costs, targets = np.array([asked[i][0] for i in part]), np.array([asked[i][1] for i in part])
+            found = 1 - _all_ways_together(costs, targets[:, ::-1]) if n == 2 else _all_ways_together(costs, targets)
+            for i, way in zip(part, found.tolist(), strict=True):
+                out[i] = way
+    return out
+
+
 def _one_by_one(costs: list[float], targets: list[float]) -> list[int]:
     n = len(targets)
     sums, out = [0.0] * n, [0] * len(costs)
@@ -190,15 +244,19 @@ def partitioned(items: DataFrame, targets: list[float]) -> DataFrame:
     One invoice is one group; its items are bounded by the document.
     """
 
-    def split(rows: list[tuple]) -> list[tuple]:
-        costs = [float(r[2]) for r in rows]
-        wanted = [t * sum(costs) for t in targets]
-        found = divided(costs, wanted)
-        sums = [sum(c for c, d in zip(costs, found, strict=True) if d == k) for k in range(len(targets))]
-        bad = unreliable(deviation(sums, wanted)[0], wanted)
-        return [(ident, seq, d, bad) for (ident, seq, _), d in zip(rows, found, strict=True)]
-
-    return streamed(items, "invoice_id", ["invoice_id", "seq", "total_cost"], ["seq"], split, "invoice_id long, seq int, declaration int, unreliable boolean")
+    def split(groups: list[list[tuple]]) -> Iterator[tuple]:
+        asked = []
+        for rows in groups:
+            costs = [float(r[2]) for r in rows]
+            whole = sum(costs)
+            asked.append((costs, [t * whole for t in targets]))
+        for rows, (costs, wanted), found in zip(groups, asked, divided_together(asked), strict=True):
+            sums = [sum(c for c, d in zip(costs, found, strict=True) if d == k) for k in range(len(targets))]
+            bad = unreliable(deviation(sums, wanted)[0], wanted)
+            for (ident, seq, _), d in zip(rows, found, strict=True):
+                yield ident, seq, d, bad
+
+    return streamed_together(items, "invoice_id", ["invoice_id", "seq", "total_cost"], ["seq"], split, "invoice_id long, seq int, declaration int, unreliable boolean")
 
 
 def redistributed(packages: list[int], total: int) -> list[int]:

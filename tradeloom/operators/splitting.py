@@ -10,15 +10,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Generator, Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
-from itertools import permutations
+from itertools import chain, permutations
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.money import DutyRates
-from tradeloom.operators.common import streamed
-from tradeloom.operators.ordering import _sums, deviation, divided, unreliable
+from tradeloom.operators.common import streamed_together
+from tradeloom.operators.ordering import _sums, deviation, divided_together, unreliable
 
 FALLBACK_TAX = 0.07
 #: A charge further from a declaration's items with tax than this is a mismatch.
@@ -48,12 +50,32 @@ def targets_from_duties(declarations: DataFrame, items: DataFrame, rates: DutyRa
     return declarations.join(mean, "invoice_id", "left").withColumn("target", F.coalesce(F.get(implied, F.lit(0)), F.get("duties", F.lit(0)) / rates.exchange))
 
 
-def reliable(costs: list[float], targets: list[float]) -> list[int] | None:
-    """A division that leaves no declaration empty and can be trusted."""
+#: Work that asks for divisions (costs, targets) one after another, so that those of many invoices can be answered together.
+Asking = Generator[tuple[list[float], list[float]], list[int], Any]
+
+
+def answered(asking: Sequence[Asking]) -> list[Any]:
+    """What each of ``asking`` returns; what they ask for at one time is divided together."""
+    out: list[Any] = [None] * len(asking)
+    answers: list[tuple[int, list[int] | None]] = [(i, None) for i in range(len(asking))]
+    while answers:
+        waiting, wanted = [], []
+        for i, way in answers:
+            try:
+                wanted.append(asking[i].send(way))
+                waiting.append(i)
+            except StopIteration as e:
+                out[i] = e.value
+        answers = list(zip(waiting, divided_together(wanted), strict=True))
+    return out
+
+
+def reliable(costs: list[float], targets: list[float]) -> Asking:
+    """A division that leaves no declaration empty and can be trusted; None if there is none."""
     n = len(targets)
     if len(costs) < n:
         return None
-    way = divided(costs, targets)
+    way = yield costs, targets
     if len(set(way)) < n or unreliable(deviation(_sums(costs, way, n), targets)[0], targets):
         return None
     return way
@@ -66,15 +88,19 @@ def _orders(charges: list[float]) -> list[tuple[float, ...]]:
 
 def strategy(costs: list[float], targets: list[float | None], charges: list[float], tax_share: float) -> tuple[str, list[int]] | None:
     """The first of the strategies by amounts that works, and each item's declaration."""
+    return answered([_strategy(costs, targets, charges, tax_share)])[0]
+
+
+def _strategy(costs: list[float], targets: list[float | None], charges: list[float], tax_share: float) -> Asking:
     n = len(targets)
     known = [i for i, t in enumerate(targets) if t is not None]
-    if len(known) == n and (way := reliable(costs, targets)):
+    if len(known) == n and (way := (yield from reliable(costs, targets))):
         return "duty", way
     untaxed = [c / (1 + tax_share) for c in charges]
     if len(charges) == n and len(costs) >= n:
         best, best_score = None, (math.inf, math.inf)
         for wanted in _orders(untaxed):
-            way = divided(costs, list(wanted))
+            way = yield costs, list(wanted)
             worst, gaps = deviation(_sums(costs, way, n), list(wanted))
             score = round(worst, 9), round(gaps, 6)  # orders that differ by the order of additions only are alike: the first counts
             if score < best_score:
@@ -85,7 +111,7 @@ def strategy(costs: list[float], targets: list[float | None], charges: list[floa
     if len(known) < n and len(charges) == n:
         fits = min(_orders(untaxed), key=lambda order: sum(abs(order[i] - targets[i]) for i in known))
         filled = [fits[i] if t is None else t for i, t in enumerate(targets)]
-    if all(t is not None for t in filled) and (known or charges) and (way := reliable(costs, filled)):
+    if all(t is not None for t in filled) and (known or charges) and (way := (yield from reliable(costs, filled))):
         return "mixed", way
     return None
 
@@ -98,8 +124,12 @@ def cents(x: float) -> float:
 def split(rows: list[tuple], n: int) -> list[tuple]:
     """Rows (invoice_id, seq, description, tariff_code, quantity, unit_cost, total_cost, targets, charges, tax_share) of one invoice as rows
     (invoice_id, declaration, seq, quantity, unit_cost, total_cost, strategy)."""
+    return answered([_split(rows, n)])[0]
+
+
+def _split(rows: list[tuple], n: int) -> Asking:
     costs = [float(r[6] or 0) for r in rows]
-    found = strategy(costs, list(rows[0][7]), [float(c) for c in rows[0][8] or []], rows[0][9])
+    found = yield from _strategy(costs, list(rows[0][7]), [float(c) for c in rows[0][8] or []], rows[0][9])
     if found:
         return [(r[0], d, r[1], float(r[4] or 1), r[5], round(c, 2), found[0]) for r, c, d in zip(rows, costs, found[1], strict=True)]
     quantities = [int(r[4] or 1) or 1 for r in rows]
@@ -131,11 +161,11 @@ def items_split(items: DataFrame, declarations: DataFrame, invoices: DataFrame)
     columns = ["seq", "description", "tariff_code", "quantity", "unit_cost", "total_cost"]
     rows = items.select("invoice_id", "seq", "description", "tariff_code", *[F.col(c).cast("double").alias(c) for c in columns[3:]]).join(known, "invoice_id")
 
-    def step(group: list[tuple]) -> list[tuple]:
-        return split(group, len(group[0][7]))
+    def step(groups: list[list[tuple]]) -> Iterator[tuple]:
+        return chain.from_iterable(answered([_split(group, len(group[0][7])) for group in groups]))
 
     out = "invoice_id long, declaration int, seq int, quantity double, unit_cost double, total_cost double, strategy string"
-    return streamed(rows, "invoice_id", ["invoice_id", *columns, "targets", "charges", "tax_share"], ["seq"], step, out)
+    return streamed_together(rows, "invoice_id", ["invoice_id", *columns, "targets", "charges", "tax_share"], ["seq"], step, out)
 
 
 def declaration_totals(assigned: DataFrame, declarations: DataFrame, invoices: DataFrame) -> DataFrame:
