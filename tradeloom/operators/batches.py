@@ -15,8 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-
-from tradeloom.operators.common import winners
+from pyspark.sql.types import DataType
 
 JOURNAL = "stage string, doc string, input long, status string, error string, run string, at double"
 PERF = "name string, run string, started_at double, seconds double, rows long, errors long, failed string"
@@ -78,30 +77,40 @@ class Flow:
 
     def _latest(self, stage: Stage) -> DataFrame:
         """The last attempt at each document."""
-        return winners(self.journal().filter(F.col("stage") == stage.name), ["doc"], F.col("at").desc(), F.col("run").desc())
+        return self.journal().filter(F.col("stage") == stage.name).groupBy("doc").agg(F.max(F.struct("at", "run", "input", "status")).alias("last")).select("doc", "last.*")
 
-    def _done(self, stage: Stage) -> DataFrame:
-        return self._latest(stage).filter("status = 'success'").select(F.col("doc").alias("__doc"), F.col("input").alias("__input"), F.col("run").alias("__run"))
+    def _done(self, stage: Stage, kind: DataType) -> DataFrame:
+        """Documents that are done: the key in its own type, the input and the run."""
+        return self._latest(stage).filter("status = 'success'").select(F.col("doc").cast(kind).alias(self.key), F.col("input").alias("__input"), F.col("run").alias("__run"))
 
     def _step(self, stage: Stage, docs: DataFrame) -> DataFrame:
-        """Does what is left of a stage; gives the rows of all documents that it has done."""
-        keyed = docs.withColumns({"__doc": F.col(self.key).cast("string"), "__input": F.xxhash64(F.lit(stage.version), F.lit(stage.name), *[F.col(c) for c in docs.columns])})
-        todo = keyed.join(self._done(stage), ["__doc", "__input"], "left_anti")
+        """Does what is left of a stage; gives the rows of all documents that it has done. Everything is joined by the key only; where earlier runs are
+        listed, which documents they have done is written once, as the stage's work and the result both read it."""
         path = f"{self.root}/stage={stage.name}"
         run = self.perf.run + "-" + uuid.uuid4().hex[:8]
+        todo = docs.withColumn("__input", F.xxhash64(F.lit(stage.version), F.lit(stage.name), *[F.col(c) for c in docs.columns]))
+        before = None
+        if not self.journal().filter(F.col("stage") == stage.name).isEmpty():
+            done = self._done(stage, docs.schema[self.key].dataType).withColumnRenamed("__input", "__was")
+            known = todo.join(done, self.key, "left").withColumn("__run", F.when(F.col("__was") == F.col("__input"), F.col("__run"))).drop("__was")
+            known.write.parquet(f"{self.root}/known={stage.name}/run={run}")
+            known = self.spark.read.schema(known.schema).parquet(f"{self.root}/known={stage.name}/run={run}")
+            todo, before = known.filter("__run IS NULL").drop("__run"), known.filter("__run IS NOT NULL").select(self.key, "__input", "__run")
         with self.perf.phase(stage.name) as counted:
-            out = stage.work(todo.drop("__doc", "__input"))
+            out = stage.work(todo.drop("__input"))
             out = out if "error" in out.columns else out.withColumn("error", F.lit(None).cast("string"))
             # one row a document, whatever the stage makes, with the input that it stands for
-            made = out.withColumn("__doc", F.col(self.key).cast("string")).join(todo.select("__doc", "__input"), "__doc").withColumn("__run", F.lit(run))
+            made = out.join(todo.select(self.key, "__input"), self.key).select(*out.columns, F.col(self.key).cast("string").alias("__doc"), "__input", F.lit(run).alias("__run"))
             counted(made, F.col("error").isNotNull()).write.parquet(f"{path}/run={run}")
         wrote = self.spark.read.schema(made.schema).parquet(f"{path}/run={run}")
         status = F.when(F.col("error").isNull(), "success").otherwise("error")
         listed = wrote.select(F.lit(stage.name).alias("stage"), F.col("__doc").alias("doc"), F.col("__input").alias("input"), status.alias("status"), "error", F.lit(run).alias("run"), F.lit(time.time()).alias("at"))
         listed.write.mode("append").parquet(f"{self.root}/journal")
-        every = self.spark.read.schema(made.schema).option("recursiveFileLookup", "true").parquet(path)
-        wanted = keyed.select("__doc", "__input").join(self._done(stage), ["__doc", "__input"])
-        return every.join(wanted, ["__doc", "__input", "__run"]).drop("__doc", "__input", "__run", "error")
+        rows = wrote.filter(F.col("error").isNull())
+        if before is not None:
+            every = self.spark.read.schema(made.schema).option("recursiveFileLookup", "true").parquet(path).filter(F.col("__run") != run)
+            rows = rows.unionByName(every.join(before, [self.key, "__input", "__run"]).select(*made.columns))
+        return rows.drop("__doc", "__input", "__run", "error")
 
     def run(self, docs: DataFrame) -> DataFrame:
         """The last stage's rows of all documents that got so far, in this run or an earlier one."""
@@ -111,7 +120,5 @@ class Flow:
 
     def summary(self) -> DataFrame:
         """stage, and how many documents are done, failed at the last attempt, and were attempted in all."""
-        attempts = self.journal().groupBy("stage").agg(F.count("*").alias("attempts"))
-        latest = winners(self.journal(), ["stage", "doc"], F.col("at").desc(), F.col("run").desc())
-        ends = latest.groupBy("stage").agg(F.count_if(F.col("status") == "success").alias("done"), F.count_if(F.col("status") == "error").alias("failed"))
-        return attempts.join(ends, "stage")
+        each = self.journal().groupBy("stage", "doc").agg(F.count("*").alias("tries"), F.max(F.struct("at", "run", "status"))["status"].alias("status"))
+        return each.groupBy("stage").agg(F.sum("tries").alias("attempts"), F.count_if(F.col("status") == "success").alias("done"), F.count_if(F.col("status") == "error").alias("failed"))

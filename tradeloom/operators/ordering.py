@@ -316,11 +316,37 @@ def packages_capped(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def token_votes(tokens: DataFrame) -> DataFrame:
-    """doc_id, pos and the token that most variants read there; ties by engine priority, then by the token."""
-    counted = tokens.groupBy("doc_id", "pos", "token").agg(F.count("*").alias("votes"), F.max("priority").alias("priority"))
+    """doc_id, pos and the token that most variants read there; ties by engine priority, then by the token. Where the readings of a place are columns of
+    one row, ``votes_across`` needs no shuffle."""
+    dealt = tokens.select("doc_id", "pos", "token", "priority").repartition("doc_id", "pos")  # counting and choosing both stay within a place
+    counted = dealt.groupBy("doc_id", "pos", "token").agg(F.count("*").alias("votes"), F.max("priority").alias("priority"))
     return winners(counted, ["doc_id", "pos"], F.col("votes").desc(), F.col("priority").desc(), F.col("token")).select("doc_id", "pos", "token", "votes")
 
 
+def votes_across(places: DataFrame, readings: list[tuple[Column, int]]) -> DataFrame:
+    """``places`` (a row each) with token and votes as in ``token_votes``, of ``readings``: a token and a priority each. They are compared within the
+    row, two by two: readings should be few."""
+    if not readings:
+        raise ValueError("no readings")
+    names = [f"__t{i}" for i in range(len(readings))]
+    out = places.withColumns({n: c for n, (c, _) in zip(names, readings, strict=True)})
+    alike = lambda n, m: F.col(n).eqNullSafe(F.col(m))
+    for i, n in enumerate(names):
+        votes, rank = F.lit(0).cast("long"), F.lit(readings[i][1])
+        for m, (_, priority) in zip(names, readings, strict=True):
+            votes = votes + alike(n, m).cast("long")
+            rank = F.greatest(rank, F.when(alike(n, m), priority).otherwise(F.lit(readings[i][1])))
+        out = out.withColumns({f"__v{i}": votes, f"__r{i}": rank})
+    token, votes, rank = F.col("__t0"), F.col("__v0"), F.col("__r0")
+    for i in range(1, len(names)):
+        t, v, r = F.col(f"__t{i}"), F.col(f"__v{i}"), F.col(f"__r{i}")
+        before = (t.isNull() & token.isNotNull()) | F.coalesce(t < token, F.lit(False))
+        better = (v > votes) | ((v == votes) & ((r > rank) | ((r == rank) & before)))
+        out = out.withColumn("__better", better).withColumns({"__token": F.when(F.col("__better"), t).otherwise(token), "__votes": F.when(F.col("__better"), v).otherwise(votes), "__rank": F.when(F.col("__better"), r).otherwise(rank)})
+        token, votes, rank = F.col("__token"), F.col("__votes"), F.col("__rank")
+    return out.select(*places.columns, token.alias("token"), votes.alias("votes"))
+
+
 @dataclass(frozen=True)
 class Reading:
     """How readings of a page are put together (fixed values)."""
@@ -341,28 +367,68 @@ def clusters_of(lines: dict[str, list[tuple[int, str]]], priority: dict[str, int
     like enough; a line that no other variant has is dropped unless there is one variant only."""
     if not lines:
         return []
-    from difflib import SequenceMatcher
-
     price = re.compile(how.price)
     lead = max(lines, key=lambda v: (priority.get(v, 0), sum(len(price.findall(t)) for _, t in lines[v]), -sum(map(ord, v))))
-    free = {v: {n: (t, SequenceMatcher(None, "", _plain(t))) for n, t in rows} for v, rows in lines.items() if v != lead}
+    free = {v: _Free(rows) for v, rows in lines.items() if v != lead}
     out = []
     for n, line in lines[lead]:
         cluster, own = [(lead, n, line)], _plain(line)
         for v, rows in free.items():
-            best, at = 0.0, None
-            for k, (_, theirs) in rows.items():
-                theirs.set_seq1(own)
-                bounds = (theirs.real_quick_ratio, theirs.quick_ratio)  # upper bounds of the ratio
-                if all(bound() > best and bound() >= how.like for bound in bounds) and (like := theirs.ratio()) > best:
-                    best, at = like, k
-            if at is not None and best >= how.like:
-                cluster.append((v, at, rows.pop(at)[0]))
+            if (taken := rows.most_like(own, how.like)) is not None:
+                cluster.append((v, *taken))
         if len(cluster) > 1 or len(lines) == 1:
             out.append(cluster)
     return out
 
 
+class _Free:
+    """Lines of a variant that are not taken yet."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.rows = {n: t for n, t in rows}
+        self.place = {n: i for i, n in enumerate(self.rows)}
+        self.plain = {n: _plain(t) for n, t in self.rows.items()}
+        self.chars = {n: Counter(p) for n, p in self.plain.items()}
+        self.same: dict[str, list[int]] = {}
+        self.matchers: dict = {}
+        for n, p in self.plain.items():
+            self.same.setdefault(p, []).append(n)
+
+    def most_like(self, own: str, least: float) -> tuple[int, str] | None:
+        """The number and text of the line most like ``own`` (of equals the first), taken out; None if none is like enough.
+
+        Lines are looked at by a bound of their likeness (characters in common), the highest first, until none can be better; an equal one needs no look.
+        """
+        from difflib import SequenceMatcher
+
+        best, at = 0.0, None
+        if self.same.get(own):
+            best, at = 1.0, self.same[own][0]
+        else:
+            chars, bounds = Counter(own), []
+            for n, p in self.plain.items():
+                whole = len(own) + len(p)
+                if 2.0 * min(len(own), len(p)) / whole < least:
+                    continue
+                theirs = self.chars[n]
+                bound = 2.0 * sum(min(c, theirs[x]) for x, c in chars.items() if x in theirs) / whole
+                if bound >= least:
+                    bounds.append((-bound, self.place[n], n))
+            for bound, _, n in sorted(bounds):
+                if -bound < best:
+                    break
+                if n not in self.matchers:
+                    self.matchers[n] = SequenceMatcher(None, "", self.plain[n])
+                self.matchers[n].set_seq1(own)
+                like = self.matchers[n].ratio()
+                if like > best or (at is not None and like == best and self.place[n] < self.place[at]):
+                    best, at = like, n
+        if at is None or best < least:
+            return None
+        self.same[self.plain.pop(at)].remove(at)
+        return at, self.rows.pop(at)
+
+
 def tokens_aligned(cluster: list[tuple[str, int, str]], how: Reading = Reading()) -> list[list[tuple[str, str]]]:
     """For each word of a cluster's first line, the words (variant, word) that its lines have in that place."""
     from difflib import SequenceMatcher

@@ -37,7 +37,7 @@ def _ran(spark, d):
 def batch_flow(spark, d):
     """The last stage's rows, and how often each order was attempted there."""
     flow, rows = _ran(spark, d)
-    tries = flow.journal().groupBy("doc").pivot("stage", ["read", "parse", "classify"]).count()
+    tries = flow.journal().groupBy("doc").agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("read", "parse", "classify")])
     return rows.join(tries, F.col("doc_id").cast("string") == F.col("doc")).select("doc_id", "amount", "kind", "read", "parse", "classify")
 
 

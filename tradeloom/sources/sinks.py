@@ -29,6 +29,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.option("header", True).option("escape", '"').mode(mode).csv(path)
 
 
+#: Folders that text files are dealt to, and a committer whose tasks move their own files: the driver would move one after another.
+TEXT_FOLDERS, COMMITTER = 256, ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
+    """A text file for each row, in folders of about equally many. Files are made by all tasks, however few partitions ``df`` has, as opening them is most
+    of the work."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(text).repartition(parts).withColumn("folder", F.spark_partition_id() % TEXT_FOLDERS)
+    dealt.write.option("maxRecordsPerFile", 1).option(*COMMITTER).partitionBy("folder").text(path)
+
+
 def write_journal(df: DataFrame, path: str) -> None:
     """Appends rows as line-delimited JSON."""
     df.write.mode("append").json(path)
