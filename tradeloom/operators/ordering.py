@@ -381,6 +381,12 @@ def clusters_of(lines: dict[str, list[tuple[int, str]]], priority: dict[str, int
     return out
 
 
+def ratio(own: str, other: str) -> float:
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, own, other).ratio()
+
+
 class _Free:
     """Lines of a variant that are not taken yet."""
 
@@ -390,7 +396,6 @@ class _Free:
         self.plain = {n: _plain(t) for n, t in self.rows.items()}
         self.chars = {n: Counter(p) for n, p in self.plain.items()}
         self.same: dict[str, list[int]] = {}
-        self.matchers: dict = {}
         for n, p in self.plain.items():
             self.same.setdefault(p, []).append(n)
 
@@ -399,8 +404,6 @@ class _Free:
 
         Lines are looked at by a bound of their likeness (characters in common), the highest first, until none can be better; an equal one needs no look.
         """
-        from difflib import SequenceMatcher
-
         best, at = 0.0, None
         if self.same.get(own):
             best, at = 1.0, self.same[own][0]
@@ -417,10 +420,7 @@ class _Free:
             for bound, _, n in sorted(bounds):
                 if -bound < best:
                     break
-                if n not in self.matchers:
-                    self.matchers[n] = SequenceMatcher(None, "", self.plain[n])
-                self.matchers[n].set_seq1(own)
-                like = self.matchers[n].ratio()
+                like = ratio(own, self.plain[n])
                 if like > best or (at is not None and like == best and self.place[n] < self.place[at]):
                     best, at = like, n
         if at is None or best < least:
