@@ -52,7 +52,7 @@ def _listed(columns: dict[str, str]) -> list[str]:
     return [f"{e} AS {name}" for name, e in columns.items()]
 
 
-def _checked(spark, d):
+def _inputs(spark, d):
     items = invoice_items(spark, d).withColumn("k", F.col("invoice_id"))
     files = items.groupBy("k", F.expr(_SHEET).alias("file")).agg(*map(F.expr, _listed(_FILE))).withColumnRenamed("k", "shipment_id")
     rows = items.selectExpr("k AS shipment_id", f"{_SHEET} AS file", *_listed(_ITEM))
@@ -61,16 +61,16 @@ def _checked(spark, d):
     attached = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.expr(path).alias("path"), F.expr(found).alias("found"))) for path, when, found in _ATTACHED]))
     orders = table(spark, d, "orders").withColumn("k", F.col("o_orderkey"))
     shipments = orders.select(F.col("k").alias("shipment_id"), *map(F.expr, _listed(_SHIPMENT)), F.when(F.col("k") % 43 > 0, attached).alias("attachments"))
-    return C.checked(shipments.join(left, "shipment_id", "left"), files, rows)
+    return shipments.join(left, "shipment_id", "left"), files, rows
 
 
 def every_check(spark, d):
     """Every check of every shipment."""
-    return _checked(spark, d)
+    return C.checked(*_inputs(spark, d))
 
 
 def shipment_gate(spark, d):
-    return C.gate(_checked(spark, d))
+    return C.gated(*_inputs(spark, d))
 
 
 QUERIES = {"shipment_checklist": every_check, "shipment_gate": shipment_gate}
