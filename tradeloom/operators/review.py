@@ -51,14 +51,17 @@ def rules_found(rules: DataFrame, text: str, field: str = "all") -> DataFrame:
 
 def rules_queried(rules: DataFrame, queries: DataFrame) -> DataFrame:
     """word, field, id and code: for every query (word, field) the rules (id, code, category, patterns) that ``rules_found`` finds for it. Each different
-    text of a rule is looked at once."""
+    text of a rule is looked at once, and rules of the same texts are found as one: so what is found is made distinct before it is given to the rules."""
     upper = lambda c: F.upper(F.coalesce(c, F.lit("")))
     named = F.array(F.struct(F.lit("code").alias("own"), F.coalesce("code", F.lit("")).alias("text")), F.struct(F.lit("category").alias("own"), upper(F.col("category")).alias("text")))
-    texts = rules.select("id", "code", F.explode(F.concat(named, F.transform(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.struct(F.lit("patterns").alias("own"), upper(p).alias("text"))))).alias("t")).select("id", "code", "t.*")
+    every = F.concat(named, F.transform(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: F.struct(F.lit("patterns").alias("own"), upper(p).alias("text"))))
+    own = rules.select("id", "code", every.alias("texts")).groupBy("id", "code").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("texts"))
+    alike = own.select("texts").distinct()
+    each = alike.select("texts", F.explode("texts").alias("t")).select("texts", "t.*")
     asked = queries.select("word", "field", F.upper("word").alias("__word")).distinct()
-    met = contained_in(asked.select("__word").distinct(), texts.select("text").distinct(), "__word", "text")
-    found = asked.join(met, "__word").join(texts, "text").filter((F.col("field") == "all") | (F.col("field") == F.col("own")))
-    return found.select("word", "field", "id", "code").distinct()
+    met = contained_in(asked.select("__word").distinct(), each.select("text").distinct(), "__word", "text")
+    found = asked.join(met, "__word").join(each, "text").filter((F.col("field") == "all") | (F.col("field") == F.col("own")))
+    return own.join(found.select("texts", "word", "field").distinct(), "texts").select("word", "field", "id", "code")
 
 
 def unknown_items(items: DataFrame) -> DataFrame:
