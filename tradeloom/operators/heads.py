@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Currencies by their marks, as they are also misread, in the order in which pairs are tried; and the patterns below.
@@ -46,23 +46,46 @@ def conversion_rate(text: Column) -> Column:
 NO_NUMBER = ("NO", "NUMBER", "NUMBER:")
 NO_NAME = ("SAME AS CONSIGNEE", "SAME AS SHIPPER")
 NAME_BLOCK = r"(?s)Consignee[:\s]*(?:SAME\s+AS\s+CONSIGNEE)?(?:\s*Notify[:\s]*[^\n]*)?\n(.+?)(?:\nNo and Type|\nLine Number|\nCustoms|\nWayBill|\nMan Reg)"
+INLINE = r"(?i)Consignee[:\s]+([A-Z][A-Z\s]+?)\s*\(\s*FREIGHT\s+([\d.]+)"
 NO_LINE = r"(?i)^(Notify\b.*|SAME\s+AS\s+CONSIGNEE.*|any|e,?)$"
 
 
+def _own_name(text: Column) -> Column:
+    alone = F.trim(_first(text, r"Consignee[:\s]+([A-Z][A-Z\s]{3,}?)(?:\n|$)"))
+    alone = F.when(~F.upper(alone).isin(*NO_NAME) & ~F.startswith(F.upper(alone), F.lit("NOTIFY")), alone)
+    return F.coalesce(F.trim(_first(text, INLINE)), alone)
+
+
+def _block(text: Column) -> Column:
+    lines = F.transform(F.split(F.trim(_first(text, NAME_BLOCK)), "\n"), lambda line: F.rtrim(F.trim(line), F.lit(",")))
+    return F.filter(lines, lambda line: (F.trim(line) != "") & ~F.rlike(line, F.lit(NO_LINE)))
+
+
+def manifests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``manifest`` of their texts as ``m``. A text, and what several fields are made from, is computed once. Patterns
+    are costlier than reading: where a small table is read by few tasks, its rows should be dealt to more before."""
+    own = docs.withColumns({"__own": _own_name(F.col(text)), "__lines": _block(F.col(text)), "__bill": _bill(F.col(text)), "__weight": _weight(F.col(text))})
+    return own.select(*docs.columns, _fields(F.col(text), F.col("__own"), F.col("__lines"), F.col("__bill"), F.col("__weight")).alias("m"))
+
+
+def _bill(text: Column) -> Column:
+    return F.coalesce(_first(text, r"(?i)Bill\s+of\s+Lading\s+Number[:\s]*\n\s*\n?\s*([A-Z0-9]+)"), _first(text, r"(?i)Bill\s+of\s+Lading\s+Number[:\s]+([A-Z0-9]+)"))
+
+
+def _weight(text: Column) -> Column:
+    return F.replace(_first(text, r"Gross(?:\s+Mass)?[:\s]+([\d,.]+)"), F.lit(","), F.lit(""))
+
+
 def manifest(text: Column) -> Column:
     """waybill, man_reg, consignee_name, consignee_address, packages, package_type, weight, freight, office, voyage and vessel of a customs manifest; null
     for other documents. A bill of lading's number goes before the waybill's; a freight next to the consignee before that of the goods."""
-    bill = F.coalesce(_first(text, r"(?i)Bill\s+of\s+Lading\s+Number[:\s]*\n\s*\n?\s*([A-Z0-9]+)"), _first(text, r"(?i)Bill\s+of\s+Lading\s+Number[:\s]+([A-Z0-9]+)"))
+    return _fields(text, _own_name(text), _block(text), _bill(text), _weight(text))
+
+
+def _fields(text: Column, own_name: Column, lines: Column, bill: Column, weight: Column) -> Column:
     way = F.trim(_first(text, r"WayBill(?:\s*Number)?[:\s]+(\S+)"))
-    inline = r"(?i)Consignee[:\s]+([A-Z][A-Z\s]+?)\s*\(\s*FREIGHT\s+([\d.]+)"
-    alone = F.trim(_first(text, r"Consignee[:\s]+([A-Z][A-Z\s]{3,}?)(?:\n|$)"))
-    alone = F.when(~F.upper(alone).isin(*NO_NAME) & ~F.startswith(F.upper(alone), F.lit("NOTIFY")), alone)
-    lines = F.transform(F.split(F.trim(_first(text, NAME_BLOCK)), "\n"), lambda line: F.rtrim(F.trim(line), F.lit(",")))
-    lines = F.filter(lines, lambda line: (F.trim(line) != "") & ~F.rlike(line, F.lit(NO_LINE)))
-    own_name = F.coalesce(F.trim(_first(text, inline)), alone)
     block_name = F.nullif(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), r"\s*\(FREIGHT.*?\)", "")), F.lit(""))
     kinds = (r"(?i)No\s+and\s+Type\s+of\s+(\d+)\s+(\w+)", r"(?i)No\s+and\s+Type\s+of\s+[^0-9\n]*(\d+)\s*\n?\s*(\w+)")
-    weight = F.replace(_first(text, r"Gross(?:\s+Mass)?[:\s]+([\d,.]+)"), F.lit(","), F.lit(""))
     return F.when(
         F.contains(F.upper(text), F.lit("ASYCUDA")),
         F.struct(
@@ -73,7 +96,7 @@ def manifest(text: Column) -> Column:
             F.coalesce(*[_first(text, p) for p in kinds]).alias("packages"),
             F.when(_first(text, kinds[0]).isNotNull(), _first(text, kinds[0], 2)).otherwise(_first(text, kinds[1], 2)).alias("package_type"),
             F.when(weight.try_cast("double") > 0, weight).alias("weight"),
-            F.coalesce(_first(text, inline, 2), F.replace(_first(text, r"(?<!\()Freight\s+([\d,.]+)"), F.lit(","), F.lit(""))).alias("freight"),
+            F.coalesce(_first(text, INLINE, 2), F.replace(_first(text, r"(?<!\()Freight\s+([\d,.]+)"), F.lit(","), F.lit(""))).alias("freight"),
             F.trim(_first(text, r"(?i)Customs\s*Office[:\s]+([A-Z\s]+?)(?:\s*Man\s*Reg|\n)")).alias("office"),
             _first(text, r"Voyage\s+(\S+)").alias("voyage"),
             F.trim(_first(text, r"Vessel\s*Name[:\s]+(.+?)(?:\n|$)")).alias("vessel"),

@@ -37,7 +37,9 @@ _MANIFEST = r"""concat(CASE WHEN k % 7 > 0 THEN 'ASYCUDA World\n' ELSE 'Other\n'
 
 def manifests(spark, d):
     k = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    return k.select(F.col("k").alias("doc_id"), H.manifest(F.expr(_MANIFEST)).alias("m")).select("doc_id", "m.*")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = k.repartition(parts, "k").select(F.col("k").alias("doc_id"), F.expr(_MANIFEST).alias("text"))
+    return H.manifests(texts).select("doc_id", "m.*")
 
 
 def _stores(spark, d):
