@@ -105,15 +105,22 @@ def cleaned(text: Column, rules: list) -> Column:
     return text
 
 
-def _finished(raw: dict[str, Column], spec: dict, index: Column) -> Column:
-    """An item's struct from its fields as text (null for none)."""
-    kinds, fields = spec.get("types", {}), {}
+def _read(raw: dict[str, Column], spec: dict) -> Column:
+    """A struct of an item's fields, of their types, from text (null for none)."""
+    kinds, fields = spec.get("types", {}), []
     for name, value in raw.items():
         kind = kinds.get(name, "string")
         value = typed(value, kind)
         if name in spec.get("clean_fields", {}) and kind not in NUMERIC:
             value = F.trim(cleaned(value, spec["clean_fields"][name]))
-        fields[name] = value
+        fields.append(value.alias(name))
+    return F.struct(*fields) if fields else F.struct(F.lit(None).cast("string").alias("__none"))
+
+
+def _finished(read: Column, spec: dict, index: Column) -> Column:
+    """An item's struct from its fields."""
+    kinds = spec.get("types", {})
+    fields = {name: read[name] for name in spec["field_map"]}
     for name, template in spec.get("generated_fields", {}).items():
         numbers = {n: c for n, c in fields.items() if kinds.get(n) in NUMERIC} | {"index": index}
         if not isinstance(template, str):
@@ -146,11 +153,13 @@ def _kept(rows: Column, spec: dict, raw) -> Column:
 
 
 def _items(rows: Column, spec: dict, raw) -> Column:
-    return F.transform(_kept(rows, spec, raw), lambda r, i: _finished(raw(r), spec, i + 1)).cast(f"array<{ITEM}>")
+    # in two steps, as an expression inside a lambda is computed wherever it is named
+    read = F.transform(_kept(rows, spec, raw), lambda r: _read(raw(r), spec))
+    return F.transform(read, lambda r, i: _finished(r, spec, i + 1)).cast(f"array<{ITEM}>")
 
 
 def _matches(text: Column, pattern: str, groups: Iterable[int]) -> Column:
-    """All matches as an array of structs of groups: m is the whole."""
+    """All matches as an array of structs of groups: m is the whole. A text is searched once for each group."""
     columns = [F.regexp_extract_all(text, F.lit(_many(pattern)), F.lit(g)).alias("m" if g == 0 else f"g{g}") for g in (0, *sorted(set(groups)))]
     return F.arrays_zip(*columns)
 
@@ -198,14 +207,18 @@ def _table_items(text: Column, spec: dict) -> tuple[Column, Column]:
 STRATEGIES = {"line": _line_items, "block": _block_items, "table": _table_items}
 
 
-def _branch(text: Column, spec: dict) -> Column:
-    """What a document of this format is parsed to."""
-    body = cleaned(text, spec.get("clean", []))
+def _part(body: Column, spec: dict) -> Column:
+    """The section of a clean text that has the items."""
+    return section(body, spec["section"]["start"], spec["section"].get("ends", ["\x00"])) if "section" in spec else body
+
+
+def _branch(body: Column, spec: dict, part: Column | None = None) -> Column:
+    """What a document of this format is parsed to; ``part`` is the section of its clean text, if known."""
+    part = _part(body, spec) if part is None else part
     metadata = []
     for name, m in spec.get("metadata", {}).items():
         metadata += [F.lit(name), typed(field(body, m["patterns"]), m.get("type", "string")).cast("string")]
     found = F.map_filter(F.create_map(*metadata), lambda _, v: v.isNotNull()) if metadata else F.create_map().cast("map<string,string>")
-    part = section(body, spec["section"]["start"], spec["section"].get("ends", ["\x00"])) if "section" in spec else body
     strategy = spec["items"].get("strategy", "line")
     if strategy not in STRATEGIES:
         raise SpecError(f"unknown strategy {strategy!r}")
@@ -222,13 +235,19 @@ def parsed(docs: DataFrame, specs: Iterable[dict | str], ident: str = "doc_id",
     rows = [(s["name"], s["priority"], detect(s, "all_of"), detect(s, "any_of"), detect(s, "none_of")) for s in ordered]
     table = docs.sparkSession.createDataFrame(rows, "name string, priority int, all_of array<string>, any_of array<string>, none_of array<string>")
     known = format_detected(docs.select(ident, text), table, text)
-    found = F.coalesce(*[F.when(F.col("format") == s["name"], _branch(F.col(text), s)) for s in ordered])
-    return known.select(ident, "format", found.alias("p")).select(ident, "format", "p.metadata", "p.items", "p.skipped_total")
+    # each step is a column of its own, as an expression is computed wherever it is named
+    of_format = lambda make: F.coalesce(*[F.when(F.col("format") == s["name"], make(s)) for s in ordered])
+    clean = known.withColumn("__body", of_format(lambda s: cleaned(F.col(text), s.get("clean", []))))
+    cut = clean.withColumn("__part", of_format(lambda s: _part(F.col("__body"), s)))
+    found = of_format(lambda s: _branch(F.col("__body"), s, F.col("__part")))
+    return cut.select(ident, "format", found.alias("p")).select(ident, "format", "p.metadata", "p.items", "p.skipped_total")
 
 
 def items_of(documents: DataFrame, ident: str = "doc_id") -> DataFrame:
     """One row an item: ``ident``, format, item (from 1) and the item's fields."""
-    return documents.select(ident, "format", F.posexplode("items").alias("at", "i")).select(ident, "format", (F.col("at") + 1).alias("item"), "i.*")
+    # the outer form, as a filter for empty arrays would be pushed below what makes them, which is computed twice then
+    rows = documents.select(ident, "format", F.posexplode_outer("items").alias("at", "i")).filter(F.col("at").isNotNull())
+    return rows.select(ident, "format", (F.col("at") + 1).alias("item"), "i.*")
 
 
 #: Amounts of an invoice's head, by their keys in a result; 0 where there is none (fixed values).
