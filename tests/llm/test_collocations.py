@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import documents
@@ -111,3 +112,36 @@ def test_perfect_hash():
     assert sorted(made.slots(keys).tolist()) == list(range(len(keys))) and made.size == len(keys)
     assert sum(w.nbytes + r.nbytes for _, w, r in made.tables) * 8 < 10 * len(keys)
     assert (PerfectHash(keys[:0]).slots(keys[:3]) == -1).all()
+
+
+def test_buckets_are_small():
+    """Numbers of a task are handed on in less than two bytes a bucket, and read back."""
+    at = np.unique(np.random.default_rng(2).integers(0, 1 << 24, 1_100_000)).astype(np.uint64)
+    sums = collocations.Buckets(24, 100)
+    rows = [r for b in (*sums.add(at << np.uint64(40)), *sums.handed_on()) for r in b.to_pylist()]
+    assert sum(len(r["at"]) + len(r["n"]) for r in rows) < 1.5 * len(at)
+    assert np.concatenate([collocations._places(r["at"]) + (r["chunk"] << collocations.CHUNK_BITS) for r in rows]).tolist() == at.tolist()
+    for kind in (np.uint8, np.uint32, np.int64):
+        for n in (np.array([], dtype=kind), np.array([0, 3, 100, 7], dtype=kind)):
+            assert collocations._spread(collocations._squeezed(n), kind).tolist() == n.tolist()
+
+
+def test_known_phrases_are_not_listed_again():
+    """All that are stored, and only those: a phrase of a stored one's hash with other words is listed."""
+    v = np.array([5, 6, 5, 6, 0], dtype=np.uint64)
+    row = pa.RecordBatch.from_arrays([pa.array(["en"]), *(pa.array([x], pa.binary()) for x in collocations._packed(v))], names=["lang", "values", "codes"])
+    listed = lambda known: [(k, w0, w1) for b in collocations._distinct([row], [], np.uint64(44), known) for k, w0, w1 in zip(*(b.column(c).to_pylist() for c in ("k", "w0", "w1")), strict=True)]
+    g = collocations.hashes(np.array([[5, 6]], dtype=np.uint64))
+    block = lambda w0: collocations.Block(["en"], np.zeros(1, int), np.array([2]), g, np.array([[w0, 6, 0, 0, 0]], dtype=np.uint64))
+    assert (2, 5, 6) in listed(None) and (2, 5, 6) in listed(block(9)) and (2, 5, 6) not in listed(block(5))
+    assert {(1, 5, 0), (1, 6, 0), (2, 6, 5)} <= set(listed(block(5)))
+
+
+def test_one_python_worker_a_task(spark, texts, monkeypatch):
+    """No stage runs Python functions one after another: each would have a worker that keeps its memory."""
+    plans, plain = [], collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    docs = documents(spark, [(i, t, lang) for i, (t, lang) in enumerate(texts)]).repartition(9)
+    assert found(docs, least=6) == by_force(texts, 6, 2000)
+    apart = [part for plan in plans for part in re.split(r"Exchange|Union", plan)]
+    assert len(plans) > 6 and max(part.count("MapInArrow") for part in apart) == 1

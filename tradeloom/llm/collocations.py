@@ -4,8 +4,9 @@
    written in text order, once, with their full strings. Two strings of one number would show there, and another seed is taken.
 2. For phrases of two, three, four and five words in turn, each task sums hash buckets of those whose parts (the phrase without its last and
    without its first word) lie in full buckets. What lies in full buckets itself is passed on: no frequent phrase is lost (Apriori).
-3. Distinct phrases that pass all this, and words, are the candidates. A minimal perfect hash over them gives each a slot, with its words stored
-   there. Candidates are dealt to blocks of bounded size by their hash; there is one block unless there are millions.
+3. Distinct phrases that pass all this, and words, are the candidates. An eighth of the tasks lists its own first; then all tasks list what isn't
+   among those, so that a frequent phrase isn't sent by each. A minimal perfect hash over them gives each a slot, with its words stored there.
+   Candidates are dealt to blocks of bounded size by their hash; there is one block unless there are millions.
 4. With one block at hand, each task looks up the phrases of its text, compares their words with those that are stored, and counts slots by
    bincount in a numpy array; arrays are summed in a tree.
 5. A candidate's cuts are two other candidates: their counts are read by slot.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,8 @@ FAN_IN = 16
 REMEMBERED = 1 << 16
 #: Words that a task knows to have listed.
 LISTED = 1 << 19
+#: One task in so many lists its candidates and words first. Of words, so many, of so many bytes at most, are told to the others.
+FIRST, TOLD, TOLD_BYTES = 8, 1 << 17, 64
 ODD = 0xC2B2AE3D27D4EB4F
 
 #: Text bytes: capitals are lowered, all breaks are full stops, tabs are spaces.
@@ -92,15 +96,26 @@ def numbered(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str
         yield lang, numbers.new, codes
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers, most of them small: their lowest bytes, then the next ones and so on, as Huffman codes."""
+    size, coder = numbers.itemsize, zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return coder.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), size).T)) + coder.flush()
+
+
+def _spread(raw: bytes, kind: np.dtype | type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _gaps(at: np.ndarray) -> bytes:
     """Ascending places as steps, which compress well; the first byte says how wide they are."""
     steps = np.diff(at, prepend=np.uint32(0))
     wide = bool(steps.max(initial=0) > 0xFFFF)
-    return bytes([wide]) + steps.astype(np.uint32 if wide else np.uint16).tobytes()
+    return bytes([wide]) + _squeezed(steps.astype(np.uint32 if wide else np.uint16))
 
 
 def _places(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, dtype=np.uint32 if raw[0] else np.uint16, offset=1), dtype=np.int64)
+    return np.cumsum(_spread(raw[1:], np.uint32 if raw[0] else np.uint16), dtype=np.int64)
 
 
 class Buckets:
@@ -129,7 +144,7 @@ class Buckets:
         chunks, first = np.unique(at >> np.uint32(CHUNK_BITS), return_index=True)
         ends = [*first[1:].tolist(), len(at)]
         at &= np.uint32((1 << CHUNK_BITS) - 1)
-        rows = [(int(c), _gaps(at[a:b]), n[a:b].astype(np.min_scalar_type(self.least)).tobytes()) for c, a, b in zip(chunks, first.tolist(), ends, strict=True)]
+        rows = [(int(c), _gaps(at[a:b]), _squeezed(n[a:b].astype(np.min_scalar_type(self.least)))) for c, a, b in zip(chunks, first.tolist(), ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
 
 
@@ -141,7 +156,7 @@ def full(partial: DataFrame, bits: int, least: int) -> np.ndarray:
         for chunk, at, n in rows_of(batches, "chunk", "at", "n"):
             total = sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.uint32))
             at = _places(at)
-            total[at] = np.minimum(total[at] + np.frombuffer(n, dtype=np.min_scalar_type(least)), least)
+            total[at] = np.minimum(total[at] + _spread(n, np.min_scalar_type(least)), least)
         for chunk, total in sums.items():
             raw = np.packbits(total >= least, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "bits"])
@@ -239,8 +254,8 @@ def encoded(docs: DataFrame, seed: int, bits: int, least: int) -> DataFrame:
     return written(docs.mapInArrow(encode, "lang string, n long, values binary, codes binary, words array<struct<code: long, word: string>>"), "encoded")
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], bitmaps, shift: np.uint64) -> Iterator[pa.RecordBatch]:
-    """Distinct phrases of each row that may be frequent."""
+def _distinct(batches: Iterator[pa.RecordBatch], bitmaps, shift: np.uint64, known: Block | None = None) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases of each row that may be frequent and aren't stored in ``known``."""
     names = ["lang", "k", "g", *(f"w{i}" for i in range(WORDS))]
     for lang, v in _codes(batches):
         for k, at, g in phrases(v, bitmaps, shift, WORDS):
@@ -248,6 +263,8 @@ def _distinct(batches: Iterator[pa.RecordBatch], bitmaps, shift: np.uint64) -> I
             words = [v[at + i].view(np.int64) for i in range(k)]
             other = np.any([w != w[first][same] for w in words], axis=0) if len(at) else np.zeros(0, dtype=bool)
             rows = np.concatenate([first, np.flatnonzero(other)])  # phrases of one hash are all kept
+            if known is not None and len(rows):
+                rows = rows[known.found(g[rows], np.stack([w[rows].view(np.uint64) for w in words], axis=1)) < 0]
             if len(rows):
                 columns = [pa.array([lang] * len(rows), pa.string()), pa.array(np.full(len(rows), k, dtype=np.int32)), pa.array(g[rows].view(np.int64))]
                 columns += [pa.array(words[i][rows] if i < k else np.zeros(len(rows), dtype=np.int64)) for i in range(WORDS)]
@@ -258,7 +275,16 @@ WORD_COLUMNS = [f"w{i}" for i in range(WORDS)]
 CANDIDATES = "lang string, k int, g long, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)
 
 
-def candidates(table: DataFrame, bits: int, least: int):
+def _first(table: DataFrame) -> DataFrame:
+    """The rows of one task in ``FIRST``."""
+    return table.filter(F.spark_partition_id() % FIRST == 0)
+
+
+def _alike(rows: DataFrame, number: str) -> bool:
+    return bool(rows.groupBy(number).count().filter("count > 1").limit(1).count())
+
+
+def candidates(table: DataFrame, bits: int, least: int, block_size: int = BLOCK):
     """lang, k, g (hash) and the words' numbers of every phrase of up to five words that may be frequent; and what filtered them, broadcast."""
     sc, shift = table.sparkSession.sparkContext, np.uint64(64 - bits)
     text = table.select("lang", "values", "codes")
@@ -275,7 +301,15 @@ def candidates(table: DataFrame, bits: int, least: int):
 
         bitmaps = [*bitmaps, full(text.mapInArrow(count, Buckets.DDL), bits, least)]
     sent = sc.broadcast(bitmaps)
-    return written(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "candidates"), sent
+    first = written(_first(text).mapInArrow(lambda batches: _distinct(batches, sent.value, shift), CANDIDATES).distinct(), "first")
+    if _alike(first, "g"):
+        raise Collision
+    made, several = blocks(first, block_size)
+    known = sc.broadcast(pickle.loads(row.made) if (row := made.first()) else None)  # one block at most
+    both = first.union(text.mapInArrow(lambda batches: _distinct(batches, sent.value, shift, known.value), CANDIDATES).distinct())
+    found = written(both.distinct() if several else both, "candidates")
+    known.destroy()
+    return found, sent
 
 
 def words_of(table: DataFrame, found: DataFrame, bits: int) -> DataFrame:
@@ -290,18 +324,26 @@ def words_of(table: DataFrame, found: DataFrame, bits: int) -> DataFrame:
                 yield from marks.add(codes[codes != 0])
         yield from marks.handed_on()
 
-    sent = table.sparkSession.sparkContext.broadcast(full(found.filter("k > 1").select(*WORD_COLUMNS).mapInArrow(mark, Buckets.DDL), bits, 1))
+    sc = table.sparkSession.sparkContext
+    sent = sc.broadcast(full(found.filter("k > 1").select(*WORD_COLUMNS).mapInArrow(mark, Buckets.DDL), bits, 1))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column(b.schema.get_field_index("words"))
             lang = b.column(b.schema.get_field_index("lang"))
             code, word = words.flatten().field("code"), words.flatten().field("word")
             keep = pa.array(lies_in(sent.value, code.to_numpy().view(np.uint64), shift))
-            of = lang.take(pc.list_parent_indices(words))
-            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (of, code, word)], names=["lang", "code", "word"])
+            of, code, word = (x.filter(keep) for x in (lang.take(pc.list_parent_indices(words)), code, word))
+            new = pa.array([told.value.get(c) != w for c, w in zip(code.to_pylist(), word.to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(new) for x in (of, code, word)], names=["lang", "code", "word"])
+
+    def listed(rows: DataFrame, told: dict[int, str]) -> DataFrame:
+        given = sc.broadcast(told)
+        return rows.select("lang", "words").mapInArrow(lambda batches: pick(batches, given), "lang string, code long, word string").distinct()
 
-    return written(table.select("lang", "words").mapInArrow(pick, "lang string, code long, word string").distinct(), "words")
+    first = written(listed(_first(table), {}), "first")
+    told = first.filter(F.octet_length("word") <= TOLD_BYTES).select("code", "word").limit(TOLD)
+    return written(first.union(listed(table, {r.code: r.word for r in told.collect()})).distinct(), "words")
 
 
 class Block:
@@ -378,13 +420,13 @@ def counted(text: DataFrame, block: Block, number: int, bits: int, filters=None,
                 for i in range(k):
                     ok &= sent.value.words[slot, i] == v[at + i]
                 total += np.bincount(slot[ok], minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([_squeezed(total)], pa.binary())], names=["counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for (raw,) in rows_of(batches, "counts"):
-            total += np.frombuffer(raw, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+            total += _spread(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([_squeezed(total)], pa.binary())], names=["counts"])
 
     arrays, left = text.mapInArrow(count, "counts binary"), text.rdd.getNumPartitions()
     while left > 1:  # a tree: every task sums a few arrays
@@ -392,7 +434,7 @@ def counted(text: DataFrame, block: Block, number: int, bits: int, filters=None,
         arrays = arrays.repartition(left).mapInArrow(summed, "counts binary")
     out = np.zeros(size, dtype=np.int64)
     for r in arrays.collect():  # one row
-        out += np.frombuffer(r.counts, dtype=np.int64)
+        out += _spread(r.counts, np.int64)
     sent.destroy()
     return out
 
@@ -471,11 +513,10 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // (6 * SHARE)).bit_length()))  # six bytes a word
     table = encoded(docs, seed, bits, least)
-    found, filters = candidates(table, bits, least)
+    found, filters = candidates(table, bits, least, block_size)
     listed = words_of(table, found, bits)
-    for keyed in (listed.groupBy("code"), found.groupBy("g")):
-        if keyed.count().filter("count > 1").limit(1).count():
-            raise Collision
+    if _alike(listed, "code") or _alike(found, "g"):
+        raise Collision
     made, block_bits = blocks(found, block_size)
     text = table.select("lang", "values", "codes")
     kept: DataFrame | None = None
@@ -493,12 +534,10 @@ def _mined(docs: DataFrame, seed: int, least: int, top: int, factor: int, block_
         b.counts = counted(text, b, number, block_bits, filters, np.uint64(64 - bits))
         with_counts[number] = b if one else written(spark.createDataFrame([(pickle.dumps(b),)], "made binary"), "counts")
         more = frequent(spark, b, least)
-        kept = more if kept is None else kept.unionByName(more)
-        kept = kept if one else written(kept, "frequent")
+        kept = written(more if kept is None else kept.unionByName(more), "frequent")  # as of each Python function in a stage a worker remains
     for number in numbers:
         b = with_counts[number]
-        kept = with_parts(kept, b if isinstance(b, Block) else pickle.loads(b.first().made), number, block_bits)
-        kept = kept if one else written(kept, "parts")
+        kept = written(with_parts(kept, b if isinstance(b, Block) else pickle.loads(b.first().made), number, block_bits), "parts")
     totals = table.groupBy("lang").agg(F.sum("n").alias("n"))
     final = maximal(written(scored(kept, totals, factor), "scored"))
     order = [F.desc("score"), F.desc("a")]
