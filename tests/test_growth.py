@@ -133,3 +133,22 @@ def test_suppliers_of_like_names(spark):
     made = L.supplier_found(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(suppliers, "supplier_id long, name string, code string"))
     assert "__gram" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, made.select("name", "supplier_id", "tier").collect())) == sorted(expected)
+
+
+def test_pairs_of_an_invoice_are_made_where_it_is(spark, sf):
+    """Lines meet their part and are dealt by invoice, no more; the assignment is that of the scores of all pairs."""
+    from itertools import groupby
+
+    from tradeloom.plans import registry
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    pairs = sorted(map(tuple, registry.queries()["po_score"](spark, sf).filter("score >= 30").collect()))
+    expected = [(k, i, row, score) for k, own in groupby(pairs, lambda r: r[0]) for i, (row, score) in M.greedy([r[1:] for r in own], 100, 30).items()]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, registry.queries()["po_greedy_assign"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert rows == sorted(expected) and len(rows) > 100
+    assert n < 3 * lines

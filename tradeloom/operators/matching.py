@@ -54,6 +54,20 @@ def alias_pairs(aliases: DataFrame) -> DataFrame:
     return known.union(known.select("__b", "__a")).filter("__a <> '' AND __b <> ''").distinct()
 
 
+def with_named(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` (sku) with ``named``: the normalised SKUs that are aliases of theirs."""
+    known = alias_pairs(aliases).groupBy("__a").agg(F.collect_list("__b").alias("named"))
+    return rows.withColumn("__a", sku(F.col("sku"))).join(known, "__a", "left").drop("__a")
+
+
+def _own() -> dict[str, Column]:
+    return {"__a": sku(F.col("sku")), "__legacy": sku(F.col("legacy_sku"))}
+
+
+def _theirs(po_sku: Column, po_short: Column) -> dict[str, Column]:
+    return {"__b": sku(po_sku), "__short": sku(po_short)}
+
+
 def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
     """Pairs of ``items`` and ``orders`` with one value of ``on``, with ``score``. SKUs count once, by the best way; catalogue, short code,
     quantity, price and total add to it. Items get the codes that are aliases of theirs before they meet orders, so no pair is shuffled.
@@ -61,13 +75,24 @@ def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame,
     Columns: sku, legacy_sku, catalog, quantity, unit_cost, total_cost of the item; po_sku, po_short, po_description, po_quantity,
     po_price, po_total of the order. aliases: see ``alias_pairs``. SKUs are normalised before the join, once a row.
     """
-    known = alias_pairs(aliases).groupBy("__a").agg(F.collect_list("__b").alias("__named"))
-    left = items.withColumns({"__a": sku(F.col("sku")), "__legacy": sku(F.col("legacy_sku"))}).join(known, "__a", "left")
-    right = orders.withColumns({"__b": sku(F.col("po_sku")), "__short": sku(F.col("po_short"))})
-    out = left.join(right, on)
+    left = with_named(items, aliases).withColumns(_own())
+    return _scored(left.join(orders.withColumns(_theirs(F.col("po_sku"), F.col("po_short"))), on), s)
+
+
+def po_scores_within(items: DataFrame, on: str, order: Column, s: Scores = Scores()) -> DataFrame:
+    """The same where each row of ``items`` (with ``named``) is an order row of its ``on``, too: ``order``, a struct of the order's columns. Rows are dealt by
+    ``on`` once, and their pairs follow one another in one task."""
+    theirs = order
+    for name, value in _theirs(order["po_sku"], order["po_short"]).items():
+        theirs = theirs.withField(name, value)
+    met = items.withColumns(_own() | {"__orders": F.collect_list(theirs).over(Window.partitionBy(on))})
+    return _scored(met.withColumn("__order", F.explode("__orders")).drop("__orders").select("*", "__order.*").drop("__order"), s)
+
+
+def _scored(pairs: DataFrame, s: Scores) -> DataFrame:
     a, b, short, legacy = (F.col(c) for c in ("__a", "__b", "__short", "__legacy"))
     both = (a != "") & (b != "")
-    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.array_contains("__named", b), s.alias_sku)
+    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.array_contains("named", b), s.alias_sku)
     by_legacy = F.when((legacy != "") & ((legacy == b) | (legacy == short)), s.exact_sku)
     catalog = F.coalesce("catalog", F.lit(""))
     listed = (F.length(catalog) >= 3) & (F.contains("po_sku", catalog) | F.contains("po_description", catalog))
@@ -81,7 +106,7 @@ def po_scores(items: DataFrame, orders: DataFrame, on: str, aliases: DataFrame,
         F.when(_close(F.col("unit_cost"), F.col("po_price"), 0.02), s.price).when(_close(F.col("unit_cost"), F.col("po_price"), 0.50), s.close_price),
         F.when(_close(F.col("total_cost"), F.col("po_total"), 0.02), s.total),
     ]
-    return out.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "__named")
+    return pairs.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "named")
 
 
 def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[int, tuple[int, int]]:
@@ -103,17 +128,17 @@ def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[in
     return found
 
 
-def po_assigned(scored: DataFrame, s: Scores = Scores()) -> DataFrame:
+def po_assigned(scored: DataFrame, s: Scores = Scores(), grouped: bool = False) -> DataFrame:
     """invoice_id, seq, po_seq and score: one order row for an item, one item for an order row, within an invoice.
 
-    Only pairs worth taking are grouped; one invoice, which one document bounds, is one group.
+    Only pairs worth taking are grouped; one invoice, which one document bounds, is one group. ``grouped``: see ``streamed``.
     """
 
     def assign(rows: list[tuple]) -> list[tuple]:
         return [(rows[0][0], i, row, score) for i, (row, score) in greedy([r[1:] for r in rows], s.exact_sku, s.least).items()]
 
     worth = scored.filter(F.col("score") >= s.least)
-    return streamed(worth, "invoice_id", ["invoice_id", "seq", "po_seq", "score"], ["seq", "po_seq"], assign, "invoice_id long, seq int, po_seq int, score int")
+    return streamed(worth, "invoice_id", ["invoice_id", "seq", "po_seq", "score"], ["seq", "po_seq"], assign, "invoice_id long, seq int, po_seq int, score int", grouped)
 
 
 def orders_matched(invoices: DataFrame, items: DataFrame, orders: DataFrame, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
