@@ -91,3 +91,48 @@ def test_nothing_to_match(spark, sf):
     unmatched = M.orders_matched(inv, items, orders.limit(0), aliases)
     assert unmatched.count() == items.count() and unmatched.filter("match_score > 0 OR po_number <> ''").count() == 0
     assert M.orders_matched(inv.limit(0), items.limit(0), orders, aliases).count() == 0
+
+
+def test_references_of_other_lengths(spark):
+    """References within others, empty ones, rows that name an invoice by several, and invoices without items."""
+    from decimal import Decimal
+    from types import SimpleNamespace as Row
+
+    refs = ["2026-001", "2026-0012", "-", "X", "26001", "2026001Z", "9"]
+    inv = [Row(invoice_id=n, ref=r) for n, r in enumerate(refs)]
+    named = [["2026-001-B"], ["2026001", "PO2026-0012Y"], ["X", "9-A"], ["", "-"], ["XX9"], ["20260-01", "2026001Z"], ["9", "X"], ["nothing"], [], ["2026"]]
+    price = lambda n: Decimal(n % 5 + 1).quantize(Decimal("0.0001"))
+    orders = [Row(po_row=100 - n, po_number=f"PO{n}", refs=r, po_item_ref=f"R{n}", po_sku=f"S-{n % 4}00", po_short=f"P{n}", po_description=f"part {n}", po_quantity=price(n), po_price=price(n + 1), po_total=price(n), uom="EA") for n, r in enumerate(named)]
+    items = {i: [Row(invoice_id=i, seq=n, sku="" if n == 3 else f"S{(n + i) % 5}00", legacy_sku=None, catalog=None, description=None, quantity=price(n + i), unit_cost=price(n), total_cost=price(n + 1)) for n in range(1, 5)] for i in (0, 1, 3)}
+    aliases = [("s300", "s-100")]
+    normal = {c: (c or "").upper().replace("-", "") for c in [r.sku for own in items.values() for r in own] + [o.po_sku for o in orders] + [o.po_short for o in orders] + ["s300", "s-100"]}
+    expected = by_force([i for i in inv if i.ref != "-"], items, orders, aliases, normal)  # an empty reference names nothing
+    frame = lambda rows, ddl: spark.createDataFrame([tuple(vars(r)[c.split()[0]] for c in ddl.replace("(18,4)", "").split(", ")) for r in rows], ddl)
+    money = "decimal(18,4)"
+    got = M.orders_matched(
+        frame(inv, "invoice_id long, ref string"), frame([r for own in items.values() for r in own], f"invoice_id long, seq int, sku string, legacy_sku string, catalog string, description string, quantity {money}, unit_cost {money}, total_cost {money}"),
+        frame(orders, f"po_row long, po_number string, refs array<string>, po_item_ref string, po_sku string, po_short string, po_description string, po_quantity {money}, po_price {money}, po_total {money}, uom string"),
+        spark.createDataFrame([(a, b, None) for a, b in aliases], "sku string, bm_code string, supplier_item string"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert {r[0] for r in expected} >= {0, 1, 3, 6} and sum(r[-1] > 0 for r in expected) > 4
+
+
+def test_orders_meet_invoices_once(spark, sf):
+    """Order rows are dealt by reference and by invoice, lines by part and by invoice: a few rows a line, not one for each step."""
+    from tests.test_growth import shuffled
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    class Whole:
+        def collect(self):
+            return order.po_match(spark, sf).collect()
+
+    try:
+        rows, n = shuffled(spark, Whole())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) > lines * 0.9
+    assert n < 9 * lines

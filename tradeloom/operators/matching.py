@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.codes import sku
 from tradeloom.operators.common import bounded, named_in, streamed, winners
+from tradeloom.sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -36,18 +39,39 @@ def _partial(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 3) & (F.contains(a, b) | F.contains(b, a))
 
 
+def _bare(ref: Column) -> Column:
+    return F.replace(ref, F.lit("-"), F.lit(""))
+
+
+def _unversioned(ref: Column) -> Column:
+    return F.regexp_replace(ref, "-[A-Z]$", "")
+
+
 def po_candidates(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     """invoice_id and order_id of orders that name the invoice: one of their references (``refs``) and the invoice's (``ref``), without hyphens,
     are equal or contain one another. A last hyphen and capital letter of an order's reference don't count; empty references name nothing."""
-    ours = invoices.select("invoice_id", F.replace("ref", F.lit("-"), F.lit("")).alias("__ours")).filter("__ours <> ''")
-    bare = F.replace(F.regexp_replace("__ref", "-[A-Z]$", ""), F.lit("-"), F.lit(""))
-    theirs = orders.select("order_id", F.explode("refs").alias("__ref")).select("order_id", bare.alias("__theirs")).filter("__theirs <> ''").distinct()
+    ours = invoices.select("invoice_id", _bare(F.col("ref")).alias("__ours")).filter("__ours <> ''")
+    theirs = orders.select("order_id", F.explode("refs").alias("__ref")).select("order_id", _bare(_unversioned(F.col("__ref"))).alias("__theirs")).filter("__theirs <> ''").distinct()
     # distinct references meet, so that a common one isn't joined once for each of its rows
     a, b = ours.select("__ours").distinct(), theirs.select("__theirs").distinct()
     met = named_in(a, b, "__ours", "__theirs").select("__ours", "__theirs").union(named_in(b, a, "__theirs", "__ours").select("__ours", "__theirs")).distinct()
     return ours.join(met, "__ours").join(theirs, "__theirs").select("invoice_id", "order_id").distinct()
 
 
+def unlike_references(ours: DataFrame, theirs: DataFrame) -> DataFrame | None:
+    """__ours and __theirs: texts of the two (of these columns) that differ, and of which one contains the other; None if by their lengths no text can.
+
+    Only texts that are short enough for one of the other side, or long enough, are made distinct and meet.
+    """
+    a, b = ({n for (n,) in rows.select(F.length(c)).distinct().collect()} for rows, c in ((ours, "__ours"), (theirs, "__theirs")))
+    found = []
+    for parts, part, short, wholes, whole, long in ((ours, "__ours", a, theirs, "__theirs", b), (theirs, "__theirs", b, ours, "__ours", a)):
+        if short and long and min(short) < max(long):
+            left, right = kept(parts.filter(F.length(part) < max(long)).select(part).distinct(), "parts"), kept(wholes.filter(F.length(whole) > min(short)).select(whole).distinct(), "wholes")
+            found.append(named_in(left, right, part, whole).filter("__ours <> __theirs").select("__ours", "__theirs"))
+    return found[0].union(found[1]) if len(found) > 1 else found[0] if found else None
+
+
 def alias_pairs(aliases: DataFrame) -> DataFrame:
     """__a and __b: normalised SKUs that name one product by ``aliases`` (sku, bm_code, supplier_item), read both ways: the key with either code."""
     known = aliases.select(sku(F.col("sku")).alias("__a"), F.explode(F.array("bm_code", "supplier_item")).alias("code")).filter("code IS NOT NULL").select("__a", sku(F.col("code")).alias("__b"))
@@ -90,23 +114,29 @@ def po_scores_within(items: DataFrame, on: str, order: Column, s: Scores = Score
 
 
 def _scored(pairs: DataFrame, s: Scores) -> DataFrame:
-    a, b, short, legacy = (F.col(c) for c in ("__a", "__b", "__short", "__legacy"))
+    return pairs.withColumn("score", _score(F.col, F.col, s)).drop("__a", "__b", "__short", "__legacy", "named")
+
+
+def _score(item: Callable[[str], Column], order: Callable[[str], Column], s: Scores) -> Column:
+    """Points of a pair by the columns of its item and its order."""
+    a, b, short, legacy = item("__a"), order("__b"), order("__short"), item("__legacy")
     both = (a != "") & (b != "")
-    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.array_contains("named", b), s.alias_sku)
+    by_sku = F.when(both & (a == b), s.exact_sku).when(both & _partial(a, b), s.partial_sku).when(both & F.array_contains(item("named"), b), s.alias_sku)
     by_legacy = F.when((legacy != "") & ((legacy == b) | (legacy == short)), s.exact_sku)
-    catalog = F.coalesce("catalog", F.lit(""))
-    listed = (F.length(catalog) >= 3) & (F.contains("po_sku", catalog) | F.contains("po_description", catalog))
+    catalog = F.coalesce(item("catalog"), F.lit(""))
+    listed = (F.length(catalog) >= 3) & (F.contains(order("po_sku"), catalog) | F.contains(order("po_description"), catalog))
     by_short = (short != "") & (a != "") & ((short == a) | _partial(short, a))
-    q, p = F.col("quantity"), F.col("po_quantity")
+    q, p = item("quantity"), order("po_quantity")
+    cost, price = item("unit_cost"), order("po_price")
     points = [
         F.coalesce(by_sku, by_legacy),
         F.when(listed, s.catalog),
         F.when(by_short, s.short_code),
         F.when((q != 0) & (p != 0), F.when(q == p, s.quantity).when(F.abs(q - p) <= 1, s.close_quantity)),
-        F.when(_close(F.col("unit_cost"), F.col("po_price"), 0.02), s.price).when(_close(F.col("unit_cost"), F.col("po_price"), 0.50), s.close_price),
-        F.when(_close(F.col("total_cost"), F.col("po_total"), 0.02), s.total),
+        F.when(_close(cost, price, 0.02), s.price).when(_close(cost, price, 0.50), s.close_price),
+        F.when(_close(item("total_cost"), order("po_total"), 0.02), s.total),
     ]
-    return pairs.withColumn("score", sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))).drop("__a", "__b", "__short", "__legacy", "named")
+    return sum((F.coalesce(x, F.lit(0)) for x in points), F.lit(0))
 
 
 def greedy(pairs: list[tuple[int, int, int]], first: int, least: int) -> dict[int, tuple[int, int]]:
@@ -141,36 +171,86 @@ def po_assigned(scored: DataFrame, s: Scores = Scores(), grouped: bool = False)
     return streamed(worth, "invoice_id", ["invoice_id", "seq", "po_seq", "score"], ["seq", "po_seq"], assign, "invoice_id long, seq int, po_seq int, score int", grouped)
 
 
-def orders_matched(invoices: DataFrame, items: DataFrame, orders: DataFrame, aliases: DataFrame, s: Scores = Scores()) -> DataFrame:
-    """Every item of every invoice with the order row that it is matched with: candidates by reference, scores, one to one assignment.
+#: Of an order row, what the matched item takes from it, and what scores need besides.
+TAKEN = ("po_item_ref", "po_description", "po_number", "po_sku", "po_quantity", "po_price", "po_total", "uom")
+SCORED = ("po_short", "__b", "__short")
+
+
+def _assigner(s: Scores) -> Callable[..., Column]:
+    """For the items, rows (by their places) and scores of an invoice's pairs, and its number of items: the row and score of each item, null without one."""
+
+    @F.arrow_udf("array<struct<row: int, score: int>>")
+    def assigned(item: pa.Array, row: pa.Array, score: pa.Array, items: pa.Array) -> pa.Array:
+        ends, rows, scores, at = [0], [], [], 0
+        each = list(zip(*(c.flatten().to_pylist() for c in (item, row, score)), strict=True))
+        for n, many in zip(item.value_lengths().fill_null(0).to_pylist(), items.to_pylist(), strict=True):
+            found = greedy(each[at : at + n], s.exact_sku, s.least)
+            own = [found.get(i, (None, None)) for i in range(many)]
+            rows += [r for r, _ in own]
+            scores += [p for _, p in own]
+            ends.append(len(rows))
+            at += n
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rows, pa.int32()), pa.array(scores, pa.int32())], ["row", "score"]))
+
+    return assigned
+
+
+def _within_invoice(rows: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
+    """invoice_id and its rows as an array, in order. By a window, as that needs no more than the sort by which invoices are joined, too."""
+    own = Window.partitionBy("invoice_id").orderBy(*order)
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = rows.select("invoice_id", F.row_number().over(own).alias("__n"), F.collect_list(F.struct(*columns)).over(every).alias(name))
+    return listed.filter("__n = 1").drop("__n")
+
+
+def orders_matched(invoices: DataFrame, items: DataFrame, orders: DataFrame, aliases: DataFrame, s: Scores = Scores(), fields: dict[str, Column] | None = None) -> DataFrame:
+    """Every item of every invoice with the order row that it is matched with: candidates by reference (as in ``po_candidates``), scores, one to one assignment.
 
     ``invoices``: invoice_id, ref; ``items``: invoice_id, seq, sku, legacy_sku, catalog, description, quantity, unit_cost, total_cost; ``orders``: po_row (in
     order), po_number, refs, po_item_ref, po_sku, po_short, po_description, po_quantity, po_price, po_total, uom. What an item lacks comes from its
     order row; an item without a match has empty order fields and a score of 0. An invoice without items has the order rows that name it alone, or
-    first.
+    first. ``items`` may have ``named`` (see ``with_named``), then ``aliases`` isn't read. ``fields``: those columns of ``orders`` that are made of its others;
+    they are made when rows are where their invoice is, and so aren't shuffled.
+
+    Orders are kept as a table, as they are read several times. Their rows are dealt by reference and by invoice, once each, and items by invoice; all else
+    is done within an invoice's row, which one document bounds.
     """
-    named = po_candidates(invoices, orders.select(F.col("po_row").alias("order_id"), "refs"))
-    place = F.row_number().over(Window.partitionBy("invoice_id").orderBy("po_row"))
-    rows = named.join(orders, F.col("order_id") == F.col("po_row")).drop("order_id").withColumn("po_seq", place)
-    fields = ["po_sku", "po_short", "po_description", "po_quantity", "po_price", "po_total"]
-    scored = po_scores(items, rows.select("invoice_id", "po_seq", *fields), "invoice_id", aliases, s)
-    found = po_assigned(scored.select("invoice_id", "seq", "po_seq", "score"), s)
-    taken = found.join(rows, ["invoice_id", "po_seq"]).drop("refs", "po_row")
-    number = lambda c: F.nullif(F.col(c), F.lit(0).cast(items.schema[c].dataType))
-    text = lambda c: F.nullif(F.col(c), F.lit(""))
-    out = items.join(taken, ["invoice_id", "seq"], "left").select(
-        "invoice_id", "seq", *[F.coalesce(c, F.lit("")).alias(c) for c in ("po_item_ref", "po_description", "po_number")],
-        F.coalesce(text("sku"), F.concat(F.lit("ITEM-"), F.lpad(F.col("seq").cast("string"), 3, "0"))).alias("supplier_item"), F.coalesce(text("description"), "po_description", F.lit("")).alias("supplier_item_desc"),
-        F.coalesce("quantity", "po_quantity", F.lit(0)).cast("double").alias("quantity"), F.coalesce(number("unit_cost"), "po_price", F.lit(0)).cast("double").alias("unit_price"),
-        F.coalesce(number("total_cost"), "po_total", F.lit(0)).cast("double").alias("total_cost"), F.coalesce("uom", F.lit("Unit")).alias("uom"), F.coalesce("score", F.lit(0)).cast("int").alias("match_score"),
-    )
-    empty = invoices.join(items.select("invoice_id").distinct(), "invoice_id", "left_anti").select("invoice_id", "ref")
-    alone = (F.size("refs") == 1) | (F.col("ref") == F.regexp_replace(F.get("refs", F.lit(0)), "-[A-Z]$", ""))
-    whole = rows.join(empty, "invoice_id").filter(alone).select(
-        "invoice_id", F.col("po_seq").cast(items.schema["seq"].dataType).alias("seq"), "po_item_ref", "po_description", "po_number", F.col("po_sku").alias("supplier_item"), F.col("po_description").alias("supplier_item_desc"),
-        F.col("po_quantity").cast("double").alias("quantity"), F.col("po_price").cast("double").alias("unit_price"), F.col("po_total").cast("double").alias("total_cost"), "uom", F.lit(0).alias("match_score"),
+    fields, seq = fields or {}, items.schema["seq"].dataType
+    orders = kept(orders, "orders")
+    given = [c for c in orders.columns if c != "refs"]
+    single, clean = F.size("refs") == 1, _unversioned(F.col("__ref"))
+    each = orders.select("*", F.posexplode("refs").alias("__at", "__ref")).select(*given, single.alias("__single"), F.when(~single & (F.col("__at") == 0), clean).alias("__first"), _bare(clean).alias("__theirs")).filter("__theirs <> ''")
+    ours = invoices.select("invoice_id", "ref", _bare(F.col("ref")).alias("__ours")).filter("__ours <> ''")
+    named = ours.withColumnRenamed("__ours", "__theirs")
+    if (unlike := unlike_references(ours, each)) is not None:
+        named = named.unionByName(ours.join(unlike, "__ours").drop("__ours"))
+    # a row comes once for each of its references that name the invoice; the one by which it names it alone or first is before the others
+    later = ~(F.col("__single") | F.coalesce(F.col("ref") == F.col("__first"), F.lit(False)))
+    met = each.join(named, "__theirs").select("invoice_id", *given, later.alias("__later")).repartition("invoice_id")
+    made = met.withColumns(fields).withColumns(_theirs(F.col("po_sku"), F.col("po_short")))
+    rows = _within_invoice(made, ["po_row", "__later"], ["po_row", "__later", *TAKEN, *SCORED], "__all")
+    once = F.filter("__all", lambda r, n: (n == 0) | (r["po_row"] != F.get("__all", n - 1)["po_row"]))
+    own = (items if "named" in items.columns else with_named(items, aliases)).withColumns(_own())
+    listed = _within_invoice(own, ["seq"], [c for c in own.columns if c != "invoice_id"], "__items")
+    both = listed.join(rows.select("invoice_id", once.alias("__rows")), "invoice_id", "full_outer")
+    pair = lambda i, x: F.transform("__rows", lambda r, y: F.struct(x.alias("item"), y.alias("row"), _score(i.getField, r.getField, s).alias("score")))
+    pairs = F.flatten(F.transform("__items", lambda i, x: F.filter(pair(i, x), lambda p: p["score"] >= s.least)))
+    found = both.withColumn("__pairs", pairs).withColumn("__found", _assigner(s)(*[F.col(f"__pairs.{c}") for c in ("item", "row", "score")], F.greatest(F.size("__items"), F.lit(0))))
+    out = F.transform(F.arrays_zip("__items", "__found"), lambda m: F.struct(m["__items"]["seq"].alias("seq"), m["__items"].alias("i"), F.get("__rows", m["__found"]["row"]).alias("o"), m["__found"]["score"].alias("score")))
+    none = F.lit(None).cast(both.schema["__items"].dataType.elementType)
+    alone = F.filter(F.transform("__rows", lambda r, y: F.struct((y + 1).cast(seq).alias("seq"), none.alias("i"), r.alias("o"), F.lit(None).cast("int").alias("score"))), lambda p: ~p["o"]["__later"])
+    each = found.select("invoice_id", F.explode(F.when(F.col("__items").isNull(), alone).otherwise(out)).alias("m")).select("invoice_id", "m.*")
+    i, o, number = F.col("i"), F.col("o"), lambda c: F.nullif(F.col("i")[c], F.lit(0).cast(items.schema[c].dataType))
+    text, whole = lambda c: F.nullif(i[c], F.lit("")), lambda a, b: F.when(i.isNull(), a).otherwise(b)
+    return each.select(
+        "invoice_id", "seq", *[whole(o[c], F.coalesce(o[c], F.lit(""))).alias(c) for c in ("po_item_ref", "po_description", "po_number")],
+        whole(o["po_sku"], F.coalesce(text("sku"), F.concat(F.lit("ITEM-"), F.lpad(F.col("seq").cast("string"), 3, "0")))).alias("supplier_item"),
+        whole(o["po_description"], F.coalesce(text("description"), o["po_description"], F.lit(""))).alias("supplier_item_desc"),
+        whole(o["po_quantity"].cast("double"), F.coalesce(i["quantity"], o["po_quantity"], F.lit(0)).cast("double")).alias("quantity"),
+        whole(o["po_price"].cast("double"), F.coalesce(number("unit_cost"), o["po_price"], F.lit(0)).cast("double")).alias("unit_price"),
+        whole(o["po_total"].cast("double"), F.coalesce(number("total_cost"), o["po_total"], F.lit(0)).cast("double")).alias("total_cost"),
+        whole(o["uom"], F.coalesce(o["uom"], F.lit("Unit"))).alias("uom"), F.coalesce("score", F.lit(0)).alias("match_score"),
     )
-    return out.unionByName(whole)
 
 
 #: A reference that more invoices and more shipments than this have is matched by sums, without a row a pair.

@@ -21,12 +21,21 @@ def tariff_code(part_key: str):
     return F.lpad(((F.col(part_key) % 40) * 2300017 + 1010000).cast("string"), 8, "0")
 
 
+def part_sku(part_key: str):
+    return F.concat(F.when(F.col(part_key) % 10 == 0, "ST-").otherwise(""), F.lit("SKU-"), F.col(part_key))
+
+
+def unit_cost():
+    """An item's cost by its total and quantity."""
+    return (F.col("total_cost") / F.col("quantity")).cast(QUANTITY)
+
+
 def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice_id, line, part_id, supplier_id, description, sku, tariff_code, quantity, unit_cost, total_cost, billable."""
     parts = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("size "), F.col("p_size"))).alias("description"),
-        F.concat(F.when(F.col("p_partkey") % 10 == 0, "ST-").otherwise(""), F.lit("SKU-"), F.col("p_partkey")).alias("sku"),
+        part_sku("p_partkey").alias("sku"),
     )
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("invoice_id"),
@@ -39,7 +48,7 @@ def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") != "R").alias("billable"),
     )
     joined = lines.join(parts, lines["part_id"] == parts["p_partkey"]).drop("p_partkey")
-    return joined.withColumn("unit_cost", (F.col("total_cost") / F.col("quantity")).cast(QUANTITY))
+    return joined.withColumn("unit_cost", unit_cost())
 
 
 def with_seq(items: DataFrame) -> DataFrame:
