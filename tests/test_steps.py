@@ -100,3 +100,30 @@ def test_texts_become_files_by_all_tasks(spark):
 def test_manifests_in_steps(spark):
     docs = spark.range(500).select(F.col("id").alias("k")).select(F.col("k").alias("doc_id"), F.expr(stores._MANIFEST).alias("text"))
     assert sorted(H.manifests(docs).select("doc_id", "m").collect()) == sorted(docs.select("doc_id", H.manifest(F.col("text")).alias("m")).collect())
+
+
+def test_declarations_are_dealt_once_and_compressed(spark, sf, tmp_path, monkeypatch):
+    """Lines are shuffled by file and no more; a file has whole declarations of its hundred, in order, and takes a part of their bytes."""
+    import gzip
+    from xml.etree import ElementTree
+
+    from tradeloom.plans import files
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    monkeypatch.setattr(files, "work_path", lambda _, name: str(tmp_path / name))
+
+    class Written:
+        def collect(self):
+            return files._declarations(spark, sf).select("tariff_code").collect()
+
+    read, n = shuffled(spark, Written())
+    assert len(read) == lines.count() and n <= 1.5 * len(read)
+    found, held = [], [p for p in (tmp_path / "declarations").iterdir() if p.name.startswith("part-")]
+    for p in held:
+        with gzip.open(p, "rt") as text:
+            root = ElementTree.fromstring(text.read())
+        assert root.tag == "Declarations" and 0 < len(root) <= files.DECLARATIONS
+        found += [[int(i.findtext("Item_number")) for i in each] for each in root]
+    assert sorted(map(len, found)) == sorted(r["count"] for r in lines.groupBy("l_orderkey").count().collect())
+    assert all(each == list(range(1, len(each) + 1)) for each in found)
+    assert sum(p.stat().st_size for p in held) < 100 * len(read)  # as texts they have about three times as many

@@ -28,21 +28,21 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
-def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[tuple]], Iterable[tuple]], ddl: str, grouped: bool = False) -> DataFrame:
+def streamed(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[tuple]], Iterable[tuple]], ddl: str, grouped: bool = False, at_once: int = 5_000) -> DataFrame:
     """The rows that ``step`` makes of the rows (tuples of ``columns``, in ``order``) of each ``key``.
 
     Groups are read one after another from the sorted partition, so many small ones need no frame each. A group must fit a task: it should be
     one document. The number of partitions is stated, so that adaptive execution doesn't join few bytes of much work to one task. ``grouped``: the rows
-    of a key follow one another in one task as they are, in any order; then nothing is shuffled or sorted.
+    of a key follow one another in one task as they are, in any order; then nothing is shuffled or sorted. ``at_once``: rows that are handed back at once.
     """
-    return streamed_together(rows, key, columns, order, lambda groups: (row for group in groups for row in step(group)), ddl, grouped)
+    return streamed_together(rows, key, columns, order, lambda groups: (row for group in groups for row in step(group)), ddl, grouped, at_once)
 
 
 #: Rows of whole groups that ``streamed_together`` hands over at once, about.
 ROWS_TOGETHER = 8_000
 
 
-def streamed_together(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[list[tuple]]], Iterable[tuple]], ddl: str, grouped: bool = False) -> DataFrame:
+def streamed_together(rows: DataFrame, key: str, columns: list[str], order: list[str], step: Callable[[list[list[tuple]]], Iterable[tuple]], ddl: str, grouped: bool = False, at_once: int = 5_000) -> DataFrame:
     """The same where ``step`` takes a list of groups, for work that is cheaper on many at once."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -65,7 +65,7 @@ def streamed_together(rows: DataFrame, key: str, columns: list[str], order: list
                 yield held
 
         made = (row for groups in several() for row in step(groups))
-        while held := list(islice(made, 5000)):
+        while held := list(islice(made, at_once)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     slim = rows.select(*dict.fromkeys((key, *columns)))

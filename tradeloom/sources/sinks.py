@@ -33,15 +33,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 TEXT_FOLDERS, COMMITTER = 256, ("mapreduce.fileoutputcommitter.algorithm.version", "2")
 
 
-def write_texts(df: DataFrame, path: str, text: str = "text", spread: bool = True) -> None:
-    """A text file for each row. With ``spread`` in folders of about equally many, made by all tasks however few partitions ``df`` has, as opening files is
+def write_texts(df: DataFrame, path: str, text: str = "text", spread: bool = True, compression: str = "none") -> None:
+    """A text file for each row, compressed by ``compression``. With ``spread`` in folders of about equally many, made by all tasks however few partitions ``df`` has, as opening files is
     most of the work; without it (for long texts, which have partitions enough) in one folder, by the tasks that have the rows."""
     rows = df.select(text)
     if not spread:
-        return rows.write.option("maxRecordsPerFile", 1).option(*COMMITTER).text(path)
+        return rows.write.option("maxRecordsPerFile", 1).option(*COMMITTER).text(path, compression=compression)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts).withColumn("folder", F.spark_partition_id() % TEXT_FOLDERS)
-    dealt.write.option("maxRecordsPerFile", 1).option(*COMMITTER).partitionBy("folder").text(path)
+    dealt.write.option("maxRecordsPerFile", 1).option(*COMMITTER).partitionBy("folder").text(path, compression=compression)
 
 
 def write_journal(df: DataFrame, path: str) -> None:

@@ -51,9 +51,10 @@ def invoice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("unit_cost", unit_cost())
 
 
-def with_seq(items: DataFrame) -> DataFrame:
-    """``items`` with their ordinal in the invoice; equal lines are interchangeable."""
-    order = Window.partitionBy("invoice_id").orderBy("line", "part_id", "supplier_id", "quantity", "total_cost", "billable")
+def with_seq(items: DataFrame, *within: str) -> DataFrame:
+    """``items`` with their ordinal in the invoice; equal lines are interchangeable. ``within``: columns that all items of an invoice have in common, by which
+    they may have been dealt before."""
+    order = Window.partitionBy(*within, "invoice_id").orderBy("line", "part_id", "supplier_id", "quantity", "total_cost", "billable")
     return items.withColumn("seq", F.row_number().over(order))
 
 
